@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import compression, fingerprinting, quality_rules, sharding, simhash
+from quillspark.llm import compression, fingerprinting, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.op1_warc,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprinting.op5_fingerprints,
     "op6_compression_classifier": compression.op6_compression_classifier,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
