@@ -95,3 +95,36 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents to the production targets: 0.6 of all tokens, at most two epochs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return mix(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "domain", "lang", "source", "tokens", "epoch", "budget")
+
+
+def _case(level: str) -> str:
+    inner = " ".join(f"WHEN {level} = '{name}' THEN {w}" for name, w in WEIGHTS[level].items())
+    return f"CASE {inner} ELSE 1.0 END::DOUBLE" if inner else "1.0::DOUBLE"
+
+
+def _level_sql(depth: int) -> str:
+    """One level of the tree: (path, share) from the level above, by the closed form of the shares."""
+    path, level = ", ".join(LEVELS[: depth + 1]), LEVELS[depth]
+    above = " AND ".join(f"l.{c} IS NOT DISTINCT FROM p.{c}" for c in LEVELS[:depth]) or "true"
+    part = f"PARTITION BY {', '.join(LEVELS[:depth])} " if depth else ""
+    return f"""
+c{depth} AS (SELECT {path}, room, given, {_case(level)} AS weight FROM (SELECT {", ".join(f"l.{c}" for c in LEVELS[: depth + 1])}, sum(l.tokens * {EPOCHS}) AS room, any_value(p.share) AS given FROM leaves l JOIN p{depth} p ON {above} GROUP BY ALL) WHERE room > 0),
+o{depth} AS (SELECT *, (given - coalesce(sum(room) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lift FROM c{depth} WINDOW w AS ({part}ORDER BY room / weight, {level} NULLS FIRST)),
+m{depth} AS (SELECT *, arg_min(lift, room / weight) FILTER (room > lift * weight) OVER ({part}) AS common FROM o{depth}),
+p{depth + 1} AS (SELECT {path}, floor(coalesce(least(room::DOUBLE, common * weight), room::DOUBLE)) AS share FROM m{depth}),"""
+
+
+#: DuckDB SQL for op3_mixing: the same shares, and the prefixes by plain running sums.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, CASE WHEN try_cast(regexp_extract(source, '(\d+)$', 1) AS BIGINT) % 2 = 0 THEN 'curated' ELSE 'web' END AS domain, lang, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),
+p0 AS (SELECT trunc(sum(tokens) * {SHARE}::DOUBLE)::DOUBLE AS share FROM leaves),
+{"".join(_level_sql(i) for i in range(3))}
+plan AS (SELECT l.domain, l.lang, l.source, l.tokens AS all_tokens, p.share::BIGINT AS budget, e.epoch FROM leaves l JOIN p3 p ON {" AND ".join(f"l.{c} IS NOT DISTINCT FROM p.{c}" for c in LEVELS)} CROSS JOIN (SELECT unnest(range({EPOCHS}))::INT AS epoch) e),
+met AS (SELECT d.*, plan.epoch, plan.budget, coalesce(sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source, plan.epoch
+  ORDER BY md5('{SEED}:' || plan.epoch || ':' || coalesce(d.doc_id::VARCHAR, 'null')), d.doc_id, d.tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+  plan.budget - plan.epoch * plan.all_tokens AS left_over
+  FROM d JOIN plan ON {" AND ".join(f"d.{c} IS NOT DISTINCT FROM plan.{c}" for c in LEVELS)} WHERE d.tokens > 0)
+SELECT doc_id, domain, lang, source, tokens, epoch, budget FROM met WHERE start < left_over
+"""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import base64
 import re
 import zlib
-from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,32 +18,42 @@ SEQUENCE, GROUP, END = 1024, 4096, 0
 PLAIN = re.compile("[\x00-ɏ‐-‧€]*")
 
 
-@cache
 def encoder(name: str):
-    """A function from a text to its ids, by the public tokenizer file `name`.json, loaded once in each worker.
+    """A function from a text to its ids, by the public tokenizer file `name`.json.
 
     The rank file of the same vocabulary gives the same ids several times faster; texts with rarer characters or
-    special tokens, and vocabularies without a rank file, go through the tokenizer file.
+    special tokens, and vocabularies without a rank file, go through the tokenizer file. What is loaded is kept on
+    the imported module, where a worker's later tasks find it.
     """
     import os
 
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    whole = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    held = public_tokenizers.__dict__.setdefault("_quillspark", {})
+
+    def whole():
+        if ("whole", name) not in held:
+            from tokenizers import Tokenizer
+
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            held["whole", name] = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+        return held["whole", name]
+
     ranks = public_tokenizers.path(f"{name}.tiktoken")
     if not os.path.exists(ranks):
-        return lambda text: whole.encode(text, add_special_tokens=False).ids
-    import tiktoken
+        return lambda text: whole().encode(text, add_special_tokens=False).ids
+    if name not in held:
+        import tiktoken
 
-    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
-    fast = tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+        with open(ranks, "rb") as file:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        held[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    fast = held[name].encode_ordinary
 
     def encode(text: str):
         if PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
-            return fast.encode_ordinary(text)
-        return whole.encode(text, add_special_tokens=False).ids
+            return fast(text)
+        return whole().encode(text, add_special_tokens=False).ids
 
     return encode
 

@@ -257,7 +257,7 @@ class WarcWriter(DataSourceArrowWriter):
                         out.close()
                         files.append((name, size))
                     name, size = f"part-{self.job}-{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{path}/{name}")
+                    out = fs.open_output_stream(f"{path}/{name}", compression=None)
                 out.write(raw)
                 size += len(raw)
         if out is not None:
