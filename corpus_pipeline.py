@@ -1,8 +1,50 @@
-"""The corpus pipeline: five operators after one another, each stage written and read again."""
+"""The corpus pipeline: five operators after one another, each stage written to Parquet and read again.
 
-STAGES: list = []
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillspark.llm import mixing, packing, quality_rules, secrets, simhash
+from quillspark.llm.common import stored
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the trees; the trees learn from labelled documents."""
+    return quality_rules.keep(docs, quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, the one with the least doc_id."""
+    return simhash.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets in their texts replaced; n_chars follows."""
+    return secrets.redacted(docs, secrets.train())
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents to the target weights of the domain-language-source tree, repeated where a budget asks for it."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality rules", quality), ("simhash near-dedup", near_duplicates), ("secret scans", without_secrets), ("mixing", mixed), ("packing", packs)]
+
+#: SQL can express neither the trained models nor the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between them Parquet tables in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -265,6 +265,28 @@ def scan(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -
     return map_texts(narrowed(df, doc_id=key, text=text), run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string, redacted string")
 
 
+def redacted(df: DataFrame, net: Network, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """The rows of df, all columns, with secrets in the text replaced and the column `size`, if any, set anew."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+    at, n = df.columns.index(text), df.columns.index(size) if size in df.columns else None
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t if t is None else redact(t, spans(t, net)) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            if n is not None:
+                old = zip(batch.column(at).to_pylist(), texts, columns[n].to_pylist(), strict=True)
+                columns[n] = pa.array([c if a == b else len(b) for a, b, c in old], schema.field(n).type)
+            columns[at] = pa.array(texts, schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:
     out, at = [], 0
     for _, a, b in found:

@@ -14,29 +14,41 @@ from quillspark.llm.common import components, map_texts, narrowed, stored
 SEED = 42
 
 
-def fingerprint(text: str, words: int = 3) -> int:
-    """The signed 64-bit SimHash of a text; 0 without words, one shingle of all words where there are fewer."""
+def fingerprint(text: str, words: int = 3, tables: int = 1) -> list[int]:
+    """The signed 64-bit SimHashes of a text; 0 without words, one shingle of all words where there are fewer.
+
+    The first is made of the shingles' XXH64; each further table mixes those hashes anew.
+    """
     found = text.encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return [0] * tables
     if len(found) < words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(found), SEED)]
     elif words == 3:
         hashes = [xxhash.xxh64_intdigest(b"%b %b %b" % s, SEED) for s in zip(found, found[1:], found[2:], strict=False)]
     else:
         hashes = [xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(*[found[i:] for i in range(words)], strict=False)]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], dtype=">u8")
-        counts += np.unpackbits(block.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
+    counts = np.zeros((tables, 64), np.int64)
+    for at in range(0, len(hashes), 1 << 15):
+        block = np.array(hashes[at : at + (1 << 15)], dtype=np.uint64)
+        for t in range(tables):
+            mixed = block if not t else _mixed(block, t)
+            counts[t] += np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * counts > len(hashes), axis=1).view(">i8")[:, 0].tolist()
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * table)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp of every row, from whole texts; a null text counts as empty."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, tables: int = 1) -> DataFrame:
+    """doc_id and fps (an array, one fingerprint for each table) of every row, from whole texts; null texts are empty."""
     rows = narrowed(df, doc_id=key, text=text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_texts(rows, lambda ids, texts: {"doc_id": ids, "fp": [fingerprint(t, words) for t in texts]}, f"doc_id {kind}, fp long")
+    return map_texts(rows, lambda ids, texts: {"doc_id": ids, "fps": [fingerprint(t, words, tables) for t in texts]}, f"doc_id {kind}, fps array<long>")
 
 
 def _flips(width: int, most: int) -> list[int]:
@@ -44,7 +56,7 @@ def _flips(width: int, most: int) -> list[int]:
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
-    """Pairs (a < b) of distinct values of column fp whose fingerprints differ in at most `radius` bits.
+    """Pairs (a < b) of values of column fp, within a table, that differ in at most `radius` bits: rows (table, a, b).
 
     The 64 bits are a ring of m = radius + 1 segments. If two fingerprints differ in at most radius bits, some
     segment starts a chain whose first 1, 2, ... segments differ in at most radius * 1/m, radius * 2/m, ... bits
@@ -69,15 +81,15 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     def key(i: int, second):
         return F.struct(F.lit(i).alias("ring"), piece(fp, i).alias("first"), second.alias("second"))
 
-    distinct = prints.select("fp").where("fp IS NOT NULL").distinct()
-    plain = distinct.select(fp.alias("b"), F.explode(F.array(*[key(i, piece(fp, i + 1)) for i in range(m)])).alias("k"))
+    distinct = prints.select("table", "fp").distinct()
+    plain = distinct.select("table", fp.alias("b"), F.explode(F.array(*[key(i, piece(fp, i + 1)) for i in range(m)])).alias("k"))
 
     def variants(i: int):
         masks = F.array(*[F.lit(x).cast("long") for x in flips(i)])
         return F.transform(masks, lambda mask: key(i, piece(fp, i + 1).bitwiseXOR(mask)))
 
-    tried = distinct.select(fp.alias("a"), F.explode(F.concat(*[variants(i) for i in range(m)])).alias("k"))
-    keyed = [x.select(c, F.xxhash64("k.ring", "k.first", "k.second").alias("h")) for x, c in ((tried, "a"), (plain, "b"))]
+    tried = distinct.select("table", fp.alias("a"), F.explode(F.concat(*[variants(i) for i in range(m)])).alias("k"))
+    keyed = [x.select(c, F.col("table").alias(t), F.xxhash64("table", "k.ring", "k.first", "k.second").alias("h")) for x, c, t in ((tried, "a", "table"), (plain, "b", "other"))]
     apart = F.col("a").bitwiseXOR(F.col("b"))
     chain = F.lit(False)
     for i in range(m):
@@ -86,27 +98,44 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
             total = total + F.bit_count(piece(apart, i + k))
             fits = fits & (total <= budget[k + 1])
         chain = chain | fits
-    return keyed[0].join(keyed[1], "h").where("a < b").where(chain).where(F.bit_count(apart) <= radius).select("a", "b").distinct()
+    return keyed[0].join(keyed[1], "h").where("a < b AND table = other").where(chain).where(F.bit_count(apart) <= radius).select("table", "a", "b").distinct()
 
 
-def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id of every row.
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, tables: int = 1) -> DataFrame:
+    """doc_id, fps and component_id of every row.
 
-    component_id is the least key of the documents reached over links, the row's own included; null keys name no
-    component, so a component of null keys alone has a null id. Equal texts share a fingerprint; texts without words
-    have fingerprint 0 and link like any other. Repeated rows come back repeated; an empty table gives no rows.
-    Copies meet as one fingerprint: pairs are sought between distinct fingerprints only.
+    Rows link if their fingerprints of any table differ in at most `radius` bits. component_id is the least key of
+    the rows reached over links, the row's own included; null keys name no component, so a component of null keys
+    alone has a null id. Equal texts share their fingerprints; texts without words have fingerprint 0 and link like
+    any other. Repeated rows come back repeated; an empty table gives no rows. Copies meet as one node: pairs are
+    sought between distinct fingerprints only, and nodes that share a fingerprint link to one of them.
     """
-    prints = stored(fingerprints(df, key, text, words), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(prints, radius))
-    held = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints = stored(fingerprints(df, key, text, words, tables).withColumn("node", F.col("fps")[0] if tables == 1 else F.xxhash64("fps")), "fingerprints")
+    nodes = prints.groupBy("node").agg(F.first("fps").alias("fps"), F.min("doc_id").alias("least"))
+    values = nodes.select("node", F.posexplode("fps").alias("table", "fp"))
+    holder = values.groupBy("table", "fp").agg(F.min("node").alias("holder"))
+    found = links(holder, radius)
+    edges = found.join(holder.select("table", F.col("fp").alias("a"), F.col("holder").alias("low")), ["table", "a"]).join(holder.select("table", F.col("fp").alias("b"), F.col("holder").alias("high")), ["table", "b"]).select("low", "high")
+    if tables > 1:
+        edges = edges.unionByName(values.join(holder, ["table", "fp"]).select(F.col("holder").alias("low"), F.col("node").alias("high")))
+    roots = components(edges, "low", "high")
+    held = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = held.groupBy("root").agg(F.min("least").alias("component_id"))
-    group = held.join(named, "root").select("fp", "component_id")
-    return prints.join(group, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(held.join(named, "root").select("node", "component_id"), "node").select("doc_id", "fps", "component_id")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, radius: int = 4, tables: int = 4) -> DataFrame:
+    """The rows of df, all columns, that have the least key of their near-duplicate group.
+
+    By default on shingles of five words: fingerprints within 4 bits of 64 belong to texts whose shingle sets are
+    well over 0.8 alike; further tables find most of the pairs that one table's noise puts beyond 4 bits. Rows that
+    share the least key all stay, and of a group of null keys alone every row stays.
+    """
+    kept = near_groups(df, key, text, words, radius, tables).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return df.join(kept, df[key].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word fingerprints of all documents and the components of links at two bits or fewer."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_groups(docs, words=3, radius=2).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return near_groups(docs, words=3, radius=2).select("doc_id", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
