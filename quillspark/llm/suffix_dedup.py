@@ -292,29 +292,32 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     if shared:
         docs = docs.groupBy("doc", "tag").agg(F.first("raw").alias("raw"))
     twice = _anchored(docs, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    found = stored(_anchored(docs, True).join(twice, "h", "left_semi"), "anchors")
+    found = stored(_anchored(docs, True).join(twice.hint("shuffle_hash"), "h", "left_semi"), "anchors")
     classes = found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "pos")).alias("first"))
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     open_ = classes.join(several, "h").select("first.*").groupBy("doc", "tag").agg(F.collect_list("pos").alias("at"))
-    families = stored(_families(docs.join(open_, ["doc", "tag"])), "families")
+    families = stored(_families(docs.join(open_.hint("shuffle_hash"), ["doc", "tag"])), "families")
     kinds = families.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "size", "id")).alias("first"))
     mixed = kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rest = stored(kinds.join(mixed, "key").select("key", "n", "first.*"), "mixed")
-    cut = docs.join(rest.where(F.col("n") <= HOT).groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "size")).alias("at")), ["doc", "tag"])
+    cut = docs.join(rest.where(F.col("n") <= HOT).groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])
     dealt = cut.select("doc", "tag", "raw", F.explode("at").alias("x")).select("x.key", "doc", "tag", "x.start", F.substring(F.col("raw"), F.col("x.start") + 1, F.col("x.size")).alias("raw"))
-    matched = _collections(dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key", "doc", "tag", "start"))
-    split = _singles(docs.join(rest.where(F.col("n") > HOT).groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("at")), ["doc", "tag"]))
-    split = stored(split, "singles")
-    heads = split.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "id")).alias("first"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    matched = stored(_collections(dealt.repartition(tasks, "key").sortWithinPartitions("key", "doc", "tag", "start")), "matched")
+    hot = rest.where(F.col("n") > HOT)
+
     def marks(kind: int, frame: DataFrame, id_: str, start: str, size: str) -> DataFrame:
         return frame.select("doc", "tag", F.lit(kind).cast("byte").alias("kind"), F.col(id_).cast("long").alias("id"), F.expr(start).cast("int").alias("start"), F.expr(size).cast("int").alias("size"))
 
     union = marks(0, found, "pos", "pos", "0").unionByName(marks(1, classes.select("first.*"), "pos", "pos", "0"))
     union = union.unionByName(marks(2, families, "id", "start", "size")).unionByName(marks(3, kinds.select("first.*"), "id", "start", "size"))
-    union = union.unionByName(marks(5, split, "id", "start", str(LENGTH))).unionByName(marks(6, heads.select("first.*"), "id", "start", "0"))
     union = union.unionByName(marks(4, matched, "start", "start", "size"))
+    if hot.limit(1).count():
+        split = stored(_singles(docs.join(hot.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])), "singles")
+        heads = split.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "id")).alias("first"))
+        union = union.unionByName(marks(5, split, "id", "start", str(LENGTH))).unionByName(marks(6, heads.select("first.*"), "id", "start", "0"))
     marked = union.groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "id", "start", "size")).alias("marks"))
-    out = rows.join(marked, ["doc", "tag"], "left")
+    out = rows.join(marked.hint("shuffle_hash"), ["doc", "tag"], "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return _kept(out.select("doc_id", "raw", "marks"), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
