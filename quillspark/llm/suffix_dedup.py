@@ -22,7 +22,7 @@ from pyspark.sql.types import StructType
 from quillspark.llm.common import narrowed, stored
 
 #: Bytes of a string, of a gram, and strings of a family.
-LENGTH, GRAM, FAMILY = 100, 32, 17
+LENGTH, GRAM, FAMILY = 100, 48, 18
 #: Texts of a collection, about; surroundings that a family's key may gather before it is split into single strings.
 COLLECTION, HOT = 4096, 2000
 #: Bytes whose grams are hashed at once; longer texts go in overlapping parts.
@@ -30,14 +30,19 @@ BLOCK = 1 << 18
 
 
 def _order(points: np.ndarray, span: int) -> np.ndarray:
-    """32-bit hashes of all runs of `span` bytes (a power of two), by doubling."""
-    h = _BYTES[points]
-    power, width = np.uint32(0x9E3779B1), 1
+    """32-bit hashes of all runs of `span` bytes, by doubling: runs of the powers of two in span are put together."""
+    piece, power, width, total, length = _BYTES[points], np.uint32(0x9E3779B1), 1, None, 0
     with np.errstate(over="ignore"):
-        while width < span:
-            h = h[:-width] * power + h[width:]
+        while True:
+            if span & width:
+                n = len(points) - length - width + 1
+                total = piece if total is None else total[:n] * power + piece[length : length + n]
+                length += width
+            if 2 * width > span:
+                break
+            piece = piece[:-width] * power + piece[width:]
             power, width = power * power, 2 * width
-        h ^= h >> np.uint32(15)
+        h = total ^ (total >> np.uint32(15))
         return h * np.uint32(0x85EBCA6B)
 
 
@@ -177,9 +182,12 @@ def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     """
     m = len(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
-    columns = np.zeros((int(sizes.max(initial=0)) + 1, m), np.uint16)
+    held = np.unique(np.frombuffer(b"".join(texts), np.uint8))
+    code = np.zeros(256, np.uint8 if len(held) < 256 else np.uint16)
+    code[held] = np.arange(1, len(held) + 1)
+    columns = np.zeros((int(sizes.max(initial=0)) + 1, m), code.dtype)
     for i, t in enumerate(texts):
-        columns[: len(t), i] = np.frombuffer(t, np.uint8)[::-1].astype(np.uint16) + 1
+        columns[: len(t), i] = code[np.frombuffer(t, np.uint8)[::-1]]
     owner, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
     bwt, lcp = columns[0].copy(), np.zeros(m, np.uint8 if len(columns) < 256 else np.int32)
     spot = np.arange(m)
@@ -293,52 +301,60 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         docs = docs.groupBy("doc", "tag").agg(F.first("raw").alias("raw"))
     twice = _anchored(docs, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = stored(_anchored(docs, True).join(twice.hint("shuffle_hash"), "h", "left_semi"), "anchors")
-    classes = found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "pos")).alias("first"))
+    classes = stored(found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "pos")).alias("first")).select("h", "first.*"), "classes")
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    open_ = classes.join(several, "h").select("first.*").groupBy("doc", "tag").agg(F.collect_list("pos").alias("at"))
+    open_ = classes.join(several, "h").groupBy("doc", "tag").agg(F.collect_list("pos").alias("at"))
     families = stored(_families(docs.join(open_.hint("shuffle_hash"), ["doc", "tag"])), "families")
-    kinds = families.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "size", "id")).alias("first"))
+    kinds = stored(families.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "size", "id")).alias("first")).select("key", "first.*"), "kinds")
     mixed = kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rest = stored(kinds.join(mixed, "key").select("key", "n", "first.*"), "mixed")
+    rest = stored(kinds.join(mixed, "key"), "mixed")
     cut = docs.join(rest.where(F.col("n") <= HOT).groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])
     dealt = cut.select("doc", "tag", "raw", F.explode("at").alias("x")).select("x.key", "doc", "tag", "x.start", F.substring(F.col("raw"), F.col("x.start") + 1, F.col("x.size")).alias("raw"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matched = stored(_collections(dealt.repartition(tasks, "key").sortWithinPartitions("key", "doc", "tag", "start")), "matched")
     hot = rest.where(F.col("n") > HOT)
 
-    def marks(kind: int, frame: DataFrame, id_: str, start: str, size: str) -> DataFrame:
-        return frame.select("doc", "tag", F.lit(kind).cast("byte").alias("kind"), F.col(id_).cast("long").alias("id"), F.expr(start).cast("int").alias("start"), F.expr(size).cast("int").alias("size"))
+    def marks(kind: int, frame: DataFrame, place: str) -> DataFrame:
+        return frame.select("doc", "tag", (F.expr(place).cast("long") * 8 + kind).alias("mark"))
 
-    union = marks(0, found, "pos", "pos", "0").unionByName(marks(1, classes.select("first.*"), "pos", "pos", "0"))
-    union = union.unionByName(marks(2, families, "id", "start", "size")).unionByName(marks(3, kinds.select("first.*"), "id", "start", "size"))
-    union = union.unionByName(marks(4, matched, "start", "start", "size"))
+    union = marks(0, found, "pos").unionByName(marks(1, classes, "pos")).unionByName(marks(2, families, "id")).unionByName(marks(3, kinds, "id"))
+    union = union.unionByName(marks(4, matched, "start")).unionByName(marks(5, matched, "start + size"))
     if hot.limit(1).count():
         split = stored(_singles(docs.join(hot.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])), "singles")
-        heads = split.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "id")).alias("first"))
-        union = union.unionByName(marks(5, split, "id", "start", str(LENGTH))).unionByName(marks(6, heads.select("first.*"), "id", "start", "0"))
-    marked = union.groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "id", "start", "size")).alias("marks"))
+        heads = split.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start")).alias("first")).select("first.*")
+        union = union.unionByName(marks(6, split, "start")).unionByName(marks(7, heads, "start"))
+    marked = union.groupBy("doc", "tag").agg(F.collect_list("mark").alias("marks"))
     out = rows.join(marked.hint("shuffle_hash"), ["doc", "tag"], "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return _kept(out.select("doc_id", "raw", "marks"), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def _kept(df: DataFrame, fields: str) -> DataFrame:
-    """Apply the marks: occurrences of kinds 0, 2 and 5 that aren't the first of their kind (1, 3, 6), and kind 4."""
+    """Apply the marks, place * 8 + kind.
+
+    Kinds 0, 2 and 6 are occurrences of surroundings, families and single strings, which go unless they are the first
+    of their kind (1, 3, 7); 4 and 5 are the starts and ends of runs that the collections found.
+    """
     import hashlib
 
     reach = LENGTH - GRAM
 
-    def covered(n: int, marks: pa.StructArray) -> np.ndarray:
-        kind, name, start, size = (marks.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+    def covered(n: int, marks: np.ndarray) -> np.ndarray:
+        kind, place = marks & 7, marks >> 3
         steps = np.zeros(n + 1, np.int64)
-        for every, first in ((0, 1), (2, 3), (5, 6), (4, -1)):
-            mine = (kind == every) & ~((kind == every) & np.isin(name, name[kind == first]))
-            low, high = start[mine], start[mine] + size[mine]
-            if every == 0:
-                low, high = np.maximum(0, low - reach), np.minimum(n, low + LENGTH)
-                low, high = low[high - low >= LENGTH], high[high - low >= LENGTH]
-            np.add.at(steps, low, 1)
-            np.add.at(steps, high, -1)
+        later = {every: np.setdiff1d(place[kind == every], place[kind == every + 1]) for every in (0, 2, 6)}
+        family = later[2] >> 3
+        low = family - reach + (later[2] & 7) * FAMILY
+        spans = [
+            (np.maximum(0, later[0] - reach), np.minimum(n, later[0] + LENGTH)),
+            (np.maximum(0, low), np.minimum(np.minimum(low + FAMILY - 1, family), n - LENGTH) + LENGTH),
+            (later[6], later[6] + LENGTH),
+        ]
+        for low, high in spans:
+            np.add.at(steps, low[high - low >= LENGTH], 1)
+            np.add.at(steps, high[high - low >= LENGTH], -1)
+        np.add.at(steps, place[kind == 4], 1)
+        np.add.at(steps, place[kind == 5], -1)
         return np.cumsum(steps[:-1]) > 0
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -347,7 +363,7 @@ def _kept(df: DataFrame, fields: str) -> DataFrame:
         for i, raw in enumerate(_raw(batch)):
             gone, spans, kept = 0, 0, raw
             if marks[i].is_valid:
-                hit = covered(len(raw), marks[i].values)
+                hit = covered(len(raw), marks[i].values.to_numpy())
                 gone = int(hit.sum())
                 spans = int(hit[0]) + int((hit[1:] & ~hit[:-1]).sum())
                 kept = np.frombuffer(raw, np.uint8)[~hit].tobytes() if gone else raw
