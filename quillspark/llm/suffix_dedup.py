@@ -24,7 +24,7 @@ from quillspark.llm.common import narrowed, stored
 #: Bytes of a string, of a gram, and strings of a family.
 LENGTH, GRAM, FAMILY = 100, 48, 18
 #: Texts of a collection, about; surroundings that a family's key may gather before it is split into single strings.
-COLLECTION, HOT = 4096, 2000
+COLLECTION, HOT = 1024, 2000
 #: Bytes whose grams are hashed at once; longer texts go in overlapping parts.
 BLOCK = 1 << 18
 
@@ -64,10 +64,13 @@ def _blocks(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
         yield held
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Text numbers and places of the chosen grams of all strings of LENGTH bytes."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The chosen grams: text numbers, places, and for each the first start and number of strings that chose it.
+
+    Neighbouring strings choose the same gram, so the strings of a text fall into runs, one for each row.
+    """
     window = LENGTH - GRAM + 1
-    owners, places = [], []
+    out = []
     for parts in _blocks(texts):
         points = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
         h = _order(points, GRAM)
@@ -83,11 +86,11 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         kept = np.flatnonzero(np.arange(len(keys)) + LENGTH <= ends[within])
         at = (np.uint64(0xFFFFFFFF) - (keys[kept] & np.uint64(0xFFFFFFFF))).astype(np.int64)
         part = within[kept]
-        fresh = np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])]
-        at, part = at[fresh], part[fresh]
-        owners.append(np.array([i for i, _, _ in parts])[part])
-        places.append(at - (ends - sizes)[part] + np.array([p for _, p, _ in parts])[part])
-    return (np.concatenate(owners), np.concatenate(places)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        heads = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (part[1:] != part[:-1])])
+        at, start, part = at[heads], kept[heads], part[heads]
+        shift = np.array([p for _, p, _ in parts])[part] - (ends - sizes)[part]
+        out.append((np.array([i for i, _, _ in parts])[part], at + shift, start + shift, np.diff(np.r_[heads, len(kept)])))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
 
 
 def _signed(values) -> np.ndarray:
@@ -111,64 +114,63 @@ def _raw(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _anchored(docs: DataFrame, surroundings: bool) -> DataFrame:
-    """Rows (h, doc, tag, pos) of chosen grams, with c, a hash of the surroundings that all their strings share in."""
-    reach = LENGTH - GRAM
+    """Rows (h) of chosen grams; with surroundings also c, a hash of all bytes of the run, and doc, tag, pos, low, many."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = _raw(batch)
-        owner, place = anchors(texts)
+        owner, place, low, many = anchors(texts)
         own, at = owner.tolist(), place.tolist()
         hash64 = xxhash.xxh3_64_intdigest
-        out = {"h": _signed([hash64(texts[i][p : p + GRAM]) for i, p in zip(own, at, strict=True)]), "pos": place.astype(np.int32)}
-        if surroundings:
-            out["c"] = _signed([hash64(texts[i][max(0, p - reach) : p + LENGTH], min(p, reach)) for i, p in zip(own, at, strict=True)])
+        out = {"h": _signed([hash64(texts[i][p : p + GRAM]) for i, p in zip(own, at, strict=True)])}
+        if not surroundings:
+            return out
+        out["c"] = _signed([hash64(texts[i][a : a + n + LENGTH - 1], p - a) for i, p, a, n in zip(own, at, low.tolist(), many.tolist(), strict=True)])
         where = pa.array(owner)
-        return out | {"doc": batch.column("doc").take(where), "tag": batch.column("tag").take(where)}
+        return out | {"doc": batch.column("doc").take(where), "tag": batch.column("tag").take(where), "pos": place.astype(np.int32), "low": low.astype(np.int32), "many": many.astype(np.int8)}
 
-    return _mapped(docs, run, "h long, " + "c long, " * surroundings + "doc long, tag long, pos int")
+    return _mapped(docs, run, "h long" + ", c long, doc long, tag long, pos int, low int, many byte" * surroundings)
 
 
 def _families(docs: DataFrame) -> DataFrame:
-    """For each place in the list `at`: rows (key, cx, doc, tag, start, size, id) of the families of strings around it.
+    """For each run (pos, low, many) in the list `at`: rows (key, cx, doc, tag, start, size) of its families of strings.
 
-    A family is FAMILY neighbouring starts, as far as they lie in the text; its key hashes the bytes that each of its
-    strings covers, cx all bytes they reach, and id numbers the families of a text.
+    A family is up to FAMILY neighbouring starts of a run, on a grid that the gram sets; its key hashes the bytes that
+    all strings of its grid cell share, cx all bytes it reaches.
     """
-    names = ("key", "cx", "doc", "tag", "start", "size", "id")
+    names = ("key", "cx", "doc", "tag", "start", "size")
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
-        for raw, doc, tag, places in zip(*(batch.column(c).to_pylist() for c in ("raw", "doc", "tag", "at")), strict=True):
-            seen = set()
-            for p in places:
-                for k, low in enumerate(range(p - LENGTH + GRAM, p + 1, FAMILY)):
-                    first, last = max(0, low), min(low + FAMILY - 1, p, len(raw) - LENGTH)
-                    if first <= last:
-                        key = xxhash.xxh3_64_intdigest(raw[low + FAMILY - 1 : low + LENGTH], p - low)
-                        cx = xxhash.xxh3_64_intdigest(raw[first : last + LENGTH])
-                        if (key, cx, first) not in seen:
-                            seen.add((key, cx, first))
-                            rows.append((key, cx, doc, tag, first, last - first + LENGTH, p * 8 + k))
+        for raw, doc, tag, runs in zip(*(batch.column(c).to_pylist() for c in ("raw", "doc", "tag", "at")), strict=True):
+            for x in runs:
+                p, low, end = x["pos"], x["low"], x["low"] + x["many"]
+                cell = p - LENGTH + GRAM
+                cell += (low - cell) // FAMILY * FAMILY
+                while cell < end:
+                    first, last = max(cell, low), min(cell + FAMILY, end) - 1
+                    key = xxhash.xxh3_64_intdigest(raw[cell + FAMILY - 1 : cell + LENGTH], p - cell)
+                    rows.append((key, xxhash.xxh3_64_intdigest(raw[first : last + LENGTH], first - cell), doc, tag, first, last - first + LENGTH))
+                    cell += FAMILY
         out = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
         return out | {"key": _signed(out["key"]), "cx": _signed(out["cx"])}
 
-    return _mapped(docs, run, "key long, cx long, doc long, tag long, start int, size int, id long")
+    return _mapped(docs, run, "key long, cx long, doc long, tag long, start int, size int")
 
 
 def _singles(docs: DataFrame) -> DataFrame:
-    """For each (start, size) in the list `at`: rows (key, cx, doc, tag, start, id) of its single strings."""
-    names = ("key", "cx", "doc", "tag", "start", "id")
+    """For each (start, size) in the list `at`: rows (key, cx, doc, tag, start) of its single strings."""
+    names = ("key", "cx", "doc", "tag", "start")
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
         for raw, doc, tag, spans in zip(*(batch.column(c).to_pylist() for c in ("raw", "doc", "tag", "at")), strict=True):
             for s in sorted({s for x in spans for s in range(x["start"], x["start"] + x["size"] - LENGTH + 1)}):
                 string = raw[s : s + LENGTH]
-                rows.append((xxhash.xxh3_64_intdigest(string), xxhash.xxh64_intdigest(string), doc, tag, s, s))
+                rows.append((xxhash.xxh3_64_intdigest(string), xxhash.xxh64_intdigest(string), doc, tag, s))
         out = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}
         return out | {"key": _signed(out["key"]), "cx": _signed(out["cx"])}
 
-    return _mapped(docs, run, "key long, cx long, doc long, tag long, start int, id long")
+    return _mapped(docs, run, "key long, cx long, doc long, tag long, start int")
 
 
 def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,40 +190,49 @@ def collection_bwt(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     columns = np.zeros((int(sizes.max(initial=0)) + 1, m), code.dtype)
     for i, t in enumerate(texts):
         columns[: len(t), i] = code[np.frombuffer(t, np.uint8)[::-1]]
-    owner, length = np.arange(m, dtype=np.int32), np.zeros(m, np.int16)
     bwt, lcp = columns[0].copy(), np.zeros(m, np.uint8 if len(columns) < 256 else np.int32)
     spot = np.arange(m)
     for j in range(1, len(columns)):
         active = np.flatnonzero(sizes >= j)
         n, last = len(bwt), spot[active]
-        order = np.argsort(bwt, kind="stable")
-        ended = int(n - np.count_nonzero(bwt))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        fresh = np.zeros(n, bool)
-        fresh[last] = True
+        order, rank, ended = _ranks(bwt)
         chain = order[ended:]
-        now = fresh[chain]
-        touched = np.flatnonzero(now | np.r_[False, now[:-1]])
+        new = rank[last] - ended
+        near = np.zeros(len(chain) + 1, bool)
+        near[new] = near[new + 1] = True
+        touched = np.flatnonzero(near[:-1])
         before = np.maximum(touched - 1, 0)
         paired = (touched > 0) & (bwt[chain[touched]] == bwt[chain[before]])
         value = np.zeros(len(touched), lcp.dtype)
         if paired.any():
-            low, high = chain[before[paired]] + 1, chain[touched[paired]]
-            value[paired] = 1 + _range_least(lcp, low, high)
-        at = m + rank[last] - ended
+            value[paired] = 1 + _range_least(lcp, chain[before[paired]] + 1, chain[touched[paired]])
+        at = m + new
         keep = np.ones(n + len(active), bool)
         keep[at] = False
-        grown = [np.empty(n + len(active), x.dtype) for x in (owner, length, bwt, lcp)]
-        for new, old in zip(grown, (owner, length, bwt, lcp), strict=True):
-            new[keep] = old
-        owner, length, bwt, lcp = grown
-        owner[at], length[at], bwt[at] = active, j, columns[j][active]
+        grown = [np.empty(n + len(active), x.dtype) for x in (bwt, lcp)]
+        grown[0][keep], grown[1][keep] = bwt, lcp
+        bwt, lcp = grown
+        bwt[at] = columns[j][active]
         lcp[m + touched] = value
         spot[active] = at
+    owner, length = np.empty(len(bwt), np.int32), np.empty(len(bwt), np.int32)
+    _, rank, ended = _ranks(bwt)
+    at = np.arange(m)
+    for j in range(len(columns)):
+        here = np.flatnonzero(sizes >= j)
+        owner[at[here]], length[at[here]] = here, j
+        at[here] = m + rank[at[here]] - ended
     return owner, length, lcp
 
 
+def _ranks(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places in the order of their symbols, each place's rank in it, and how many places hold an end mark."""
+    order = np.argsort(bwt, kind="stable")
+    rank = np.empty(len(bwt), np.int64)
+    rank[order] = np.arange(len(bwt))
+    return order, rank, int(len(bwt) - np.count_nonzero(bwt))
+
+
 def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The least of values[low..high], both ends included, from minima over doubled spans."""
     span = (high - low + 1).astype(np.int64)
@@ -301,11 +312,11 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         docs = docs.groupBy("doc", "tag").agg(F.first("raw").alias("raw"))
     twice = _anchored(docs, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     found = stored(_anchored(docs, True).join(twice.hint("shuffle_hash"), "h", "left_semi"), "anchors")
-    classes = stored(found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "pos")).alias("first")).select("h", "first.*"), "classes")
+    classes = stored(found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "low", "pos", "many")).alias("first")).select("h", "first.*"), "classes")
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    open_ = classes.join(several, "h").groupBy("doc", "tag").agg(F.collect_list("pos").alias("at"))
+    open_ = classes.join(several, "h").groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "low", "many")).alias("at"))
     families = stored(_families(docs.join(open_.hint("shuffle_hash"), ["doc", "tag"])), "families")
-    kinds = stored(families.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "size", "id")).alias("first")).select("key", "first.*"), "kinds")
+    kinds = stored(families.groupBy("key", "cx").agg(F.min(F.struct("doc", "tag", "start", "size")).alias("first")).select("key", "first.*"), "kinds")
     mixed = kinds.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rest = stored(kinds.join(mixed, "key"), "mixed")
     cut = docs.join(rest.where(F.col("n") <= HOT).groupBy("doc", "tag").agg(F.collect_list(F.struct("key", "start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])
@@ -317,7 +328,8 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def marks(kind: int, frame: DataFrame, place: str) -> DataFrame:
         return frame.select("doc", "tag", (F.expr(place).cast("long") * 8 + kind).alias("mark"))
 
-    union = marks(0, found, "pos").unionByName(marks(1, classes, "pos")).unionByName(marks(2, families, "id")).unionByName(marks(3, kinds, "id"))
+    run, family = "bigint(low) * 128 + many", f"bigint(start) * 128 + size - {LENGTH - 1}"
+    union = marks(0, found, run).unionByName(marks(1, classes, run)).unionByName(marks(2, families, family)).unionByName(marks(3, kinds, family))
     union = union.unionByName(marks(4, matched, "start")).unionByName(marks(5, matched, "start + size"))
     if hot.limit(1).count():
         split = stored(_singles(docs.join(hot.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "size")).alias("at")).hint("shuffle_hash"), ["doc", "tag"])), "singles")
@@ -332,27 +344,18 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def _kept(df: DataFrame, fields: str) -> DataFrame:
     """Apply the marks, place * 8 + kind.
 
-    Kinds 0, 2 and 6 are occurrences of surroundings, families and single strings, which go unless they are the first
-    of their kind (1, 3, 7); 4 and 5 are the starts and ends of runs that the collections found.
+    Kinds 0, 2 and 6 are runs, families (first start * 128 + number of strings) and single strings, which go unless
+    they are the first of their kind (1, 3, 7); 4 and 5 are the starts and ends of what the collections found.
     """
     import hashlib
 
-    reach = LENGTH - GRAM
-
     def covered(n: int, marks: np.ndarray) -> np.ndarray:
         kind, place = marks & 7, marks >> 3
         steps = np.zeros(n + 1, np.int64)
         later = {every: np.setdiff1d(place[kind == every], place[kind == every + 1]) for every in (0, 2, 6)}
-        family = later[2] >> 3
-        low = family - reach + (later[2] & 7) * FAMILY
-        spans = [
-            (np.maximum(0, later[0] - reach), np.minimum(n, later[0] + LENGTH)),
-            (np.maximum(0, low), np.minimum(np.minimum(low + FAMILY - 1, family), n - LENGTH) + LENGTH),
-            (later[6], later[6] + LENGTH),
-        ]
-        for low, high in spans:
-            np.add.at(steps, low[high - low >= LENGTH], 1)
-            np.add.at(steps, high[high - low >= LENGTH], -1)
+        for low, many in ((later[0] >> 7, later[0] & 127), (later[2] >> 7, later[2] & 127), (later[6], 1)):
+            np.add.at(steps, low, 1)
+            np.add.at(steps, low + many - 1 + LENGTH, -1)
         np.add.at(steps, place[kind == 4], 1)
         np.add.at(steps, place[kind == 5], -1)
         return np.cumsum(steps[:-1]) > 0
