@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD
+from quillspark.llm.common import WORD, stored
 
 LEVELS = ["domain", "lang", "source"]
 #: Rows that a stretch of a leaf's seeded order holds on average.
@@ -63,34 +63,43 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
     Columns of df outside the tree come back unchanged; an empty table gives no rows.
 
     A leaf may hold any share of the rows: its order is cut into stretches of about STRETCH rows, whose token sums
-    place each stretch before, after or across the end of the prefix; only rows of the stretch across it are sorted.
+    tell the stretch that the budget ends in, and only that stretch is sorted. What comes of it is one limit for each
+    leaf and epoch; texts are not shuffled, each row is held against the limit of its leaf.
     """
     names = df.columns
-    own = [c for c in names if c not in ("_leaf",)]
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), (F.col("domain") if "domain" in names else domain_of(F.col("source"))).alias("domain"), F.col("lang"), F.col("source"), F.col(key).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("tokens"))
-    leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    domain = F.col("domain") if "domain" in names else domain_of(F.col("source"))
+    tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    narrow = stored(df.select(domain.alias("domain"), "lang", "source", F.col(key).alias("_key"), tokens.alias("tokens")), "mixing")
+    leaves = narrow.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     whole = leaves.agg(F.sum("tokens")).first()[0] or 0
     plan = budgets(leaves, F.lit(float(int(whole * share))), weights or WEIGHTS, epochs)
-    plan = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("left", F.col("budget") - F.col("pass") * F.col("tokens")).where("left > 0").select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "pass", "left", "budget", (F.floor((F.col("n") - 1) / STRETCH) + 1).alias("stretches"), (F.col("left") >= F.col("tokens")).alias("full"))
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in LEVELS])
-    spot = F.md5(F.concat_ws(":", F.lit(seed), F.col("pass"), F.coalesce(F.col("_key").cast("string"), F.lit("null"))).cast("binary"))
-    met = rows.where("tokens > 0").join(plan, same).withColumn("spot", spot)
+    plan = plan.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("left", F.col("budget") - F.col("epoch") * F.col("tokens")).where("left > 0")
+    plan = stored(plan.select(*LEVELS, "epoch", "left", "budget", (F.floor((F.col("n") - 1) / STRETCH) + 1).alias("stretches"), (F.col("left") >= F.col("tokens")).alias("full")), "plan")
+    spot = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch"), F.coalesce(F.col("_key").cast("string"), F.lit("null"))).cast("binary"))
+    met = _by_leaf(narrow.where("tokens > 0"), plan.where("NOT full")).withColumn("spot", spot)
     met = met.withColumn("stretch", F.floor(F.conv(F.substring("spot", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * F.col("stretches")))
-    cut = met.where("NOT full")
-    sums = cut.groupBy(*LEVELS, "pass", "stretch").agg(F.sum("tokens").alias("sum"), F.first("left").alias("left"))
-    before = Window.partitionBy(*LEVELS, "pass").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = met.groupBy(*LEVELS, "epoch", "stretch").agg(F.sum("tokens").alias("sum"), F.first("left").alias("left"))
+    before = Window.partitionBy(*LEVELS, "epoch").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).where("base < left")
-    sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in LEVELS], F.col("pass").alias("s_pass"), F.col("stretch").alias("s_stretch"), "base", (F.col("base") + F.col("sum") > F.col("left")).alias("across"))
-    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in LEVELS], (F.col("pass") == F.col("s_pass")) & (F.col("stretch") == F.col("s_stretch")))
-    placed = cut.join(sums, here)
-    inside = Window.partitionBy(*LEVELS, "pass", "stretch").orderBy("spot", "_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = placed.where("across").withColumn("start", F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("start < left")
-    out = ["_row", *LEVELS, "tokens", F.col("pass").alias("epoch"), "budget"]
-    taken = met.where("full").select(*out).unionByName(placed.where("NOT across").select(*out)).unionByName(edge.select(*out))
+    last = sums.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("stretch", "base")).alias("last"))
+    edge = _by_leaf(met, last, "epoch").where("stretch = last.stretch")
+    inside = Window.partitionBy(*LEVELS, "epoch").orderBy("spot", "_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("start", F.col("last.base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("start < left")
+    limits = edge.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("spot", "_key", "tokens")).alias("limit"))
+    ends = _by_leaf(plan, limits, "epoch", how="left").select(*LEVELS, "epoch", "budget", "full", "limit")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), domain.alias("domain"), F.col("lang"), F.col("source"), F.col(key).alias("_key"), tokens.alias("tokens")).where("tokens > 0")
+    taken = _by_leaf(rows, ends).withColumn("spot", spot).where(F.col("full") | (F.struct("spot", "_key", "tokens") <= F.col("limit")))
     extra = [c for c in ("domain", "tokens", "epoch", "budget") if c not in names]
     return taken.select("_row.*", *extra)
 
 
+def _by_leaf(rows: DataFrame, table: DataFrame, *more: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table of leaves, null names matching; Spark broadcasts the table if it measures small."""
+    keys = [*LEVELS, *more]
+    named = table.select(*[F.col(c).alias(f"_leaf_{c}") for c in keys], *[c for c in table.columns if c not in keys])
+    return rows.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_leaf_{c}")) for c in keys]), how).drop(*[f"_leaf_{c}" for c in keys])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents to the production targets: 0.6 of all tokens, at most two epochs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
