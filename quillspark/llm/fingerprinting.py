@@ -62,7 +62,7 @@ def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[
     if not len(points):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
     gram = min(gram, len(points))
-    places, hashes = [], []
+    places, hashes, latest = [], [], -1
     grams = len(points) - gram + 1
     for start in range(0, max(1, grams - window + 1), PART):
         h = gram_hashes(points[start : start + PART + window + gram - 2], gram) >> np.uint64(32)
@@ -70,7 +70,8 @@ def winnow(points: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[
         least = window_minima(keys, window)
         least = least[np.r_[True, least[1:] != least[:-1]]]
         at = (LOW32 - (least & LOW32)).astype(np.int64) + start
-        fresh = slice(1, None) if places and at[0] == places[-1][-1] else slice(None)
+        fresh = slice(int(at[0] == latest), None)
+        latest = at[-1]
         places.append(at[fresh])
         hashes.append((least >> np.uint64(32)).astype(np.uint32)[fresh])
     return np.concatenate(places), np.concatenate(hashes)
