@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import cut
 
 #: Likeness of near copies, and how far paragraph counts of pairs may differ.
 RATIO, PARAGRAPHS = 0.97, 3
@@ -19,17 +20,19 @@ def near_pairs(df: DataFrame, block: list[str], key: str, text: str, ratio: floa
     The ratio is twice the shared characters, counted with repeats, by both lengths. Lengths bound it, so a text
     only meets texts of neighbouring length classes of its block, each class `1/ratio` wide; copies meet once.
     """
-    rows = df.select(*block, F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
-    rows = rows.groupBy(*block, "t").agg(F.min("k").alias("k"))
+    rows = df.select(*block, F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
+    rows = rows.groupBy(*block, "_t").agg(F.min("_k").alias("_k"))
     width = 1 / (2 / ratio - 1)
-    rows = rows.withColumn("n", F.length("t")).withColumn("cls", F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(width))))
-    chars = F.transform(F.array_distinct(F.split("t", "")), lambda c: F.struct(c.alias("c"), X.occurrences(F.col("t"), c).alias("m")))
-    rows = rows.withColumn("hist", F.map_from_entries(F.filter(chars, lambda x: x["c"] != ""))).drop("t")
-    a, b = rows.select(*block, F.explode(F.array("cls", F.col("cls") + 1)).alias("cls"), F.struct("k", "n", "hist", "cls").alias("a")), rows.select(*block, "cls", F.struct("k", "n", "hist", "cls").alias("b"))
-    met = a.join(b, [*block, "cls"]).where((F.col("a.cls") < F.col("b.cls")) | (F.col("a.k") < F.col("b.k")))
-    shared = F.aggregate(F.map_entries("a.hist"), F.lit(0).cast("long"), lambda s, x: s + F.least(x["value"], F.coalesce(F.try_element_at(F.col("b.hist"), x["key"]), F.lit(0).cast("long"))))
-    met = met.withColumn("ratio", 2 * shared / (F.col("a.n") + F.col("b.n"))).where(F.col("ratio") >= ratio)
-    return met.select(*block, F.least("a.k", "b.k").alias("key_a"), F.greatest("a.k", "b.k").alias("key_b"), "ratio")
+    rows = rows.withColumn("_n", F.length("_t")).withColumn("_size", F.floor(F.log(F.col("_n").cast("double")) / -F.log(F.lit(width))))
+    chars = F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.struct(c.alias("c"), X.occurrences(F.col("_t"), c).alias("m")))
+    rows = rows.withColumn("_hist", F.map_from_entries(F.filter(chars, lambda x: x["c"] != ""))).drop("_t")
+    side = lambda name: F.struct(F.col("_k").alias("k"), F.col("_n").alias("n"), F.col("_hist").alias("hist"), F.col("_size").alias("cls")).alias(name)
+    one = rows.select(*block, F.explode(F.array("_size", F.col("_size") + 1)).alias("_cls"), side("_one"))
+    two = rows.select(*block, F.col("_size").alias("_cls"), side("_two"))
+    met = one.join(two, [*block, "_cls"]).where((F.col("_one.cls") < F.col("_two.cls")) | (F.col("_one.k") < F.col("_two.k")))
+    shared = F.aggregate(F.map_entries("_one.hist"), F.lit(0).cast("long"), lambda s, x: s + F.least(x["value"], F.coalesce(F.try_element_at(F.col("_two.hist"), x["key"]), F.lit(0).cast("long"))))
+    met = met.withColumn("ratio", 2 * shared / (F.col("_one.n") + F.col("_two.n"))).where(F.col("ratio") >= ratio)
+    return met.select(*block, F.least("_one.k", "_two.k").alias("key_a"), F.greatest("_one.k", "_two.k").alias("key_b"), "ratio")
 
 
 def paired(raw: Column, translated: Column) -> Column:
@@ -51,7 +54,7 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     fits = checks.groupBy("novel_id").agg(F.min("fits").alias("fits"))
     rows = pairs.join(fits, "novel_id").withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs"))).withColumn("number", X.chapter_number(F.col("title")))
     exact = rows.groupBy("novel_id", "hash").agg(F.min("pos").alias("keeper"))
-    rows = rows.join(exact, ["novel_id", "hash"])
+    rows = cut(rows.join(exact, ["novel_id", "hash"]))
     heads = rows.where("pos = keeper AND number IS NOT NULL").withColumn("body", F.array_join("paragraphs", "\n"))
     near = near_pairs(heads, ["novel_id", "title"], "pos", "body")
     sizes = heads.select("novel_id", "pos", F.size("paragraphs").alias("size"))
@@ -68,6 +71,7 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     ranked = Window.partitionBy("novel_id").orderBy("place", "pos")
     kept = kept.withColumn("new_pos", F.row_number().over(ranked) - 1).withColumn("old_rank", F.row_number().over(Window.partitionBy("novel_id").orderBy("pos")) - 1)
     kept = kept.withColumn("gap", F.sum(F.col("done").isNull().cast("int")).over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = cut(kept)
     stash = kept.where("gap > 0 AND done IS NOT NULL").select("novel_id", "hash", "done.title", "done.paragraphs")
     counts = kept.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))
     before = raw.groupBy("novel_id").agg(F.count("*").alias("before"))
