@@ -9,6 +9,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillspark.operators import terms
@@ -41,8 +42,7 @@ def append_in_order(stream: DataFrame, target: str, checkpoint: str, work: Calla
         spark = batch.sparkSession
         schema = batch.schema
         held = _written(spark, f"{target}.waiting/{batch_id - 1}", schema)
-        old = [p for p in (f"{target}/batch={i}" for i in range(batch_id))]
-        done = _written(spark, target, schema).select("novel_id", "pos") if not old else _before(spark, target, batch_id, schema)
+        done = _before(spark, target, batch_id, schema)
         rows = batch.unionByName(held).dropDuplicates(["novel_id", "pos"]).join(done, ["novel_id", "pos"], "left_anti")
         heads = done.groupBy("novel_id").agg((F.max("pos") + 1).alias("next"))
         rows = rows.join(heads, "novel_id", "left").withColumn("next", F.coalesce("next", F.lit(0)))
@@ -60,7 +60,8 @@ def append_in_order(stream: DataFrame, target: str, checkpoint: str, work: Calla
 
 def _before(spark: SparkSession, target: str, batch_id: int, schema) -> DataFrame:
     """Positions that earlier batches wrote."""
-    return _written(spark, target, schema.add("batch", "int") if "batch" not in schema.names else schema).where(F.col("batch") < batch_id).select("novel_id", "pos")
+    written = _written(spark, target, T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())]))
+    return written.where(F.col("batch") < batch_id).select("novel_id", "pos")
 
 
 class _Usage(StatefulProcessor):
