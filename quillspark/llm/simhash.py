@@ -10,9 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, map_texts, narrowed, stored
+from quillspark.llm.common import components, discard, map_texts, narrowed, stored
 
 SEED = 42
+#: Of similar_groups: heads drawn from a bucket in a round of stars (and as many outside its largest component), most
+#: rounds, shares a bucket is dealt into, and rows by side of a cell of pairs.
+HEADS, ROUNDS, SALTS, CELL = 4, 6, 16, 512
 
 
 def fingerprint(text: str, words: int = 3, tables: int = 1) -> list[int]:
@@ -185,15 +188,50 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sides.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("low", "high")
 
 
+def _open(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
+    """The rows (bucket, node, fps, root) of buckets that hold several components, with what their bucket has: n rows,
+    `outer` of them outside its largest component `top`, and 2 * HEADS heads drawn by hash, half from the outer rows.
+
+    Only counts and minima by bucket are gathered; rows meet them by bucket and salt, so a large bucket is dealt out.
+    """
+    placed = met.select("bucket", "node", "fps").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HEADS + i)).alias("draw"), "node", "fps", "root")).alias(f"h{i}") for i in range(HEADS)]
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), *draws)
+    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("outer"))
+    outer = F.col("root") != F.col("top")
+    drawn = parts.drop("n").join(tops, "bucket").groupBy("bucket", "top", "n", "outer").agg(F.array_distinct(F.array(*[F.min(f"h{i}") for i in range(HEADS)], *[F.min(F.when(outer, F.col(f"h{i}"))) for i in range(HEADS)])).alias("heads"))
+    dealt = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).drop("salt")
+
+
+def _starred(open_: DataFrame) -> DataFrame:
+    """Pairs (x, f, y, g) of the heads of a bucket with its rows in other components: 2 * HEADS times the rows at most."""
+    return open_.select(F.col("node").alias("x"), F.col("fps").alias("f"), "root", F.explode("heads").alias("h")).where("root <> h.root").select("x", "f", F.col("h.node").alias("y"), F.col("h.fps").alias("g"))
+
+
+def _crossed(open_: DataFrame) -> DataFrame:
+    """All pairs (x, f, y, g) of rows of a bucket in different components: x is outside the largest, y any other row.
+
+    Both sides are dealt over cells of about CELL by CELL rows, so no bucket is one task.
+    """
+    cut = open_.select("bucket", "node", "fps", "root", "top", F.ceil(F.col("outer") / CELL).alias("down"), F.ceil(F.col("n") / CELL).alias("across"))
+    place = lambda seed, of: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    one = cut.where("root <> top").select("bucket", "top", F.col("node").alias("x"), F.col("fps").alias("f"), F.col("root").alias("r"), place(1, "down").alias("i"), every("across").alias("j"))
+    two = cut.select("bucket", F.col("node").alias("y"), F.col("fps").alias("g"), F.col("root").alias("s"), place(2, "across").alias("j"), every("down").alias("i"))
+    return one.join(two, ["bucket", "i", "j"]).where("r <> s AND (s = top OR x < y)").select("x", "f", "y", "g")
+
+
 def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id and component_id of every row, linked where the Jaccard similarity of the word shingles is `similarity` or more.
 
     SimHashes of 256 bits prune candidates by pigeonring filtering before all bits are counted; what passes is
     decided on the whole shingle sets. At this similarity about 15 % of the bits differ, too many for equal
     segments to be keys, so rows are candidates where they share one of 16 keys, each of six minima of the shingles
-    (missed in 0.8 % of pairs at 0.8, less above). In a bucket all rows meet the one of least identity; rows of a
-    bucket meet each other only where after that they are in different components, so groups of copies take rows in
-    proportion to their size. Equal word sequences are one node. component_id is the least key reached, null where a
+    (missed in 0.8 % of pairs at 0.8, less above). In a bucket all rows meet the one of least identity. While many
+    pairs of a bucket are still in different components, rounds of stars around heads drawn anew link them at a cost
+    in proportion to its rows; at last every row outside a bucket's largest component meets all rows of the others.
+    The rounds only save work: no pair is left out by them. Equal word sequences are one node. component_id is the least key reached, null where a
     group has only null keys. Null and wordless texts are equal and link; repeated rows come back repeated; an empty
     table gives no rows.
     """
@@ -218,16 +256,24 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
 
     edges = stored(_alike(stars, of_pairs(stars), similarity), "edges")
     first = components(edges, "low", "high")
-    placed = met.select("bucket", "node", "fps").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    open_ = stored(placed.join(split, "bucket", "left_semi"), "open")
-    roots = first
-    if not open_.isEmpty():
-        a, b = (open_.select("bucket", F.col("node").alias(n), F.col("fps").alias(f), F.col("root").alias(r)) for n, f, r in (("low", "f", "r"), ("high", "g", "s")))
-        cross = a.join(b, "bucket").where("low < high AND r != s").where(within_ring(F.col("f"), F.col("g"), 4, radius)).select("low", "high").distinct()
-        rest = stored(cross.join(stars, ["low", "high"], "left_anti"), "cross")
-        more = _alike(rest, of_pairs(rest), similarity)
-        roots = components(first.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(more), "low", "high")
+    def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+        more = _alike(pairs, of_pairs(pairs), similarity)
+        return components(roots.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(more), "low", "high")
+
+    roots, before = first, None
+    for turn in range(ROUNDS + 1):
+        open_ = stored(_open(met, roots, turn), "open")
+        rows, pairs = open_.agg(F.count("*"), F.sum(F.expr("if(root = top, 0D, double(n))"))).first()
+        if not rows:
+            break
+        last = turn == ROUNDS or pairs <= 2 * HEADS * rows or before is not None and pairs > 0.8 * before
+        met_ = _crossed(open_) if last else _starred(open_)
+        found = met_.where(within_ring(F.col("f"), F.col("g"), 4, radius)).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct()
+        tried = stored(found.join(stars, ["low", "high"], "left_anti"), "cross")
+        roots, before = merged(roots, tried), pairs
+        discard(open_)
+        if last:
+            break
     held = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = held.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "node").join(held.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")

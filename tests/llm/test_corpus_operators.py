@@ -395,6 +395,41 @@ def test_similar_groups_against_brute_force(spark, docs, empty):
     assert simhash.similar_groups(docs).count() == docs.count() and simhash.similar_groups(empty).count() == 0
 
 
+def test_open_buckets_meet_across_components_only(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 40)
+    root = {n: 0 for n in range(300)} | {300: 300} | {n: n - n % 2 for n in range(400, 420)}
+    bucket = lambda n: 7 if n <= 300 else 8 if n < 410 else 9
+    met = spark.createDataFrame([(bucket(n), n, [n] * 4) for n in root] + [(1, 0, [0] * 4), (1, 5, [5] * 4)], "bucket long, node long, fps array<long>")
+    roots = spark.createDataFrame([(n, r) for n, r in root.items() if n != 300], "node long, root long")
+    open_ = common.stored(simhash._open(met, roots, 0), "open")
+    assert {(r.bucket, r.n, r.outer) for r in open_.collect()} == {(7, 301, 1), (8, 10, 8), (9, 10, 8)}
+    crossed = [tuple(sorted(r)) for r in simhash._crossed(open_).select("x", "y").collect()]
+    assert sorted(crossed) == sorted((a, b) for a in root for b in root if a < b and root[a] != root[b] and bucket(a) == bucket(b))
+    starred = {tuple(sorted(r)) for r in simhash._starred(open_).select("x", "y").collect()}
+    assert starred <= set(crossed) and len(starred) > 300
+
+
+def test_rounds_of_stars_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEADS", 1)
+    monkeypatch.setattr(simhash, "ROUNDS", 2)
+    monkeypatch.setattr(simhash, "CELL", 3)
+    draw = random.Random(3)
+    base = draw.choices([f"w{i}" for i in range(3000)], k=120)
+    texts = {}
+    for n in range(150):
+        words = list(base)
+        for at in draw.sample(range(120), draw.randrange(6)):
+            words[at] = f"x{draw.randrange(9000)}"
+        texts[n] = " ".join(words)
+    want, crossed = brute_groups(texts), []
+    old = simhash._crossed
+    monkeypatch.setattr(simhash, "_crossed", lambda open_: (crossed.append(old(open_).count()), old(open_))[1])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
+    assert all(want[k] == want[got[k]] for k in want) and sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+    assert sum(crossed) < 16 * 150 * 149 / 4
+
+
 def test_ring_filter_loses_nothing_within_the_radius(spark):
     draw = random.Random(5)
     rows = []
