@@ -53,6 +53,48 @@ def test_heal_leaves_others_alone(spark):
     assert heal.heal(near, none)["summary"].first().duplicates == 1
 
 
+def brute_heal(rows, done):
+    """(total, translated, stashed, todo, duplicates) of a novel: rows (pos, title, paragraphs), done the translated places."""
+    number = lambda t: int(t.split()[1]) if t.startswith("Chapter ") else None
+    kept, found = [], {}
+    for pos, title, body in rows:
+        def same(other):
+            a, b = "\n".join(body), "\n".join(other[2])
+            alike = 2 * sum((Counter(a) & Counter(b)).values()) >= 0.97 * (len(a) + len(b)) and abs(len(body) - len(other[2])) <= 3
+            return title == other[1] and (body == other[2] or number(title) is not None and alike)
+
+        keeper = next((k for k in kept if same(k)), None)
+        if keeper is None:
+            kept.append(keeper := (pos, title, body))
+        found[keeper[0]] = found.get(keeper[0], False) or pos in done
+    numbers = [number(t) for _, t, _ in kept if number(t) is not None]
+    place, last = {}, 0
+    for pos, title, _ in kept:
+        last = number(title) if number(title) is not None else last
+        place[pos] = last if len(numbers) == len(set(numbers)) and 2 * len(numbers) >= len(kept) > 0 else 0
+    order = [found[pos] for pos, _, _ in sorted(kept, key=lambda k: (place[k[0]], k[0]))]
+    prefix = order.index(False) if False in order else len(order)
+    return len(order), prefix, sum(order) - prefix, order.count(False), len(rows) - len(order)
+
+
+def test_heal_summary_against_brute_force(spark, tmp_path):
+    from quillspark.plans.queries import QUERIES
+
+    rng, docs, toxic = random.Random(8), [], []
+    for novel in ("a", "b", "c", "d"):
+        names = [f"Chapter {k}" for k in rng.sample(range(1, 12), 9)] if novel != "d" else ["notice", "Foreword", "Afterword"]
+        rows = [(t, [f"{rng.choice('stuvw') * 40} of {t} in {novel}", "end"]) for t in names]
+        rows += [rows[1], (rows[2][0], [*rows[2][1][:-1], "end."]), rows[0]] if novel != "d" else [rows[0]]
+        docs += [(len(docs) + i, novel, t, p) for i, (t, p) in enumerate(rows)]
+        toxic += [docs[-1][0]] if novel == "a" else [d[0] for d in docs if d[1] == novel and rng.random() < (0.25 if novel != "c" else 0)]
+    labelled = [(d[0], 1, int(d[0] in toxic)) for d in docs if d[0] % 3 or d[0] in toxic]
+    spark.createDataFrame([(k, n, "\n".join([t, *p])) for k, n, t, p in docs], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.novel_id: (r.total, r.translated, r.stashed, r.todo, r.duplicates) for r in QUERIES["heal_summary"](spark, str(tmp_path)).collect()}
+    want = {n: brute_heal([(k, t, p) for k, m, t, p in docs if m == n], {d[0] for d in docs} - set(toxic)) for n in ("a", "b", "c", "d")}
+    assert got == want and all(sum(w[i] for w in want.values()) for i in range(5))
+
+
 def test_near_pairs_against_brute_force(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 60))) for _ in range(60)]
