@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, stored
+from quillspark.llm.common import WORD, discard, small, stored
 
 LEVELS = ["domain", "lang", "source"]
 #: Rows that a stretch of a leaf's seeded order holds on average.
@@ -64,7 +64,9 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
 
     A leaf may hold any share of the rows: its order is cut into stretches of about STRETCH rows, whose token sums
     tell the stretch that the budget ends in, and only that stretch is sorted. What comes of it is one limit for each
-    leaf and epoch; texts are not shuffled, each row is held against the limit of its leaf.
+    leaf and epoch, a stored table: if it measures small, as with any number of leaves below some 80,000, it is
+    broadcast and texts are only read, each row held against the limit of its leaf; else both are shuffled by leaf, and
+    adaptive execution splits large leaves.
     """
     names = df.columns
     domain = F.col("domain") if "domain" in names else domain_of(F.col("source"))
@@ -86,9 +88,10 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
     inside = Window.partitionBy(*LEVELS, "epoch").orderBy("spot", "_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("start", F.col("last.base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("start < left")
     limits = edge.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("spot", "_key", "tokens")).alias("limit"))
-    ends = _by_leaf(plan, limits, "epoch", how="left").select(*LEVELS, "epoch", "budget", "full", "limit")
+    ends = stored(_by_leaf(plan, limits, "epoch", how="left").select(*LEVELS, "epoch", "budget", "full", "limit"), "ends")
+    discard(narrow, plan)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), domain.alias("domain"), F.col("lang"), F.col("source"), F.col(key).alias("_key"), tokens.alias("tokens")).where("tokens > 0")
-    taken = _by_leaf(rows, ends).withColumn("spot", spot).where(F.col("full") | (F.struct("spot", "_key", "tokens") <= F.col("limit")))
+    taken = _by_leaf(rows, small(ends, 400)).withColumn("spot", spot).where(F.col("full") | (F.struct("spot", "_key", "tokens") <= F.col("limit")))
     extra = [c for c in ("domain", "tokens", "epoch", "budget") if c not in names]
     return taken.select("_row.*", *extra)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
@@ -13,9 +12,6 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import components, discard, map_texts, narrowed, stored
 
 SEED = 42
-#: Of similar_groups: heads drawn from a bucket in a round of stars (and as many outside its largest component), most
-#: rounds, shares a bucket is dealt into, and rows by side of a cell of pairs.
-HEADS, ROUNDS, SALTS, CELL = 4, 6, 16, 512
 
 
 def fingerprint(text: str, words: int = 3, tables: int = 1) -> list[int]:
@@ -36,12 +32,12 @@ def fingerprint(text: str, words: int = 3, tables: int = 1) -> list[int]:
     for at in range(0, len(hashes), 1 << 15):
         block = np.array(hashes[at : at + (1 << 15)], dtype=np.uint64)
         for t in range(tables):
-            mixed = block if not t else _mixed(block, t)
-            counts[t] += np.unpackbits(mixed.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+            turned = block if not t else mixed(block, t)
+            counts[t] += np.unpackbits(turned.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
     return np.packbits(2 * counts > len(hashes), axis=1).view(">i8")[:, 0].tolist()
 
 
-def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+def mixed(h: np.ndarray, table: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * table)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -128,166 +124,6 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: i
     return prints.join(held.join(named, "root").select("node", "component_id"), "node").select("doc_id", "fps", "component_id")
 
 
-def sketch(text: str, words: int = 5, longs: int = 4, bands: int = 16, rows: int = 6) -> tuple[int, list[int], list[int], np.ndarray]:
-    """Of a text's distinct word shingles: an identity, a SimHash of 64 * `longs` bits, `bands` bucket keys and the shingles as sorted 32-bit hashes.
-
-    The identity is a 64-bit hash of the lower-cased words, so texts that differ in white space or case alone share
-    it. Fewer words than a shingle make one shingle of all; no words give an empty set, all keys 0.
-    """
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    same = int(np.uint64(xxhash.xxh64_intdigest(b" ".join(found), SEED)).astype(np.int64))
-    if not found:
-        return same, [0] * longs, [0] * bands, np.zeros(0, np.int32)
-    of_words = np.array([xxhash.xxh64_intdigest(w, SEED) for w in found], dtype=np.uint64)
-    size = min(words, len(found))
-    with np.errstate(over="ignore"):
-        hashes = np.zeros(len(found) - size + 1, np.uint64)
-        for i in range(size):
-            hashes = _mixed(hashes + of_words[i : i + len(hashes)], 1 + i)
-        hashes = np.unique(hashes)
-        counts, least = np.zeros((longs, 64), np.int64), np.full(bands * rows, ~np.uint64(0))
-        factors = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64), words) | np.uint64(1)
-        for at in range(0, len(hashes), 4096):
-            block = hashes[at : at + 4096]
-            for t in range(longs):
-                counts[t] += np.unpackbits(_mixed(block, t).view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-            np.minimum(least, (factors[:, None] * block).min(axis=1), out=least)
-        keys = np.arange(bands, dtype=np.uint64)
-        for row in least.reshape(bands, rows).T:
-            keys = _mixed(keys + row, words)
-    prints = np.packbits(2 * counts > len(hashes), axis=1).view(">i8")[:, 0].tolist()
-    return same, prints, keys.view(np.int64).tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-
-
-def bits_of(similarity: float, bits: int, deviations: float = 4.5) -> int:
-    """Most bits of `bits` in which SimHashes of two sets of that Jaccard similarity differ, so many standard deviations included."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-
-
-def within_ring(a, b, longs: int, radius: int):
-    """Whether two arrays of `longs` 64-bit values differ in at most `radius` bits, by pigeonring: segments of 32 bits
-    lie on a ring; some chain of consecutive segments has to keep to its proportional budget at each length up to
-    half the ring, and then all bits are counted."""
-    m = 2 * longs
-    apart = [F.bit_count(F.shiftrightunsigned(a[i // 2].bitwiseXOR(b[i // 2]), 32 * (i % 2)).bitwiseAND(F.lit((1 << 32) - 1))) for i in range(m)]
-    chain = F.lit(False)
-    for i in range(m):
-        fits, total = F.lit(True), F.lit(0)
-        for k in range(longs):
-            total = total + apart[(i + k) % m]
-            fits = fits & (total <= radius * (k + 1) // m)
-        chain = chain | fits
-    return chain & (sum(apart[1:], apart[0]) <= radius)
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (low, high) whose shingle sets have that Jaccard similarity or more, counted in full."""
-    sides = pairs.join(sets.select(F.col("node").alias("low"), F.col("parts").alias("x")), "low").join(sets.select(F.col("node").alias("high"), F.col("parts").alias("y")), "high")
-    both = F.size(F.array_intersect("x", "y"))
-    return sides.where(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("low", "high")
-
-
-def _open(met: DataFrame, roots: DataFrame, turn: int) -> DataFrame:
-    """The rows (bucket, node, fps, root) of buckets that hold several components, with what their bucket has: n rows,
-    `outer` of them outside its largest component `top`, and 2 * HEADS heads drawn by hash, half from the outer rows.
-
-    Only counts and minima by bucket are gathered; rows meet them by bucket and salt, so a large bucket is dealt out.
-    """
-    placed = met.select("bucket", "node", "fps").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    draws = [F.min(F.struct(F.xxhash64("node", F.lit(turn * HEADS + i)).alias("draw"), "node", "fps", "root")).alias(f"h{i}") for i in range(HEADS)]
-    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), *draws)
-    tops = parts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1").select("bucket", F.col("top.root").alias("top"), "n", (F.col("n") - F.col("top.n")).alias("outer"))
-    outer = F.col("root") != F.col("top")
-    drawn = parts.drop("n").join(tops, "bucket").groupBy("bucket", "top", "n", "outer").agg(F.array_distinct(F.array(*[F.min(f"h{i}") for i in range(HEADS)], *[F.min(F.when(outer, F.col(f"h{i}"))) for i in range(HEADS)])).alias("heads"))
-    dealt = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(dealt, ["bucket", "salt"]).drop("salt")
-
-
-def _starred(open_: DataFrame) -> DataFrame:
-    """Pairs (x, f, y, g) of the heads of a bucket with its rows in other components: 2 * HEADS times the rows at most."""
-    return open_.select(F.col("node").alias("x"), F.col("fps").alias("f"), "root", F.explode("heads").alias("h")).where("root <> h.root").select("x", "f", F.col("h.node").alias("y"), F.col("h.fps").alias("g"))
-
-
-def _crossed(open_: DataFrame) -> DataFrame:
-    """All pairs (x, f, y, g) of rows of a bucket in different components: x is outside the largest, y any other row.
-
-    Both sides are dealt over cells of about CELL by CELL rows, so no bucket is one task.
-    """
-    cut = open_.select("bucket", "node", "fps", "root", "top", F.ceil(F.col("outer") / CELL).alias("down"), F.ceil(F.col("n") / CELL).alias("across"))
-    place = lambda seed, of: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(of))
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
-    one = cut.where("root <> top").select("bucket", "top", F.col("node").alias("x"), F.col("fps").alias("f"), F.col("root").alias("r"), place(1, "down").alias("i"), every("across").alias("j"))
-    two = cut.select("bucket", F.col("node").alias("y"), F.col("fps").alias("g"), F.col("root").alias("s"), place(2, "across").alias("j"), every("down").alias("i"))
-    return one.join(two, ["bucket", "i", "j"]).where("r <> s AND (s = top OR x < y)").select("x", "f", "y", "g")
-
-
-def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id and component_id of every row, linked where the Jaccard similarity of the word shingles is `similarity` or more.
-
-    SimHashes of 256 bits prune candidates by pigeonring filtering before all bits are counted; what passes is
-    decided on the whole shingle sets. At this similarity about 15 % of the bits differ, too many for equal
-    segments to be keys, so rows are candidates where they share one of 16 keys, each of six minima of the shingles
-    (missed in 0.8 % of pairs at 0.8, less above). In a bucket all rows meet the one of least identity. While many
-    pairs of a bucket are still in different components, rounds of stars around heads drawn anew link them at a cost
-    in proportion to its rows; at last every row outside a bucket's largest component meets all rows of the others.
-    The rounds only save work: no pair is left out by them. Equal word sequences are one node. component_id is the least key reached, null where a
-    group has only null keys. Null and wordless texts are equal and link; repeated rows come back repeated; an empty
-    table gives no rows.
-    """
-    rows = narrowed(df, doc_id=key, text=text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def run(ids: list, texts: list) -> dict:
-        columns = zip(*[sketch(t, words) for t in texts], strict=True)
-        return {"doc_id": ids} | dict(zip(("node", "fps", "keys", "parts"), map(list, columns), strict=True))
-
-    prints = stored(map_texts(rows, run, f"doc_id {kind}, node long, fps array<long>, keys array<long>, parts array<int>"), "sketches")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fps").alias("fps"), F.first("keys").alias("keys"))
-    entries = nodes.select("node", "fps", F.explode("keys").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("node", "fps")).alias("head")).where("n > 1").select("bucket", "head")
-    met = stored(entries.join(heads, "bucket"), "buckets")
-    radius = bits_of(similarity, 256)
-    stars = stored(met.where(F.col("node") != F.col("head.node")).where(within_ring(F.col("fps"), F.col("head.fps"), 4, radius)).select(F.col("head.node").alias("low"), F.col("node").alias("high")).distinct(), "stars")
-
-    def of_pairs(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("low", "high")).alias("node")).distinct()
-        return prints.select("node", "parts").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("parts").alias("parts"))
-
-    edges = stored(_alike(stars, of_pairs(stars), similarity), "edges")
-    first = components(edges, "low", "high")
-    def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
-        more = _alike(pairs, of_pairs(pairs), similarity)
-        return components(roots.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(more), "low", "high")
-
-    roots, before = first, None
-    for turn in range(ROUNDS + 1):
-        open_ = stored(_open(met, roots, turn), "open")
-        rows, pairs = open_.agg(F.count("*"), F.sum(F.expr("if(root = top, 0D, double(n))"))).first()
-        if not rows:
-            break
-        last = turn == ROUNDS or pairs <= 2 * HEADS * rows or before is not None and pairs > 0.8 * before
-        met_ = _crossed(open_) if last else _starred(open_)
-        found = met_.where(within_ring(F.col("f"), F.col("g"), 4, radius)).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct()
-        tried = stored(found.join(stars, ["low", "high"], "left_anti"), "cross")
-        roots, before = merged(roots, tried), pairs
-        discard(open_)
-        if last:
-            break
-    held = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = held.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "node").join(held.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of df, all columns, that have the least key of their near-duplicate group (similar_groups).
-
-    Rows that share the least key all stay, and of a group of null keys alone every row stays.
-    """
-    kept = similar_groups(df, key, text, words, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["_kept"]), "left_semi")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word fingerprints of all documents and the components of links at two bits or fewer."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillspark.llm import common, compression, fingerprinting, mixing, packing, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
+from quillspark.llm import common, compression, fingerprinting, mixing, packing, quality_rules, secrets, sharding, simhash, similar, suffix_dedup, warc
 
 
 def rows_of(df):
@@ -386,48 +386,94 @@ def test_similar_groups_against_brute_force(spark, docs, empty):
                 base = words
     texts |= {500: "", 501: " \n", 502: "one two", 503: "One  TWO", 504: "one two three", 505: "Ünï 🙂 çode wörds hére now", 506: "Ünï 🙂 çode wörds hére now"}
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got, want = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}, brute_groups(texts)
+    got, want = {r.doc_id: r.component_id for r in similar.similar_groups(table).collect()}, brute_groups(texts)
     assert set(got) == set(want) and all(want[k] == want[got[k]] for k in want)
     assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
     assert [got[k] for k in range(500, 507)] == [500, 500, 502, 502, 504, 505, 505]
-    awkward = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    awkward = {r.doc_id: r.component_id for r in similar.similar_groups(docs).collect()}
     assert awkward[2] == 1 and awkward[6] == 4 and awkward[5] == 4 and awkward[8] == 8
-    assert simhash.similar_groups(docs).count() == docs.count() and simhash.similar_groups(empty).count() == 0
+    assert similar.similar_groups(docs).count() == docs.count() and similar.similar_groups(empty).count() == 0
 
 
 def test_open_buckets_meet_across_components_only(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "CELL", 40)
+    monkeypatch.setattr(similar, "CELL", 40)
     root = {n: 0 for n in range(300)} | {300: 300} | {n: n - n % 2 for n in range(400, 420)}
     bucket = lambda n: 7 if n <= 300 else 8 if n < 410 else 9
-    met = spark.createDataFrame([(bucket(n), n, [n] * 4) for n in root] + [(1, 0, [0] * 4), (1, 5, [5] * 4)], "bucket long, node long, fps array<long>")
-    roots = spark.createDataFrame([(n, r) for n, r in root.items() if n != 300], "node long, root long")
-    open_ = common.stored(simhash._open(met, roots, 0), "open")
-    assert {(r.bucket, r.n, r.outer) for r in open_.collect()} == {(7, 301, 1), (8, 10, 8), (9, 10, 8)}
-    crossed = [tuple(sorted(r)) for r in simhash._crossed(open_).select("x", "y").collect()]
-    assert sorted(crossed) == sorted((a, b) for a in root for b in root if a < b and root[a] != root[b] and bucket(a) == bucket(b))
-    starred = {tuple(sorted(r)) for r in simhash._starred(open_).select("x", "y").collect()}
-    assert starred <= set(crossed) and len(starred) > 300
-
-
-def test_rounds_of_stars_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "HEADS", 1)
-    monkeypatch.setattr(simhash, "ROUNDS", 2)
-    monkeypatch.setattr(simhash, "CELL", 3)
-    draw = random.Random(3)
-    base = draw.choices([f"w{i}" for i in range(3000)], k=120)
+    rows = [(bucket(n), n, 30, {7: 0, 8: 400, 9: 410}[bucket(n)], r) for n, r in root.items()] + [(1, 0, 9, 0, 0), (1, 5, 9, 0, 5), (2, 0, 9, 0, 0), (2, 300, 9, 0, 300)]
+    placed = spark.createDataFrame(rows, "bucket long, node long, size int, head long, root long")
+    open_, count, pairs = similar._open(placed, 0)
+    assert {(r.bucket, r.n, r.outer, r.heft) for r in open_.collect()} == {(7, 301, 1, 9030), (8, 10, 8, 300), (9, 10, 8, 300)} and (count, pairs) == (321, 461)
+    cells = defaultdict(lambda: ([], []))
+    for r in similar._celled(placed, open_).collect():
+        cells[r.bucket, r.i, r.j][not r.outer].append(r.node)
+    met = Counter((bucket(a), a, b) for one, two in cells.values() for a in one for b in two)
+    tops = {r.bucket: r.top for r in open_.collect()}
+    assert met == Counter((bucket(a), a, b) for a in root for b in root if bucket(a) == bucket(b) and root[a] != tops[bucket(a)])
+    assert max(len(x) for c in cells.values() for x in c) < 80
+    starred = {tuple(sorted(r)) for r in similar._starred(placed, open_).collect()}
+    assert all(root[a] != root[b] and bucket(a) == bucket(b) for a, b in starred) and len(starred) > 300
+
+
+def family(seed, count, size, edits):
+    draw = random.Random(seed)
+    base = draw.choices([f"w{i}" for i in range(3000)], k=size)
     texts = {}
-    for n in range(150):
+    for n in range(count):
         words = list(base)
-        for at in draw.sample(range(120), draw.randrange(6)):
-            words[at] = f"x{draw.randrange(9000)}"
+        for at in draw.sample(range(size), edits(draw)):
+            words[at] = f"x{draw.randrange(10**6)}"
         texts[n] = " ".join(words)
-    want, crossed = brute_groups(texts), []
-    old = simhash._crossed
-    monkeypatch.setattr(simhash, "_crossed", lambda open_: (crossed.append(old(open_).count()), old(open_))[1])
+    return texts
+
+
+def test_rounds_of_stars_lose_no_link(spark, monkeypatch):
+    texts = family(3, 150, 120, lambda d: d.randrange(6))
+    want = brute_groups(texts)
     table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_groups(table).collect()}
-    assert all(want[k] == want[got[k]] for k in want) and sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
-    assert sum(crossed) < 16 * 150 * 149 / 4
+    for few in (0, 10**9):
+        for name, value in (("HEADS", 1), ("ROUNDS", 2), ("CELL", 16), ("FEW", few)):
+            monkeypatch.setattr(similar, name, value)
+        assert {r.doc_id: r.component_id for r in similar.similar_groups(table).collect()} == want
+
+
+def test_a_family_just_under_the_similarity_makes_rows_in_proportion(spark, monkeypatch):
+    """2,000 texts alike in 0.75 to 0.79 in pairs, and 20 alike in more: links are found, pairs are never given out."""
+    texts = family(8, 2000, 200, lambda d: 5)
+    texts |= {3000 + n: texts[n] + " more" for n in range(0, 40, 2)}
+    made, old = [], similar._celled
+    monkeypatch.setattr(similar, "_celled", lambda *a: (made.append(old(*a).count()), old(*a))[1])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(table).collect()}
+    assert all(got[k] == got[k - 3000] for k in texts if k >= 3000)
+    assert len(set(got.values())) > 1000 and sum(made) < 24 * 2020 * 8
+
+
+def test_recall_of_pairs_at_the_similarity(spark):
+    """Pairs alike in 0.80 to 0.85, each on its own: at least 0.97 are found, and none below 0.8."""
+    texts, alike = {}, []
+    for n in range(1500):
+        pair = list(family(n, 2, 150, lambda d: d.choice([1, 2])).values())
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, pair))
+        texts |= {2 * n: pair[0], 2 * n + 1: pair[1]}
+        alike.append(len(a & b) / len(a | b))
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    near = [n for n, j in enumerate(alike) if 0.8 <= j < 0.85]
+    found = sum(got[2 * n + 1] == 2 * n for n in near)
+    assert len(near) > 150 and found >= 0.97 * len(near) and not any(got[2 * n + 1] == 2 * n for n, j in enumerate(alike) if j < 0.8)
+
+
+def test_cells_find_what_columns_find(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2**64, (60, 4), dtype=np.uint64)
+    y = x.copy()
+    for i, row in enumerate(y):
+        for bit in rng.permutation(256)[: i + 10]:
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    at, to = similar.ring_pairs(x, y, 50)
+    signed = lambda v: v.view(np.int64).tolist()
+    pairs = spark.createDataFrame([(i, j, signed(a), signed(b)) for i, a in enumerate(x) for j, b in enumerate(y)], "i int, j int, a array<long>, b array<long>")
+    want = {(r.i, r.j) for r in pairs.where(similar.within_ring(F.col("a"), F.col("b"), 4, 50)).collect()}
+    assert set(zip(at.tolist(), to.tolist(), strict=True)) == want == {(i, i) for i in range(41)}
 
 
 def test_ring_filter_loses_nothing_within_the_radius(spark):
@@ -439,12 +485,12 @@ def test_ring_filter_loses_nothing_within_the_radius(spark):
         for bit in draw.sample(range(256), n % 100):
             b[bit // 64] ^= (1 << (bit % 64)) if bit % 64 < 63 else -(2**63)
         rows.append((n % 100, a, b))
-    frame = spark.createDataFrame(rows, "n int, a array<long>, b array<long>").withColumn("near", simhash.within_ring(F.col("a"), F.col("b"), 4, 65))
+    frame = spark.createDataFrame(rows, "n int, a array<long>, b array<long>").withColumn("near", similar.within_ring(F.col("a"), F.col("b"), 4, 65))
     assert all(r.near == (r.n <= 65) for r in frame.collect())
 
 
 def test_keep_one(spark, docs):
-    kept = simhash.keep_one(docs)
+    kept = similar.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 7, 8, 8, 10]
 

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from quillspark.llm import mixing, quality_rules, secrets, simhash
+from quillspark.llm import mixing, quality_rules, secrets, similar
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def test_stages(spark):
     rows = {r.doc_id: r.text for r in good.collect()}
     model = quality_rules.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     assert good.columns == columns and set(rows) == {r.doc_id for r in quality_rules.judge(docs, model).where("kept").collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.similar_groups(good).collect()}
+    groups = {r.doc_id: r.component_id for r in similar.similar_groups(good).collect()}
     single = stages["simhash near-dedup"](spark, good, FOLDER)
     assert single.columns == columns and {r.doc_id for r in single.collect()} == set(groups.values())
     assert len({t for k, t in rows.items() if groups[k] == k}) == len(set(groups.values()))
