@@ -16,13 +16,15 @@ from quillspark.llm.common import map_texts, narrowed, stored
 SEQUENCE, GROUP, END = 1024, 4096, 0
 #: Texts of these characters alone are split alike by both libraries; others go through the tokenizer file itself.
 PLAIN = re.compile("[\x00-ɏ‐-‧€]*")
+#: Runs of white space that the rank file's library cannot split without running out of stack (from some 200,000 on).
+BLANK = re.compile(r"\s{4096}")
 
 
 def encoder(name: str):
     """A function from a text to its ids, by the public tokenizer file `name`.json.
 
-    The rank file of the same vocabulary gives the same ids several times faster; texts with rarer characters or
-    special tokens, and vocabularies without a rank file, go through the tokenizer file. What is loaded is kept on
+    The rank file of the same vocabulary gives the same ids several times faster; texts with rarer characters, special
+    tokens or very long white space, and vocabularies without a rank file, go through the tokenizer file. What is loaded is kept on
     the imported module, where a worker's later tasks find it.
     """
     import os
@@ -51,7 +53,7 @@ def encoder(name: str):
     fast = held[name].encode_ordinary
 
     def encode(text: str):
-        if PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
+        if PLAIN.fullmatch(text) and "<|endoftext|>" not in text and not BLANK.search(text):
             return fast(text)
         return whole().encode(text, add_special_tokens=False).ids
 
