@@ -104,7 +104,8 @@ def with_followers(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Range limits are quantiles of the key; the head of each range is its greatest key, and the heads, one number for
     a range, are all that reaches the driver. The last range is closed by the first row of all. Texts are shuffled
-    once. Ties are ordered by text; null keys come last.
+    once, each range to the task of its own number. Keys are integers (others fail); ties are ordered by text, null
+    keys come last, and the rows of one key are neighbours in one range.
     """
     rows = narrowed(df, doc_id=key, text=text).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("place"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -131,7 +132,7 @@ def with_followers(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     dealt = rows.mapInArrow(spread, f"part long, follows boolean, place long, doc_id {kind}, text string")
-    return dealt.repartition(max(1, len(order)), "part").sortWithinPartitions("part", "follows", F.desc("place"), "text")
+    return dealt.repartitionById(max(1, len(order)), (-F.col("part")).cast("int")).sortWithinPartitions("part", "follows", F.desc("place"), "text")
 
 
 def compare(df: DataFrame, key: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
