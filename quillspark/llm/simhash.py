@@ -81,7 +81,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     def key(i: int, second):
         return F.struct(F.lit(i).alias("ring"), piece(fp, i).alias("first"), second.alias("second"))
 
-    distinct = prints.select("table", "fp").distinct()
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = prints.select("table", "fp").distinct().repartition(tasks)  # narrow rows, before each becomes 69
     plain = distinct.select("table", fp.alias("b"), F.explode(F.array(*[key(i, piece(fp, i + 1)) for i in range(m)])).alias("k"))
 
     def variants(i: int):
