@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,19 +13,29 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import map_texts, narrowed
 from quillspark.llm.quality_rules import labelled
 
-#: Labelled rows that the dictionaries and the calibration take at most, bytes of a text used for a dictionary, dictionary size.
-SAMPLE, TAKEN, SIZE = 8_000, 16_384, 112_640
+#: Labelled rows that the dictionaries and the calibration take at most, blocks drawn of each text for a dictionary, dictionary size.
+SAMPLE, DRAWN, SIZE = 8_000, 8, 112_640
 #: Texts are compressed in blocks of so many bytes, each against the dictionary, so that long texts don't outlearn it.
 BLOCK = 2_048
 
 
 def dictionary(texts: list[bytes], size: int = SIZE) -> bytes:
-    """A trained dictionary; the texts themselves where they are too few or too small to train on."""
-    pieces = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
+    """A trained dictionary of blocks of text; whole blocks by their hashes where they are too few or too small to train on."""
     try:
-        return zstandard.train_dictionary(size, pieces, k=256, d=8).as_bytes()
+        return zstandard.train_dictionary(size, texts, k=256, d=8).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(pieces)[-size:]
+        out = b""
+        for piece in sorted(texts, key=xxhash.xxh64_intdigest):
+            out += piece if len(out) + len(piece) <= size else b""
+        return out or texts[0][:size]
+
+
+def blocks(text: str, most: int = DRAWN) -> list[bytes]:
+    """At most `most` of a text's blocks, drawn from the whole text by the hash of what they hold and where they stand."""
+    raw = text.encode("utf-8", "surrogatepass")
+    cut = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+    chosen = sorted(range(len(cut)), key=lambda i: (xxhash.xxh64_intdigest(cut[i], i), i))[:most]
+    return [cut[i] for i in sorted(chosen)]
 
 
 @dataclass
@@ -67,14 +78,16 @@ def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, flo
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", most: int = SAMPLE) -> Compressor:
     """Dictionaries from one half of a bounded labelled sample, the calibration from the other half's whole texts.
 
-    At most `most` rows, those with the least key hashes, reach the driver, each with at most TAKEN bytes of text for
-    the dictionaries. With no labelled rows, or one label only, every score is the share of good rows (0.5 of none).
+    Of at most `most` rows, those with the least key hashes, DRAWN blocks each reach the driver for the dictionaries,
+    drawn by hash from the whole text. With no labelled rows, or one label only, every score is the share of good rows (0.5 of none).
     """
     sample = labelled(docs, labels, key, text, most).select("y", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), "doc_id")
-    first = sample.where("half = 0").select("y", F.substring("text", 1, TAKEN).alias("text"), "doc_id").collect()
-    shown = sorted((r["doc_id"], r["y"], (r["text"] or "").encode("utf-8", "surrogatepass")) for r in first)
-    good, bad = ([t for _, y, t in shown if y == label and t] for label in (1, 0))
-    share = np.clip((len(good) or 0.5) / ((len(good) + len(bad)) or 1), 1e-3, 1 - 1e-3)
+    first = sample.where("half = 0").select(F.col("y").alias("doc_id"), "text")
+    shown = map_texts(first, lambda ys, texts: {"y": ys, "blocks": [blocks(t) for t in texts]}, "y int, blocks array<binary>").collect()
+    shown = sorted((r["y"], [bytes(b) for b in r["blocks"]]) for r in shown if r["blocks"])
+    good, bad = ([b for y, cut in shown for b in cut if y == label] for label in (1, 0))
+    n_good = sum(y == 1 for y, _ in shown)
+    share = np.clip((n_good or 0.5) / (len(shown) or 1), 1e-3, 1 - 1e-3)
     if not good or not bad:
         return Compressor(b"".join(good)[:SIZE] or b"good", b"".join(bad)[:SIZE] or b"bad", 0.0, float(np.log(share / (1 - share))))
     model = Compressor(dictionary(good), dictionary(bad))
