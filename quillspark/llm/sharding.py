@@ -10,11 +10,7 @@ GROUP_ROWS = 4096
 
 
 def uniform_tree(shards: int, racks: int = 2, width: int = 4) -> list[list[list[tuple[int, float]]]]:
-    """Regions of `racks` racks of `width` shards each, filled in order; every shard has weight 1.
-
-    A shard beyond the full regions opens a region of its own, so that growing by one from a multiple of
-    racks * width moves rows into that new subtree alone.
-    """
+    """Regions of `racks` racks of `width` shards each, filled in order; every shard has weight 1."""
     tree: list[list[list[tuple[int, float]]]] = []
     for shard in range(shards):
         if shard % (racks * width) == 0:
@@ -25,6 +21,11 @@ def uniform_tree(shards: int, racks: int = 2, width: int = 4) -> list[list[list[
     return tree
 
 
+def with_shard(tree: list[list[list[tuple[int, float]]]], weight: float = 1.0) -> list[list[list[tuple[int, float]]]]:
+    """The tree with one more shard, a region of its own: no other subtree changes, so rows move only into the new shard."""
+    return [*tree, [[(sum(len(rack) for region in tree for rack in region), weight)]]]
+
+
 def _draw(key: Column, salt: str, weight: float) -> Column:
     """An exponential draw: the child with the least -ln(u)/weight wins in proportion to its weight."""
     bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 11).cast("double")
@@ -86,5 +87,5 @@ def shard(df: DataFrame, tree: list, grown: list | None = None, key: str = "doc_
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 15 by doc_id; grown_shard is the shard after one more was added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = shard(docs, uniform_tree(16), uniform_tree(17))
+    out = shard(docs, uniform_tree(16), with_shard(uniform_tree(16)))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
