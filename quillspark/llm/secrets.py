@@ -266,7 +266,11 @@ def scan(df: DataFrame, net: Network, key: str = "doc_id", text: str = "text") -
 
 
 def redacted(df: DataFrame, net: Network, text: str = "text", size: str = "n_chars") -> DataFrame:
-    """The rows of df, all columns, with secrets in the text replaced and the column `size`, if any, set anew."""
+    """The rows of df, all columns, with secrets in the text replaced and the column `size`, if any, set anew.
+
+    Null and empty texts, and texts without secrets, stay as they are, their sizes too. Rows are scanned one by one, so
+    repeats and ties play no part; an empty table gives no rows.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
