@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -201,6 +202,16 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n", "a", "Q", "7", ".", "a.", "é", "漢", "a b"])
+def test_packing_ids_of_very_long_runs(unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "start " + unit * (1_000_000 // len(unit)) + " end"
+    want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert list(packing.encoder("byte_bpe_50k")(text)) == want
+
+
 # 5 fingerprints
 def brute_winnow(text, gram, window):
     points = [ord(c) for c in text]
@@ -262,6 +273,28 @@ def test_compression_classifier_held_out(spark):
     assert auc > 0.9 and np.mean((score >= 0.5) == y) > max(y.mean(), 0.9) and ((0 <= score) & (score <= 1)).all()
 
 
+def test_compression_differences(spark):
+    """The differences by one compressor call for each block, and blocks drawn from the whole of long texts."""
+    import zstandard
+
+    good = ["the river runs slowly through the old town " * 3, "people walked along the bank in the evening " * 4] * 30
+    bad = ["CLICK here BUY now $$$ " * 6, "win win win prize 999 !!! " * 7] * 30
+    model = compression.Compressor(*(compression.dictionary([b for t in ts for b in compression.blocks(t)]) for ts in (good, bad)))
+    texts = ["", "the old town by the river", "BUY now win prize", "the river runs " * 500, "é🙂 " * 2000]
+    for text, got in zip(texts, model.differences(texts), strict=True):
+        raw, sizes = text.encode(), []
+        for content in (model.good, model.bad):
+            size = 0
+            for i in range(0, len(raw), compression.BLOCK):
+                params = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+                size += len(zstandard.ZstdCompressor(dict_data=compression._loaded(content), **params).compress(raw[i : i + compression.BLOCK]))
+            sizes.append(size)
+        assert got == (sizes[1] - sizes[0]) / max(*sizes, 1)
+    long = "".join(chr(97 + i % 26) * compression.BLOCK for i in range(100))
+    drawn = compression.blocks(long)
+    assert len(drawn) == compression.DRAWN and any(long.index(b.decode()[0]) > 20 * compression.BLOCK or b.decode()[0] > "m" for b in drawn)
+
+
 def test_compression_classifier_odd_inputs(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = compression.train(docs, none)
@@ -274,7 +307,7 @@ def test_compression_classifier_odd_inputs(spark, docs, empty):
 # 7 sharding
 def test_sharding(spark, docs, empty):
     df = spark.range(5000).selectExpr("id AS doc_id", "repeat('x', int(id % 50)) AS text").unionByName(docs.select("doc_id", "text"))
-    out = sharding.shard(df, sharding.uniform_tree(16), sharding.uniform_tree(17)).collect()
+    out = sharding.shard(df, sharding.uniform_tree(16), sharding.with_shard(sharding.uniform_tree(16))).collect()
     assert len(out) == 5000 + docs.count()
     slots = defaultdict(list)
     for r in out:
@@ -287,6 +320,45 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty, sharding.uniform_tree(16)).count() == 0
 
 
+def brute_place(key, tree, seed="shards"):
+    """The shard of an integer key: at each level the child with the least exponential draw."""
+
+    def weight(node):
+        return node[1] if isinstance(node, tuple) else sum(map(weight, node))
+
+    name, node = seed, tree
+    while isinstance(node, list):
+        best = []
+        for i, x in enumerate(node):
+            if weight(x) > 0:
+                child = f"{name}/shard{x[0]}" if isinstance(x, tuple) else f"{name}/{i}"
+                h = xxhash.xxh64_intdigest(child.encode(), xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42))
+                best.append((-math.log(((h >> 11) + 0.5) / 2**53) / weight(x), i))
+        i = min(best)[1]
+        name, node = f"{name}/{i}", node[i]
+    return node[0]
+
+
+def test_sharding_places_by_draws(spark):
+    tree = [[[(0, 1.0), (1, 2.0)], [(2, 1.0)]], [[(3, 2.0)], [(4, 1.0), (5, 0.0)]]]
+    rows = spark.range(-500, 1500).select("id", sharding.place(F.col("id"), tree).alias("at")).collect()
+    assert all(r["at"] == brute_place(r["id"], tree) for r in rows)
+
+
+def test_sharding_each_new_shard_takes_rows_only_into_itself(spark):
+    trees = [sharding.uniform_tree(1)]
+    for _ in range(39):
+        trees.append(sharding.with_shard(trees[-1]))
+    for start in (8, 16, 21):
+        trees += [t := sharding.uniform_tree(start), t := sharding.with_shard(t), sharding.with_shard(t)]
+    keys = range(400)
+    at = [[brute_place(k, t) for k in keys] for t in trees]
+    size = [sum(len(rack) for region in t for rack in region) for t in trees]
+    for i in range(1, len(trees)):
+        if size[i] == size[i - 1] + 1:
+            assert all(b in (a, size[i] - 1) for a, b in zip(at[i - 1], at[i], strict=True))
+
+
 def test_sharding_weights_confine_movement(spark):
     tree = [[[(0, 1.0), (1, 1.0)], [(2, 1.0)]], [[(3, 2.0)], [(4, 1.0), (5, 0.0)]]]
     heavier = [[[(0, 1.0), (1, 1.0)], [(2, 1.0)]], [[(3, 2.0)], [(4, 1.0), (5, 3.0)]]]
@@ -549,6 +621,12 @@ def test_quality_rules_held_out(spark):
     assert kept[y == 1].mean() > 0.97 and (~kept[y == 0]).mean() > 0.8
 
 
+def test_quality_rules_with_text_keys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("concat('k', doc_id) AS doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").selectExpr("concat('k', doc_id) AS doc_id", "quality")
+    assert quality_rules.judge(docs, quality_rules.train(docs, labels)).count() == docs.count()
+
+
 def test_quality_rules_odd_inputs(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality_rules.train(docs, none)
