@@ -18,16 +18,17 @@ from quillspark.llm.common import map_texts, narrowed
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A candidate: a run of these characters, 16 at least.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: A candidate: a run of these characters, LEAST at least; marks at its ends are left off.
+CHARS, EDGES, LEAST = r"A-Za-z0-9+/_.=:@#$%&*!?^~-", ".:!?-", 16
+CANDIDATE = re.compile(f"[{CHARS}]{{{LEAST},}}")
 KINDS = ["assign", "access", "hex", "model"]
-#: Characters seen before, of (half from each end of long ones), and after a candidate.
-BEFORE, WITHIN, AFTER = 20, 40, 8
+#: Characters of a window of a candidate, before it and after it; windows of long candidates lie STEP apart.
+BEFORE, WITHIN, AFTER, STEP = 20, 40, 8, 20
 WIDTH = BEFORE + WITHIN + AFTER
 #: Share of labelled secrets that the threshold must find.
 RECALL = 0.97
 _HEX_MAP = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
-_CANDIDATE_MAP = bytes(1 if re.match(r"[A-Za-z0-9+/_.=-]", chr(b)) and b < 128 else 0 for b in range(256))
+_CANDIDATE_MAP = bytes(1 if b < 128 and re.match(f"[{CHARS}]", chr(b)) else 0 for b in range(256))
 _WORDS = re.compile(rb"password|passwd|secret|token|api_?key")
 
 
@@ -48,24 +49,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Runs of candidate characters that no base span touches; dots and dashes around a run are left off."""
-    if b"\x01" * 16 not in text.encode("utf-8", "surrogatepass").translate(_CANDIDATE_MAP):
+    """Runs of candidate characters, without the parts that base spans cover and without marks at their ends."""
+    if b"\x01" * LEAST not in text.encode("utf-8", "surrogatepass").translate(_CANDIDATE_MAP):
         return
+    spans = sorted((a, b) for _, a, b in taken)
     for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        while end > start and text[end - 1] in ".-":
-            end -= 1
-        while start < end and text[start] in ".-":
-            start += 1
-        if end - start >= 16 and not any(a < end and start < b for _, a, b in taken):
-            yield start, end
+        at, cuts = m.start(), [(a, b) for a, b in spans if a < m.end() and m.start() < b]
+        for low, high in [*cuts, (m.end(), m.end())]:
+            start, end = at, max(at, low)
+            while end > start and text[end - 1] in EDGES:
+                end -= 1
+            while start < end and text[start] in EDGES:
+                start += 1
+            if end - start >= LEAST:
+                yield start, end
+            at = max(at, high)
+
+
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The windows of a candidate: all of it, or overlapping parts that together cover the whole."""
+    if end - start <= WITHIN:
+        return [(start, end)]
+    return [(a, a + WITHIN) for a in [*range(start, end - WITHIN, STEP), end - WITHIN]]
 
 
 def _codes(text: str, start: int, end: int) -> np.ndarray:
-    """Character codes around a candidate: 0 nothing, 1 + ASCII, 129 any other; a second row marks the candidate."""
+    """Character codes around a window: 0 nothing, 1 + ASCII, 129 any other."""
     before, inside, after = text[max(0, start - BEFORE) : start], text[start:end], text[end : end + AFTER]
-    if len(inside) > WITHIN:
-        inside = inside[: WITHIN // 2] + inside[-WITHIN // 2 :]
     line = before.rjust(BEFORE, "\0") + inside.ljust(WITHIN, "\0") + after.ljust(AFTER, "\0")
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(points == 0, 0, np.where(points < 128, points + 1, 129)).astype(np.int16)
@@ -99,6 +109,13 @@ class Network:
         logit = np.concatenate([self.forward(codes[i : i + 512])["logit"] for i in range(0, len(codes), 512)])
         return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.shift, -30, 30)))
 
+    def candidate_scores(self, text: str, found: list[tuple[int, int]]) -> list[float]:
+        """The greatest score of each candidate's windows."""
+        cut = [windows(a, b) for a, b in found]
+        score = self.scores(np.array([_codes(text, a, b) for w in cut for a, b in w], np.int16).reshape(-1, WIDTH))
+        ends = np.cumsum([0, *map(len, cut)])
+        return [float(score[a:b].max()) for a, b in zip(ends, ends[1:], strict=False)]
+
 
 _PLACE = np.r_[np.zeros(BEFORE), np.ones(WITHIN), np.zeros(AFTER)].astype(np.float32)
 
@@ -132,10 +149,14 @@ def _gradients(net: Network, codes: np.ndarray, y: np.ndarray) -> dict[str, np.n
     return g
 
 
-def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
-    """(text, start, end, label): n generated findings, secrets of many forms and look-alikes, half of each, in contexts.
+#: The forms of generated secrets, for a test to leave some out of training.
+FORMS = ["prefixed", "dotted", "base64", "hex", "key", "mixed", "password", "link"]
+
 
-    Look-alikes are long words, paths, host names, identifiers, version strings, separators, numbers and dates.
+def labelled_findings(n: int, seed: int, forms: list[str] | None = None) -> list[tuple[str, int, int, int]]:
+    """(text, start, end, label): n generated findings, secrets of the forms and look-alikes, half of each, in contexts.
+
+    Look-alikes are long words, links, host names, identifiers, version strings, separators, numbers and dates.
     """
     r = random.Random(seed)
     syllables = "an be ch de en er ei ge heit ing keit lich ment on or pf qu re sch st th ti tion tre ung ver wh zu ou ea ca ja lo mi".split()
@@ -143,69 +164,105 @@ def labelled_findings(n: int, seed: int) -> list[tuple[str, int, int, int]]:
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
     mixed = letters + letters.upper() + digits
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    host = lambda: r.choice(["", "www.", "api."]) + word(2) + "." + r.choice(["org", "com", "net", "example.com"])
+    path = lambda: "/" + "/".join(word(r.randint(1, 3)) for _ in range(r.randint(1, 4)))
+    bare = lambda k: base64.urlsafe_b64encode(r.randbytes(k)).decode().rstrip("=")
 
-    def secret() -> tuple[str, str]:
-        kind = r.randrange(8)
+    def secret() -> tuple[str, str, str]:
+        """What stands before, the secret, and what follows it within the same run of characters."""
+        form = r.choice(forms or FORMS)
         lead = r.choice(["", word(3) + " ", "key: ", "auth ", "Bearer ", "export X_KEY=", "credential ", "pwd=", 'private "', word(2) + ", "])
-        if kind == 0:
-            return lead, r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "rk_live_", "npm_", "hf_"]) + pick(mixed, r.randint(20, 40))
-        if kind == 1:
-            return lead, ".".join(base64.urlsafe_b64encode(r.randbytes(k)).decode().rstrip("=") for k in (r.randint(12, 24), r.randint(20, 60), 32))
-        if kind in (2, 3):
-            return lead, base64.b64encode(r.randbytes(r.randint(15, 48))).decode()
-        if kind == 4:
-            return lead, pick(digits + "ABCDEF", r.choice([32, 40, 64]))
-        if kind == 5:
-            return lead, "AIza" + pick(mixed + "_-", 35)
-        return lead, pick(mixed + r.choice(["", "_-", "+/"]), r.randint(20, 48))
+        if form == "prefixed":
+            return lead, r.choice(["ghp_", "gho_", "glpat-", "xoxb-", "sk_live_", "rk_live_", "npm_", "hf_"]) + pick(mixed, r.randint(20, 40)), ""
+        if form == "dotted":
+            return lead, ".".join(bare(k) for k in (r.randint(12, 24), r.randint(20, 60), 32)), ""
+        if form == "base64":
+            return lead, base64.b64encode(r.randbytes(r.randint(15, 48))).decode(), ""
+        if form == "hex":
+            return lead, pick(digits + "ABCDEF", r.choice([32, 40, 64])), ""
+        if form == "key":
+            return lead, "AIza" + pick(mixed + "_-", 35), ""
+        if form == "mixed":
+            return lead, pick(mixed + r.choice(["", "_-", "+/"]), r.randint(20, 48)), ""
+        if form == "password":
+            return r.choice([lead, "pass phrase: ", "login "]), pick(mixed + "!#$%&@*^~?" * 2, r.randint(16, 32)).strip(EDGES), ""
+        return lead + r.choice(["", "https:"]) + "//" + host() + path() + r.choice(["/", "?k="]), pick(mixed, r.randint(20, 40)), r.choice(["", path(), "/callback"])
 
     def plain() -> tuple[str, str]:
-        kind = r.randrange(12)
+        kind = r.randrange(16)
         lead = " ".join(word(r.randint(1, 3)) for _ in range(3)) + " "
         if kind < 3:
             text = word(r.randint(6, 12))
             return lead, r.choice([text, text.capitalize(), text.upper()])
-        if kind == 3:
-            return lead + "https:", "//" + r.choice(["www.", ""]) + word(2) + "." + r.choice(["org", "com", "example.com"]) + "/" + "/".join(word(r.randint(1, 3)) for _ in range(r.randint(1, 4))) + r.choice(["", "/", ".html"])
-        if kind == 4:
-            return lead + word(1) + "@", r.choice(["mail", "smtp", "www"]) + str(r.randint(1, 99)) + "." + word(r.randint(1, 3)) + ".example." + r.choice(["com", "org", "net"])
+        if kind in (3, 4):
+            asked = "?" + "&".join(f"{word(1)}={r.choice([word(2), pick(digits, 3)])}" for _ in range(r.randint(1, 2)))
+            return lead, r.choice(["http://", "https://"]) + host() + path() + r.choice(["", "/", ".html", "#" + word(2), asked])
         if kind == 5:
-            return lead, "_".join(word(r.randint(1, 3)) for _ in range(r.randint(3, 5)))
+            return lead, word(2) + r.choice([".", "_", ""]) + word(1) + "@" + r.choice(["mail", "smtp", "www"]) + str(r.randint(1, 99)) + "." + host()
         if kind == 6:
-            return lead, "".join(word(2).capitalize() for _ in range(r.randint(3, 6)))
+            return lead, r.choice("_#:").join(word(r.randint(1, 3)) for _ in range(r.randint(3, 5)))
         if kind == 7:
-            return lead, r.choice("=-_.+") * r.randint(16, 60)
+            return lead, "".join(word(2).capitalize() for _ in range(r.randint(3, 6)))
         if kind == 8:
-            return lead, r.choice([pick(digits, r.randint(16, 24)), "-".join(pick(digits, 4) for _ in range(r.randint(4, 6))), f"{r.randint(1990, 2030)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}-{pick(digits, 6)}"])
+            return lead, r.choice("=-_.+*#~!?") * r.randint(16, 60)
         if kind == 9:
-            return lead, "-".join(word(r.randint(1, 3)) for _ in range(r.randint(3, 6)))
+            stamp = f"{r.randint(1990, 2030)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}"
+            numbers = [pick(digits, r.randint(16, 24)), "-".join(pick(digits, 4) for _ in range(r.randint(4, 6))), stamp + "-" + pick(digits, 6), stamp + "T0" + pick(digits, 1) + ":1" + pick(digits, 1) + ":00"]
+            return lead, r.choice(numbers)
         if kind == 10:
+            return lead, "-".join(word(r.randint(1, 3)) for _ in range(r.randint(3, 6)))
+        if kind == 11:
             return lead, "/".join(word(r.randint(1, 3)) for _ in range(r.randint(3, 6))) + r.choice(["", ".txt", ".py"])
+        if kind == 12:
+            return lead, word(r.randint(2, 4)) + r.choice(["...", "--", "!!", "=", "::"]) + word(r.randint(3, 5))
+        if kind == 13:
+            return lead, "$" + ".".join([pick(digits, 3)] * r.randint(3, 4)) + "-$" + pick(digits, 5) + "/" + word(2)
+        if kind == 14:
+            return lead, word(r.randint(4, 9)) + r.choice([".", "", "!"]) + r.choice("*&%$#!=~_") * r.randint(2, 4)
         return lead, ".".join(word(r.randint(1, 4)) for _ in range(r.randint(3, 6)))
 
     out = []
     while len(out) < n:
         label = len(out) % 2
-        lead, body = (secret if label else plain)()
-        body = body.strip(".-") if label else body
+        lead, body, tail = secret() if label else (*plain(), "")
+        body = body.strip(EDGES) if label else body
         before = " ".join(word(r.randint(1, 4)) for _ in range(r.randint(0, 4))) + " " + lead
-        if len(body) >= 16:
-            out.append((before + body + r.choice(["", " ", ".", '"', ", ", "\n"]) + word(3), len(before), len(before) + len(body), label))
+        if len(body) >= LEAST:
+            text = before + body + tail + r.choice(["", " ", ".", '"', ", ", "\n"])
+            out.append((text + (" " if text[-1] not in ' "\n' else "") + word(3), len(before), len(before) + len(body), label))
     return out
 
 
+def examples(findings: list[tuple[str, int, int, int]]) -> tuple[list[tuple[str, list[tuple[int, int]]]], np.ndarray]:
+    """Of each finding its text and the candidates' windows that a scan would score, and its label.
+
+    A secret's windows are those that hold LEAST characters of it (or all of a shorter one), whatever part of the run
+    a candidate is; findings that base spans cover have none and are left out.
+    """
+    out, labels = [], []
+    for text, start, end, label in findings:
+        cut = [w for c in candidates(text, base_spans(text)) for w in windows(*c)]
+        mine = [(a, b) for a, b in cut if min(b, end) - max(a, start) >= min(LEAST, end - start, b - a)]
+        if mine:
+            out.append((text, mine))
+            labels.append(label)
+    return out, np.array(labels, np.float32)
+
+
 def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float = RECALL, epochs: int = 6, seed: int = 7) -> Network:
     """A network from labelled findings (text, start, end, label); by default 8,000 generated ones.
 
-    Every fourth finding is held out: on those the logits are calibrated by a logistic curve, and the threshold is the
-    largest score that still finds `recall` of their secrets, 0.5 at least.
+    It learns from windows of candidates as a scan cuts them. A quarter of the findings is held out, one half of it to
+    calibrate the logits by a logistic curve and the other for the threshold: the largest score that still finds
+    `recall` of its secrets.
     """
-    findings = labelled_findings(8000, seed) if findings is None else findings
-    codes = np.array([_codes(t, a, b) for t, a, b, _ in findings], np.int16).reshape(-1, WIDTH)
-    y = np.array([f[3] for f in findings], np.float32)
-    held = np.arange(len(y)) % 8 >= 6
+    shown, y = examples(labelled_findings(8000, seed) if findings is None else findings)
+    side = np.arange(len(y)) % 16 // 2  # pairs of findings stay together, so each side has both labels
+    codes = [np.array([_codes(t, a, b) for a, b in cut], np.int16).reshape(-1, WIDTH) for t, cut in shown]
+    fit = np.flatnonzero(side < 6)
+    x_fit = np.concatenate([codes[i] for i in fit]) if len(fit) else np.zeros((0, WIDTH), np.int16)
+    y_fit = np.repeat(y[fit], [len(codes[i]) for i in fit])
     net, rng = Network(_start(seed)), np.random.default_rng(seed)
-    x_fit, y_fit = codes[~held], y[~held]
     moment = {k: np.zeros_like(v) for k, v in net.weights.items()}
     square = {k: np.zeros_like(v) for k, v in net.weights.items()}
     step = 0
@@ -217,13 +274,15 @@ def train(findings: list[tuple[str, int, int, int]] | None = None, recall: float
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 square[k] = 0.999 * square[k] + 0.001 * g * g
                 net.weights[k] = (net.weights[k] - 0.004 * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    if held.any() and 0 < y[held].mean() < 1:
+    tuned, judged = np.flatnonzero(side == 6), np.flatnonzero((side == 7) & (y == 1))
+    if len(tuned) and 0 < y[tuned].mean() < 1:
         from quillspark.llm.compression import calibrate
 
-        logit = np.concatenate([net.forward(codes[held][i : i + 512])["logit"] for i in range(0, int(held.sum()), 512)])
-        net.slope, net.shift = calibrate(logit.astype(np.float64), y[held])
-        found = np.sort(net.scores(codes[held])[y[held] == 1])
-        net.threshold = max(0.5, float(found[int((1 - recall) * len(found))]))
+        logit = np.array([max(net.forward(codes[i])["logit"]) for i in tuned], np.float64)
+        net.slope, net.shift = calibrate(logit, y[tuned])
+    if len(judged):
+        found = np.sort([net.scores(codes[i]).max() for i in judged])
+        net.threshold = float(found[int((1 - recall) * len(found))])
     return net
 
 
@@ -233,8 +292,7 @@ def spans(text: str, net: Network | None) -> list[tuple[str, int, int]]:
     if net:
         more = list(candidates(text, found))
         if more:
-            score = net.scores(np.array([_codes(text, a, b) for a, b in more], np.int16))
-            found += [("model", a, b) for (a, b), s in zip(more, score, strict=True) if s >= net.threshold]
+            found += [("model", a, b) for (a, b), s in zip(more, net.candidate_scores(text, more), strict=True) if s >= net.threshold]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -87,18 +87,72 @@ def test_secrets_base(text):
     assert sorted(secrets.base_spans(text), key=lambda s: (s[1], secrets.KINDS.index(s[0]))) == brute_spans(text)
 
 
-def test_secrets_network_held_out():
-    net = secrets.train()
-    found = secrets.labelled_findings(1500, 4242)
-    score = net.scores(np.array([secrets._codes(t, a, b) for t, a, b, _ in found]))
-    y = np.array([f[3] for f in found])
-    assert (score[y == 1] >= net.threshold).mean() > 0.9 and (score[y == 0] >= net.threshold).mean() < 0.02
+@pytest.fixture(scope="module")
+def net():
+    return secrets.train()
+
+
+def found_by(net, findings):
+    """The shares of look-alikes and of secrets that touch a candidate over the threshold."""
+    hits = ([], [])
+    for text, start, end, label in findings:
+        mine = [c for c in secrets.candidates(text, secrets.base_spans(text)) if c[0] < end and start < c[1]]
+        if mine:
+            hits[label].append(any(s >= net.threshold for s in net.candidate_scores(text, mine)))
+    return tuple(map(np.mean, hits))
+
+
+def test_secrets_network_held_out(net):
+    wrong, right = found_by(net, secrets.labelled_findings(1500, 4242))
+    assert right > 0.95 and wrong < 0.01
     text = "a plain sentence with Donaudampfschifffahrtsgesellschaft inside"
     assert secrets.spans(text, net) == []
     assert secrets.redact("ab cd ef", [("hex", 3, 5), ("model", 3, 4)]) == "ab [SECRET] ef"
 
 
-def test_secrets_scan(spark, docs, empty):
+@pytest.mark.parametrize(("form", "least"), [("prefixed", 0.85), ("dotted", 0.95), ("key", 0.95), ("link", 0.85)])
+def test_secrets_network_on_forms_left_out_of_training(form, least):
+    others = secrets.train(secrets.labelled_findings(8000, 7, [f for f in secrets.FORMS if f != form]))
+    wrong, right = found_by(others, secrets.labelled_findings(800, 99, [form]))
+    assert right >= least and wrong < 0.02
+
+
+def test_secrets_candidates_leave_no_part_unscored():
+    token = "ghp_" + "aB3dE5gH7" * 4
+    text = f"see //host/deadbeefdeadbeef/{token}/callback/notifications, or {'x1/' * 40}{token} end."
+    found = list(secrets.candidates(text, secrets.base_spans(text)))
+    assert [text[a:b] for a, b in found] == [f"/{token}/callback/notifications", f"{'x1/' * 40}{token}"]
+    for a, b in [*found, (0, 40), (3, 44), (0, 1000)]:
+        cut = secrets.windows(a, b)
+        assert cut[0][0] == a and cut[-1][1] == b and all(0 < y[0] - x[0] <= secrets.STEP for x, y in zip(cut, cut[1:], strict=False))
+    spaced = "pass phrase: Tr0ub4dor&3!xY#9kL@pq2W$z next"
+    assert [spaced[a:b] for a, b in secrets.candidates(spaced, [])] == ["Tr0ub4dor&3!xY#9kL@pq2W$z"]
+
+
+def test_secrets_planted_in_documents(spark, net):
+    """Secrets planted in whole documents are found, the documents' own spans stay, and few others come up."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()]
+    draw, rows, places = random.Random(12), [], {}
+    planted = [f for f in secrets.labelled_findings(2 * len(texts), 321) if f[3]]
+    for i, (text, (finding, start, end, _)) in enumerate(zip(texts, planted, strict=False)):
+        at = text.find(" ", draw.randrange(len(text) + 1)) + 1
+        rows.append((i, text[:at] + finding + " " + text[at:]))
+        places[i] = (at + start, at + end)
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), net).collect()
+    hits = stray = 0
+    for r in out:
+        found = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert [s for s in found if s[0] != "model"] == brute_spans(rows[r.doc_id][1])
+        low, high = places[r.doc_id]
+        hits += any(a < high and low < b for _, a, b in found)
+        stray += sum(k == "model" and not (a < high and low < b) for k, a, b in found)
+    assert hits >= 0.9 * len(rows) and stray <= 0.02 * len(rows)
+
+
+def test_secrets_scan(spark, docs, empty, net):
+    with_net = {r.doc_id: r for r in secrets.scan(docs, net).collect()}
+    assert len(with_net) == 10 and secrets.scan(empty, net).count() == 0 and secrets.redacted(empty, net).count() == 0
+    assert all(r.n_model == 0 for r in with_net.values()) and secrets.redacted(docs, net).columns == docs.columns
     out = {r.doc_id: r for r in secrets.scan(docs, None).collect()}
     assert len(out) == 10 and out[5].spans == "" and out[5].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(empty, None).count() == 0
