@@ -6,6 +6,8 @@ are spelt out here.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,34 +44,46 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, "０１２３４５６７８９", "0123456789")
 
 
+def _section(part: Column) -> Column:
+    """The value of numerals below a myriad, place by place: the digit that stands before each unit, and the last one.
+
+    A unit without a digit before it counts once.
+    """
+    ones = [k for k, v in CN_DIGITS.items() if v]
+    digit = lambda c: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k in ones for x in (k, CN_DIGITS[k])]), c), F.lit(0))
+    total = digit(F.substring(part, -1, 1))
+    for unit, value in CN_UNITS.items():
+        before = F.substring(F.substring_index(part, unit, 1), -1, 1)
+        total = total + F.when(part.contains(unit), F.greatest(digit(before), F.lit(1)) * value).otherwise(0)
+    return total.cast("long")
+
+
 def chinese_number(c: Column) -> Column:
     """The value of a number in digits of either width or Chinese numerals; null where other characters occur."""
-    digits = F.create_map(*[x for k, v in CN_DIGITS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    units = F.create_map(*[x for k, v in CN_UNITS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    zero = F.lit(0).cast("long")
-
-    def step(state: Column, ch: Column) -> Column:
-        section, num, total = state["section"], state["num"], state["total"]
-        return (
-            F.when(ch.isin(*CN_MYRIADS), F.struct((total + (section + num) * 10000).alias("total"), zero.alias("section"), zero.alias("num")))
-            .when(F.map_contains_key(digits, ch), F.struct(total.alias("total"), section.alias("section"), F.element_at(digits, ch).alias("num")))
-            .otherwise(F.struct(total.alias("total"), (section + F.when(num == 0, F.lit(1).cast("long")).otherwise(num) * F.element_at(units, ch)).alias("section"), zero.alias("num")))
-        )
-
-    start = F.struct(zero.alias("total"), zero.alias("section"), zero.alias("num"))
-    folded = F.aggregate(F.filter(F.split(c, ""), lambda x: x != ""), start, step, lambda s: s["total"] + s["section"] + s["num"])
     plain = ascii_digits(c)
+    myriad = CN_MYRIADS[0]
+    parts = F.split(F.translate(c, "".join(CN_MYRIADS), myriad * len(CN_MYRIADS)), myriad, -1)
+    values = F.transform(parts, _section)
+    above = F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + v) - F.element_at(values, -1)
     known = "".join([*CN_DIGITS, *CN_UNITS, *CN_MYRIADS])
-    return F.when(plain.rlike("^[0-9]+$"), plain.try_cast("long")).when(c.rlike(f"^[{known}]+$"), folded)
+    numerals = (F.translate(c, known, "") == "") & (c != "")
+    return F.when(plain.rlike("^[0-9]+$"), plain.try_cast("long")).when(numerals, above * 10000 + F.element_at(values, -1))
+
+
+#: What counts chapters after 第N, and the marks that end a bare number.
+COUNTERS, ENDS = "章回節节話话", "、.．:："
 
 
 def chapter_number(title: Column) -> Column:
-    """The number at the head of a chapter title, or null: 第12章, Chapter 12, or 12 followed by a mark."""
-    cn = "".join([*CN_DIGITS, *CN_UNITS, *CN_MYRIADS])
-    marked = F.regexp_extract(title, rf"(?U)^\s*第\s*([0-9０-９]+|[{cn}]+)\s*[章回节節话話]", 1)
-    english = F.regexp_extract(title, r"(?U)^\s*(?i:chapter)\s*([0-9]+)", 1)
-    plain = F.regexp_extract(title, r"(?U)^\s*([0-9０-９]+)\s*[、.．:：\s]", 1)
-    return chinese_number(F.coalesce(F.nullif(marked, F.lit("")), F.nullif(english, F.lit("")), F.nullif(plain, F.lit(""))))
+    """The number at the head of a chapter title, or null: 第12章, Chapter 12, or 12 followed by a mark or a space."""
+    t = F.regexp_replace(title, r"(?U)^\s+", "")
+    counted = F.translate(F.substring(t, 2, 1 << 30), COUNTERS, COUNTERS[0] * len(COUNTERS))
+    numeral = F.when(counted.contains(COUNTERS[0]), chinese_number(strip(F.substring_index(counted, COUNTERS[0], 1))))
+    english = F.regexp_extract(strip(F.substring(t, 8, 1 << 30)), "^[0-9]*", 0).try_cast("long")
+    ended = F.split(F.translate(F.regexp_replace(t, r"(?U)\s", " "), ENDS, " " * len(ENDS)), " ", 2)
+    bare = F.when(F.size(ended) > 1, ascii_digits(ended[0]))
+    other = F.when(F.lower(F.substring(t, 1, 7)) == "chapter", english).when(bare.rlike("^[0-9]+$"), bare.try_cast("long"))
+    return F.when(F.substring(t, 1, 1) == "第", numeral).otherwise(other)
 
 
 def url_key(url: Column) -> Column:
@@ -191,38 +205,52 @@ def stray_quote(c: Column) -> Column:
     return F.when(~single | (head == "") | ~c.rlike(pattern.replace("(?sU)", "(?U)")), c).when(bare, head).otherwise(F.concat(F.lit("“"), head, F.lit("” "), tail))
 
 
-def _upper_after(c: Column, before: str) -> Column:
-    """Letters of the lower class that follow a match of `before` in upper case.
+#: A mark that another one next to it absorbs, as (absorbed, before or after, by which).
+ABSORBED = [(",", "after", ".;"), (",", "before", ".!?"), (".", "before", "!?")]
 
-    The text is cut in front of every such letter; all parts but the first begin with one.
+
+def _settled_marks(c: Column) -> Column:
+    """Runs of marks reduced: no blanks before them, equal ones once, dots one or three, weaker ones absorbed."""
+    t = F.regexp_replace(c, r"(?U)\s+(?=[,;.!?])", "")
+    t = F.regexp_replace(t, r"([,!?])\1+", "$1")
+    t = F.replace(F.replace(F.regexp_replace(t, r"\.{3,}", "\ue001"), F.lit(".."), F.lit(".")), F.lit("\ue001"), F.lit("..."))
+    around = [f"(?<=[{by}]){mark}+" if side == "after" else f"{re.escape(mark)}(?=,*[{by}])" for mark, side, by in ABSORBED]
+    return F.regexp_replace(t, "|".join(around), "")
+
+
+def _token(x: Column, two: Column, one: Column, following: Column) -> Column:
+    """What becomes of a token between its neighbours: a run of blanks, a mark, a quote or other characters.
+
+    two and one are the tokens before it, null at the start; following is null at the end.
     """
-    mark = "\ue000"
-    parts = F.split(F.regexp_replace(c, f"({before})([{LOWER}])", f"$1{mark}$2"), mark, -1)
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30)))), "")
+    capital = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
+    last, blank = F.coalesce(F.when(strip(one) == "", two).otherwise(one), F.lit("")), one.isNotNull() & (strip(one) == "")
+    quoted = last.isin(*OPEN)
+    headed = (blank & last.isin(".", "!", "?")) | quoted
+    after_comma = following.isNull() | following.rlike(rf"(?U)^[\s\"'\)\]0-9{CLOSE}]")
+    return (
+        F.when(strip(x) == "", F.when(following.isin(*CLOSE) | quoted, "").otherwise(x))
+        .when(x.isin(",", ";", ":") & following.isNull(), ".")
+        .when((x == ",") & ~after_comma, ", ")
+        .when(x.isin(".", "!", "?") & following.rlike(f"^[{UPPER}]"), F.concat(x, F.lit(" ")))
+        .when((x == "“") & one.rlike(r"(?U)[\w:]$"), " “")
+        .when((x == "”") & following.rlike(r"(?U)^\w"), "” ")
+        .when(one.isNull() | (headed & x.rlike(f"^[{LOWER}]")), capital)
+        .otherwise(x)
+    )
 
 
 def repair(c: Column) -> Column:
-    """The repair of a translated paragraph: spaces, repeats, quotes, marks and capitals, in a fixed order."""
-
-    def rules(text: Column, steps: list[tuple[str, str]]) -> Column:
-        for pattern, put in steps:
-            text = F.regexp_replace(text, pattern, put)
-        return text
-
-    t = collapse_repeats(F.regexp_replace(c, r"[ \t]+", " "))
-    t = F.regexp_replace(t, r"(?U)^[\s,;.\-!?]+", "")
-    t = stray_quote(opening_quote(curl_quotes(t)))
-    marks = [
-        (r"(?U)\s+([,;.!?])", "$1"), (",{2,}", ","), (r"\.{4,}", "..."), (r"(?<!\.)\.\.(?!\.)", "."), ("!{2,}", "!"), (r"\?{2,}", "?"),
-        (r"\.,", "."), (r",\.", "."), (r"\.\?", "?"), (r"\.!", "!"), (",!", "!"), (r",\?", "?"), (";,", ";"),
-    ]
-    tight = [(rf"(?U)([{OPEN}])\s+", "$1"), (rf"(?U)\s+([{CLOSE}])", "$1")]
-    t = rules(t, [*marks, *tight, (f"([.!?])([{UPPER}])", "$1 $2"), (rf"(?U),([^\s\"'\)\]0-9{CLOSE}])", ", $1")])
-    t = F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))
-    t = _upper_after(t, r"[.!?](?U:\s+)")
-    t = _upper_after(F.regexp_replace(t, rf"(?U)([{OPEN}])\s*([{LOWER}])", "$1$2"), f"[{OPEN}]")
-    ends = [(r"(?U)”(?=\w)", "” "), (r"(?U)(?<=[\w:,])“", " “"), (r"\.{4,}", "..."), (r"(?U)[,;]\s*$", "."), (r"(?U):\s*$", ".")]
-    return strip(rules(t, [*tight, *ends]))
+    """The repair of a translated paragraph: spaces, repeats, quotes, marks and capitals.
+
+    Quotes and runs of marks are settled on the whole paragraph; it is then cut into tokens once, and each token is
+    decided between its neighbours.
+    """
+    t = F.regexp_replace(collapse_repeats(F.regexp_replace(c, r"[ \t]+", " ")), r"(?U)^[\s,;.\-!?]+", "")
+    t = strip(_settled_marks(stray_quote(opening_quote(curl_quotes(t)))))
+    tokens = F.regexp_extract_all(t, F.lit(rf"(?U)\s+|[,;:.!?{OPEN}{CLOSE}]|[^\s,;:.!?{OPEN}{CLOSE}]+"), F.lit(0))
+    decided = F.transform(F.array(tokens), lambda a: F.array_join(F.transform(a, lambda x, i: _token(x, F.get(a, i - 2), F.get(a, i - 1), F.get(a, i + 1))), ""))
+    return strip(F.get(decided, F.lit(0)))
 
 
 def repair_lines(c: Column) -> Column:
@@ -231,8 +259,8 @@ def repair_lines(c: Column) -> Column:
 
 
 def repair_title(c: Column) -> Column:
-    t = F.regexp_replace(strip(c), r"(?U)^[\s,;.\-!?]+", "")
-    return squeeze(F.regexp_replace(t, r"(?U)[,;.\-!?]+\s*$", ""))
+    """A title with white space squeezed, no marks at its head and none of its last run of marks."""
+    return strip(F.rtrim(F.ltrim(squeeze(c), F.lit(" ,;.-!?")), F.lit(",;.-!?")))
 
 
 def chapter_title(title: Column, label: Column) -> Column:
