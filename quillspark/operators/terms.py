@@ -10,6 +10,8 @@ from quillspark.functions import text as X
 #: Terms for a chapter, idiom hints for a chapter.
 MAX_TERMS, MAX_IDIOMS = 300, 60
 LITERAL = "nghĩa đen"
+#: The mark of an idiom in a meaning, and the heads of meanings that say nothing by themselves.
+MARKER, REFUSED = "(thành ngữ)", [LITERAL, "xem ", "biến thể"]
 
 
 def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, few: int = 200) -> DataFrame:
@@ -63,7 +65,7 @@ def admitted_idiom(zh: Column, vi: Column, text: Column, output: Column, script:
 
 def admitted_name(vi: Column, script: str = X.CJK) -> Column:
     v = X.strip(vi)
-    return F.coalesce(F.length(v).between(1, 60) & ~X.has_script(v, script) & (X.capital_words(v) >= 1), F.lit(False))
+    return F.coalesce(F.length(v).between(1, 60) & ~X.has_script(v, script) & (X.capital_words(v) >= 2), F.lit(False))
 
 
 def admitted_rendering(vi: Column, script: str = X.CJK) -> Column:
@@ -72,9 +74,13 @@ def admitted_rendering(vi: Column, script: str = X.CJK) -> Column:
 
 
 def clean_meaning(meaning: Column) -> Column:
-    """A dictionary meaning fit for a hint; empty for literal glosses, references, foreign script and brackets."""
-    m = X.strip(F.regexp_replace(F.coalesce(meaning, F.lit("")), r"(?iU)^(?:nghĩa bóng|thành ngữ)\s*[:,]\s*", ""))
-    return F.when(F.lower(m).startswith(LITERAL) | F.lower(m).startswith("xem ") | X.has_script(m) | m.contains("["), "").otherwise(m)
+    """A dictionary meaning fit for a hint, without the idiom's marker; empty for glosses, references, script and brackets."""
+    m = F.trim(F.replace(F.coalesce(meaning, F.lit("")), F.lit(MARKER), F.lit("")), F.lit(" ;,"))
+    low = F.lower(m)
+    refused = X.has_script(m) | m.contains("[")
+    for head in REFUSED:
+        refused = refused | low.startswith(head)
+    return F.when(refused, "").otherwise(m)
 
 
 def is_common(meaning: Column) -> Column:
@@ -128,6 +134,12 @@ def document_frequency(found: DataFrame, doc: str = "doc_id") -> DataFrame:
     return found.groupBy("term").agg(F.count_distinct(doc).alias("chapters"))
 
 
+def commonest(found: DataFrame, least: int = 3, most: int = 300, doc: str = "doc_id") -> DataFrame:
+    """(term, chapters, first_doc): the `most` terms that occur in the most texts, in `least` at least; ties by term hash."""
+    counts = found.groupBy("term").agg(F.count_distinct(doc).alias("chapters"), F.min(doc).alias("first_doc")).where(F.col("chapters") >= least)
+    return counts.orderBy(F.desc("chapters"), F.md5(F.col("term").cast("binary"))).limit(most)
+
+
 def first_hits(found: DataFrame, doc: str = "doc_id", most: int = MAX_IDIOMS) -> DataFrame:
     """At most `most` terms of each text by first place, then term; hit is their rank."""
     rank = F.row_number().over(Window.partitionBy(doc).orderBy("first_pos", "term"))
