@@ -1,13 +1,53 @@
-"""Tables between jobs."""
+"""Tables between the steps of a job, and rows numbered in groups of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Bytes that a table may have at most to be broadcast.
+BROADCAST = 32 << 20
+
+
+def shared_folder(spark) -> str:
+    """The folder that the driver and all executors share; in local mode, as in tests, one of this machine if none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/quillspark-scratch"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df computed into the shared checkpoint folder, its lineage cut; a local folder where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillspark-scratch")
-    return df.checkpoint()
+    """df written to the shared folder and read back: a short lineage that outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(table: DataFrame, width: int, most: int = BROADCAST) -> DataFrame:
+    """A table to be broadcast if its rows, counted, take `most` bytes at `width` each; else as it is, to be shuffled."""
+    return F.broadcast(table) if table.count() * width <= most else table
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
+    """df with the 1-based place of each row in its group, in two levels, so that no group is sorted in one task.
+
+    Rows are dealt into ranges of group and order; each range numbers its own, and counts by range give the offsets.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(tasks, *group, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    met = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        met = met & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
+    out = ranged.withColumn("_inside", inside).join(offsets, met)
+    return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))

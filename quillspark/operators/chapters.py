@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered, small
 
 #: Fixed value: the line that ends a chapter.
 RULE = "=" * 40
+#: Shares that the rows of a zone are dealt into before the first draws of all are chosen.
+SHARES = 64
 
 
 def parse_chapters(files: DataFrame) -> DataFrame:
@@ -28,8 +31,7 @@ def parse_chapters(files: DataFrame) -> DataFrame:
 
 def content_chapters(chapters: DataFrame) -> DataFrame:
     """Chapters without the title entry, numbered from 1 as source_index."""
-    order = Window.partitionBy("novel_id").orderBy("pos")
-    return chapters.where("NOT is_title_entry").withColumn("source_index", F.row_number().over(order))
+    return numbered(chapters.where("NOT is_title_entry"), ["novel_id"], ["pos"], "source_index")
 
 
 def completed(value: Column) -> Column:
@@ -42,15 +44,18 @@ def entry_text(title: Column, paragraphs: Column) -> Column:
     return F.concat(F.lit("=== "), title, F.lit(" ===\n\n"), body, F.lit("\n" + RULE + "\n\n"))
 
 
-def chapter_files(chapters: DataFrame, titled: str = "raw") -> DataFrame:
-    """(novel_id, value): the file of each novel, chapters in order.
+def chapter_files(chapters: DataFrame, titled: str = "raw", size: int = 64) -> DataFrame:
+    """(novel_id, part, value): the file of each novel in parts of `size` chapters, which follow one another from 0.
 
-    A title entry is written without a rule in raw files and with one in translated files.
+    A title entry is written without a rule in raw files and with one in translated files. A novel of any length is
+    numbered in ranges, and no task holds more than a part.
     """
     bare = F.col("is_title_entry") & F.lit(titled == "raw")
     entry = F.when(bare, F.concat(F.lit("=== "), F.col("title"), F.lit(" ===\n\n"))).otherwise(entry_text(F.col("title"), F.col("paragraphs")))
-    parts = chapters.groupBy("novel_id").agg(F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("parts"))
-    return parts.select("novel_id", F.array_join(F.transform("parts", lambda x: x["entry"]), "").alias("value"))
+    placed = numbered(chapters.select("novel_id", "pos", "title", "paragraphs", "is_title_entry"), ["novel_id"], ["pos"])
+    placed = placed.withColumn("part", F.floor((F.col("number") - 1) / size))
+    parts = placed.groupBy("novel_id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("parts"))
+    return parts.select("novel_id", "part", F.array_join(F.transform("parts", lambda x: x["entry"]), "").alias("value"))
 
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -95,18 +100,24 @@ def labels(chapters: DataFrame) -> DataFrame:
 
 def batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:
     """batch: rows of a group in runs of `size`."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1) / size))
+    placed = numbered(df, group, order, "_number")
+    return placed.withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
 def style_sample(chapters: DataFrame, k: int = 5, seed: str = "style") -> DataFrame:
     """Up to k chapters of each novel, at least one of each of its first, middle and last fifth, by a seeded hash."""
-    order, whole = Window.partitionBy("novel_id").orderBy("pos"), Window.partitionBy("novel_id")
-    rows = chapters.where(F.size("paragraphs") > 0).withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(whole))
+    rows = chapters.where(F.size("paragraphs") > 0)
+    sizes = rows.groupBy("novel_id").agg(F.count("*").alias("n"))
+    rows = numbered(rows.select("novel_id", "pos"), ["novel_id"], ["pos"]).withColumn("i", F.col("number") - 1).drop("number").join(small(sizes, 64), "novel_id")
     z, half = F.greatest(F.lit(1), F.floor(F.col("n") / 5)), F.floor(F.col("n") / 2)
     mid_low, mid_high = F.greatest(z, half - z), F.least(F.col("n") - z, half + z)
     zone = F.when(F.col("i") < z, "first").when(F.col("i").between(mid_low, mid_high - 1), "mid").when(F.col("i") >= F.greatest(mid_high, F.col("n") - z), "last").otherwise("rest")
     rows = rows.withColumn("zone", zone).withColumn("draw", F.md5(F.concat_ws(":", F.lit(seed), "novel_id", "pos").cast("binary")))
+    # Only the k first draws of each zone can be chosen: shares of a zone give theirs, and those meet by novel.
+    share = F.row_number().over(Window.partitionBy("novel_id", "zone", F.pmod(F.xxhash64("pos"), F.lit(SHARES))).orderBy("draw"))
+    rows = rows.withColumn("_share", share).where(F.col("_share") <= k)
     in_zone = F.row_number().over(Window.partitionBy("novel_id", "zone").orderBy("draw"))
     rows = rows.withColumn("wanted", (F.col("zone") != "rest") & (in_zone <= max(1, k // 3)))
     rank = F.row_number().over(Window.partitionBy("novel_id").orderBy(F.desc("wanted"), "draw"))
-    return rows.withColumn("rank", rank).where((F.col("rank") <= k) | (F.col("n") <= 5)).drop("i", "n", "draw", "wanted", "rank")
+    picked = rows.withColumn("rank", rank).where((F.col("rank") <= k) | (F.col("n") <= 5)).select("novel_id", "pos", "zone")
+    return chapters.join(small(picked, 64), ["novel_id", "pos"])

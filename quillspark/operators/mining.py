@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, small
 
 #: Least entropy and cohesion of a name, longest gram, candidates kept.
 ENTROPY, COHESION, LONGEST, RARE, COMMON = 1.0, 20.0, 6, 600, 200
@@ -28,8 +28,9 @@ def occurrences(found: DataFrame, n: int) -> DataFrame:
 def frequent_grams(found: DataFrame, longest: int = LONGEST, least: int | None = None) -> tuple[DataFrame, int, int]:
     """Counts (gram, n) of all grams up to `longest` with at least `least` places, with the total and the threshold.
 
-    Level by level: a gram is only counted if both of its parts shorter by one are frequent, and only runs that still
-    hold frequent grams are cut. Counts are partial sums, so frequent grams do not gather in one task.
+    Level by level: a place is only counted if both parts of its gram, shorter by one, are frequent. The frequent grams
+    of a level are broadcast if they measure small, as at the default threshold, which leaves 200,000 at most; so only
+    what passes is shuffled. Counts are partial sums, so frequent grams do not gather in one task.
     """
     total = found.agg(F.coalesce(F.sum(F.length("run")), F.lit(0))).first()[0] or 1
     least = max(5, total // 200_000) if least is None else least
@@ -38,8 +39,9 @@ def frequent_grams(found: DataFrame, longest: int = LONGEST, least: int | None =
     for n in range(2, longest + 1):
         head = level.select(F.col("gram").alias("head"))
         tail = level.select(F.col("gram").alias("tail"))
-        counted = occurrences(found, n).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        level = cut(counted.join(head, F.expr(f"substring(gram, 1, {n - 1})") == F.col("head"), "left_semi").join(tail, F.expr(f"substring(gram, 2, {n - 1})") == F.col("tail"), "left_semi"))
+        places = occurrences(found, n).join(small(head, 64), F.expr(f"substring(gram, 1, {n - 1})") == F.col("head"), "left_semi")
+        places = places.join(small(tail, 64), F.expr(f"substring(gram, 2, {n - 1})") == F.col("tail"), "left_semi")
+        level = cut(places.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least))
         levels.append(level)
     return reduce(DataFrame.unionByName, levels), total, least
 
@@ -47,7 +49,7 @@ def frequent_grams(found: DataFrame, longest: int = LONGEST, least: int | None =
 def entropy(found: DataFrame, grams: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(gram, left_entropy, right_entropy) in nats; every edge of a run counts as a neighbour of its own."""
     places = reduce(DataFrame.unionByName, [occurrences(found, n) for n in range(2, longest + 1)])
-    sides = places.join(grams.select("gram"), "gram", "left_semi").select("gram", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("lft").alias("ch")), F.struct(F.lit("r").alias("side"), F.col("rgt").alias("ch")))).alias("x"))
+    sides = places.join(small(grams.select("gram"), 64), "gram", "left_semi").select("gram", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("lft").alias("ch")), F.struct(F.lit("r").alias("side"), F.col("rgt").alias("ch")))).alias("x"))
     counts = sides.groupBy("gram", "x.side", "x.ch").agg(F.count("*").alias("n"))
     edge = F.col("ch").isin("^", "$")
     sums = counts.groupBy("gram", "side").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(edge, F.col("n"))), F.lit(0)).alias("edge"), F.coalesce(F.sum(F.when(~edge, F.col("n") * F.log("n"))), F.lit(0.0)).alias("nlogn"), F.coalesce(F.sum(F.when(~edge, F.col("n"))), F.lit(0)).alias("inner"))
@@ -95,7 +97,7 @@ def name_candidates(docs: DataFrame, common: DataFrame, idioms: DataFrame, surna
     ranked = cut(names.withColumn("rank", F.row_number().over(Window.partitionBy("common").orderBy(F.desc(F.col("n") * bonus), "gram"))).where(F.col("rank") <= F.when(F.col("common"), usual).otherwise(rare)))
     from quillspark.operators.terms import containment
 
-    hits = containment(docs, ranked.select(F.col("gram").alias("term")), doc, text, few=2 * (rare + usual))
+    hits = containment(docs, ranked.select(F.col("gram").alias("term")), doc, text)
     places = Window.partitionBy("term").orderBy(doc)
     hits = hits.withColumn("k", F.row_number().over(places)).where("k <= 2").join(docs.select(doc, text), doc)
     hits = hits.withColumn("snip", X.snippet(F.col(text), F.col("first_pos"), F.length("term"), 18)).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("k", "snip"))).alias("s"))

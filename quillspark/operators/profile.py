@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 #: Fields that a source may give, and those of the package whose change calls for a new one.
@@ -79,4 +80,4 @@ def library(files: DataFrame, endings: list[str]) -> DataFrame:
     """
     listed = files.where(F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1)).isin(*endings))
     first = listed.groupBy("name").agg(F.min_by(F.struct("size", "mtime", "folder_order"), "folder_order").alias("f")).select("name", "f.*")
-    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mtime"), "name")))
+    return numbered(first.withColumn("_all", F.lit(0)), ["_all"], [F.desc("mtime"), "name"], "rank").drop("_all")

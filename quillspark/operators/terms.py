@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import cut, small
 
 #: Terms for a chapter, idiom hints for a chapter.
 MAX_TERMS, MAX_IDIOMS = 300, 60
@@ -14,28 +15,27 @@ LITERAL = "nghĩa đen"
 MARKER, REFUSED = "(thành ngữ)", [LITERAL, "xem ", "biến thể"]
 
 
-def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, few: int = 200) -> DataFrame:
+def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8) -> DataFrame:
     """(doc, term, first_pos): every term that a text contains, with its first 1-based place.
 
-    The dictionary is counted first. Up to `few` terms are broadcast, and each text is searched for them where it is
-    read. Larger dictionaries are looked up by hashes: of each term's first `stretch` characters (a shorter term's
-    own), joined to the hashes of the texts' distinct runs of those sizes; only what meets is searched. Empty and
-    null terms are in no text.
+    Terms are looked up by hashes of their first `stretch` characters (a shorter term's own) among the hashes of the
+    texts' distinct runs of those sizes. The keys are broadcast if they measure small, so that a text's runs are looked
+    up where it is read and only hits leave the scan; what meets is searched in the text, again without a shuffle if
+    the hits measure small. Empty and null terms are in no text.
     """
     keyed = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0)
-    if keyed.limit(few + 1).count() <= few:
-        met = source.join(F.broadcast(keyed), F.col("text").contains(F.col("term")))
-    else:
-        keyed = keyed.withColumn("size", F.least(F.length("term"), F.lit(stretch))).withColumn("key", F.xxhash64(F.expr(f"substring(term, 1, {stretch})")))
-        sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())
-
-        def runs(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (n - 1)))
-            return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n)))))
-
-        keys = source.select("doc", F.explode(F.flatten(F.array(*[runs(n) for n in sizes]))).alias("key"))
-        met = keys.join(keyed, "key").select("doc", "term").join(source, "doc").where(F.col("text").contains(F.col("term")))
+    keyed = cut(keyed.select("term", F.least(F.length("term"), F.lit(stretch)).alias("size"), F.xxhash64(F.expr(f"substring(term, 1, {stretch})")).alias("key")))
+    sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (n - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n)))))
+
+    keys = source.select("doc", F.explode(F.flatten(F.array(*[runs(n) for n in sizes] or [F.array().cast("array<bigint>")]))).alias("key"))
+    hits = cut(keys.join(small(keyed.select("key").distinct(), 16), "key", "left_semi").distinct())
+    hits = cut(hits.join(small(keyed, 256), "key").select("doc", "term"))
+    met = source.join(small(hits, 256), "doc").where(F.col("text").contains(F.col("term")))
     return met.select(F.col("doc").alias(doc), "term", F.instr(F.col("text"), F.col("term")).alias("first_pos"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered
 
 # USD for a source character, USD for a million tokens, factors of the reasoning setting.
 RATES = {"low": 3.9e-6, "average": 4.4e-6, "high": 5.7e-6}
@@ -42,8 +43,7 @@ def estimate(chapters: DataFrame, translated: DataFrame, effort: str = "medium",
     chapters(novel_id, pos, chars), translated(novel_id, n), and web_chapters(novel_id, n) where a catalogue is longer
     than what was crawled: its missing chapters count with the average length, rounded half to even.
     """
-    order = Window.partitionBy("novel_id").orderBy("pos")
-    rows = chapters.withColumn("ord", F.row_number().over(order)).join(translated.select("novel_id", F.col("n").alias("done")), "novel_id", "left")
+    rows = numbered(chapters.select("novel_id", "pos", "chars"), ["novel_id"], ["pos"], "ord").join(translated.select("novel_id", F.col("n").alias("done")), "novel_id", "left")
     sums = rows.groupBy("novel_id").agg(F.count("*").alias("crawled"), F.sum("chars").alias("chars"), F.sum(F.when(F.col("ord") > F.coalesce("done", F.lit(0)), F.col("chars")).otherwise(0)).alias("left"), F.max(F.coalesce("done", F.lit(0))).alias("done"))
     if web_chapters is not None:
         sums = sums.join(web_chapters.select("novel_id", F.col("n").alias("web")), "novel_id", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered
 from quillspark.operators import chapters as C
 from quillspark.operators import crawl, heal, profile, terms, usage, validation
 from quillspark.plans.queries import contained, query, table, turn_pairs
@@ -99,7 +100,8 @@ def resume_overlap(spark, sf_dir):
 
 @query(f"SELECT source, w AS wanted, CASE WHEN count(number) = 0 THEN w - 1 ELSE coalesce(min(ord) FILTER (number >= w), count(*)) END AS next_index FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord FROM {NUMBERED}), (SELECT unnest([3, 500, 5000])::BIGINT AS w) GROUP BY source, w")
 def catalogue_from_number(spark, sf_dir):
-    rows = numbered_titles(spark, sf_dir).select(F.col("source").alias("book_id"), "title", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("ord"))
+    rows = numbered_titles(spark, sf_dir).select(F.col("source").alias("book_id"), "title", "doc_id")
+    rows = numbered(rows, ["book_id"], ["doc_id"]).select("book_id", "title", (F.col("number") - 1).alias("ord"))
     wanted = rows.select("book_id").distinct().withColumn("wanted", F.explode(F.array(*[F.lit(n).cast("long") for n in (3, 500, 5000)])))
     return crawl.from_number(rows, wanted).select(F.col("book_id").alias("source"), "wanted", "next_index")
 
@@ -248,9 +250,9 @@ def idiom_renderings(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", known.alias("known"), hint.alias("hint"))
 
 
-@query("SELECT term_md5, chapters, first_doc FROM (SELECT md5(text) AS term_md5, (SELECT count(DISTINCT doc_id) FROM documents d WHERE contains(d.text, b.text)) AS chapters, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, b.text)) AS first_doc FROM (SELECT DISTINCT text FROM benchmark WHERE length(text) > 0) b) WHERE chapters >= 3 ORDER BY chapters DESC, term_md5 LIMIT 300")
+@query("SELECT term_md5, chapters, first_doc FROM (SELECT md5(text) AS term_md5, (SELECT count(DISTINCT doc_id) FROM documents d WHERE contains(d.text, b.text)) AS chapters, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, b.text)) AS first_doc FROM (SELECT DISTINCT text FROM benchmark WHERE length(text) > 0) b) WHERE chapters >= 1 ORDER BY chapters DESC, term_md5 LIMIT 300")
 def commonest_passages(spark, sf_dir):
-    found = terms.commonest(contained(spark, sf_dir), least=3, most=300)
+    found = terms.commonest(contained(spark, sf_dir), least=1, most=300)
     return found.select(md5(F.col("term")).alias("term_md5"), "chapters", "first_doc")
 
 

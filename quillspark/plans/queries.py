@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.operators import chapters as C
+from quillspark.functions.tables import numbered
 from quillspark.operators import crawl, heal, mining, terms, usage, validation
 from quillspark.sources import dictionaries, pages
 
@@ -79,13 +80,13 @@ def unique_documents(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT lang, left(text, 12) AS head, min(doc_id) AS k, text FROM documents WHERE length(text) > 0 GROUP BY lang, text),
+WITH d AS (SELECT lang, string_split(text, chr(10))[1] AS head, min(doc_id) AS k, text FROM documents WHERE length(text) > 0 GROUP BY lang, text),
 h AS (SELECT lang, head, k, c, count(*) AS m, any_value(n) AS n FROM (SELECT lang, head, k, length(text) AS n, unnest(string_split(text, '')) AS c FROM d) WHERE c <> '' GROUP BY ALL)
-SELECT lang, head, a.k AS key_a, b.k AS key_b, round(2 * sum(least(a.m, b.m)) / (any_value(a.n) + any_value(b.n)), 6)::DOUBLE AS ratio
+SELECT lang, md5(head) AS title_md5, a.k AS key_a, b.k AS key_b, round(2 * sum(least(a.m, b.m)) / (any_value(a.n) + any_value(b.n)), 6)::DOUBLE AS ratio
 FROM h a JOIN h b USING (lang, head, c) WHERE a.k < b.k GROUP BY lang, head, a.k, b.k HAVING 2 * sum(least(a.m, b.m)) / (any_value(a.n) + any_value(b.n)) >= 0.97""")
 def near_dup_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("lang", F.substring("text", 1, 12).alias("head"), "doc_id", "text")
-    return heal.near_pairs(rows, ["lang", "head"], "doc_id", "text").withColumn("ratio", F.round("ratio", 6))
+    rows = table(spark, sf_dir, "documents").select("lang", F.substring_index("text", "\n", 1).alias("head"), "doc_id", "text")
+    return heal.near_pairs(rows, ["lang", "head"], "doc_id", "text").select("lang", F.md5(F.col("head").cast("binary")).alias("title_md5"), "key_a", "key_b", F.round("ratio", 6).alias("ratio"))
 
 
 @query()
@@ -182,15 +183,15 @@ def name_candidates(spark, sf_dir):
 
 
 @query("""
-WITH d AS (SELECT doc_id::VARCHAR AS key, CASE quality WHEN 1 THEN 'approved' ELSE 'rejected' END AS status, CASE toxic WHEN 1 THEN 'tuyen' ELSE 'dich' END AS src, left(text, 20) AS vi FROM labels JOIN documents USING (doc_id)),
-c AS (SELECT doc_id::VARCHAR AS key, left(text, 20) AS vi FROM documents WHERE doc_id % 2 = 0),
+WITH d AS (SELECT doc_id::VARCHAR AS key, CASE quality WHEN 1 THEN 'approved' ELSE 'rejected' END AS status, CASE toxic WHEN 1 THEN 'tuyen' ELSE 'dich' END AS src, CASE quality WHEN 1 THEN text ELSE lang END AS vi FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT doc_id::VARCHAR AS key, CASE WHEN source < 'src2' THEN text ELSE source END AS vi FROM documents WHERE lang IN ('en', 'de')),
 j AS (SELECT d.key, d.status, regexp_replace(d.vi, '^\\s+|\\s+$', '', 'g') AS vi, CASE WHEN src = 'tuyen' AND c.key IS NOT NULL THEN 'tuyen' ELSE 'dich' END AS route, c.vi AS old FROM d LEFT JOIN c USING (key)),
 o AS (SELECT route, status, CASE WHEN route = 'tuyen' AND status = 'rejected' THEN 'delete' WHEN route = 'tuyen' AND vi <> '' AND vi <> old THEN 'update' WHEN route = 'tuyen' THEN 'same' WHEN status = 'approved' AND vi <> '' THEN 'approve' ELSE 'reject' END AS outcome FROM j)
 SELECT route, status, outcome, count(*) AS n FROM o GROUP BY ALL""".replace("\\\\", "\\"))
 def label_review_merge(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    given = table(spark, sf_dir, "labels").join(docs.select("doc_id", F.substring("text", 1, 20).alias("vi")), "doc_id").select(F.col("doc_id").cast("string").alias("key"), "vi", F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("status"), F.when(F.col("toxic") == 1, "tuyen").otherwise("dich").alias("src"))
-    curated = docs.where("doc_id % 2 = 0").select(F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 20).alias("vi"))
+    given = table(spark, sf_dir, "labels").join(docs.select("doc_id", "lang", "text"), "doc_id").select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("quality") == 1, F.col("text")).otherwise(F.col("lang")).alias("vi"), F.when(F.col("quality") == 1, "approved").otherwise("rejected").alias("status"), F.when(F.col("toxic") == 1, "tuyen").otherwise("dich").alias("src"))
+    curated = docs.where("lang IN ('en', 'de')").select(F.col("doc_id").cast("string").alias("key"), F.when(F.col("source") < "src2", F.col("text")).otherwise(F.col("source")).alias("vi"))
     return terms.apply_review(given, curated).groupBy("route", "status", "outcome").agg(F.count("*").alias("n"))
 
 
@@ -312,14 +313,13 @@ def asof_next_index(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord, left(text, 6) AS title FROM documents),
+WITH c AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ord, string_split(text, chr(10))[1] AS title FROM documents),
 s AS (SELECT source, count(*) // 2 AS existing, arg_max(title, ord) AS last_title FROM c GROUP BY source),
 n AS (SELECT s.source, s.existing, min((abs(c.ord - (s.existing - 1)) * 1000000 + c.ord)) AS best FROM s LEFT JOIN c ON c.source = s.source AND regexp_replace(c.title, '\\s+', '', 'g') = regexp_replace(s.last_title, '\\s+', '', 'g') GROUP BY ALL)
 SELECT source, CASE WHEN existing > 0 THEN coalesce(best % 1000000 + 1, existing) ELSE 0 END::BIGINT AS next_index FROM n""".replace("\\\\", "\\"))
 def nearest_resume(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ord"), F.substring("text", 1, 6).alias("title"), F.lit("").alias("url"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.substring_index("text", "\n", 1).alias("title"))
+    rows = numbered(docs, ["source"], ["doc_id"]).select(F.col("source").alias("book_id"), (F.col("number") - 1).alias("ord"), "title", F.lit("").alias("url"))
     state = rows.groupBy("book_id").agg(F.floor(F.count("*") / 2).alias("existing"), F.max_by("title", "ord").alias("last_title")).withColumn("last_url", F.lit(""))
     return crawl.resume_index(rows, state).select(F.col("book_id").alias("source"), F.col("next_index").cast("long"))
 
@@ -379,9 +379,10 @@ def dictionary_priority_merge(spark, sf_dir):
     return dictionaries.priority_union([odd, even])
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(left(text, 40), '[<>:\"/\\|?*\x00-\x1f]', '_', 'g'), '\s+', ' ', 'g') AS raw_name FROM documents")
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[<>:\"/\\|?*\x00-\x1f]', '_', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g'), '^[. ]+', ''), '[. ]+$', '')) AS name_md5 FROM documents WHERE regexp_matches(text, '[^. ]')")
 def file_names(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.regexp_replace(F.substring("text", 1, 40), r'[<>:"/\\|?*\x00-\x1f]', "_"), r"\s+", " ").alias("raw_name"))
+    rows = table(spark, sf_dir, "documents").where(F.col("text").rlike("[^. ]"))
+    return rows.select("doc_id", F.md5(X.safe_name(F.col("text")).cast("binary")).alias("name_md5"))
 
 
 @query(f"SELECT doc_id, count(*) FILTER (regexp_matches(regexp_replace(lower(line), '\\s+', '', 'g'), '^loadadv\\([^)]*\\);?$') OR contains(lower(line), 'licensed')) AS n_ads FROM {LINES} GROUP BY doc_id".replace("\\\\", "\\"))
@@ -399,12 +400,11 @@ def heal_summary(spark, sf_dir):
     return heal.heal(novels, translated)["summary"]
 
 
-@query(r"SELECT source AS novel_id, (SELECT count(*) FROM documents d WHERE d.source = s.source) AS chapters, length(string_agg(text, '' ORDER BY doc_id)) AS n_chars, sha256(string_agg('=== ' || doc_id || ' ===' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || repeat('=', 40) || chr(10) || chr(10), '' ORDER BY doc_id)) AS file_sha256 FROM documents s GROUP BY source")
+@query(r"SELECT source AS novel_id, part, sha256(string_agg('=== ' || doc_id || ' ===' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || repeat('=', 40) || chr(10) || chr(10), '' ORDER BY doc_id)) AS part_sha256 FROM (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 64 AS part FROM documents) GROUP BY source, part")
 def chapter_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("title"), F.array("text").alias("paragraphs"), F.lit(False).alias("is_title_entry"))
-    sizes = docs.groupBy(F.col("source").alias("novel_id")).agg(F.count("*").alias("chapters"), F.sum(F.length("text")).cast("long").alias("n_chars"))
-    return C.chapter_files(rows).select("novel_id", F.sha2("value", 256).alias("file_sha256")).join(sizes, "novel_id")
+    return C.chapter_files(rows).select("novel_id", "part", F.sha2("value", 256).alias("part_sha256"))
 
 
 @query()

@@ -9,9 +9,11 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from quillspark.functions.tables import numbered, shared_folder
 from quillspark.operators import terms
 
 
@@ -111,9 +113,9 @@ def evolving_votes(stream_batch: DataFrame, memory: DataFrame) -> DataFrame:
 def replay(chapters: DataFrame) -> DataFrame:
     """Chapters written to a folder, streamed in order by append_in_order(), and read back: (novel_id, n, last_pos)."""
     spark = chapters.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillspark-scratch"
+    base = shared_folder(spark)
     place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    ordered = chapters.withColumn("pos", F.row_number().over(Window.partitionBy("novel_id").orderBy("pos")) - 1)
+    ordered = numbered(chapters, ["novel_id"], ["pos"]).withColumn("pos", (F.col("number") - 1).cast("int")).drop("number")
     ordered.write.parquet(f"{place}/in")
     schema = ", ".join(f"{n} {t}" for n, t in ordered.dtypes)
     append_in_order(chapter_source(spark, f"{place}/in", schema), f"{place}/out", f"{place}/state").awaitTermination()

@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import tables
 from quillspark.functions import text as X
 from quillspark.operators import chapters as C
 from quillspark.operators import crawl, heal, mining, terms, usage, validation
@@ -112,14 +113,25 @@ def test_near_pairs_against_brute_force(spark):
     assert got == want
 
 
-def test_containment_both_ways(spark):
+def test_numbered_in_groups_of_any_size(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k) for k in rng.sample(range(10**6), 3000)]
+    got = {(r.g, r.k): r.number for r in tables.numbered(spark.createDataFrame(rows, "g string, k long"), ["g"], ["k"]).collect()}
+    for g in ("a", "b", None):
+        keys = sorted(k for x, k in rows if x == g)
+        assert [got[g, k] for k in keys] == list(range(1, len(keys) + 1))
+    assert tables.numbered(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
+
+
+def test_containment_both_ways(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(i, "".join(rng.choice("abcé") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(99, None)]
     words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(30)] + ["", None]
     d, w = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in words], "term string")
     want = {(i, x, t.index(x) + 1) for i, t in docs for x in set(words) if x and t and x in t}
-    for few in (100, 1):
-        assert {tuple(r) for r in terms.containment(d, w, stretch=4, few=few).collect()} == want
+    for most in (tables.BROADCAST, 0):
+        monkeypatch.setattr(tables.small, "__defaults__", (most,))
+        assert {tuple(r) for r in terms.containment(d, w, stretch=4).collect()} == want
 
 
 def test_votes_keep_ties(spark):
