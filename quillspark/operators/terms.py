@@ -113,20 +113,16 @@ def purge(meta: DataFrame, now: Column | int, idle: int = 100) -> DataFrame:
 def vote(events: DataFrame, key: str, variant: str, order: list[str]) -> DataFrame:
     """(key, rendering, chapters, first, last): the rendering after all events of a key, in order.
 
-    A variant replaces the current one only with strictly more votes, so ties keep what came first; the fold over a
-    key's ordered events is path dependent. A key's events are bounded by the chapters of a novel.
+    A variant replaces the current one only with strictly more votes, so ties keep what came first: in the end the
+    rendering is the variant that was first to reach the most votes of any. Votes are counted by window over the events
+    of each variant; no key's events are gathered.
     """
-    folded = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(variant).alias("v")))).alias("e"), F.count("*").alias("chapters"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"))
-    start = F.struct(F.lit(None).cast("string").alias("best"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>")).alias("votes"))
-
-    def step(state: Column, event: Column) -> Column:
-        v = event["v"].cast("string")
-        mine = F.coalesce(F.try_element_at(state["votes"], v), F.lit(0).cast("long")) + 1
-        votes = F.map_concat(F.map_filter(state["votes"], lambda k, _: k != v), F.create_map(v, mine))
-        best = F.when(state["best"].isNull() | (F.coalesce(F.try_element_at(votes, state["best"]), F.lit(0).cast("long")) < mine), v).otherwise(state["best"])
-        return F.struct(best.alias("best"), votes.alias("votes"))
-
-    return folded.select(key, F.aggregate("e", start, step, lambda s: s["best"]).alias("rendering"), "chapters", "first", "last")
+    at = F.struct(*order).alias("at")
+    votes = events.select(key, F.col(variant).cast("string").alias("v"), at, F.col(order[0]).alias("place"))
+    votes = votes.withColumn("vote", F.row_number().over(Window.partitionBy(key, "v").orderBy("at")))
+    reached = votes.groupBy(key, "vote").agg(F.min_by("v", F.struct("at", "v")).alias("v"), F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"))
+    best = F.max_by("v", "vote").alias("rendering")
+    return reached.groupBy(key).agg(best, F.sum("n").alias("chapters"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def document_frequency(found: DataFrame, doc: str = "doc_id") -> DataFrame:

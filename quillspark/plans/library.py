@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as X
 from quillspark.functions.tables import numbered
 from quillspark.operators import chapters as C
-from quillspark.operators import crawl, heal, profile, terms, usage, validation
+from quillspark.operators import crawl, heal, mining, profile, terms, usage, validation
 from quillspark.plans.queries import contained, query, table, turn_pairs
 from quillspark.sources import dictionaries as D
+from quillspark.sources import pages as P
 from quillspark.sources import responses
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -510,3 +511,46 @@ def export_counts(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), "o_orderstatus")
     books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"))
     return profile.export_counts(books, orders, orders.where("o_orderstatus = 'F'")).withColumnRenamed("path", "custkey")
+
+
+# Pages, scripts, parts of names
+@query("SELECT page_id, rtrim(url, '/') || '/x.html' AS next, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/b/c' AS rooted, 'https://else.org/q' AS whole FROM pages WHERE NOT regexp_matches(url, '[?#]')")
+def absolute_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").where("NOT url RLIKE '[?#]'")
+    base = F.concat(F.rtrim("url", F.lit("/")), F.lit("/"))
+    links = {"next": "./y/../x.html", "rooted": "/b/./c", "whole": "https://else.org/q"}
+    return pages.select("page_id", *[P.absolute(base, F.lit(h)).alias(n) for n, h in links.items()])
+
+
+@query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE '年' || lang END) AS text_md5 FROM documents")
+def decoded_bytes(spark, sf_dir):
+    """English documents as UTF-8; the others' languages after a character whose GB18030 bytes are not UTF-8."""
+    raw = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(F.concat(F.unhex(F.lit("C4EA")), F.col("lang").cast("binary")))
+    return table(spark, sf_dir, "documents").select("doc_id", md5(P.decoded(raw)).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(translate(text, 'aeß', 'αεs')) AS text_md5 FROM documents")
+def mapped_scripts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", md5(X.to_simplified(F.col("text"), {"a": "α", "e": "ε", "ß": "s"})).alias("text_md5"))
+
+
+@query("SELECT c_custkey AS custkey, count(*) FILTER (o_orderstatus = 'F') = count(*) AS ok, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def chapter_pages(spark, sf_dir):
+    """Orders as the pages of a chapter of each customer: whole only if every one is there and in order."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book"), F.lit(1).alias("chapter"), place.alias("page"), F.count("*").over(Window.partitionBy("o_custkey")).alias("last"), F.when(F.col("o_orderstatus") == "F", "ok").otherwise("missing").alias("status"), F.array("o_orderpriority").alias("paragraphs"))
+    out = P.join_chapter_pages(rows).join(rows.groupBy("book").agg(F.count("*").alias("n")), "book")
+    return out.select(F.col("book").alias("custkey"), (F.col("status") == "ok").alias("ok"), "n")
+
+
+@query("""WITH k AS (SELECT p_name AS gram, count(*) AS n FROM part GROUP BY 1 UNION SELECT left(p_name, 4), count(*) FROM part GROUP BY 1 UNION SELECT p_name || 'x', 1 FROM part WHERE p_size < 20),
+u AS (SELECT gram, max(n) AS n FROM k GROUP BY gram),
+c AS (SELECT h.gram AS h, h.n AS hn, g.gram AS g, g.n AS gn, replace(h.gram, g.gram, '') AS rest FROM u h JOIN u g ON contains(h.gram, g.gram) AND length(g.gram) BETWEEN 2 AND length(h.gram) - 1)
+SELECT DISTINCT CASE WHEN hn >= 0.8 * gn THEN g ELSE h END AS gram FROM c WHERE hn >= 0.8 * gn OR (length(rest) = 1 AND gn >= 2 * hn)""")
+def suppressed_parts(spark, sf_dir):
+    """Part names, their heads of four characters and some longer by one, as candidates with their counts."""
+    part = table(spark, sf_dir, "part")
+    kept = part.groupBy(F.col("p_name").alias("gram")).agg(F.count("*").alias("n")).unionByName(part.groupBy(F.substring("p_name", 1, 4).alias("gram")).agg(F.count("*").alias("n")))
+    kept = kept.unionByName(part.where("p_size < 20").select(F.concat(F.col("p_name"), F.lit("x")).alias("gram")).distinct().withColumn("n", F.lit(1).cast("long")))
+    kept = kept.groupBy("gram").agg(F.max("n").alias("n"))
+    return mining.suppressed(kept, part.select(F.col("p_name").alias("word")).where("false"), [])

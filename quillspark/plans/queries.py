@@ -283,7 +283,9 @@ def term_meta_upsert_purge(spark, sf_dir):
     return terms.purge(meta.crossJoin(F.broadcast(now)), F.col("now")).drop("now")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS vote FROM events),
+m AS (SELECT user_id, max(vote) AS most FROM e GROUP BY user_id)
+SELECT user_id, arg_min(event_type, event_id) FILTER (vote = most) AS rendering, count(*) AS chapters, min(event_id) AS first, max(event_id) AS last FROM e JOIN m USING (user_id) GROUP BY user_id""")
 def variant_vote(spark, sf_dir):
     return terms.vote(table(spark, sf_dir, "events"), "user_id", "event_type", ["event_id"])
 
@@ -407,7 +409,7 @@ def chapter_files(spark, sf_dir):
     return C.chapter_files(rows).select("novel_id", "part", F.sha2("value", 256).alias("part_sha256"))
 
 
-@query()
+@query("SELECT source AS novel_id, count(*) AS n, (count(*) - 1)::INT AS last_pos FROM documents GROUP BY source")
 def streaming_chapters(spark, sf_dir):
     from quillspark.streaming.chapters import replay
 

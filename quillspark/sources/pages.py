@@ -7,12 +7,12 @@ fields mean is decided by DataFrame expressions afterwards.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 
@@ -29,11 +29,11 @@ TITLES = ["div.title", "h1", ".chapter-title"]
 BODIES = ["div.showtxt#content", "div.showtxt", "div#neirong", "div.neirong", "div#chaptercontent", "div.read-content", "div#htmlContent", "div.read-content-body", "div.txtnav", "div.readcotent", "div.content", "#content", ".chapter-content", "article"]
 UNWANTED = ["script", "style", "noscript", "nav", "iframe", ".mobadsq", ".anchor_bookmark", ".textinfo", ".page_chapter", ".txtinfo", "#txtright", ".bottom-ad", ".contentadv", "h1"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-PAGE = T.StructType.fromJson({"type": "struct", "fields": [
-    {"name": n, "nullable": True, "metadata": {}, "type": t} for n, t in (
-        ("title", "string"), ("book", "string"), ("paragraphs", {"type": "array", "elementType": "string", "containsNull": True}), ("lines", {"type": "array", "elementType": "string", "containsNull": True}),
-        ("meta", {"type": "map", "keyType": "string", "valueType": "string", "valueContainsNull": True}), ("ld", {"type": "array", "elementType": "string", "containsNull": True}),
-        ("links", {"type": "array", "elementType": {"type": "struct", "fields": [{"name": c, "type": "string", "nullable": True, "metadata": {}} for c in ("href", "text", "rel")]}, "containsNull": True}), ("found", "boolean"))]})
+#: What the parser gives for a page.
+FIELDS = {
+    "title": "string", "book": "string", "paragraphs": "array<string>", "lines": "array<string>", "meta": "map<string,string>", "ld": "array<string>",
+    "links": "array<struct<href:string,text:string,rel:string>>", "found": "boolean",
+}
 
 
 class _Tree(HTMLParser):
@@ -65,9 +65,14 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(data)
 
 
+@lru_cache(maxsize=256)
+def _selector(text: str) -> tuple[tuple[str, str], ...]:
+    return tuple(re.findall(r"([.#]?)([\w-]+)", text))
+
+
 def _fits(node: list, selector: str) -> bool:
     """One compound selector: a tag, #id and .class parts."""
-    parts = re.findall(r"([.#]?)([\w-]+)", selector)
+    parts = _selector(selector)
     classes = node[1].get("class", "").split()
     return all({"": node[0] == v, "#": node[1].get("id") == v, ".": v in classes}[k] for k, v in parts)
 
@@ -146,13 +151,13 @@ def url_ids(url: Column) -> Column:
 def parse_markup(pages: DataFrame, html: str = "html", at: str = "site") -> DataFrame:
     """pages with a struct column `page` of what the markup holds; null html is empty."""
 
-    @F.pandas_udf(PAGE)
+    @F.pandas_udf(", ".join(f"{n} {t}" for n, t in FIELDS.items()))
     def parse(htmls: pd.Series, sites: pd.Series) -> pd.DataFrame:
         rows = []
         for h, s in zip(htmls, sites, strict=True):
             rule = SITES.get(s, {})
             rows.append(_page(h or "", rule.get("title", []) + TITLES, rule.get("body", []) + BODIES))
-        return pd.DataFrame(rows, columns=PAGE.names)
+        return pd.DataFrame(rows, columns=list(FIELDS))
 
     return pages.withColumn("page", parse(F.col(html), F.col(at)))
 
