@@ -123,7 +123,7 @@ def _open(placed: DataFrame, turn: int) -> tuple[DataFrame, int, float]:
     tops = tops.select("bucket", F.col("top.root").alias("top"), "n", "heft", (F.col("n") - F.col("top.n")).alias("outer"), *[f"h{i}" for i in range(HEADS)])
     away = parts.join(tops.select("bucket", "top"), "bucket").where("root <> top").groupBy("bucket").agg(*[F.min(f"h{i}").alias(f"o{i}") for i in range(HEADS)])
     heads = F.array_distinct(F.array(*[F.struct(f"{c}{i}.node", f"{c}{i}.root") for c in "ho" for i in range(HEADS)]))
-    table = stored(tops.join(away, "bucket").select("bucket", "top", "n", "heft", "outer", heads.alias("heads")), "open")
+    table = stored(tops.join(away, "bucket").select("bucket", "top", "n", "heft", "outer", heads.alias("heads")), "open", False)
     rows, pairs = table.agg(F.sum("n"), F.sum(F.col("n").cast("double") * F.col("outer"))).first()
     return table, rows or 0, pairs or 0.0
 
@@ -221,14 +221,14 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
         return {"doc_id": ids} | dict(zip(names, map(list, columns), strict=True))
 
     prints = stored(map_texts(rows, run, f"doc_id {kind}, node long, fps array<long>, keys array<long>, parts array<int>"), "sketches")
-    members = stored(prints.select("doc_id", "node"), "members")
+    members = stored(prints.select("doc_id", "node"), "members", False)
     nodes = stored(prints.select("node", "keys", F.size("parts").alias("size")).groupBy("node").agg(F.first("keys").alias("keys"), F.first("size").alias("size")), "nodes")
     entries = nodes.select("node", "size", F.explode("keys").alias("bucket"))
     heads = entries.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head < last").select("bucket", "head")
-    heads = stored(heads, "heads")
+    heads = stored(heads, "heads", False)
     met = stored(entries.join(small(heads, 32), "bucket"), "met")
     discard(heads, nodes)
-    wanted = stored(met.select("node").distinct(), "wanted")
+    wanted = stored(met.select("node").distinct(), "wanted", False)
     sketches = prints.select("node", "fps", "parts").join(small(wanted, 16), "node", "left_semi")
     sketches = stored(sketches.groupBy("node").agg(F.first("fps").alias("fps"), F.first("parts").alias("parts")), "whole")
     discard(prints, wanted)
@@ -238,17 +238,17 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that pass the ring and then the whole sets, in two written steps."""
         near = pairs.join(second, "high").join(first, "low").where(within_ring(F.col("f"), F.col("g"), LONGS, radius))
-        near = stored(near.select("low", "high"), "near")
+        near = stored(near.select("low", "high"), "near", False)
         found = stored(_alike(near, sketches, similarity), "alike")
         discard(near)
         return found
 
     links = linked(met.where("node <> head").select(F.col("head").alias("low"), F.col("node").alias("high")).distinct())
-    roots, before = stored(components(links, "low", "high"), "roots"), None
+    roots, before = stored(components(links, "low", "high"), "roots", False), None
     discard(links)
     for turn in range(ROUNDS + 1):
         placed = met.join(small(roots, 32), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        placed = stored(placed.select("bucket", "node", "size", "head", "root"), "placed")
+        placed = stored(placed.select("bucket", "node", "size", "head", "root"), "placed", False)
         open_, count, pairs = _open(placed, turn)
         if not count:
             discard(placed, open_)
@@ -260,15 +260,15 @@ def similar_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words
             links = linked(_starred(placed, open_))
         discard(placed, open_)
         joined = roots.select(F.col("root").alias("low"), F.col("node").alias("high")).unionByName(links)
-        grown = stored(components(joined, "low", "high"), "roots")
+        grown = stored(components(joined, "low", "high"), "roots", False)
         discard(roots, links)
         roots, before = grown, pairs
         if last:
             break
     discard(met, sketches)
-    held = stored(members.join(small(roots, 32), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "held")
+    held = stored(members.join(small(roots, 32), "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "held", False)
     discard(members, roots)
-    named = stored(held.groupBy("root").agg(F.min("doc_id").alias("component_id")), "named")
+    named = stored(held.groupBy("root").agg(F.min("doc_id").alias("component_id")), "named", False)
     return held.join(named, "root").select("doc_id", "component_id")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from quillspark.llm.common import narrowed, stored
+from quillspark.llm.common import discard, narrowed, stored
 
 #: Bytes of a string, of a gram, and strings of a family.
 LENGTH, GRAM, FAMILY = 100, 48, 18
@@ -310,8 +310,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     docs = rows.where(F.octet_length("raw") >= LENGTH).select("doc", "tag", "raw")
     if shared:
         docs = docs.groupBy("doc", "tag").agg(F.first("raw").alias("raw"))
-    twice = _anchored(docs, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # Stored, so that both sides of the join below are plain shuffles and a gram of very many places can be split.
+    twice = stored(_anchored(docs, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
     found = stored(_anchored(docs, True).join(twice.hint("shuffle_hash"), "h", "left_semi"), "anchors")
+    discard(twice)
     classes = stored(found.groupBy("h", "c").agg(F.min(F.struct("doc", "tag", "low", "pos", "many")).alias("first")).select("h", "first.*"), "classes")
     several = classes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     open_ = classes.join(several, "h").groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "low", "many")).alias("at"))

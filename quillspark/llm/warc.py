@@ -87,8 +87,13 @@ class _Window:
 
 
 def _header(raw: bytes) -> dict[str, str]:
+    """Names and values of a record's header; lines that begin with a blank go on with the value before them."""
     out: dict[str, str] = {}
+    name = ""
     for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name.strip().lower()] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if colon:
             out[name.strip().lower()] = value.strip()
