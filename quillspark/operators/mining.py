@@ -99,7 +99,8 @@ def name_candidates(docs: DataFrame, common: DataFrame, idioms: DataFrame, surna
 
     hits = containment(docs, ranked.select(F.col("gram").alias("term")), doc, text)
     places = Window.partitionBy("term").orderBy(doc)
-    hits = hits.withColumn("k", F.row_number().over(places)).where("k <= 2").join(docs.select(doc, text), doc)
+    hits = cut(hits.withColumn("k", F.row_number().over(places)).where("k <= 2"))
+    hits = docs.select(doc, text).join(small(hits, 256), doc)
     hits = hits.withColumn("snip", X.snippet(F.col(text), F.col("first_pos"), F.length("term"), 18)).groupBy("term").agg(F.array_sort(F.collect_list(F.struct("k", "snip"))).alias("s"))
     out = ranked.join(hits, F.col("gram") == F.col("term"), "left")
     examples = F.transform(F.slice("s", 1, F.when(F.col("common"), 2).otherwise(1)), lambda x: x["snip"])

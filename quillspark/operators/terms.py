@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import cut
+
+#: Bytes of terms that one automaton may hold.
+AUTOMATON = 2 << 20
 
 #: Terms for a chapter, idiom hints for a chapter.
 MAX_TERMS, MAX_IDIOMS = 300, 60
@@ -14,31 +21,64 @@ LITERAL = "nghĩa đen"
 MARKER, REFUSED = "(thành ngữ)", [LITERAL, "xem ", "biến thể"]
 
 
-def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, few: int = 200) -> DataFrame:
+def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, most: int = AUTOMATON) -> DataFrame:
     """(doc, term, first_pos): every term that a text contains, with its first 1-based place.
 
-    The dictionary is counted first. Up to `few` terms are broadcast, and each text is searched for them where it is
-    read. Larger dictionaries are looked up by hashes: of each term's first `stretch` characters (a shorter term's
-    own), joined to the hashes of the texts' distinct runs of those sizes; only what meets is searched. Empty and
-    null terms are in no text.
+    The dictionary is measured first. Up to `most` bytes of terms are broadcast, and each text is read once by the
+    automaton of all of them, without a shuffle. Larger dictionaries are looked up by each term's first `stretch`
+    characters (a shorter term's own), joined to the texts' distinct runs of those sizes; only what meets is
+    searched. Both give the same rows. Empty and null terms are in no text.
     """
-    keyed = terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct()
+    keyed = cut(terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct())
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0)
-    if keyed.limit(few + 1).count() <= few:
-        met = source.join(F.broadcast(keyed), F.col("text").contains(F.col("term")))
-    else:
-        keyed = keyed.withColumn("size", F.least(F.length("term"), F.lit(stretch))).withColumn("key", F.xxhash64(F.expr(f"substring(term, 1, {stretch})")))
-        sizes = sorted(r["size"] for r in keyed.select("size").distinct().collect())
-
-        def runs(n: int) -> Column:
-            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (n - 1)))
-            return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(n)))))
-
-        keys = source.select("doc", F.explode(F.flatten(F.array(*[runs(n) for n in sizes]))).alias("key"))
-        met = keys.join(keyed, "key").select("doc", "term").join(source, "doc").where(F.col("text").contains(F.col("term")))
+    if (keyed.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= most:
+        return _searched(source, [r["term"] for r in keyed.collect()]).withColumnRenamed("doc", doc)
+    sizes = sorted(r["n"] for r in keyed.select(F.least(F.length("term"), F.lit(stretch)).alias("n")).distinct().collect())
+    keyed = keyed.withColumn("key", F.substring("term", 1, stretch))
+    met = _beginnings(source, sizes).join(keyed, "key").select("doc", "term").distinct().join(source, "doc")
+    met = met.where(F.col("text").contains(F.col("term")))
     return met.select(F.col("doc").alias(doc), "term", F.instr(F.col("text"), F.col("term")).alias("first_pos"))
 
 
+def _searched(source: DataFrame, words: list[str]) -> DataFrame:
+    """(doc, term, first_pos) of the words in rows (doc, text), each text read once."""
+    shipped = source.sparkSession.sparkContext.broadcast(words)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        machine = Automaton()
+        for word in shipped.value:
+            machine.add_word(word, word)
+        machine.make_automaton()
+        for batch in batches:
+            rows, found, places = [], [], []
+            for i, value in enumerate(batch.column("text").to_pylist()):
+                first: dict[str, int] = {}
+                for end, word in machine.iter(value) if len(machine) else ():
+                    first.setdefault(word, end - len(word) + 2)
+                rows += [i] * len(first)
+                found += first
+                places += first.values()
+            columns = [batch.column("doc").take(pa.array(rows, pa.int32())), pa.array(found, pa.string()), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "term", "first_pos"])
+
+    return source.mapInArrow(search, f"doc {source.schema['doc'].dataType.simpleString()}, term string, first_pos int")
+
+
+def _beginnings(source: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc, key): the distinct runs of the given sizes in rows (doc, text)."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, value in enumerate(batch.column("text").to_pylist()):
+                keys = {value[at : at + n] for n in sizes for at in range(len(value) - n + 1)}
+                owner = batch.column("doc").take(pa.array([i] * len(keys), pa.int32()))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(list(keys), pa.string())], ["doc", "key"])
+
+    return source.mapInArrow(runs, f"doc {source.schema['doc'].dataType.simpleString()}, key string")
+
+
 def terms_of_chapter(found: DataFrame, doc: str = "doc_id", most: int = MAX_TERMS) -> DataFrame:
     """At most `most` terms of each text, the longest first (then by ord), returned in the order of ord."""
     rank = F.row_number().over(Window.partitionBy(doc).orderBy(F.desc(F.length("term")), "ord"))

@@ -7,7 +7,6 @@ fields mean is decided by DataFrame expressions afterwards.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -28,6 +27,7 @@ SITES = {
 TITLES = ["div.title", "h1", ".chapter-title"]
 BODIES = ["div.showtxt#content", "div.showtxt", "div#neirong", "div.neirong", "div#chaptercontent", "div.read-content", "div#htmlContent", "div.read-content-body", "div.txtnav", "div.readcotent", "div.content", "#content", ".chapter-content", "article"]
 UNWANTED = ["script", "style", "noscript", "nav", "iframe", ".mobadsq", ".anchor_bookmark", ".textinfo", ".page_chapter", ".txtinfo", "#txtright", ".bottom-ad", ".contentadv", "h1"]
+BOOK = "div.info"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: What the parser gives for a page.
 FIELDS = {
@@ -65,14 +65,17 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(data)
 
 
-@lru_cache(maxsize=256)
-def _selector(text: str) -> tuple[tuple[str, str], ...]:
-    return tuple(re.findall(r"([.#]?)([\w-]+)", text))
+def _selector(text: str) -> list[tuple[str, str]]:
+    return re.findall(r"([.#]?)([\w-]+)", text)
+
+
+# Parsed once; a plain table, so that it travels to the executors with the functions that read it.
+_SELECTORS = {s: _selector(s) for rule in SITES.values() for s in rule["title"] + rule["body"]} | {s: _selector(s) for s in [*TITLES, *BODIES, *UNWANTED, BOOK]}
 
 
 def _fits(node: list, selector: str) -> bool:
     """One compound selector: a tag, #id and .class parts."""
-    parts = _selector(selector)
+    parts = _SELECTORS[selector]
     classes = node[1].get("class", "").split()
     return all({"": node[0] == v, "#": node[1].get("id") == v, ".": v in classes}[k] for k, v in parts)
 
@@ -109,7 +112,7 @@ def _page(html: str, titles: list[str], bodies: list[str]) -> dict:
     tree = _Tree(html).root
     title, body = _first(tree, titles), _first(tree, bodies)
     head = next((n for n in _all(tree) if n[0] == "title"), None)
-    book = _first(tree, ["div.info"])
+    book = _first(tree, [BOOK])
     book = next((n for n in _all(book) if n[0] == "a"), None) if book else None
     paragraphs, lines = [], []
     if body:
@@ -130,7 +133,18 @@ def _page(html: str, titles: list[str], bodies: list[str]) -> dict:
 
 
 def _without(node: list) -> list:
-    return [c if isinstance(c, str) else [c[0], c[1], _without(c)] for c in node[2] if isinstance(c, str) or not any(_fits(c, s) for s in UNWANTED)]
+    """The children of a node without unwanted elements, at any depth of nesting."""
+    out: list = []
+    stack = [(node, out)]
+    while stack:
+        at, kept = stack.pop()
+        for c in at[2]:
+            if isinstance(c, str):
+                kept.append(c)
+            elif not any(_fits(c, s) for s in UNWANTED):
+                kept.append([c[0], c[1], []])
+                stack.append((c, kept[-1][2]))
+    return out
 
 
 def site(url: Column) -> Column:

@@ -123,15 +123,15 @@ def test_numbered_in_groups_of_any_size(spark):
     assert tables.numbered(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
 
 
-def test_containment_both_ways(spark, monkeypatch):
+def test_containment_both_ways(spark):
     rng = random.Random(5)
-    docs = [(i, "".join(rng.choice("abcé") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(99, None)]
-    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(30)] + ["", None]
+    docs = [(i, "".join(rng.choice("abcé𝄞") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(98, "ab" * 200_000 + "é"), (99, None)]
+    words = ["".join(rng.choice("abcé𝄞") for _ in range(rng.randint(1, 6))) for _ in range(30)] + ["ababababababé", "", None]
     d, w = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in words], "term string")
-    want = {(i, x, t.index(x) + 1) for i, t in docs for x in set(words) if x and t and x in t}
-    for most in (tables.BROADCAST, 0):
-        monkeypatch.setattr(tables.small, "__defaults__", (most,))
-        assert {tuple(r) for r in terms.containment(d, w, stretch=4).collect()} == want
+    want = sorted((i, x, t.index(x) + 1) for i, t in docs for x in set(words) if x and t and x in t)
+    for most in (terms.AUTOMATON, 0):
+        assert sorted(tuple(r) for r in terms.containment(d, w, stretch=4, most=most).collect()) == want
+        assert terms.containment(d, w.where("false"), most=most).count() == 0
 
 
 def test_votes_keep_ties(spark):

@@ -101,3 +101,17 @@ def test_term_usage_state(spark, tmp_path):
     query = stream.term_usage(stream.chapter_source(spark, folder, "novel_id string, pos long, zh string")).writeStream.outputMode("update").format("memory").queryName("uses").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.zh, r.last_seen, r["count"]) for r in spark.table("uses").collect()} >= {("x", 2, 2), ("y", 3, 1)}
+
+
+def test_pages_nested_deeply_and_workers_without_the_package(spark, tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    html = "<div class=content>" + "<div>" * 5000 + "<p>" + "words of a chapter " * 3 + "</p><nav>menu</nav>"
+    row = pages.chapters_of_pages(spark.createDataFrame([(1, "https://biquge.tw/book/1/2.html", html)], "page_id long, url string, html string")).first()
+    assert (row.status, row.paragraphs) == ("ok", [("words of a chapter " * 3).strip()])
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(pages._page))
+    code = "import pickle; print(pickle.load(open('f', 'rb'))('<h1>T</h1>', ['h1'], ['article'])['title'])"
+    assert subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True).stdout.strip() == "T"
