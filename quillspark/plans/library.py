@@ -554,3 +554,58 @@ def suppressed_parts(spark, sf_dir):
     kept = kept.unionByName(part.where("p_size < 20").select(F.concat(F.col("p_name"), F.lit("x")).alias("gram")).distinct().withColumn("n", F.lit(1).cast("long")))
     kept = kept.groupBy("gram").agg(F.max("n").alias("n"))
     return mining.suppressed(kept, part.select(F.col("p_name").alias("word")).where("false"), [])
+
+
+# Dictionaries as a whole
+@query("""
+WITH s AS (
+SELECT 1::BIGINT AS source, p_partkey AS n, 'w' || p_partkey % 700 AS word, p_type AS meaning FROM part WHERE p_size % 2 = 0
+UNION ALL SELECT 2, 0, 'w' || p_partkey, p_brand FROM part WHERE p_size % 3 = 0
+UNION ALL SELECT 3, p_partkey, 'w' || p_partkey % 500, p_name FROM part WHERE p_size % 5 = 0
+UNION ALL SELECT 4, 0, 'w' || p_partkey, p_type FROM part WHERE p_size % 7 = 0
+UNION ALL SELECT 5, 0, 'w' || p_partkey, p_brand || 'c' FROM part WHERE p_size % 11 = 0
+UNION ALL SELECT 6, 0, 'w' || p_partkey, p_name || 's' FROM part WHERE p_size % 13 = 0
+UNION ALL SELECT 0, 0, 'w' || p_partkey, 'g' FROM part)
+SELECT word, arg_max(meaning, source * 1000000000 + n) AS meaning, max(source)::INT AS source FROM s GROUP BY word""")
+def dictionary_build(spark, sf_dir):
+    """The parts as lines of six sources and a glossary that overlap in their words."""
+    part = table(spark, sf_dir, "part").withColumn("w", F.concat(F.lit("w"), "p_partkey"))
+    every = lambda k: part.where(F.col("p_size") % k == 0)
+    wrapped = lambda k: F.concat(F.lit("w"), F.col("p_partkey") % k)
+    sources = {
+        "cvdict": every(2).select(F.col("p_partkey").alias("n"), F.concat(wrapped(700), F.lit(" S [p] /"), "p_type", F.lit("/b/")).alias("value")),
+        "cognates": every(3).select(F.col("w").alias("word"), F.concat("p_brand", F.lit("/b")).alias("meaning")),
+        "phrases": every(5).select(F.col("p_partkey").alias("n"), F.concat(wrapped(500), F.lit(" = "), "p_name", F.lit("/x")).alias("value")),
+        "json": every(7).select(F.to_json(F.create_map("w", F.struct(F.concat("p_type", F.lit("; b")).alias("definition")))).alias("value")),
+        "crawled": every(11).select(F.col("w").alias("word"), F.concat("p_brand", F.lit("c")).alias("meaning")),
+        "seeds": every(13).select(F.col("w").alias("word"), F.concat("p_name", F.lit("s")).alias("meaning")),
+        "glossary": part.select(F.col("w").alias("word"), F.lit("g").alias("meaning")),
+    }
+    return D.built(sources)["words"]
+
+
+@query("SELECT 'w' || p_partkey % 700 AS word, arg_max(p_name, p_partkey) AS meaning FROM part WHERE p_size % 5 <> 0 GROUP BY 1")
+def dictionary_pages(spark, sf_dir):
+    """The parts as saved dictionary pages; every fifth has no meaning."""
+    name = F.concat(F.lit(f"{P.CRUMB} "), "p_type", F.lit(" - w"), F.col("p_partkey") % 700)
+    crumb = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">{"name": "'), name, F.lit('"}</script>'))).otherwise(F.concat(F.lit("<ul><li>Home » <li>"), name, F.lit("» more</ul>")))
+    lead = F.when(F.col("p_size") % 5 == 0, "<p>no lead").otherwise(F.concat(F.lit('<p class="lead">'), "p_name", F.lit(" <i>(Từ điển chung)</i></p>")))
+    return P.dictionary_entries(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), F.concat(crumb, lead).alias("html")))
+
+
+@query("SELECT DISTINCT replace(p_brand, '#', '_') || p_size AS slug FROM part WHERE p_size % 3 = 0")
+def dictionary_slugs(spark, sf_dir):
+    """The parts as lists of links: to entries, to a placeholder, and to other pages."""
+    slug = F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), "p_size")
+    href = F.when(F.col("p_size") % 3 == 0, slug).when(F.col("p_size") % 3 == 1, "none").otherwise(F.concat(F.lit("a/"), slug))
+    return P.entry_slugs(table(spark, sf_dir, "part").select(F.concat(F.lit('<a href="tu-dien_han-viet_'), href, F.lit('_rong-mo-tam-hon.html">x</a>')).alias("html")))
+
+
+@query("""
+WITH s AS (SELECT 'parts' AS source, p_partkey AS n, p_name AS value FROM part UNION ALL SELECT 'texts', doc_id, text FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n) AS r FROM s WHERE NOT starts_with(value, '#') AND regexp_matches(value, '\\S'))
+SELECT source, count(*) AS lines, md5(string_agg(left(value, 120), '|' ORDER BY n) FILTER (r <= 5)) AS samples_md5 FROM k GROUP BY source""".replace("\\\\", "\\"))
+def source_inspection(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("value"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("text").alias("value"))
+    return D.inspected({"parts": parts, "texts": texts}).select("source", "lines", md5(F.array_join("samples", "|")).alias("samples_md5"))

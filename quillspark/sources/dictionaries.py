@@ -66,14 +66,17 @@ def cognates_tsv(rows: DataFrame) -> DataFrame:
 
 
 def key_values(lines: DataFrame) -> DataFrame:
-    """(key, value) of lines "key=value"; comments and lines without = are left out."""
+    """(key, value) of lines "key=value", with their n if they have one; comments and lines without = are left out."""
     line = X.strip(F.col("value"))
-    rows = lines.where(~line.startswith("#") & line.contains("=")).select(F.split(line, "=", 2).alias("p"))
-    return rows.select(X.strip(F.col("p")[0]).alias("key"), X.strip(F.col("p")[1]).alias("value")).where("key != ''")
+    place = [c for c in lines.columns if c == "n"]
+    rows = lines.where(~line.startswith("#") & line.contains("=")).select(*place, F.split(line, "=", 2).alias("p"))
+    return rows.select(*place, X.strip(F.col("p")[0]).alias("key"), X.strip(F.col("p")[1]).alias("value")).where("key != ''")
 
 
 def phrases(lines: DataFrame) -> DataFrame:
-    return key_values(lines).select(F.col("key").alias("word"), _first_part(F.col("value"), "/").alias("meaning")).where("meaning != ''")
+    """(word, meaning) of lines "word=meaning/...", with their n if they have one."""
+    place = [c for c in lines.columns if c == "n"]
+    return key_values(lines).select(*place, F.col("key").alias("word"), _first_part(F.col("value"), "/").alias("meaning")).where("meaning != ''")
 
 
 def hsk_json(docs: DataFrame) -> DataFrame:
@@ -110,3 +113,42 @@ def priority_union(tables: list[DataFrame], fallback: DataFrame | None = None, k
         ranked.append(fallback.select(key, "meaning", F.lit(0).alias("source")))
     union = reduce(DataFrame.unionByName, ranked)
     return union.groupBy(key).agg(F.max(F.struct("source", "meaning")).alias("m")).select(key, "m.meaning", "m.source")
+
+
+def built(sources: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """words (word, meaning, source) and chars (ch, readings) of a whole dictionary, from those raw sources that are given.
+
+    Words, each overwriting those before it: `cvdict` lines (n, value), `cognates` rows, `phrases` lines (n, value), `json`
+    objects (value), `crawled` and `seeds` (word, meaning); `glossary` (word, meaning) only fills gaps and is source 0.
+    Readings are united: `csv` rows (char, hanviet), `readings` lines (value) "character=reading", `hsk` arrays (value).
+    Blank words and meanings are left out; of one source's rows of a word the greatest meaning counts where they have
+    no order of their own.
+    """
+    readers = {"cvdict": cvdict_text, "cognates": cognates_tsv, "phrases": lambda t: last_wins(phrases(t), "word", "n"), "json": cvdict_json, "crawled": None, "seeds": None}
+    tables = [(i + 1, readers[n](sources[n]) if readers[n] else sources[n]) for i, n in enumerate(readers) if n in sources]
+    if "glossary" in sources:
+        tables.append((0, sources["glossary"]))
+    ranked = reduce(DataFrame.unionByName, [t.select("word", "meaning", F.lit(i).alias("source")) for i, t in tables])
+    ranked = ranked.where((X.strip(F.col("word")) != "") & (X.strip(F.col("meaning")) != ""))
+    words = ranked.groupBy("word").agg(F.max(F.struct("source", "meaning")).alias("m")).select("word", "m.meaning", "m.source")
+    split = {
+        "csv": lambda t: readings_csv(t).select("ch", F.explode("readings").alias("r")),
+        "readings": lambda t: key_values(t).select(F.col("key").alias("ch"), F.col("value").alias("r")),
+        "hsk": hsk_json,
+    }
+    chars = [read(sources[n]).select("ch", "r") for n, read in split.items() if n in sources]
+    return {"words": words} | ({"chars": merged_readings(chars)} if chars else {})
+
+
+def inspected(sources: dict[str, DataFrame], n: int = 5) -> DataFrame:
+    """(source, lines, samples): how many lines with text a source (n, value) has, and its first ones, 120 characters each.
+
+    Comments (#) don't count. Each source is counted and its first lines are picked on their own, so nothing is gathered.
+    """
+    out = []
+    for name, rows in sources.items():
+        lines = rows.where(~F.col("value").startswith("#") & (X.strip(F.col("value")) != ""))
+        first = lines.orderBy("n").limit(n).agg(F.array_sort(F.collect_list(F.struct("n", F.substring("value", 1, 120).alias("v")))).alias("s"))
+        counted = lines.agg(F.count("*").alias("lines"))
+        out.append(counted.join(first, F.lit(True)).select(F.lit(name).alias("source"), "lines", F.transform("s", lambda x: x["v"]).alias("samples")))
+    return reduce(DataFrame.unionByName, out)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.sources.dictionaries import last_wins
 
 # Hosts, catalogue and chapter paths of the sites, and where each site keeps titles and text.
 SITES = {
@@ -28,11 +29,16 @@ TITLES = ["div.title", "h1", ".chapter-title"]
 BODIES = ["div.showtxt#content", "div.showtxt", "div#neirong", "div.neirong", "div#chaptercontent", "div.read-content", "div#htmlContent", "div.read-content-body", "div.txtnav", "div.readcotent", "div.content", "#content", ".chapter-content", "article"]
 UNWANTED = ["script", "style", "noscript", "nav", "iframe", ".mobadsq", ".anchor_bookmark", ".textinfo", ".page_chapter", ".txtinfo", "#txtright", ".bottom-ad", ".contentadv", "h1"]
 BOOK = "div.info"
+# Fixed values of dictionary pages: the head of an entry's name, its meaning, links to entries, placeholders among them,
+# and the credit behind a meaning.
+CRUMB, LEAD = "Đang xem mục từ:", "p.lead"
+ENTRY, PLACEHOLDERS = r"^tu-dien_han-viet_(\w+)_rong-mo-tam-hon\.html", ["none", "lgddsssc"]
+CREDIT = r"\s*\([^)]*Từ điển[^)]*\)\s*$"
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: What the parser gives for a page.
 FIELDS = {
     "title": "string", "book": "string", "paragraphs": "array<string>", "lines": "array<string>", "meta": "map<string,string>", "ld": "array<string>",
-    "links": "array<struct<href:string,text:string,rel:string>>", "found": "boolean",
+    "links": "array<struct<href:string,text:string,rel:string>>", "found": "boolean", "lead": "string", "crumb": "string",
 }
 
 
@@ -70,7 +76,7 @@ def _selector(text: str) -> list[tuple[str, str]]:
 
 
 # Parsed once; a plain table, so that it travels to the executors with the functions that read it.
-_SELECTORS = {s: _selector(s) for rule in SITES.values() for s in rule["title"] + rule["body"]} | {s: _selector(s) for s in [*TITLES, *BODIES, *UNWANTED, BOOK]}
+_SELECTORS = {s: _selector(s) for rule in SITES.values() for s in rule["title"] + rule["body"]} | {s: _selector(s) for s in [*TITLES, *BODIES, *UNWANTED, BOOK, LEAD]}
 
 
 def _fits(node: list, selector: str) -> bool:
@@ -129,6 +135,8 @@ def _page(html: str, titles: list[str], bodies: list[str]) -> dict:
         "ld": ["".join(x for x in n[2] if isinstance(x, str)) for n in found if n[0] == "script" and n[1].get("type") == "application/ld+json"],
         "links": [{"href": n[1].get("href", ""), "text": _joined(_strings(n)), "rel": n[1].get("rel", "")} for n in found if n[0] == "a" and n[1].get("href")],
         "found": body is not None,
+        "lead": next((_joined(_strings(n)) for n in found if _fits(n, LEAD)), None),
+        "crumb": next((x for x in _strings(tree) if CRUMB in x), None),
     }
 
 
@@ -232,6 +240,29 @@ def book_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
     return rows.select(F.col("key").alias(key), plain(title).alias("original_title"), plain(F.regexp_replace(author, r"(?i)^(?:作者|作\s*者|Author)\s*[:：]\s*", "")).alias("original_author"), plain(F.coalesce(tag("og:novel:category"), F.lit(""))).alias("genre"), plain(date).alias("publication_date"))
 
 
+def dictionary_entries(saved: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(word, meaning) of saved dictionary pages, the last page of a word counts.
+
+    The word follows " - " in the name of the entry, which stands in the page's JSON-LD or else in its text; the meaning
+    is the lead without the credit at its end. Pages without either, and null html, give no row.
+    """
+    rows = parse_markup(saved.select(F.col(key).alias("key"), F.col(html).alias("html"), F.lit(None).cast("string").alias("site")))
+    listed = F.filter(F.transform("page.ld", lambda j: F.regexp_extract(j, rf'"name"\s*:\s*"{CRUMB}\s*([^"]+)"', 1)), lambda x: x != "")
+    shown = F.regexp_extract(F.coalesce("page.crumb", F.lit("")), rf'{CRUMB}\s*([^»"]+)', 1)
+    name = X.strip(F.coalesce(F.try_element_at(listed, F.lit(1)), shown))
+    parts = F.split(name, " - ", 2)
+    word, meaning = X.strip(F.coalesce(F.try_element_at(parts, F.lit(2)), name)), X.strip(F.regexp_replace("page.lead", CREDIT, ""))
+    found = rows.select("key", word.alias("word"), meaning.alias("meaning")).where("word != '' AND meaning != ''")
+    return last_wins(found, "word", "key").select("word", "meaning")
+
+
+def entry_slugs(saved: DataFrame, html: str = "html") -> DataFrame:
+    """(slug): entries that saved lists of a dictionary link to, each once, placeholders left out."""
+    rows = parse_markup(saved.select(F.col(html).alias("html"), F.lit(None).cast("string").alias("site")))
+    slug = rows.select(F.explode("page.links.href").alias("href")).select(F.regexp_extract("href", ENTRY, 1).alias("slug"))
+    return slug.where((F.col("slug") != "") & ~F.col("slug").isin(*PLACEHOLDERS)).distinct()
+
+
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 if they are, else as GB18030 with replacement characters."""
 

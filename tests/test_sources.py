@@ -115,3 +115,29 @@ def test_pages_nested_deeply_and_workers_without_the_package(spark, tmp_path):
     (tmp_path / "f").write_bytes(cloudpickle.dumps(pages._page))
     code = "import pickle; print(pickle.load(open('f', 'rb'))('<h1>T</h1>', ['h1'], ['article'])['title'])"
     assert subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True).stdout.strip() == "T"
+
+
+def test_dictionary_built_from_all_sources(spark):
+    table = lambda rows, fields: spark.createDataFrame(rows, fields)
+    out = dictionaries.built({
+        "cvdict": table([(1, "甲 甲 [a] /one/"), (2, "乙 乙 [b] /two/")], "n long, value string"),
+        "phrases": table([(1, "乙=old"), (2, "乙=new/x"), (3, "# c=d")], "n long, value string"),
+        "seeds": table([("甲", "seed"), ("丙", " ")], "word string, meaning string"),
+        "glossary": table([("甲", "mine"), ("丁", "kept")], "word string, meaning string"),
+        "readings": table([("中=trúng",), ("中=trung",), ("中=Trung",)], "value string"),
+    })
+    assert {tuple(r) for r in out["words"].collect()} == {("甲", "seed", 6), ("乙", "new", 3), ("丁", "kept", 0)}
+    assert [tuple(r) for r in out["chars"].collect()] == [("中", ["trung", "trúng"])]
+
+
+def test_dictionary_pages_and_inspection(spark):
+    html = [
+        (1, '<p class="lead">first</p><li>Đang xem mục từ: can dự - 干預» x'),
+        (2, '<script type="application/ld+json">{"name": "Đang xem mục từ: can - 干預"}</script><p class="lead big">second <b>one</b> (Từ điển A)</p>'),
+        (3, '<p class="lead">no name</p>'), (4, "Đang xem mục từ: a - b"), (5, None), (6, ""),
+    ]
+    saved = spark.createDataFrame(html, "page_id long, html string")
+    assert [tuple(r) for r in pages.dictionary_entries(saved).collect()] == [("干預", "second one")]
+    assert pages.entry_slugs(saved).count() == 0
+    lines = spark.createDataFrame([(3, "c"), (1, "#"), (2, "b"), (4, " "), (5, None)], "n long, value string")
+    assert [tuple(r) for r in dictionaries.inspected({"a": lines, "b": lines.where("false")}).collect()] == [("a", 2, ["b", "c"]), ("b", 0, [])]
