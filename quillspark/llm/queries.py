@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import compression, fingerprinting, mixing, packing, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
+from quillspark.llm import chat, compression, filter_audit, fingerprinting, infilling, mixing, packing, quality_rules, secrets, sharding, simhash, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.op1_warc,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_infilling": infilling.op11_infilling,
+    "op12_chat": chat.op12_chat,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op11_infilling": infilling.ORACLE, "op12_chat": chat.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
