@@ -33,21 +33,26 @@ def resume_index(catalog: DataFrame, state: DataFrame) -> DataFrame:
 def from_number(catalog: DataFrame, wanted: DataFrame) -> DataFrame:
     """(book_id, wanted, next_index): the first entry whose number is at least the wanted one.
 
-    Past all numbers it is the catalogue's length; in catalogues without numbers, the wanted number less one.
+    Past all numbers it is the catalogue's length; in catalogues without numbers, the wanted number less one. Entries
+    are only counted and compared: for each book and wanted number a minimum, combined in each task.
     """
-    rows = catalog.withColumn("number", X.chapter_number(F.col("title"))).groupBy("book_id").agg(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("ord", "number"))).alias("n"), F.count("*").alias("size"))
-    first = F.array_min(F.transform(F.filter("n", lambda x: x["number"] >= F.col("wanted")), lambda x: x["ord"]))
-    return wanted.join(rows, "book_id").select("book_id", "wanted", F.when(F.size("n") == 0, F.col("wanted") - 1).otherwise(F.coalesce(first, F.col("size"))).cast("long").alias("next_index"))
+    entries = catalog.select("book_id", "ord", X.chapter_number(F.col("title")).alias("number"))
+    sizes = entries.groupBy("book_id").agg(F.count("*").alias("size"), F.count("number").alias("numbers"))
+    asked = wanted.select("book_id", "wanted").distinct()
+    first = entries.where("number IS NOT NULL").join(asked, "book_id").where("number >= wanted").groupBy("book_id", "wanted").agg(F.min("ord").alias("first"))
+    found = wanted.join(sizes, "book_id").join(first, ["book_id", "wanted"], "left")
+    return found.select("book_id", "wanted", F.when(F.col("numbers") == 0, F.col("wanted") - 1).otherwise(F.coalesce("first", "size")).cast("long").alias("next_index"))
 
 
 def forward_asof(left: DataFrame, right: DataFrame, group: list[str], at: str, place: str) -> DataFrame:
     """next_place: the least place of the group that is not before `at`, by one sorted pass over both tables.
 
-    Both sides are laid into one ordered column and the next right row is carried back, so no pair is formed.
+    Both sides are laid into one falling order, and the last right row so far is the next one: a running value, so
+    that a group of any size is passed once and no pair is formed.
     """
     both = left.select("*", F.col(at).alias("_at"), F.lit(0).alias("_side")).unionByName(right.select(*group, F.col(place).alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
-    ahead = Window.partitionBy(*group).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("next_place", F.first(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(ahead)).where("_side = 0").drop("_at", "_side")
+    so_far = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("next_place", F.last(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(so_far)).where("_side = 0").drop("_at", "_side")
 
 
 def already_saved(title: Column, last_title: Column) -> Column:

@@ -8,33 +8,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, small
 
 #: Likeness of near copies, and how far paragraph counts of pairs may differ.
 RATIO, PARAGRAPHS = 0.97, 3
 
 
+#: Texts of a block that a round settles among themselves before the rest of the block is held against those it keeps.
+HEADS = 64
+#: Bytes that a text's character counts take at about.
+COUNTS = 4096
+
+
+def character_counts(text: Column) -> Column:
+    """How often each character occurs in a text, as a map."""
+    chars = F.transform(F.array_distinct(F.split(text, "")), lambda c: F.struct(c.alias("c"), X.occurrences(text, c).alias("m")))
+    return F.map_from_entries(F.filter(chars, lambda x: x["c"] != ""))
+
+
+def likeness(one: Column, two: Column, sizes: Column) -> Column:
+    """Twice the characters that two maps of counts share by both lengths together."""
+    return 2 * F.aggregate(F.map_entries(one), F.lit(0).cast("long"), lambda s, x: s + F.least(x["value"], F.coalesce(F.try_element_at(two, x["key"]), F.lit(0).cast("long")))) / sizes
+
+
 def near_pairs(df: DataFrame, block: list[str], key: str, text: str, ratio: float = RATIO) -> DataFrame:
     """(key_a, key_b, ratio) for distinct texts of a block that share at least `ratio` of their characters.
 
     The ratio is twice the shared characters, counted with repeats, by both lengths. Lengths bound it, so a text
-    only meets texts of neighbouring length classes of its block, each class `1/ratio` wide; copies meet once.
+    only meets texts of neighbouring length classes of its block, each class `1/ratio` wide; copies meet once. All
+    pairs are listed: for large blocks see near_keepers().
     """
     rows = df.select(*block, F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
     rows = rows.groupBy(*block, "_t").agg(F.min("_k").alias("_k"))
     width = 1 / (2 / ratio - 1)
     rows = rows.withColumn("_n", F.length("_t")).withColumn("_size", F.floor(F.log(F.col("_n").cast("double")) / -F.log(F.lit(width))))
-    chars = F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.struct(c.alias("c"), X.occurrences(F.col("_t"), c).alias("m")))
-    rows = rows.withColumn("_hist", F.map_from_entries(F.filter(chars, lambda x: x["c"] != ""))).drop("_t")
+    rows = rows.withColumn("_hist", character_counts(F.col("_t"))).drop("_t")
     side = lambda name: F.struct(F.col("_k").alias("k"), F.col("_n").alias("n"), F.col("_hist").alias("hist"), F.col("_size").alias("cls")).alias(name)
     one = rows.select(*block, F.explode(F.array("_size", F.col("_size") + 1)).alias("_cls"), side("_one"))
     two = rows.select(*block, F.col("_size").alias("_cls"), side("_two"))
     met = one.join(two, [*block, "_cls"]).where((F.col("_one.cls") < F.col("_two.cls")) | (F.col("_one.k") < F.col("_two.k")))
-    shared = F.aggregate(F.map_entries("_one.hist"), F.lit(0).cast("long"), lambda s, x: s + F.least(x["value"], F.coalesce(F.try_element_at(F.col("_two.hist"), x["key"]), F.lit(0).cast("long"))))
-    met = met.withColumn("ratio", 2 * shared / (F.col("_one.n") + F.col("_two.n"))).where(F.col("ratio") >= ratio)
+    met = met.withColumn("ratio", likeness(F.col("_one.hist"), F.col("_two.hist"), F.col("_one.n") + F.col("_two.n"))).where(F.col("ratio") >= ratio)
     return met.select(*block, F.least("_one.k", "_two.k").alias("key_a"), F.greatest("_one.k", "_two.k").alias("key_b"), "ratio")
 
 
+def near_keepers(df: DataFrame, block: list[str], key: str, text: str, ratio: float = RATIO, count: str | None = None) -> DataFrame:
+    """(block, key, keeper) of each distinct text of a block (its least key): the first kept text that it is nearly like.
+
+    In the order of keys a text is kept unless it is nearly like one that is kept before it, which then is its keeper;
+    a text nearly like a copy alone is kept. Keepers are their own. Alike is as in near_pairs(); with `count`, these
+    numbers must also differ by PARAGRAPHS at most. Empty texts and null blocks take no part.
+
+    Each round settles the first HEADS open texts of every block among themselves and holds the block's others against
+    those that are kept, so that no pairs of copies are made: a block of any number of copies of few texts takes a
+    round of linear work. Rounds are as many as the most texts kept in a block by HEADS.
+    """
+    rows = df.select(*block, F.col(key).alias("_k"), F.col(text).alias("_t"), (F.col(count) if count else F.lit(0)).alias("_c")).where(F.length("_t") > 0)
+    rows = rows.groupBy(*block, "_t").agg(F.min(F.struct("_k", "_c")).alias("_f"))
+    rows = cut(rows.select(*block, F.col("_f._k").alias("_k"), F.col("_f._c").alias("_c"), F.length("_t").alias("_n"), character_counts(F.col("_t")).alias("_hist")))
+    crowded = cut(rows.groupBy(*block).agg(F.count("*").alias("_m")).where("_m > 1").drop("_m"))
+    settled = [rows.join(crowded, block, "left_anti").select(*block, F.col("_k").alias("key"), F.col("_k").alias("keeper"))]
+    open_ = rows.join(crowded, block, "left_semi")
+
+    def alike(one: str, two: str) -> Column:
+        n = F.col(f"{one}._n") + F.col(f"{two}._n")
+        bound = F.least(f"{one}._n", f"{two}._n") * 2 >= F.lit(ratio) * n
+        near = F.when(bound, likeness(F.col(f"{one}._hist"), F.col(f"{two}._hist"), n) >= ratio).otherwise(False)
+        return near & (F.abs(F.col(f"{one}._c") - F.col(f"{two}._c")) <= PARAGRAPHS)
+
+    whole = F.struct("_k", "_c", "_n", "_hist")
+    share = Window.partitionBy(*block, F.pmod(F.xxhash64("_k"), F.lit(HEADS))).orderBy("_k")
+    while not open_.isEmpty():
+        heads = open_.select(*block, "_k").withColumn("_r", F.row_number().over(share)).where(F.col("_r") <= HEADS)
+        heads = heads.withColumn("_r", F.row_number().over(Window.partitionBy(*block).orderBy("_k"))).where(F.col("_r") <= HEADS)
+        heads = cut(open_.join(small(heads.drop("_r"), 64), [*block, "_k"]).select(*block, whole.alias("_two")))
+        before = heads.join(heads.withColumnRenamed("_two", "_one"), block).where((F.col("_one._k") < F.col("_two._k")) & alike("_one", "_two")).groupBy(*block, F.col("_two._k").alias("_k")).agg(F.collect_set("_one._k").alias("_near"))
+        chain = heads.select(*block, "_two._k").join(before, [*block, "_k"], "left").groupBy(*block).agg(F.array_sort(F.collect_list(F.struct("_k", "_near"))).alias("_h"))
+        first = F.slice(F.transform("_h", lambda h: h["_k"]), 1, 1)
+        kept = F.aggregate(F.slice("_h", 2, HEADS), first, lambda s, h: F.when(F.coalesce(F.arrays_overlap(s, h["_near"]), F.lit(False)), s).otherwise(F.concat(s, F.array(h["_k"]))))
+        kept = chain.select(*block, F.explode(kept).alias("_k"))
+        kept = cut(heads.withColumn("_k", F.col("_two._k")).join(kept, [*block, "_k"], "left_semi").select(*block, F.col("_two").alias("_one")))
+        others = open_.join(heads.select(*block, "_two._k"), [*block, "_k"], "left_anti").unionByName(heads.select(*block, "_two.*").join(kept.select(*block, "_one._k"), [*block, "_k"], "left_anti"))
+        found = others.select(*block, whole.alias("_two")).join(small(kept, COUNTS), block).where(alike("_one", "_two")).groupBy(*block, F.col("_two._k").alias("key")).agg(F.min("_one._k").alias("keeper"))
+        found = cut(found)
+        settled += [kept.select(*block, F.col("_one._k").alias("key"), F.col("_one._k").alias("keeper")), found]
+        done = found.select(*block, F.col("key").alias("_k")).unionByName(kept.select(*block, "_one._k"))
+        open_ = cut(open_.join(done, [*block, "_k"], "left_anti"))
+    return reduce(DataFrame.unionByName, settled)
+
+
 def paired(raw: Column, translated: Column) -> Column:
     """Whether paragraph counts fit: they differ by 3 or a tenth of the first at most."""
     return F.abs(raw - translated) <= F.greatest(F.lit(PARAGRAPHS), F.floor(raw / 10))
@@ -44,7 +105,7 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     """raw, translated, stash and summary of all novels, from (novel_id, pos, title, paragraphs) without title entries.
 
     A novel whose translation does not fit its raw chapters is left alone. Chapters equal in title and paragraphs, or
-    numbered alike and nearly alike, are one; a translation of any copy is kept. Chapters are sorted by number if
+    of one numbered title and nearly alike a chapter that is kept, are one; a translation of any copy is kept. Chapters are sorted by number if
     numbers are not repeated and at least half have one; others follow the numbered chapter before them. Translations
     up to the first gap stay in place, later ones go to the stash by content hash.
     """
@@ -55,23 +116,21 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     rows = pairs.join(fits, "novel_id").withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs"))).withColumn("number", X.chapter_number(F.col("title")))
     exact = rows.groupBy("novel_id", "hash").agg(F.min("pos").alias("keeper"))
     rows = cut(rows.join(exact, ["novel_id", "hash"]))
-    heads = rows.where("pos = keeper AND number IS NOT NULL").withColumn("body", F.array_join("paragraphs", "\n"))
-    near = near_pairs(heads, ["novel_id", "title"], "pos", "body")
-    sizes = heads.select("novel_id", "pos", F.size("paragraphs").alias("size"))
-    near = near.join(sizes.select("novel_id", F.col("pos").alias("key_a"), F.col("size").alias("sa")), ["novel_id", "key_a"]).join(sizes.select("novel_id", F.col("pos").alias("key_b"), F.col("size").alias("sb")), ["novel_id", "key_b"]).where(F.abs(F.col("sa") - F.col("sb")) <= PARAGRAPHS)
-    near = near.groupBy("novel_id", F.col("key_b").alias("keeper")).agg(F.min("key_a").alias("older"))
+    heads = rows.where("pos = keeper AND number IS NOT NULL").select("novel_id", "title", "pos", F.array_join("paragraphs", "\n").alias("body"), F.size("paragraphs").alias("size"))
+    near = near_keepers(heads, ["novel_id", "title"], "pos", "body", count="size").select("novel_id", F.col("key").alias("keeper"), F.col("keeper").alias("older"))
     rows = rows.join(near, ["novel_id", "keeper"], "left").withColumn("keeper", F.when(F.col("fits"), F.coalesce("older", "keeper")).otherwise(F.col("pos"))).drop("older")
     kept = rows.where("pos = keeper").drop("done", "keeper")
     done = rows.where("done IS NOT NULL").groupBy("novel_id", "keeper").agg(F.min_by("done", "pos").alias("done")).withColumnRenamed("keeper", "pos")
-    kept = kept.join(done, ["novel_id", "pos"], "left")
+    kept = cut(kept.join(done, ["novel_id", "pos"], "left"))
+    # Places are settled on keys alone; titles, paragraphs and translations are joined to them.
     whole, order = Window.partitionBy("novel_id"), Window.partitionBy("novel_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    numbered, distinct = F.count("number").over(whole), F.size(F.collect_set("number").over(whole))
-    sortable = F.col("fits") & (numbered == distinct) & (numbered > 0) & (numbered * 2 >= F.count("*").over(whole))
-    kept = kept.withColumn("place", F.when(sortable, F.coalesce(F.last("number", ignorenulls=True).over(order), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    keys = kept.select("novel_id", "pos", "fits", "number", F.col("done").isNull().cast("int").alias("open"))
+    sortable = keys.groupBy("novel_id").agg((F.min("fits") & (F.count("number") == F.count_distinct("number")) & (F.count("number") > 0) & (F.count("number") * 2 >= F.count("*"))).alias("sortable"))
+    keys = keys.join(sortable, "novel_id").withColumn("place", F.when(F.col("sortable"), F.coalesce(F.last("number", ignorenulls=True).over(order), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     ranked = Window.partitionBy("novel_id").orderBy("place", "pos")
-    kept = kept.withColumn("new_pos", F.row_number().over(ranked) - 1).withColumn("old_rank", F.row_number().over(Window.partitionBy("novel_id").orderBy("pos")) - 1)
-    kept = kept.withColumn("gap", F.sum(F.col("done").isNull().cast("int")).over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = cut(kept)
+    keys = keys.withColumn("new_pos", F.row_number().over(ranked) - 1).withColumn("old_rank", F.row_number().over(whole.orderBy("pos")) - 1)
+    keys = keys.withColumn("gap", F.sum("open").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = cut(kept.select("novel_id", "pos", "hash", "title", "paragraphs", "done").join(keys.select("novel_id", "pos", "new_pos", "old_rank", "gap"), ["novel_id", "pos"]))
     stash = kept.where("gap > 0 AND done IS NOT NULL").select("novel_id", "hash", "done.title", "done.paragraphs")
     counts = kept.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))
     before = raw.groupBy("novel_id").agg(F.count("*").alias("before"))

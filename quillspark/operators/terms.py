@@ -240,12 +240,19 @@ def greedy_spans(text: Column, terms: list[str]) -> Column:
 
 
 def mark_spans(text: Column, terms: dict[str, str]) -> Column:
-    """Terms replaced by their renderings between zero-width spaces; restore_spans() takes the marks out again."""
+    """Terms replaced by their renderings between zero-width spaces; restore_spans() takes the marks out again.
+
+    A small dictionary as one pattern: the text is cut at its matches, leftmost and longest first, in one pass. For
+    large ones see marked_texts().
+    """
+    if not terms:
+        return text
     from re import escape
 
-    for zh in sorted(terms, key=lambda t: (-len(t), t)):
-        text = F.regexp_replace(text, f"{escape(zh)}(?![^\u200b]*\u200b(?:[^\u200b]*\u200b[^\u200b]*\u200b)*[^\u200b]*$)", f"\u200b{terms[zh]}\u200b")
-    return text
+    pattern = F.lit("|".join(escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))))
+    rendering = F.create_map(*[F.lit(x) for pair in terms.items() for x in pair])
+    marked = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda t: F.concat(F.lit("\u200b"), rendering[t], F.lit("\u200b")))
+    return F.array_join(F.zip_with(F.split(text, pattern, -1), marked, lambda between, mark: F.concat(between, F.coalesce(mark, F.lit("")))), "")
 
 
 def restore_spans(text: Column) -> Column:

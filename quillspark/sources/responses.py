@@ -29,22 +29,39 @@ def _unescape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit('\\"'), F.lit('"')), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
 
 
+#: A JSON string with its content as a group. No part gives back what it took, so that its length costs no stack.
+STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+BLANK = r"[ \t\r\n]*+"
+#: The names under which a reply holds its new terms.
+TERM_KEYS = ("new_terms", "new_names")
+
+
+def _after(body: Column, key: str, mark: str, item: str) -> Column:
+    """The run of whole items, parted by commas, after the first "key": and its opening mark; empty if there is none."""
+    run = f"(?:{BLANK}{item}{BLANK},?+)*+".replace("([^", "(?:[^")
+    return F.regexp_extract(body, f'(?s)"{key}"{BLANK}:{BLANK}{mark}({run})', 1)
+
+
 def reply(body: Column) -> Column:
-    """A reply as a struct: as JSON, else by patterns for title, paragraphs and new terms (idioms are lost then).
+    """A reply as a struct: as JSON, else what a scan of its text gives for title, paragraphs and new terms (idioms are lost then).
 
-    Null if no paragraphs can be found.
+    Null if no paragraphs can be found. The scan takes the whole strings of a section up to the place where the reply
+    is cut off or broken; a string that is cut off is no paragraph. New terms stand under either of two names; the first
+    section that has any counts.
     """
-    string = r'"((?:[^"\\]|\\.)*)"'
-    strict = F.from_json(body, REPLY)
-    block = F.regexp_extract(body, r'"paragraphs"\s*:\s*\[((?:\s*"(?:[^"\\]|\\.)*"\s*,?)*)', 1)
-    paragraphs = F.transform(F.regexp_extract_all(block, F.lit(string), F.lit(1)), _unescape)
-    terms = F.regexp_extract(body, r'"new_terms"\s*:\s*\{([^}]*)', 1)
-    keys = F.regexp_extract_all(terms, F.lit(string + r"\s*:\s*" + string), F.lit(1))
-    values = F.regexp_extract_all(terms, F.lit(string + r"\s*:\s*" + string), F.lit(2))
-    pairs = F.filter(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda x: x["k"].isNotNull())
-    folded = F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != _unescape(x["k"])), F.create_map(_unescape(x["k"]), _unescape(x["v"]))))
-    repaired = F.struct(_unescape(F.regexp_extract(body, r'"title"\s*:\s*' + string, 1)).alias("title"), paragraphs.alias("paragraphs"), folded.alias("new_terms"), F.create_map().cast("map<string,string>").alias("idioms"))
-    return F.when(F.size(strict["paragraphs"]) > 0, strict).when(F.size(paragraphs) > 0, repaired)
+    strict = F.from_json(body, f"{REPLY[:-1]},new_names:map<string,string>>")
+    named = F.coalesce(strict["new_terms"], strict["new_names"])
+    whole = F.struct(strict["title"].alias("title"), strict["paragraphs"].alias("paragraphs"), named.alias("new_terms"), strict["idioms"].alias("idioms"))
+    paragraphs = F.transform(F.regexp_extract_all(_after(body, "paragraphs", r"\[", STRING), F.lit(f"(?s){STRING}"), F.lit(1)), _unescape)
+    pair = f"{STRING}{BLANK}:{BLANK}{STRING}"
+    sections = [_after(body, key, r"\{", pair) for key in TERM_KEYS]
+    terms = F.coalesce(*[F.nullif(s, F.lit("")) for s in sections], F.lit(""))
+    sides = [F.transform(F.regexp_extract_all(terms, F.lit(f"(?s){pair}"), F.lit(group)), _unescape) for group in (1, 2)]
+    pairs = F.arrays_zip(sides[0].alias("k"), sides[1].alias("v"))
+    last = F.transform(F.array_distinct(sides[0]), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"].alias("value")))
+    title = _unescape(F.regexp_extract(body, f'(?s)"title"{BLANK}:{BLANK}{STRING}', 1))
+    repaired = F.struct(title.alias("title"), paragraphs.alias("paragraphs"), F.map_from_entries(last).alias("new_terms"), F.create_map().cast("map<string,string>").alias("idioms"))
+    return F.when(F.size(strict["paragraphs"]) > 0, whole).when(F.size(paragraphs) > 0, repaired)
 
 
 def balance(body: Column) -> Column:
@@ -57,5 +74,6 @@ def balance(body: Column) -> Column:
 
 def jobs(rows: DataFrame) -> DataFrame:
     """Job rows with the defaults of missing settings."""
+    # The settings' defaults.
     defaults = {"model": "deepseek-flash", "reasoning_effort": "medium", "workers": 1, "avoid_peak": False, "style_detect": True, "thinking": True, "prepare": True, "epub": True, "pdf": False}
     return rows.withColumns({k: F.coalesce(F.col(k), F.lit(v)) if k in rows.columns else F.lit(v) for k, v in defaults.items()})
