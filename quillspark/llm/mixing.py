@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.tables import numbered
 from quillspark.llm.common import WORD, discard, small, stored
 
 LEVELS = ["domain", "lang", "source"]
@@ -59,7 +60,8 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
     In each epoch a leaf's documents follow in the order of a seeded hash of epoch and key; a leaf takes whole epochs
     while its budget lasts and of the next one the prefix of documents that begin before the budget is used up.
     Null texts have no tokens and are never taken, and neither are texts without words; null languages and sources
-    are leaves of their own. Ties in the order are settled by key and length. Repeated rows are taken one by one.
+    are leaves of their own. Ties in the order are settled by key and length. Rows alike in these are taken one by
+    one, in the order of their texts, so that a leaf passes its budget by less than its last document.
     Columns of df outside the tree come back unchanged; an empty table gives no rows.
 
     A leaf may hold any share of the rows: its order is cut into stretches of about STRETCH rows, whose token sums
@@ -85,13 +87,22 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
     sums = sums.withColumn("base", F.coalesce(F.sum("sum").over(before), F.lit(0))).where("base < left")
     last = sums.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("stretch", "base")).alias("last"))
     edge = _by_leaf(met, last, "epoch").where("stretch = last.stretch")
-    inside = Window.partitionBy(*LEVELS, "epoch").orderBy("spot", "_key", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    edge = edge.withColumn("start", F.col("last.base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).where("start < left")
-    limits = edge.groupBy(*LEVELS, "epoch").agg(F.max(F.struct("spot", "_key", "tokens")).alias("limit"))
-    ends = stored(_by_leaf(plan, limits, "epoch", how="left").select(*LEVELS, "epoch", "budget", "full", "limit"), "ends")
+    alike = ["spot", "_key", "tokens"]
+    edge = edge.groupBy(*LEVELS, "epoch", *alike, "left", F.col("last.base").alias("base")).agg(F.count("*").alias("copies"))
+    inside = Window.partitionBy(*LEVELS, "epoch").orderBy(*alike).rowsBetween(Window.unboundedPreceding, -1)
+    edge = edge.withColumn("start", F.col("base") + F.coalesce(F.sum(F.col("tokens") * F.col("copies")).over(inside), F.lit(0))).where("start < left")
+    part = F.least("copies", F.ceil((F.col("left") - F.col("start")) / F.col("tokens")).cast("long"))
+    limits = edge.groupBy(*LEVELS, "epoch").agg(F.max(F.struct(*alike)).alias("limit"), F.max_by(F.struct(part.alias("taken"), "copies"), F.struct(*alike)).alias("last"))
+    ends = _by_leaf(plan, limits, "epoch", how="left").select(*LEVELS, "epoch", "budget", "full", "limit", F.when(F.col("last.taken") < F.col("last.copies"), F.col("last.taken")).alias("some"))
+    ends = stored(ends, "ends")
     discard(narrow, plan)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), domain.alias("domain"), F.col("lang"), F.col("source"), F.col(key).alias("_key"), tokens.alias("tokens")).where("tokens > 0")
-    taken = _by_leaf(rows, small(ends, 400)).withColumn("spot", spot).where(F.col("full") | (F.struct("spot", "_key", "tokens") <= F.col("limit")))
+    here = F.struct(*alike)
+    met = _by_leaf(rows, small(ends, 400)).withColumn("spot", spot)
+    taken = met.where(F.col("full") | (here < F.col("limit")) | ((here == F.col("limit")) & F.col("some").isNull()))
+    if not ends.where("some IS NOT NULL").isEmpty():
+        last = met.where(~F.col("full") & (here == F.col("limit")) & F.col("some").isNotNull()).withColumn("_order", F.col(f"_row.{text}"))
+        taken = taken.unionByName(numbered(last, [*LEVELS, "epoch"], ["_order"], "_n").where("_n <= some").select(*taken.columns))
     extra = [c for c in ("domain", "tokens", "epoch", "budget") if c not in names]
     return taken.select("_row.*", *extra)
 
