@@ -109,18 +109,19 @@ def pack(cut: DataFrame, size: int = SEQUENCE, group: int = GROUP, seed: str = "
     """sequence_id and offset for each row of pieces(): offsets are gapless from 0 in each sequence.
 
     Pieces are dealt by a seeded hash into groups of about `group` rows, each packed in one task on its own, longest
-    first, ties by key and start. Copies of a document fall where their hash sends them; a document repeated with its
-    key goes to one group, and whatever share one key holds, its rows are spread by start and content.
+    first, ties by key and start. Rows alike in every column are counted and numbered, and the number is part of the
+    hash: whatever share one key or one repeated row holds, its pieces are spread over the groups.
     """
     groups = max(1, -(-cut.select(F.count("*")).first()[0] // group))
-    dealt = cut.withColumn("deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed)), F.lit(groups)))
+    apart = cut.groupBy(*cut.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    dealt = apart.select(*cut.columns, F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy", F.lit(seed)), F.lit(groups)).alias("deal"))
 
     def run(table):
         import pyarrow as pa
 
         rows = table.drop_columns(["deal"]).to_pylist()
         deal = table.column("deal")[0].as_py()
-        rows.sort(key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
+        rows.sort(key=lambda r: (-r["length"], r["doc_id"] is None, [] if r["doc_id"] is None else [r["doc_id"]], r["start"], r["ids_crc32"]))
         bins, offsets = first_fit([r["length"] for r in rows], size)
         out = pa.Table.from_pylist(rows, schema=table.drop_columns(["deal"]).schema)
         return out.append_column("sequence_id", pa.array([deal * (1 << 24) + b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))

@@ -213,6 +213,18 @@ def test_mixing_takes_prefixes(spark, docs, empty, monkeypatch):
     assert set(docs.columns) <= set(mixed.columns) and mixed.where("text IS NULL").count() == 0
 
 
+def test_mixing_takes_copies_one_by_one(spark):
+    text = "ten words " * 50
+    rows = [(1, "en", "src3", text)] * 400 + [(i, "en", "src3", "few words of its own") for i in range(2, 40)] + [(None, "de", "src3", text)] * 30 + [(i, "fr", "src4", "some more words " * 9) for i in range(50, 90)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    for share in (0.05, 0.3, 0.6):
+        leaves = {}
+        for r in mixing.mix(df, share=share).collect():
+            budget, total, most = leaves.get((r.lang, r.source), (r.budget, 0, 0))
+            leaves[r.lang, r.source] = (budget, total + r.tokens, max(most, r.tokens))
+        assert leaves and all(budget <= total < budget + most for budget, total, most in leaves.values())
+
+
 # 4 packing
 def test_first_fit_is_first_fit():
     rng = np.random.default_rng(3)
@@ -256,6 +268,19 @@ def test_packing_round_trip(spark, docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_packing_text_keys_and_repeats(spark):
+    rows = [("", "an empty key"), (None, "no key"), ("a", "a key"), ("é", "x " * 300)] * 3 + [("same", "one repeated row")] * 3000
+    out = packing.packed(spark.createDataFrame(rows, "doc_id string, text string"), size=64).collect()
+    assert Counter((r.doc_id, r.start) for r in out)["same", 0] == 3000 and len({r.sequence_id >> 24 for r in out}) == 1
+    spread = packing.pack(packing.pieces(spark.createDataFrame(rows, "doc_id string, text string"), size=64), 64, group=100).collect()
+    assert max(Counter(r.sequence_id >> 24 for r in spread).values()) < 200 and len(spread) == len(out)
+    for packed in (out, spread):
+        ends = defaultdict(list)
+        for r in packed:
+            ends[r.sequence_id].append((r.offset, r.length))
+        assert all(sum(n for _, n in found) <= 64 and [o for o, _ in sorted(found)] == [sum(n for _, n in sorted(found)[:i]) for i in range(len(found))] for found in ends.values())
+
+
 @pytest.mark.parametrize("unit", [" ", "\n", "\t", " \n", "a", "Q", "7", ".", "a.", "é", "漢", "a b"])
 def test_packing_ids_of_very_long_runs(unit):
     import public_tokenizers
