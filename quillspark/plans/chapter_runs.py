@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered, shared_folder
 from quillspark.operators import novel_run as N
-from quillspark.plans.queries import as_novels, query, table
+from quillspark.plans.queries import as_novels, lines_of, query, table
+from quillspark.streaming import chapters as stream
+from quillspark.streaming import evolving as E
 
 
 def full_lines(c):
@@ -154,3 +159,48 @@ def pipeline_paths(spark, sf_dir):
 @query("SELECT c_custkey AS custkey, '$' || printf('%.2f', c_acctbal) AS balance FROM customer")
 def balance_texts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), N.usd(F.col("c_acctbal")).alias("balance"))
+
+
+# Streams
+@query(r"""
+WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, text, lang, regexp_extract(text, '[a-z]{6,12}') AS zh FROM documents WHERE regexp_matches(text, '\S')),
+t AS (SELECT source, zh, min(pos) AS first, arg_min(lang, pos) AS lang FROM d WHERE zh <> '' GROUP BY source, zh),
+u AS (SELECT d.source, d.pos, count(t.zh) AS n_used, md5(coalesce(string_agg(t.zh || ' = ' || upper(t.zh) || ' ' || upper(t.lang), chr(10) ORDER BY t.first), '')) AS used_md5
+  FROM d LEFT JOIN t ON t.source = d.source AND t.first < d.pos AND contains(d.text, t.zh) GROUP BY ALL)
+SELECT u.source AS novel_id, u.pos, n_used, used_md5, coalesce(t.zh, '') AS added FROM u LEFT JOIN t ON t.source = u.source AND t.first = u.pos""")
+def streaming_glossary(spark, sf_dir):
+    """All documents through the stateful stream in two runs: half of the events come first, with gaps everywhere.
+
+    A chapter's reply is its text in capitals, and proposes the text's first word of 6 to 12 small letters as a term.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), "doc_id", "lang", lines_of(F.col("text")).alias("paragraphs"), F.regexp_extract("text", "[a-z]{6,12}", 0).alias("zh")).where(F.size("paragraphs") > 0)
+    said = numbered(docs, ["novel_id"], ["doc_id"]).select("novel_id", (F.col("number") - 1).alias("pos"), F.lit("").alias("title"), "paragraphs", "lang", "zh")
+    named = F.when(F.col("zh") != "", F.create_map("zh", F.concat(F.upper("zh"), F.lit(" "), F.upper("lang"))))
+    done = F.transform("paragraphs", F.upper)
+    body = F.to_json(F.struct(F.upper("title").alias("title"), done.alias("paragraphs"), named.alias("new_terms")))
+    replies = said.select("novel_id", "pos", F.lit(1).alias("attempt"), body.alias("body"))
+    events = E.chapter_events(said).unionByName(E.reply_events(replies, "a-z"))
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    first = F.pmod(F.xxhash64("novel_id", "pos", "attempt"), F.lit(2)) == 0
+    for part in (first, ~first):
+        events.where(part).write.mode("append").parquet(f"{place}/in")
+        out = E.run(spark, f"{place}/in", f"{place}/out", f"{place}/state")
+    used = F.from_json("used", "map<string,string>")
+    lines = F.transform(F.map_entries(used), lambda x: F.concat(x["key"], F.lit(" = "), x["value"]))
+    return out.select("novel_id", "pos", F.size(used).cast("long").alias("n_used"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("used_md5"), F.coalesce(F.try_element_at(F.map_keys(F.from_json("added", "map<string,string>")), F.lit(1)), F.lit("")).alias("added"))
+
+
+def event_stream(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+
+
+@query("SELECT user_id, sum(value::DECIMAL(18,4))::DOUBLE AS spend, count(value) AS n FROM events GROUP BY user_id")
+def streaming_spend(spark, sf_dir):
+    out = stream.settled(stream.spend(event_stream(spark, sf_dir).where("value IS NOT NULL").withColumn("cost", F.col("value").cast("decimal(18,4)")), "user_id", "cost"))
+    return out.select("user_id", F.col("spend").cast("double").alias("spend"), "n")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def streaming_progress(spark, sf_dir):
+    return stream.settled(stream.progress(event_stream(spark, sf_dir), "user_id", "event_id", "event_type"))

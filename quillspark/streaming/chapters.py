@@ -34,20 +34,19 @@ def _written(spark: SparkSession, target: str, schema) -> DataFrame:
 def append_in_order(stream: DataFrame, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] | None = None, limit: int | None = None):
     """Start a query that writes each novel's chapters in order, none twice and none past a gap or failure.
 
-    Every micro-batch is joined to what is written: positions that are written are skipped, and of the others (and of
-    those held back before) the run that goes on without a gap is written, up to `limit` new ones in a novel. `work`
-    maps chapters to results with a column ok; the run ends before the first that is not ok. What waits is kept in a
-    table beside the target. Each batch writes a folder of its own and replaces it when it is run again.
+    Every micro-batch is joined to the next position of each novel: what is written is skipped, and of the others (and
+    of those held back before) the run that goes on without a gap is written, up to `limit` new ones in a novel. `work`
+    maps chapters to results with a column ok; the run ends before the first that is not ok. What waits and the next
+    positions are kept in tables beside the target, one for each batch; the target is never read again. Each batch
+    writes folders of its own and replaces them when it is run again.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = batch.schema
         held = _written(spark, f"{target}.waiting/{batch_id - 1}", schema)
-        done = _before(spark, target, batch_id, schema)
-        rows = batch.unionByName(held).dropDuplicates(["novel_id", "pos"]).join(done, ["novel_id", "pos"], "left_anti")
-        heads = done.groupBy("novel_id").agg((F.max("pos") + 1).alias("next"))
-        rows = rows.join(heads, "novel_id", "left").withColumn("next", F.coalesce("next", F.lit(0)))
+        heads = _written(spark, f"{target}.next/{batch_id - 1}", T.StructType([schema["novel_id"], T.StructField("next", T.LongType())]))
+        rows = batch.unionByName(held).dropDuplicates(["novel_id", "pos"]).join(heads, "novel_id", "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long"))).where("pos >= next")
         ready = work(rows) if work else rows.withColumn("ok", F.lit(True))
         order = Window.partitionBy("novel_id").orderBy("pos")
         ready = ready.withColumn("k", F.row_number().over(order) - 1)
@@ -56,16 +55,12 @@ def append_in_order(stream: DataFrame, target: str, checkpoint: str, work: Calla
         ready.where("stop = 0").select(*schema.names).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         kept = ready.where("stop > 0").select("novel_id", "pos")
         rows.join(kept, ["novel_id", "pos"], "left_semi").select(*schema.names).write.mode("overwrite").parquet(f"{target}.waiting/{batch_id}")
+        gone = spark.read.schema(schema).parquet(f"{target}/batch={batch_id}").select("novel_id", (F.col("pos") + 1).cast("long").alias("next"))
+        heads.unionByName(gone).groupBy("novel_id").agg(F.max("next").alias("next")).write.mode("overwrite").parquet(f"{target}.next/{batch_id}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _before(spark: SparkSession, target: str, batch_id: int, schema) -> DataFrame:
-    """Positions that earlier batches wrote."""
-    written = _written(spark, target, T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())]))
-    return written.where(F.col("batch") < batch_id).select("novel_id", "pos")
-
-
 class _Usage(StatefulProcessor):
     """Counts and last places of terms by novel, purged as chapters pass."""
 
@@ -110,6 +105,15 @@ def evolving_votes(stream_batch: DataFrame, memory: DataFrame) -> DataFrame:
     return terms.vote(memory.unionByName(stream_batch), "key", "variant", ["pos"])
 
 
+def settled(stream: DataFrame) -> DataFrame:
+    """The result of an aggregation over a stream when all its input is read: each batch replaces the one before it."""
+    spark = stream.sparkSession
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{place}/out"))
+    query.option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
 def replay(chapters: DataFrame) -> DataFrame:
     """Chapters written to a folder, streamed in order by append_in_order(), and read back: (novel_id, n, last_pos)."""
     spark = chapters.sparkSession

@@ -141,3 +141,82 @@ def test_dictionary_pages_and_inspection(spark):
     assert pages.entry_slugs(saved).count() == 0
     lines = spark.createDataFrame([(3, "c"), (1, "#"), (2, "b"), (4, " "), (5, None)], "n long, value string")
     assert [tuple(r) for r in dictionaries.inspected({"a": lines, "b": lines.where("false")}).collect()] == [("a", 2, ["b", "c"]), ("b", 0, [])]
+
+
+def test_stateful_stream_across_runs(spark, tmp_path):
+    import json
+    import shutil
+
+    from quillspark.streaming import evolving
+
+    folder, target, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    reply = lambda lines, terms=None: json.dumps({"title": "T", "paragraphs": lines, "new_terms": terms or {}}, ensure_ascii=False)
+    chapters = {("a", i): ["甲来了", f"第{i}段乙"] for i in range(5)} | {("b", 0): ["丙"], ("b", 1): ["丙丁"]}
+    given = {("a", 0): reply(["Giáp", "x"], {"甲": "Giáp An", "丙": "Bính Bính"}), ("a", 1): reply(["Giáp", "x"], {"甲": "Other Name", "乙": "Ất Ất"}), ("b", 0): reply(["x"], {"丙": "Bính Bính"})}
+
+    def put(events):
+        rows = [(n, p, 0, json.dumps({"title": "t", "paragraphs": chapters[n, p]}, ensure_ascii=False)) if k == 0 else (n, p, k, b) for n, p, k, b in events]
+        ready = spark.createDataFrame(rows, "novel_id string, pos long, attempt long, body string")
+        first, answers = ready.where("attempt = 0"), ready.where("attempt > 0")
+        first.unionByName(evolving.reply_events(answers)).coalesce(1).write.mode("append").parquet(folder)
+
+    def run():
+        return sorted((r.novel_id, r.pos, r.attempt, json.loads(r.used), json.loads(r.added)) for r in evolving.run(spark, folder, target, state).collect())
+
+    put([("a", 1, 0, None), ("a", 1, 1, given["a", 1]), ("b", 0, 0, None), ("b", 0, 1, reply(["x", "too many"])), ("a", 4, 0, None)])
+    assert run() == []
+    put([("a", 0, 0, None), ("a", 0, 1, given["a", 0]), ("b", 0, 2, given["b", 0]), ("b", 1, 0, None), ("b", 1, 1, reply(["丙 is left"]))])
+    want = [("a", 0, 1, {}, {"甲": "Giáp An"}), ("a", 1, 1, {"甲": "Giáp An"}, {"乙": "Ất Ất"}), ("b", 0, 2, {}, {"丙": "Bính Bính"})]
+    assert run() == want
+    copies = [("a", 0, 0, None), ("a", 1, 1, reply(["again", "again"]))]
+    put([*copies, ("a", 3, 0, None), ("a", 3, 1, reply(["x", "y"])), ("b", 1, 2, '{"paragraphs": ["cut off", "wh')])
+    want.append(("b", 1, 2, {"丙": "Bính Bính"}, {}))
+    # a run that is killed before its batch is committed leaves a batch to do again
+    done = run()
+    assert done == sorted(want)
+    newest = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    shutil.move(newest, tmp_path / "gone")
+    (tmp_path / "state" / "commits" / f".{newest.name}.crc").unlink(missing_ok=True)
+    assert run() == done
+    put([("a", 2, 0, None), ("a", 2, 1, reply(["x", "y"])), ("a", 4, 1, reply(["x", "y"]))])
+    both = {"甲": "Giáp An", "乙": "Ất Ất"}
+    assert run() == sorted(want + [("a", i, 1, both, {}) for i in (2, 3, 4)])
+
+
+def test_term_counts_are_purged(spark, tmp_path):
+    import json
+
+    from quillspark.streaming import evolving
+
+    rows = []
+    for i in range(130):
+        rows.append(("n", i, 0, json.dumps({"title": "", "paragraphs": ["甲 once" if i == 0 else "乙"]}, ensure_ascii=False)))
+        rows.append(("n", i, 1, json.dumps({"title": "", "paragraphs": ["x"], "new_terms": {"甲": "A"} if i == 0 else {"乙": "B"}}, ensure_ascii=False)))
+    spark.createDataFrame(rows, evolving.EVENTS).write.parquet(f"file://{tmp_path}/in")
+    out = evolving.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/state").orderBy("pos").collect()
+    assert [r.pos for r in out] == list(range(130)) and [r.pos for r in out if r.purged] == [119]
+    assert json.loads(out[1].added) == {"乙": "B"} and all(json.loads(r.used) == {"乙": "B"} for r in out[2:])
+
+
+def test_replies_cut_at_every_place(spark):
+    import json
+
+    lines, terms = ['one "q" [x]', "two\nlines", "th\\ree} ,", ""], {"甲": "A, B", "乙": "C}"}
+    for key in ("new_terms", "new_names"):
+        body = json.dumps({"title": 'T "1"', "paragraphs": lines, key: terms}, ensure_ascii=False)
+        ends = [body.index(json.dumps(x, ensure_ascii=False), body.index("[")) + len(json.dumps(x, ensure_ascii=False)) for x in lines]
+        places = [body.index(json.dumps(v, ensure_ascii=False)) + len(json.dumps(v, ensure_ascii=False)) for v in terms.values()]
+        cut = spark.createDataFrame([(i, body[:i]) for i in range(len(body) + 1)], "i int, b string")
+        for r in cut.select("i", responses.reply(F.col("b")).alias("o")).collect():
+            whole = lines[: sum(r.i >= e for e in ends)]
+            if not whole:
+                assert r.o is None
+            else:
+                assert (r.o.title, r.o.paragraphs, r.o.new_terms or {}) == ('T "1"', whole, dict(list(terms.items())[: sum(r.i >= p for p in places)]))
+
+
+def test_replies_with_long_paragraphs(spark):
+    long = 'a "word" \\\\ and\\n more ' * 50_000
+    body = '{"title": "t", "paragraphs": ["' + long.replace('"', '\\"') + '", "short", "cut'
+    out = spark.createDataFrame([(body,)], "b string").select(responses.reply(F.col("b")).alias("o")).first().o
+    assert len(out.paragraphs) == 2 and len(out.paragraphs[0]) > 1_000_000 and out.paragraphs[1] == "short"
