@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, stored
+from quillspark.llm.common import WORD, small, stored
 
 #: The filters by letter; each is a bit of a document's flags.
 FILTERS = "ABCDE"
@@ -41,13 +41,15 @@ def flagged(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     has its text. Rows alike in key and text do not fail E on account of one another. Several labels of a key count
     as one that has what any of them has; a key without labels, and a null key, is neither good nor toxic.
 
-    A text that a third of all rows hold is one digest: its minimum is taken from partial minima, and the join back
-    is a plain shuffle of narrow rows, which adaptive execution splits.
+    A text that a third of all rows hold is one digest: its minimum is taken from partial minima. The minima of digests
+    that occur more than once are stored and broadcast if they measure small; else the join back is of two plain
+    shuffles of narrow rows, which adaptive execution splits.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_flags(F.col(text)).alias("flags"), F.unhex(F.sha2(whole.cast("binary"), 256)).alias("digest"))
     rows = stored(rows, "flags")
     first = rows.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("of"), "first")
+    first = small(stored(first, "first"), 96)
     copy = F.coalesce(F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") > F.col("first"))), F.lit(False))
     rows = rows.join(first, F.col("digest") == F.col("of"), "left").select("key", "part", (F.col("flags") + F.when(copy, 1 << 4).otherwise(0)).alias("flags"))
     marks = labels.groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
