@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.common import small, stored
 
@@ -16,8 +16,6 @@ from quillspark.llm.common import small, stored
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Seed of the cuts, percentage of texts that are cut at all, percentage of those with the suffix first.
 SEED, RATE, SUFFIX_FIRST = 7, 100, 50
-#: Bytes of output that a batch returns at about.
-BATCH = 8 << 20
 
 
 # Elias-Fano lists
@@ -66,22 +64,35 @@ def select(held: bytes, i: int) -> int:
     return high << int(width) | low
 
 
+@F.arrow_udf(T.BinaryType())
+def listed(content: pa.Array) -> pa.Array:
+    """The boundary list of each text."""
+    return pa.array([encode(boundaries(t.as_py())) for t in content], pa.binary())
+
+
 # Cuts
-def cut(key: str, text: str, held: bytes, seed: int = SEED, rate: int = RATE, suffix_first: int = SUFFIX_FIRST) -> tuple[int, str, int | None, int | None, str]:
-    """n, form, prefix_chars, middle_chars and output of a text whose boundary list is held.
+def chosen(seed: int, rate: int, suffix_first: int):
+    """An Arrow function from key and boundary list to n, form, start and end, the place of the middle in code points.
 
     Four draws from SHA-256 of seed and key give both cuts, whether the text is cut at all, and its form.
     """
-    n = count(held) - 1
-    digest = hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
-    draws = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
-    if not text or any(mark in text for mark in (PREFIX, SUFFIX, MIDDLE)) or draws[2] % 100 >= rate:
-        return n, "plain", None, None, text
-    start, end = (select(held, i) for i in sorted((draws[0] % (n + 1), draws[1] % (n + 1))))
-    prefix, middle, suffix = text[:start], text[start:end], text[end:]
-    if draws[3] % 100 < suffix_first:
-        return n, "spm", start, end - start, f"{SUFFIX}{suffix}{PREFIX}{prefix}{MIDDLE}{middle}"
-    return n, "psm", start, end - start, f"{PREFIX}{prefix}{SUFFIX}{suffix}{MIDDLE}{middle}"
+
+    def pick(key: str, held: bytes) -> tuple[int, str, int, int]:
+        n = count(held) - 1
+        digest = hashlib.sha256(f"{seed}:{key}".encode()).hexdigest()
+        draws = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+        start, end = (select(held, i) for i in sorted((draws[0] % (n + 1), draws[1] % (n + 1))))
+        return n, "plain" if draws[2] % 100 >= rate else "spm" if draws[3] % 100 < suffix_first else "psm", start, end
+
+    kinds = T.StructType([T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+
+    @F.arrow_udf(kinds)
+    def cuts(key: pa.Array, bounds: pa.Array) -> pa.Array:
+        rows = [pick(k.as_py(), b.as_py()) for k, b in zip(key, bounds, strict=True)]
+        columns = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["n", "form", "start", "end"])
+
+    return cuts
 
 
 def restored(output: Column, form: Column) -> Column:
@@ -97,15 +108,7 @@ def index(texts: DataFrame) -> DataFrame:
     as partial groups of each task.
     """
     distinct = texts.groupBy("digest", "content").agg(F.count("*").alias("copies"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                bounds = [encode(boundaries(t)) for t in part.column("content").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("content"), pa.array(bounds, pa.binary())], ["digest", "content", "bounds"])
-
-    return distinct.select("digest", "content").mapInArrow(run, "digest binary, content string, bounds binary")
+    return distinct.select("digest", "content", listed("content").alias("bounds"))
 
 
 def infilled(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int = SEED, rate: int = RATE, suffix_first: int = SUFFIX_FIRST) -> DataFrame:
@@ -118,7 +121,8 @@ def infilled(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
 
     Boundary lists belong to distinct texts. Digests that occur more than once are counted first, on narrow rows; the
     texts behind them are grouped by content in index(), and their documents joined back to it by digest and content, a
-    plain shuffle that adaptive execution splits where one text holds many rows. A text that occurs once is its own
+    plain shuffle that adaptive execution splits where one text holds many rows; only their keys and lists, not the
+    texts, go to Python. A text that occurs once is its own
     entry: its list is made where it is read, and nothing is shuffled. The repeated digests are broadcast only if they
     measure small; beyond that both sides of that question are shuffled.
     """
@@ -126,30 +130,20 @@ def infilled(df: DataFrame, key: str = "doc_id", text: str = "text", seed: int =
     rows = df.select(F.col(key).alias("key"), content.alias("content"), F.unhex(F.sha2(content.cast("binary"), 256)).alias("digest"))
     shared = stored(rows.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select("digest"), "repeated")
     known = small(shared, 64)
-    single = rows.join(known, "digest", "left_anti").select("key", "content", F.lit(None).cast("binary").alias("bounds"))
+    single = rows.join(known, "digest", "left_anti").select("key", "content", listed("content").alias("bounds"))
     copies = rows.join(known, "digest", "left_semi")
     entries = stored(index(copies), "distinct")
     back = copies.join(entries.select(F.col("digest").alias("_digest"), F.col("content").alias("_content"), "bounds"), (F.col("digest") == F.col("_digest")) & (F.col("content") == F.col("_content")))
-    names = ["key", "n", "form", "prefix_chars", "middle_chars", "output"]
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            starts, out, size = 0, [], 0
-            keys = batch.column("key")
-            for i, value in enumerate(batch.column("content")):
-                body, held = value.as_py(), batch.column("bounds")[i].as_py()
-                k = keys[i].as_py()
-                out.append(cut("null" if k is None else str(k), body, encode(boundaries(body)) if held is None else held, seed, rate, suffix_first))
-                size += len(body)
-                if size >= BATCH or i == batch.num_rows - 1:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([keys.slice(starts, len(out)), *columns], names)
-                    starts, out, size = i + 1, [], 0
-
-    schema = f"key {kind}, n long, form string, prefix_chars long, middle_chars long, output string"
-    made = single.unionByName(back.select("key", "content", "bounds")).mapInArrow(run, schema)
-    return made.withColumnRenamed("key", key)
+    name = F.coalesce(F.col("key").cast("string"), F.lit("null"))
+    made = single.unionByName(back.select("key", "content", "bounds")).withColumn("cut", chosen(seed, rate, suffix_first)(name, F.col("bounds")))
+    start, end, marked = F.col("cut.start"), F.col("cut.end"), F.lit(False)
+    for mark in (PREFIX, SUFFIX, MIDDLE):
+        marked = marked | F.col("content").contains(mark)
+    made = made.withColumn("form", F.when((F.col("content") == "") | marked, "plain").otherwise(F.col("cut.form")))
+    prefix, middle, suffix = F.left("content", start), F.substring("content", start + 1, end - start), F.substring("content", end + 1, F.length("content"))
+    output = F.when(F.col("form") == "plain", F.col("content")).when(F.col("form") == "psm", F.concat(F.lit(PREFIX), prefix, F.lit(SUFFIX), suffix, F.lit(MIDDLE), middle)).otherwise(F.concat(F.lit(SUFFIX), suffix, F.lit(PREFIX), prefix, F.lit(MIDDLE), middle))
+    sizes = [F.when(F.col("form") != "plain", size.cast("long")).alias(name) for name, size in (("prefix_chars", start), ("middle_chars", end - start))]
+    return made.select(F.col("key").alias(key), F.col("cut.n").alias("n"), "form", *sizes, output.alias("output"))
 
 
 def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
