@@ -35,11 +35,19 @@ def small(table: DataFrame, width: int, most: int = BROADCAST) -> DataFrame:
     return F.broadcast(table) if table.count() * width <= most else table
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number") -> DataFrame:
-    """df with the 1-based place of each row in its group, in two levels, so that no group is sorted in one task.
+#: Rows that a group may have at most to be sorted in one task.
+GROUP = 1 << 18
 
-    Rows are dealt into ranges of group and order; each range numbers its own, and counts by range give the offsets.
+
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number", most: int = GROUP) -> DataFrame:
+    """df with the 1-based place of each row in its group.
+
+    The groups' sizes are counted first. If none has over `most` rows, each is sorted by itself. Else in two levels, so
+    that no group is sorted in one task: rows are dealt into ranges of group and order; each range numbers its own, and
+    counts by range give the offsets.
     """
+    if most and (df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= most:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(tasks, *group, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))

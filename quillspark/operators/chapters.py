@@ -47,13 +47,15 @@ def entry_text(title: Column, paragraphs: Column) -> Column:
 def chapter_files(chapters: DataFrame, titled: str = "raw", size: int = 64) -> DataFrame:
     """(novel_id, part, value): the file of each novel in parts of `size` chapters, which follow one another from 0.
 
-    A title entry is written without a rule in raw files and with one in translated files. A novel of any length is
-    numbered in ranges, and no task holds more than a part.
+    A title entry is written without a rule in raw files and with one in translated files. Positions are numbered and
+    parted without the paragraphs, which meet their part once; no task holds more than a part. Rows of one position
+    stay together.
     """
     bare = F.col("is_title_entry") & F.lit(titled == "raw")
     entry = F.when(bare, F.concat(F.lit("=== "), F.col("title"), F.lit(" ===\n\n"))).otherwise(entry_text(F.col("title"), F.col("paragraphs")))
-    placed = numbered(chapters.select("novel_id", "pos", "title", "paragraphs", "is_title_entry"), ["novel_id"], ["pos"])
-    placed = placed.withColumn("part", F.floor((F.col("number") - 1) / size))
+    places = numbered(chapters.select("novel_id", "pos").distinct(), ["novel_id"], ["pos"])
+    places = places.select(F.col("novel_id").alias("_novel"), F.col("pos").alias("_pos"), F.floor((F.col("number") - 1) / size).alias("part"))
+    placed = chapters.join(small(places, 64), F.col("novel_id").eqNullSafe(F.col("_novel")) & F.col("pos").eqNullSafe(F.col("_pos")))
     parts = placed.groupBy("novel_id", "part").agg(F.sort_array(F.collect_list(F.struct("pos", entry.alias("entry")))).alias("parts"))
     return parts.select("novel_id", "part", F.array_join(F.transform("parts", lambda x: x["entry"]), "").alias("value"))
 

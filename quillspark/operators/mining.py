@@ -12,6 +12,8 @@ from quillspark.functions.tables import cut, small
 
 #: Least entropy and cohesion of a name, longest gram, candidates kept.
 ENTROPY, COHESION, LONGEST, RARE, COMMON = 1.0, 20.0, 6, 600, 200
+#: Characters of the grams that are counted without a look at others, and of a piece of a long run.
+SHORT, STRETCH = 3, 1024
 
 
 def runs(docs: DataFrame, script: str = X.CJK, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -19,38 +21,60 @@ def runs(docs: DataFrame, script: str = X.CJK, doc: str = "doc_id", text: str =
     return docs.select(F.col(doc).alias("doc"), F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"([{script}]+)"), F.lit(1))).alias("run_no", "run"))
 
 
-def occurrences(found: DataFrame, n: int) -> DataFrame:
-    """(gram, lft, rgt) for each place of an n-gram; the neighbours outside a run are ^ and $."""
-    places = found.where(F.length("run") >= n).select("run", F.explode(F.sequence(F.lit(1), F.length("run") - n + 1)).alias("i"))
-    return places.select(F.expr(f"substring(run, i, {n})").alias("gram"), F.expr("if(i = 1, '^', substring(run, i - 1, 1))").alias("lft"), F.expr(f"if(i + {n} > length(run), '$', substring(run, i + {n}, 1))").alias("rgt"))
+def weighted(found: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(run, first, last, w): the distinct runs with how often they occur, stored; grams start at places first to last.
+
+    Runs over STRETCH characters are cut into pieces that share what a gram and its neighbours need, so that each
+    place is counted once and no substring is taken far into a long text.
+    """
+    at = F.col("k") * STRETCH
+    pieces = found.select("run", F.length("run").alias("n"), F.explode(F.sequence(F.lit(0), F.floor((F.length("run") - 1) / STRETCH).cast("int"))).alias("k"))
+    first = F.when(F.col("k") == 0, 1).otherwise(2)
+    places = F.least(F.lit(STRETCH), F.col("n") - at)
+    pieces = pieces.select(F.when(F.col("n") <= STRETCH, F.col("run")).otherwise(F.substring("run", at + 2 - first, first - 1 + places + longest)).alias("run"), first.alias("first"), (first + places - 1).alias("last"))
+    return cut(pieces.groupBy("run", "first", "last").agg(F.count("*").alias("w")))
+
+
+def _weighted(found: DataFrame, longest: int) -> DataFrame:
+    return found if "w" in found.columns else weighted(found, longest)
+
+
+def occurrences(found: DataFrame, sizes: list[int]) -> DataFrame:
+    """(gram, run, i, n, w) for each place of a gram of the given sizes in weighted runs."""
+    rows = found.select("run", "first", "last", "w", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    rows = rows.withColumn("last", F.least("last", F.length("run") - F.col("n") + 1)).where("last >= first")
+    return rows.select("run", "w", "n", F.explode(F.sequence("first", "last")).alias("i")).withColumn("gram", F.substring("run", F.col("i"), F.col("n")))
 
 
 def frequent_grams(found: DataFrame, longest: int = LONGEST, least: int | None = None) -> tuple[DataFrame, int, int]:
     """Counts (gram, n) of all grams up to `longest` with at least `least` places, with the total and the threshold.
 
-    Level by level: a place is only counted if both parts of its gram, shorter by one, are frequent. The frequent grams
-    of a level are broadcast if they measure small, as at the default threshold, which leaves 200,000 at most; so only
-    what passes is shuffled. Counts are partial sums, so frequent grams do not gather in one task.
+    found are runs (run), or weighted() runs, of which each distinct one is read once for the grams up to SHORT
+    characters and once for the longer ones. A longer gram is only counted if the short grams at its ends are
+    frequent, as they must be if it is; they are broadcast if they measure small, as at the default threshold, which
+    leaves 200,000 at most of each size. Counts are partial sums, so frequent grams do not gather in one task.
     """
-    total = found.agg(F.coalesce(F.sum(F.length("run")), F.lit(0))).first()[0] or 1
+    found = _weighted(found, longest)
+    total = found.agg(F.coalesce(F.sum((F.col("last") - F.col("first") + 1) * F.col("w")), F.lit(0))).first()[0] or 1
     least = max(5, total // 200_000) if least is None else least
-    level = cut(occurrences(found, 1).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-    levels = [level]
-    for n in range(2, longest + 1):
-        head = level.select(F.col("gram").alias("head"))
-        tail = level.select(F.col("gram").alias("tail"))
-        places = occurrences(found, n).join(small(head, 64), F.expr(f"substring(gram, 1, {n - 1})") == F.col("head"), "left_semi")
-        places = places.join(small(tail, 64), F.expr(f"substring(gram, 2, {n - 1})") == F.col("tail"), "left_semi")
-        level = cut(places.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least))
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels), total, least
+    counted = lambda places: places.groupBy("gram").agg(F.sum("w").alias("n")).where(F.col("n") >= least)
+    short = cut(counted(occurrences(found, list(range(1, min(SHORT, longest) + 1)))))
+    if longest <= SHORT:
+        return short, total, least
+    ends = short.where(F.length("gram") == SHORT)
+    places = occurrences(found, list(range(SHORT + 1, longest + 1)))
+    places = places.join(small(ends.select(F.col("gram").alias("head")), 64), F.left("gram", F.lit(SHORT)) == F.col("head"), "left_semi")
+    places = places.join(small(ends.select(F.col("gram").alias("tail")), 64), F.right("gram", F.lit(SHORT)) == F.col("tail"), "left_semi")
+    return short.unionByName(cut(counted(places))), total, least
 
 
 def entropy(found: DataFrame, grams: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(gram, left_entropy, right_entropy) in nats; every edge of a run counts as a neighbour of its own."""
-    places = reduce(DataFrame.unionByName, [occurrences(found, n) for n in range(2, longest + 1)])
-    sides = places.join(small(grams.select("gram"), 64), "gram", "left_semi").select("gram", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("lft").alias("ch")), F.struct(F.lit("r").alias("side"), F.col("rgt").alias("ch")))).alias("x"))
-    counts = sides.groupBy("gram", "x.side", "x.ch").agg(F.count("*").alias("n"))
+    places = occurrences(_weighted(found, longest), list(range(2, longest + 1))).join(small(grams.select("gram"), 64), "gram", "left_semi")
+    lft = F.when(F.col("i") == 1, "^").otherwise(F.substring("run", F.col("i") - 1, F.lit(1)))
+    rgt = F.when(F.col("i") + F.col("n") > F.length("run"), "$").otherwise(F.substring("run", F.col("i") + F.col("n"), F.lit(1)))
+    sides = places.select("gram", "w", F.explode(F.array(F.struct(F.lit("l").alias("side"), lft.alias("ch")), F.struct(F.lit("r").alias("side"), rgt.alias("ch")))).alias("x"))
+    counts = sides.groupBy("gram", "x.side", "x.ch").agg(F.sum("w").alias("n"))
     edge = F.col("ch").isin("^", "$")
     sums = counts.groupBy("gram", "side").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(edge, F.col("n"))), F.lit(0)).alias("edge"), F.coalesce(F.sum(F.when(~edge, F.col("n") * F.log("n"))), F.lit(0.0)).alias("nlogn"), F.coalesce(F.sum(F.when(~edge, F.col("n"))), F.lit(0)).alias("inner"))
     value = (F.col("inner") * F.log("total") - F.col("nlogn")) / F.col("total") + F.col("edge") / F.col("total") * F.log("total")
@@ -85,7 +109,7 @@ def name_candidates(docs: DataFrame, common: DataFrame, idioms: DataFrame, surna
     common(word) are dictionary words, idioms(key) never names. The example is the first place, two places for common
     words. Ties in rank are settled by the text of the gram.
     """
-    found = runs(docs, script, doc, text)
+    found = weighted(runs(docs, script, doc, text))
     counts, total, _ = frequent_grams(found, least=least)
     grams = counts.where(F.length("gram") > 1).join(idioms.select(F.col("key").alias("gram")), "gram", "left_anti")
     first, last = F.substring("gram", 1, 1), F.expr("substring(gram, length(gram), 1)")
@@ -94,7 +118,10 @@ def name_candidates(docs: DataFrame, common: DataFrame, idioms: DataFrame, surna
     kept = cut(kept)
     names = kept.join(suppressed(kept, common, list(surnames)), "gram", "left_anti").join(common.select(F.col("word").alias("gram")).distinct().withColumn("common", F.lit(True)), "gram", "left").withColumn("common", F.coalesce("common", F.lit(False)))
     bonus = F.when(first.isin(*surnames) & (F.length("gram") <= 3), 2).otherwise(1) if surnames else F.lit(1)
-    ranked = cut(names.withColumn("rank", F.row_number().over(Window.partitionBy("common").orderBy(F.desc(F.col("n") * bonus), "gram"))).where(F.col("rank") <= F.when(F.col("common"), usual).otherwise(rare)))
+    # Of each kind only the first by weight are wanted: limits of tasks meet, the kinds are never ranked whole.
+    tops = [names.where(kind).withColumn("weight", F.col("n") * bonus).orderBy(F.desc("weight"), "gram").limit(most) for kind, most in ((~F.col("common"), rare), (F.col("common"), usual))]
+    place = F.row_number().over(Window.partitionBy("common").orderBy(F.desc("weight"), "gram"))
+    ranked = cut(tops[0].unionByName(tops[1]).withColumn("rank", place).drop("weight"))
     from quillspark.operators.terms import containment
 
     hits = containment(docs, ranked.select(F.col("gram").alias("term")), doc, text)

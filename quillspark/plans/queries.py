@@ -150,7 +150,7 @@ g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)
 
 
 def letter_runs(spark, sf_dir):
-    return mining.runs(table(spark, sf_dir, "documents"), X.LETTERS)
+    return mining.weighted(mining.runs(table(spark, sf_dir, "documents"), X.LETTERS), longest=3)
 
 
 @query(GRAMS + "SELECT gram, n FROM g")

@@ -113,13 +113,72 @@ def test_near_pairs_against_brute_force(spark):
     assert got == want
 
 
+def brute_keepers(rows, ratio, gap=None):
+    """{(block, key): keeper} of rows (block, key, text, count): each distinct text and the first kept one that it is nearly like."""
+    out, kept, seen = {}, {}, set()
+    for block, key, text, n in sorted(rows, key=lambda r: r[1]):
+        if not text or (block, text) in seen:
+            continue
+        seen.add((block, text))
+        near = lambda o: 2 * sum((Counter(text) & Counter(o[1])).values()) >= ratio * (len(text) + len(o[1])) and (gap is None or abs(n - o[2]) <= gap)
+        found = next((o[0] for o in kept.get(block, []) if near(o)), None)
+        if found is None:
+            kept.setdefault(block, []).append((key, text, n))
+        out[block, key] = key if found is None else found
+    return out
+
+
+def test_near_keepers_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(heal, "HEADS", 4)
+    rng = random.Random(6)
+    rows = [(rng.choice("xyz"), i, "".join(rng.choice("abcde") for _ in range(rng.choice([6, 12, 13, 40]))), rng.randint(1, 6)) for i in range(150)]
+    chain = "aaaaaaaaaaaaaaaaaaaabbbbbbbbbbbbbbbbbbbb"
+    rows += [("chain", 200 + i, chain[i : 40] + "c" * i, 1) for i in range(12)] + [("x", 300, "", 1), ("x", 301, None, 1), ("x", 302, rows[0][2], 9), ("alone", 400, "text", 1)]
+    df = spark.createDataFrame(rows, "b string, k long, t string, c int")
+    for ratio, count in ((0.9, None), (0.8, None), (0.8, "c")):
+        got = {(r.b, r.key): r.keeper for r in heal.near_keepers(df, ["b"], "k", "t", ratio, count).collect()}
+        assert got == brute_keepers(rows, ratio, 3 if count else None)
+    assert heal.near_keepers(df.where("false"), ["b"], "k", "t").count() == 0
+
+
+def test_many_near_copies_under_one_title(spark):
+    rows = spark.range(20_000).select(F.lit("第1章").alias("b"), "id", F.concat(F.repeat(F.lit("one long chapter "), 20), F.col("id").cast("string")).alias("t"))
+    out = heal.near_keepers(rows, ["b"], "id", "t").groupBy("keeper").count().collect()
+    assert [tuple(r) for r in out] == [(0, 20_000)]
+
+
+def test_chains_of_near_copies_keep_what_is_near_copies_alone(spark):
+    body = "a" * 100 + "b" * 100
+    texts = [body, body[5:] + "c" * 5, body[10:] + "c" * 10]
+    raw = spark.createDataFrame(numbered([("第1章", (t,)) for t in texts]), CHAPTER)
+    done = spark.createDataFrame(numbered([("t", (f"x{i}",)) for i in range(3)]), CHAPTER)
+    out = heal.heal(raw, done)
+    assert [r.paragraphs[0] for r in out["raw"].orderBy("pos").collect()] == [texts[0], texts[2]]
+    assert [r.paragraphs for r in out["translated"].orderBy("pos").collect()] == [["x0"], ["x2"]]
+
+
+def test_forward_asof_and_numbers_of_large_groups(spark):
+    left = spark.range(60_000).select(F.lit("g").alias("g"), F.col("id").alias("at"))
+    right = spark.createDataFrame([("g", 59_999), ("g", 5), ("h", 7)], "g string, at long")
+    out = crawl.forward_asof(left, right, ["g"], "at", "at")
+    assert [tuple(r) for r in out.groupBy("next_place").count().orderBy("next_place").collect()] == [(5, 6), (59_999, 59_994)]
+    tail = crawl.forward_asof(left.where("at > 59990"), right.where("at < 9"), ["g"], "at", "at")
+    assert tail.where("next_place IS NOT NULL").count() == 0 and tail.count() == 9
+    catalog = spark.range(5000).select(F.lit("b").alias("book_id"), F.col("id").alias("ord"), F.concat(F.lit("第"), (F.col("id") * 2).cast("string"), F.lit("章")).alias("title"), F.lit("").alias("url"))
+    wanted = spark.createDataFrame([("b", 7), ("b", 10_000), ("b", 0)], "book_id string, wanted int")
+    bare = catalog.withColumn("title", F.lit("notice"))
+    assert {r.wanted: r.next_index for r in crawl.from_number(catalog, wanted).collect()} == {7: 4, 10_000: 5000, 0: 0}
+    assert {r.wanted: r.next_index for r in crawl.from_number(bare, wanted).collect()} == {7: 6, 10_000: 9999, 0: -1}
+
+
 def test_numbered_in_groups_of_any_size(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", "a", "b", None]), k) for k in rng.sample(range(10**6), 3000)]
-    got = {(r.g, r.k): r.number for r in tables.numbered(spark.createDataFrame(rows, "g string, k long"), ["g"], ["k"]).collect()}
-    for g in ("a", "b", None):
-        keys = sorted(k for x, k in rows if x == g)
-        assert [got[g, k] for k in keys] == list(range(1, len(keys) + 1))
+    for most in (tables.GROUP, 0, 100):
+        got = {(r.g, r.k): r.number for r in tables.numbered(spark.createDataFrame(rows, "g string, k long"), ["g"], ["k"], most=most).collect()}
+        for g in ("a", "b", None):
+            keys = sorted(k for x, k in rows if x == g)
+            assert [got[g, k] for k in keys] == list(range(1, len(keys) + 1))
     assert tables.numbered(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
 
 
@@ -189,6 +248,21 @@ def test_mining_against_brute_force(spark):
     assert all(abs(cohesion[g] - min(grams[g] * total / (grams[g[:i]] * grams[g[i:]]) for i in range(1, len(g)))) < 1e-6 for g in many)
 
 
+def test_grams_of_long_runs(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcd") for _ in range(rng.choice([3, 7, 8, 9, 16, 40, 300]))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    whole = mining.frequent_grams(mining.runs(docs, "a-z"), longest=5, least=6)
+    want = {g: n for g, n in Counter(t[i : i + n] for t in texts * 2 for n in range(1, 6) for i in range(len(t) - n + 1)).items() if n >= 6}
+    assert {r.gram: r.n for r in whole[0].collect()} == want
+    sides = sorted(map(tuple, mining.entropy(mining.runs(docs, "a-z"), whole[0].where(F.length("gram") > 1), longest=5).collect()))
+    monkeypatch.setattr(mining, "STRETCH", 8)
+    pieces = mining.frequent_grams(mining.runs(docs, "a-z"), longest=5, least=6)
+    assert {r.gram: r.n for r in pieces[0].collect()} == want and pieces[1] == whole[1]
+    again = sorted(map(tuple, mining.entropy(mining.runs(docs, "a-z"), pieces[0].where(F.length("gram") > 1), longest=5).collect()))
+    assert [x[0] for x in again] == [x[0] for x in sides] and all(abs(a - b) < 1e-9 for x, y in zip(again, sides) for a, b in zip(x[1:], y[1:]))
+
+
 def test_name_candidates(spark):
     rng = random.Random(7)
     names, verbs, fill = ["洛川城", "纪震道", "王八喜"], "看走来去说想坐听问答", "山水木火土石金风雨云日月星田花草鸟鱼虫马牛羊"

@@ -48,8 +48,14 @@ def test_collapse_repeats_by_hand(spark):
     assert apply(spark, X.collapse_repeats, texts) == [collapsed(t) for t in texts]
 
 
+def test_long_repeats(spark):
+    texts = ["ha " * 1_000_000 + "end", "x y " * 200_000, "a" * 500_000, "b b\nb b b", "ab ab. ab ab ab", "é É é"]
+    assert [len(t) for t in apply(spark, X.collapse_repeats, texts)] == [len(t) for t in ["ha end", *texts[1:3], "b b\nb", "ab ab. ab", "é"]]
+
+
 @pytest.mark.parametrize(("raw", "expected"), [
     ("Đi thôi” anh nói", "“Đi thôi” anh nói"), ("Đi thôi”.", "Đi thôi"), ("“Đi thôi.” anh nói", "“Đi thôi.” anh nói"), ("không có", "không có"),
+    ("dòng một\ndòng hai” x", "dòng một\ndòng hai” x"), (" ” x", " ” x"), ("Đi thôi \n”\n", "Đi thôi"), ("a “ b\nc", "“a” b\nc"), ("a ’ , b” c", "a ’ , b” c"),
 ])
 def test_stray_quote(spark, raw, expected):
     assert apply(spark, X.stray_quote, [raw]) == [expected]
