@@ -131,7 +131,7 @@ def chains(conversations: DataFrame, key: str = "conv_id", turn: str = "turn", r
     numbered in ranges.
     """
     rows = conversations.select(F.col(key).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = numbered(rows, ["tree"], ["turn", "role", "text"], "node")
+    rows = numbered(rows, ["tree"], ["turn", "role", "text"], "node", most=0)
     return rows.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text")
 
 

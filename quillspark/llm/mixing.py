@@ -102,7 +102,7 @@ def mix(df: DataFrame, weights: dict | None = None, share: float = SHARE, epochs
     taken = met.where(F.col("full") | (here < F.col("limit")) | ((here == F.col("limit")) & F.col("some").isNull()))
     if not ends.where("some IS NOT NULL").isEmpty():
         last = met.where(~F.col("full") & (here == F.col("limit")) & F.col("some").isNotNull()).withColumn("_order", F.col(f"_row.{text}"))
-        taken = taken.unionByName(numbered(last, [*LEVELS, "epoch"], ["_order"], "_n").where("_n <= some").select(*taken.columns))
+        taken = taken.unionByName(numbered(last, [*LEVELS, "epoch"], ["_order"], "_n", most=0).where("_n <= some").select(*taken.columns))
     extra = [c for c in ("domain", "tokens", "epoch", "budget") if c not in names]
     return taken.select("_row.*", *extra)
 
