@@ -7,6 +7,7 @@ are spelt out here.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,11 @@ UPPER = "A-Z" + VIETNAMESE.upper()
 OPEN, CLOSE = "“‘\"", "”’\""
 
 
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function(value) with the value computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """White space of any script off both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -198,7 +204,7 @@ def collapse_repeats(c: Column) -> Column:
         gone = lambda i: repeats(i) & (repeats(i - 2) | repeats(i + 2))
         return F.array_join(F.transform(a, lambda x, i: F.when(gone(i) | gone(i + 1), "").otherwise(x)), "")
 
-    return F.get(F.transform(F.array(tokens), decided), F.lit(0))
+    return let(tokens, decided)
 
 
 def curl_quotes(c: Column) -> Column:
@@ -222,6 +228,7 @@ def stray_quote(c: Column) -> Column:
     marks = "".join(dict.fromkeys(OPEN + CLOSE))
     alike = F.translate(c, marks, marks[0] * len(marks))
     at = F.instr(alike, marks[0])
+    # Quotes that are alike are counted and placed; the text is cut at the only one.
     before, tail = F.regexp_replace(F.left(c, at - 1), r"(?U)\s++$", ""), strip(F.substring(c, at + 1, F.length(c)))
     fits = (F.length(c) - F.length(F.replace(alike, F.lit(marks[0]), F.lit(""))) == 1) & (strip(before) != "") & ~before.contains("\n")
     bare = F.translate(tail, " \t.,;:!?", "") == ""
@@ -270,10 +277,11 @@ def repair(c: Column) -> Column:
     decided between its neighbours.
     """
     t = F.regexp_replace(collapse_repeats(F.regexp_replace(c, r"[ \t]+", " ")), r"(?U)^[\s,;.\-!?]+", "")
-    t = strip(_settled_marks(stray_quote(opening_quote(curl_quotes(t)))))
+    for step in (curl_quotes, opening_quote, stray_quote):
+        t = let(t, step)
+    t = strip(_settled_marks(t))
     tokens = F.regexp_extract_all(t, F.lit(rf"(?U)\s+|[,;:.!?{OPEN}{CLOSE}]|[^\s,;:.!?{OPEN}{CLOSE}]+"), F.lit(0))
-    decided = F.transform(F.array(tokens), lambda a: F.array_join(F.transform(a, lambda x, i: _token(x, F.get(a, i - 2), F.get(a, i - 1), F.get(a, i + 1))), ""))
-    return strip(F.get(decided, F.lit(0)))
+    return strip(let(tokens, lambda a: F.array_join(F.transform(a, lambda x, i: _token(x, F.get(a, i - 2), F.get(a, i - 1), F.get(a, i + 1))), "")))
 
 
 def repair_lines(c: Column) -> Column:

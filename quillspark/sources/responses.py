@@ -49,19 +49,21 @@ def reply(body: Column) -> Column:
     is cut off or broken; a string that is cut off is no paragraph. New terms stand under either of two names; the first
     section that has any counts.
     """
-    strict = F.from_json(body, f"{REPLY[:-1]},new_names:map<string,string>>")
-    named = F.coalesce(strict["new_terms"], strict["new_names"])
-    whole = F.struct(strict["title"].alias("title"), strict["paragraphs"].alias("paragraphs"), named.alias("new_terms"), strict["idioms"].alias("idioms"))
-    paragraphs = F.transform(F.regexp_extract_all(_after(body, "paragraphs", r"\[", STRING), F.lit(f"(?s){STRING}"), F.lit(1)), _unescape)
-    pair = f"{STRING}{BLANK}:{BLANK}{STRING}"
-    sections = [_after(body, key, r"\{", pair) for key in TERM_KEYS]
-    terms = F.coalesce(*[F.nullif(s, F.lit("")) for s in sections], F.lit(""))
-    sides = [F.transform(F.regexp_extract_all(terms, F.lit(f"(?s){pair}"), F.lit(group)), _unescape) for group in (1, 2)]
-    pairs = F.arrays_zip(sides[0].alias("k"), sides[1].alias("v"))
-    last = F.transform(F.array_distinct(sides[0]), lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda x: x["k"] == k), -1)["v"].alias("value")))
-    title = _unescape(F.regexp_extract(body, f'(?s)"title"{BLANK}:{BLANK}{STRING}', 1))
-    repaired = F.struct(title.alias("title"), paragraphs.alias("paragraphs"), F.map_from_entries(last).alias("new_terms"), F.create_map().cast("map<string,string>").alias("idioms"))
-    return F.when(F.size(strict["paragraphs"]) > 0, whole).when(F.size(paragraphs) > 0, repaired)
+    def scanned(paragraphs: Column) -> Column:
+        pair = f"{STRING}{BLANK}:{BLANK}{STRING}"
+        sections = [F.nullif(_after(body, key, r"\{", pair), F.lit("")) for key in TERM_KEYS]
+        pairs = X.let(F.coalesce(*sections, F.lit("")), lambda t: F.arrays_zip(*[F.transform(F.regexp_extract_all(t, F.lit(f"(?s){pair}"), F.lit(group)), _unescape).alias(name) for group, name in ((1, "k"), (2, "v"))]))
+        terms = X.let(pairs, lambda p: F.map_from_entries(F.filter(F.transform(p, lambda x, i: F.when(~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["k"] == x["k"]), F.struct(x["k"].alias("key"), x["v"].alias("value")))), lambda x: x.isNotNull())))
+        title = _unescape(F.regexp_extract(body, f'(?s)"title"{BLANK}:{BLANK}{STRING}', 1))
+        return F.when(F.size(paragraphs) > 0, F.struct(title.alias("title"), paragraphs.alias("paragraphs"), terms.alias("new_terms"), F.create_map().cast("map<string,string>").alias("idioms")))
+
+    def chosen(strict: Column) -> Column:
+        whole = F.struct(strict["title"].alias("title"), strict["paragraphs"].alias("paragraphs"), F.coalesce(strict["new_terms"], strict["new_names"]).alias("new_terms"), strict["idioms"].alias("idioms"))
+        strings = F.regexp_extract_all(_after(body, "paragraphs", r"\[", STRING), F.lit(f"(?s){STRING}"), F.lit(1))
+        valid = strict["_corrupt_record"].isNull() & (F.size(strict["paragraphs"]) > 0)
+        return F.when(valid, whole).otherwise(X.let(F.transform(strings, _unescape), scanned))
+
+    return X.let(F.from_json(body, f"{REPLY[:-1]},new_names:map<string,string>,_corrupt_record:string>"), chosen)
 
 
 def balance(body: Column) -> Column:
