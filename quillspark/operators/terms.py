@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.tables import cut
+from quillspark.operators import dictionary
 
-#: Bytes of terms that one automaton may hold.
-AUTOMATON = 2 << 20
+#: Bytes of terms that one trie may hold.
+TRIE = 16 << 20
 
 #: Terms for a chapter, idiom hints for a chapter.
 MAX_TERMS, MAX_IDIOMS = 300, 60
@@ -21,18 +22,18 @@ LITERAL = "nghĩa đen"
 MARKER, REFUSED = "(thành ngữ)", [LITERAL, "xem ", "biến thể"]
 
 
-def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, most: int = AUTOMATON) -> DataFrame:
+def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", stretch: int = 8, most: int = TRIE) -> DataFrame:
     """(doc, term, first_pos): every term that a text contains, with its first 1-based place.
 
-    The dictionary is measured first. Up to `most` bytes of terms are broadcast, and each text is read once by the
-    automaton of all of them, without a shuffle. Larger dictionaries are looked up by each term's first `stretch`
+    The dictionary is measured first. Up to `most` bytes of terms are broadcast, and each text is read once against the
+    trie of all of them, without a shuffle. Larger dictionaries are looked up by each term's first `stretch`
     characters (a shorter term's own), joined to the texts' distinct runs of those sizes; only what meets is
     searched. Both give the same rows. Empty and null terms are in no text.
     """
     keyed = cut(terms.select(F.col(term).alias("term")).where(F.length("term") > 0).distinct())
     source = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where(F.length("text") > 0)
     if (keyed.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= most:
-        return _searched(source, [r["term"] for r in keyed.collect()]).withColumnRenamed("doc", doc)
+        return dictionary.first_places(source, [r["term"] for r in keyed.collect()]).withColumnRenamed("doc", doc)
     sizes = sorted(r["n"] for r in keyed.select(F.least(F.length("term"), F.lit(stretch)).alias("n")).distinct().collect())
     keyed = keyed.withColumn("key", F.substring("term", 1, stretch))
     met = _beginnings(source, sizes).join(keyed, "key").select("doc", "term").distinct().join(source, "doc")
@@ -40,32 +41,6 @@ def containment(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: st
     return met.select(F.col("doc").alias(doc), "term", F.instr(F.col("text"), F.col("term")).alias("first_pos"))
 
 
-def _searched(source: DataFrame, words: list[str]) -> DataFrame:
-    """(doc, term, first_pos) of the words in rows (doc, text), each text read once."""
-    shipped = source.sparkSession.sparkContext.broadcast(words)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ahocorasick import Automaton
-
-        machine = Automaton()
-        for word in shipped.value:
-            machine.add_word(word, word)
-        machine.make_automaton()
-        for batch in batches:
-            rows, found, places = [], [], []
-            for i, value in enumerate(batch.column("text").to_pylist()):
-                first: dict[str, int] = {}
-                for end, word in machine.iter(value) if len(machine) else ():
-                    first.setdefault(word, end - len(word) + 2)
-                rows += [i] * len(first)
-                found += first
-                places += first.values()
-            columns = [batch.column("doc").take(pa.array(rows, pa.int32())), pa.array(found, pa.string()), pa.array(places, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "term", "first_pos"])
-
-    return source.mapInArrow(search, f"doc {source.schema['doc'].dataType.simpleString()}, term string, first_pos int")
-
-
 def _beginnings(source: DataFrame, sizes: list[int]) -> DataFrame:
     """(doc, key): the distinct runs of the given sizes in rows (doc, text)."""
 
@@ -255,5 +230,28 @@ def mark_spans(text: Column, terms: dict[str, str]) -> Column:
     return F.array_join(F.zip_with(F.split(text, pattern, -1), marked, lambda between, mark: F.concat(between, F.coalesce(mark, F.lit("")))), "")
 
 
+def term_spans(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", term: str = "term", most: int = TRIE) -> DataFrame:
+    """(doc, start, term): matches of a dictionary of any size up to `most` bytes, leftmost and longest first, without overlaps."""
+    words = _dictionary(terms.select(F.col(term).alias("zh"), F.col(term).alias("vi")), most)
+    return dictionary.spans(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), sorted(words)).withColumnRenamed("doc", doc)
+
+
+def marked_texts(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text", most: int = TRIE) -> DataFrame:
+    """(doc, text): texts with the terms (zh) replaced by their renderings (vi) as in mark_spans(), by a whole dictionary.
+
+    Of several renderings of a term the least counts; null renderings are empty, empty terms are in no text.
+    """
+    return dictionary.marked(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")), _dictionary(terms, most)).select(F.col("doc").alias(doc), F.col("text").alias(text))
+
+
+def _dictionary(terms: DataFrame, most: int) -> dict[str, str]:
+    """Terms and renderings of a dictionary that measures at most `most` bytes; a larger one is refused."""
+    rows = cut(terms.where(F.length("zh") > 0).groupBy("zh").agg(F.coalesce(F.min("vi"), F.lit("")).alias("vi")))
+    size = rows.agg(F.sum(F.octet_length("zh") + F.octet_length("vi"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"a dictionary of {size} bytes is over {most}: choose the terms that occur with containment() first")
+    return {r["zh"]: r["vi"] for r in rows.collect()}
+
+
 def restore_spans(text: Column) -> Column:
     return F.replace(text, F.lit("\u200b"), F.lit(""))

@@ -609,3 +609,26 @@ def source_inspection(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"), F.col("p_name").alias("value"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("text").alias("value"))
     return D.inspected({"parts": parts, "texts": texts}).select("source", "lines", md5(F.array_join("samples", "|")).alias("samples_md5"))
+
+
+# Large dictionaries
+WORDS = r"(SELECT string_agg(w, '|' ORDER BY length(w) DESC, w) FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-zA-Z]{3,}')) AS w FROM benchmark))"
+
+
+def benchmark_words(spark, sf_dir):
+    found = F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0)))
+    return table(spark, sf_dir, "benchmark").select(found.alias("term")).distinct()
+
+
+@query(f"SELECT doc_id, len(s) AS n_spans, md5(array_to_string(s, chr(10))) AS spans_md5 FROM (SELECT doc_id, regexp_extract_all(text, {WORDS}) AS s FROM documents) WHERE len(s) > 0")
+def dictionary_spans(spark, sf_dir):
+    """Words of the benchmark's passages wherever they stand in documents, within other words too, leftmost and longest first."""
+    spans = terms.term_spans(table(spark, sf_dir, "documents"), benchmark_words(spark, sf_dir))
+    found = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "term"))).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n_spans"), md5(F.array_join(F.transform("s", lambda x: x["term"]), "\n")).alias("spans_md5"))
+
+
+@query(f"SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '(' || {WORDS} || ')', '​\\1​', 'g')) AS marked_md5 FROM documents")
+def dictionary_marks(spark, sf_dir):
+    words = benchmark_words(spark, sf_dir).select(F.col("term").alias("zh"), F.col("term").alias("vi"))
+    return terms.marked_texts(table(spark, sf_dir, "documents"), words).select("doc_id", md5(F.col("text")).alias("marked_md5"))

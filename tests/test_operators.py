@@ -188,11 +188,60 @@ def test_containment_both_ways(spark):
     words = ["".join(rng.choice("abcé𝄞") for _ in range(rng.randint(1, 6))) for _ in range(30)] + ["ababababababé", "", None]
     d, w = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x,) for x in words], "term string")
     want = sorted((i, x, t.index(x) + 1) for i, t in docs for x in set(words) if x and t and x in t)
-    for most in (terms.AUTOMATON, 0):
+    for most in (terms.TRIE, 0):
         assert sorted(tuple(r) for r in terms.containment(d, w, stretch=4, most=most).collect()) == want
         assert terms.containment(d, w.where("false"), most=most).count() == 0
 
 
+def brute_spans(text, words):
+    out, at = [], 0
+    while at < len(text):
+        word = max((w for w in words if text.startswith(w, at)), key=len, default=None)
+        if word:
+            out.append((at, word))
+        at += len(word) if word else 1
+    return out
+
+
+def test_spans_and_marks_of_dictionaries(spark, monkeypatch):
+    from quillspark.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "PLACES", 50)
+    monkeypatch.setattr(dictionary, "BLOCK", 90)
+    rng = random.Random(9)
+    docs = [(i, "".join(rng.choice("abcé𝄞") for _ in range(rng.randint(0, 80)))) for i in range(60)] + [(70, None), (71, "")]
+    for n in (1, 40, 1000):
+        words = {"".join(rng.choice("abcé𝄞") for _ in range(rng.randint(1, 1 + n // 30 % 9 + 2))) for _ in range(n)}
+        d, w = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(x, x.upper() + "|") for x in words] + [("", "no"), (None, "no")], "zh string, vi string")
+        want = sorted((i, a, x) for i, t in docs for a, x in brute_spans(t or "", words))
+        assert sorted(map(tuple, terms.term_spans(d, w.withColumnRenamed("zh", "term")).collect())) == want
+        marked = {r.doc_id: r.text for r in terms.marked_texts(d, w).collect()}
+        for i, t in docs:
+            out, at = "", 0
+            for a, x in brute_spans(t or "", words):
+                out, at = out + (t[at:a] + f"\u200b{x.upper()}|\u200b"), a + len(x)
+            assert marked[i] == out + (t or "")[at:]
+    small = {"a": "A", "ab": "AB", "é": "E"}
+    by_pattern = {r.doc_id: r.o or "" for r in d.select("doc_id", terms.mark_spans(F.col("text"), small).alias("o")).collect()}
+    by_trie = {r.doc_id: r.text for r in terms.marked_texts(d, spark.createDataFrame(list(small.items()), "zh string, vi string")).collect()}
+    assert by_pattern == by_trie
+
+
+def test_a_million_terms_and_a_long_text():
+    import numpy as np
+
+    from quillspark.operators import dictionary
+
+    rng = np.random.default_rng(1)
+    words = sorted({"w" + str(x) + "." for x in rng.integers(0, 10**7, 1_000_000).tolist()})
+    trie = dictionary.Trie(words)
+    text = " ".join(words[i] for i in rng.integers(0, len(words), 400_000).tolist()) + " w1 w" + "ab" * 1_000_000
+    for _, offsets, data in dictionary.blocks(__import__("pyarrow").array([text])):
+        _, byte, word = dictionary.found_in(trie, offsets, data)
+    assert [trie.words[w] for w in word.tolist()] == text.split(" ")[:400_000]
+    assert text[int(byte[-1]) :].startswith(trie.words[int(word[-1])])
+
+
 def test_votes_keep_ties(spark):
     events = [("a", 1, "bỏ biển"), ("a", 2, "bỏ bể"), ("b", 1, "x"), ("b", 2, "y"), ("b", 3, "y"), ("c", 1, "p"), ("c", 2, "q"), ("c", 3, "q"), ("c", 4, "p"), ("c", 5, "p")]
     out = {r.key: (r.rendering, r.chapters, r.first, r.last) for r in terms.vote(spark.createDataFrame(events, "key string, pos int, v string"), "key", "v", ["pos"]).collect()}
