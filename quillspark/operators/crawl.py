@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import cut
 
 #: Chapters looked back over for overlaps, and missing pages in a row that end a crawl.
 OVERLAP, TOLERANCE = 20, 3
+#: Fixed value: pages that a search for a chapter looks at.
+PROBES = 12
 
 
 def resume_index(catalog: DataFrame, state: DataFrame) -> DataFrame:
@@ -71,10 +76,35 @@ def stop_runs(log: DataFrame, group: list[str], order: str, status: str, toleran
     return rows.withColumn("stopped", F.max((F.col("run") > tolerance).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0).drop("_part")
 
 
-def locate_page(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(book_id, wanted, page): the page with the wanted number, else the first with a greater one, else the number."""
-    met = wanted.join(pages, "book_id", "left").groupBy("book_id", "wanted").agg(F.min(F.when(F.col("number") == F.col("wanted"), F.col("page"))).alias("hit"), F.min(F.when(F.col("number") > F.col("wanted"), F.col("page"))).alias("later"))
-    return met.select("book_id", "wanted", F.coalesce("hit", "later", "wanted").alias("page"))
+def locate_page(pages: DataFrame, wanted: DataFrame, most: int = PROBES) -> DataFrame:
+    """(book_id, wanted, page, probes): where the chapter with the wanted number is, by looking at single pages.
+
+    pages(book_id, page, number) are the pages that exist; number is null for notices. wanted(book_id, wanted,
+    saved_page, saved_number) may name a page whose number is known, from which the first guess is shifted. A page with
+    another number moves the guess by the difference, a notice by one page forward, a missing page forward too, or back
+    once a greater number has been seen. The search ends at the wanted number, at a page seen before, before the first
+    page, or after `most` looks; then the page with the least greater number seen counts, else the wanted number.
+
+    Each round is one join of the open searches, which are narrow rows, with the pages; there are `most` at most, and
+    what is open is written after every fourth.
+    """
+    there = pages.select(F.col("book_id").alias("_book"), F.col("page").cast("long").alias("_page"), F.col("number").cast("long").alias("number")).groupBy("_book", "_page").agg(F.min("number").alias("number"))
+    guess = F.col("wanted") + F.coalesce(F.col("saved_page") - F.col("saved_number"), F.lit(0))
+    none = F.lit(None).cast("long")
+    open_ = wanted.select("book_id", F.col("wanted").cast("long").alias("wanted"), guess.cast("long").alias("page"), F.array().cast("array<long>").alias("seen"), none.alias("after_number"), none.alias("after_page"), none.alias("found"))
+    ended = []
+    for look in range(1, most + 1):
+        stop = F.col("found").isNotNull() | (F.col("page") < 1) | F.array_contains("seen", F.col("page"))
+        ended.append(open_.where(stop))
+        met = open_.where(~stop).join(there, (F.col("book_id") == F.col("_book")) & (F.col("page") == F.col("_page")), "left")
+        nearer = F.col("number").isNotNull() & (F.col("number") > F.col("wanted")) & (F.col("after_number").isNull() | (F.col("number") < F.col("after_number")))
+        met = met.withColumns({"after_page": F.when(nearer, F.col("page")).otherwise(F.col("after_page")), "after_number": F.when(nearer, F.col("number")).otherwise(F.col("after_number"))})
+        step = F.when(F.col("_page").isNull(), F.when(F.col("after_number").isNotNull(), -1).otherwise(1)).when(F.col("number").isNull(), 1).otherwise(F.col("wanted") - F.col("number"))
+        met = met.withColumn("found", F.when(F.col("number") == F.col("wanted"), F.col("page")))
+        open_ = met.select("book_id", "wanted", (F.col("page") + step).alias("page"), F.concat("seen", F.array("page")).alias("seen"), "after_number", "after_page", "found")
+        open_ = cut(open_) if look % 4 == 0 else open_
+    rows = reduce(DataFrame.unionByName, [*ended, open_])
+    return rows.select("book_id", "wanted", F.coalesce("found", "after_page", "wanted").alias("page"), F.size("seen").cast("long").alias("probes"))
 
 
 def resume_number(last_url: Column, base: Column, suffix: Column, existing: Column, url_number: Column) -> Column:

@@ -70,11 +70,12 @@ def at_peak(events: DataFrame, holidays: DataFrame, ts: str = "ts") -> DataFrame
     return events.join(free, day == F.col("_day"), "left").withColumn("peak", X.peak_hour(F.col(ts)) & F.col("_day").isNull()).drop("_day")
 
 
-def next_offpeak(ts: Column) -> Column:
-    """When work may start: now, or at the end of the peak window a time falls in."""
-    local = F.from_utc_timestamp(ts, "Asia/Shanghai")
+def next_offpeak(events: DataFrame, holidays: DataFrame, ts: str = "ts") -> DataFrame:
+    """starts: when work may start, now or at the end of the peak window that a time falls in; holidays(day) have none."""
+    local = F.from_utc_timestamp(F.col(ts), "Asia/Shanghai")
     end = F.when(F.hour(local) < 12, 12).otherwise(18)
-    return F.when(X.peak_hour(ts), F.to_utc_timestamp(F.date_trunc("DAY", local) + F.make_dt_interval(F.lit(0), end), "Asia/Shanghai")).otherwise(ts)
+    after = F.to_utc_timestamp(F.date_trunc("DAY", local) + F.make_dt_interval(F.lit(0), end), "Asia/Shanghai")
+    return at_peak(events, holidays, ts).withColumn("starts", F.when(F.col("peak"), after).otherwise(F.col(ts))).drop("peak")
 
 
 def catalogue_sample(catalog: DataFrame, picks: int = 3) -> DataFrame:

@@ -45,6 +45,29 @@ def first_passing(attempts: DataFrame, key: list[str], passed: Column, value: st
     return tried.groupBy(*key).agg(F.min_by(F.when(passed, F.col(value)), F.when(passed, F.col("attempt"))).alias(value), F.min(F.when(passed, F.col("attempt"))).alias("attempt"), F.count("*").alias("attempts"))
 
 
+#: Seconds before the next attempt are a power of two of the attempt's number (from 0), this many at most.
+LONGEST_WAIT = 30
+
+
+def backoff(attempt: Column, unit: int = 1) -> Column:
+    """Seconds to wait after an attempt that is to be made again; the first attempt is 1."""
+    return (F.least(F.pow(F.lit(2), attempt - 1), F.lit(float(LONGEST_WAIT))) * unit).cast("long")
+
+
+def attempt_sessions(log: DataFrame, key: list[str], ts: str = "ts", attempt: str = "attempt", code: str = "code", body: str = "body", unit: int = 1, slack: int = 1) -> DataFrame:
+    """(key, start, attempts, waited, outcome): the attempts at one call, told apart by time.
+
+    An attempt that is to be made again holds its session open for its backoff, by its number, and `slack` units of the
+    answer; any other one ends it, but for what comes within a second. So the gap of a session follows each row.
+    waited sums the backoffs, and outcome is that of the last attempt: ok, stop (the account ran out) or failed.
+    """
+    outcome = X.api_outcome(F.col(code), F.col(body))
+    rows = log.select(*key, F.col(ts).alias("_ts"), F.col(attempt).alias("_n"), outcome.alias("_o")).withColumn("_wait", F.when(F.col("_o") == "retry", backoff(F.col("_n"), unit)).otherwise(0))
+    gap = F.concat(F.when(F.col("_o") == "retry", F.col("_wait") + slack * unit).otherwise(1).cast("string"), F.lit(" seconds"))
+    out = rows.groupBy(*key, F.session_window("_ts", gap).alias("_s")).agg(F.count("*").alias("attempts"), F.sum("_wait").alias("waited"), F.max_by("_o", F.struct("_ts", "_n")).alias("_o"))
+    return out.select(*key, F.col("_s.start").alias("start"), "attempts", "waited", F.when(F.col("_o") == "retry", "failed").otherwise(F.col("_o")).alias("outcome"))
+
+
 def dictionary_quality(words: DataFrame, wanted: DataFrame, word: str = "word", meaning: str = "meaning") -> DataFrame:
     """One row: entries, empty meanings, share of short ones, and the share of wanted words (copies count) found."""
     m = X.strip(F.coalesce(F.col(meaning), F.lit("")))

@@ -7,13 +7,16 @@ columns to the same result.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import numbered
+from quillspark.functions.tables import numbered, shared_folder
 from quillspark.operators import chapters as C
 from quillspark.operators import crawl, heal, mining, profile, terms, usage, validation
+from quillspark.operators import state as S
 from quillspark.plans.queries import contained, query, table, turn_pairs
 from quillspark.sources import dictionaries as D
 from quillspark.sources import pages as P
@@ -363,10 +366,14 @@ def reasoning_factors(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", usage.reasoning_factor(effort, F.col("p_size") % 5 != 0).alias("factor"))
 
 
-@query("""SELECT event_id, CASE WHEN isodow(l) < 6 AND hour(l) BETWEEN 9 AND 11 THEN date_trunc('day', l) + INTERVAL 4 HOUR WHEN isodow(l) < 6 AND hour(l) BETWEEN 14 AND 17 THEN date_trunc('day', l) + INTERVAL 10 HOUR ELSE ts END AS starts FROM (SELECT event_id, ts, ts + INTERVAL 8 HOUR AS l FROM events)""")
+@query("""WITH h AS (SELECT ts::DATE AS day FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'signup') > count(*) FILTER (event_type = 'click'))
+SELECT event_id, CASE WHEN l::DATE IN (SELECT day FROM h) THEN ts WHEN isodow(l) < 6 AND hour(l) BETWEEN 9 AND 11 THEN date_trunc('day', l) + INTERVAL 4 HOUR WHEN isodow(l) < 6 AND hour(l) BETWEEN 14 AND 17 THEN date_trunc('day', l) + INTERVAL 10 HOUR ELSE ts END AS starts FROM (SELECT event_id, ts, ts + INTERVAL 8 HOUR AS l FROM events)""")
 def next_offpeak(spark, sf_dir):
+    """Days with more signups than clicks stand for holidays."""
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", usage.next_offpeak(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("starts"))
+    free = events.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") == "signup").alias("a"), F.count_if(F.col("event_type") == "click").alias("b")).where("a > b")
+    out = usage.next_offpeak(events.withColumn("ts", F.col("ts").cast("timestamp")), free)
+    return out.select("event_id", F.col("starts").cast("timestamp_ntz").alias("starts"))
 
 
 @query("""WITH j AS (SELECT c_custkey AS k, c_name AS n, c_nationkey AS m FROM customer) SELECT k AS custkey, m % 3 <> 0 AS available, CASE WHEN m % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN m % 3 <> 0 THEN n END AS total FROM j""")
@@ -392,12 +399,32 @@ def catalogue_picks(spark, sf_dir):
     return usage.catalogue_sample(rows).select(F.col("book_id").alias("custkey"), F.col("ord").alias("orderkey"))
 
 
-@query("""SELECT c_custkey AS custkey, w AS wanted, coalesce(min(o_orderkey) FILTER (o_orderkey // 2 = w), min(o_orderkey) FILTER (o_orderkey // 2 > w), w) AS page
-FROM customer, (SELECT unnest([5, 300, 100000000])::BIGINT AS w) LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, w""")
+#: Orders as pages of the books that customers stand for: in the order of keys, notices among them, some numbers left out.
+BOOK_PAGES = """
+o AS (SELECT o_custkey AS book, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, o_orderstatus AS status, o_totalprice AS price FROM orders),
+p AS (SELECT book, page, CASE WHEN status <> 'P' THEN page - sum((status = 'P')::INT) OVER (PARTITION BY book ORDER BY page) + 2 * sum((price < 30000)::INT) OVER (PARTITION BY book ORDER BY page) END::BIGINT AS number, price FROM o),
+there AS (SELECT * FROM p WHERE price >= 20000),
+w AS (SELECT c_custkey AS book, n AS wanted, CASE WHEN c_acctbal > 0 THEN q.page END::BIGINT AS saved_page, CASE WHEN c_acctbal > 0 THEN q.number END AS saved_number
+  FROM customer, (SELECT unnest([1, 4, 9, 40])::BIGINT AS n) LEFT JOIN (SELECT book, arg_min(page, page) FILTER (number IS NOT NULL) AS page, arg_min(number, page) FILTER (number IS NOT NULL) AS number FROM there GROUP BY book) q ON q.book = c_custkey)"""
+
+
+@query(f"""WITH RECURSIVE {BOOK_PAGES},
+s AS (SELECT book, wanted, wanted + coalesce(saved_page - saved_number, 0) AS page, []::BIGINT[] AS seen, NULL::BIGINT AS an, NULL::BIGINT AS ap, NULL::BIGINT AS found FROM w
+  UNION ALL SELECT book, wanted, page + CASE WHEN missing THEN CASE WHEN an2 IS NOT NULL THEN -1 ELSE 1 END WHEN number IS NULL THEN 1 ELSE wanted - number END, list_append(seen, page), an2, ap2, CASE WHEN number = wanted THEN page END
+  FROM (SELECT s.*, t.number, t.page IS NULL AS missing, CASE WHEN t.number > wanted AND (an IS NULL OR t.number < an) THEN t.number ELSE an END AS an2, CASE WHEN t.number > wanted AND (an IS NULL OR t.number < an) THEN s.page ELSE ap END AS ap2
+    FROM s LEFT JOIN there t ON t.book = s.book AND t.page = s.page WHERE found IS NULL AND s.page >= 1 AND NOT list_contains(seen, s.page) AND len(seen) < 12))
+SELECT book AS custkey, wanted, coalesce(arg_max(found, len(seen)), arg_max(ap, len(seen)), wanted) AS page, max(len(seen)) AS probes FROM s GROUP BY book, wanted""")
 def located_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.floor(F.col("o_orderkey") / 2).alias("number"), F.col("o_orderkey").alias("page"))
-    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), F.explode(F.array(*[F.lit(w).cast("long") for w in (5, 300, 10**8)])).alias("wanted"))
-    return crawl.locate_page(pages, wanted).select(F.col("book_id").alias("custkey"), "wanted", F.col("page").cast("long").alias("page"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), "o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("price"))
+    so_far = Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    pages = numbered(orders, ["book_id"], ["o_orderkey"], "page")
+    number = F.col("page") - F.sum((F.col("o_orderstatus") == "P").cast("int")).over(so_far) + 2 * F.sum((F.col("price") < 30000).cast("int")).over(so_far)
+    pages = pages.withColumn("number", F.when(F.col("o_orderstatus") != "P", number)).where("price >= 20000").select("book_id", F.col("page").cast("long").alias("page"), F.col("number").cast("long").alias("number"))
+    first = pages.where("number IS NOT NULL").groupBy("book_id").agg(F.min(F.struct("page", "number")).alias("q"))
+    books = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), (F.col("c_acctbal") > 0).alias("known")).join(first, "book_id", "left")
+    saved = [F.when(F.col("known"), F.col(f"q.{c}")).alias(f"saved_{c}") for c in ("page", "number")]
+    wanted = books.select("book_id", F.explode(F.array(*[F.lit(w).cast("long") for w in (1, 4, 9, 40)])).alias("wanted"), *saved)
+    return crawl.locate_page(pages, wanted).select(F.col("book_id").alias("custkey"), "wanted", "page", "probes")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id + 1 WHEN page_id % 3 = 1 THEN page_id + 2 ELSE 77 END AS number FROM pages")
@@ -514,18 +541,23 @@ def export_counts(spark, sf_dir):
 
 
 # Pages, scripts, parts of names
-@query("SELECT page_id, rtrim(url, '/') || '/x.html' AS next, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/b/c' AS rooted, 'https://else.org/q' AS whole FROM pages WHERE NOT regexp_matches(url, '[?#]')")
+@query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^[^?#]+') AS path, regexp_extract(url, '^[a-z]+://[^/?#]+') AS root FROM pages),
+d AS (SELECT *, CASE WHEN path = root THEN root || '/' ELSE regexp_replace(path, '[^/]*$', '') END AS folder FROM p)
+SELECT page_id, folder || 'x.html' AS next, root || '/b/c' AS rooted, 'https://else.org/q' AS whole, path || '?page=2' AS query, bare || '#end' AS part FROM d""")
 def absolute_links(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("NOT url RLIKE '[?#]'")
-    base = F.concat(F.rtrim("url", F.lit("/")), F.lit("/"))
-    links = {"next": "./y/../x.html", "rooted": "/b/./c", "whole": "https://else.org/q"}
-    return pages.select("page_id", *[P.absolute(base, F.lit(h)).alias(n) for n, h in links.items()])
+    links = {"next": "./y/../x.html", "rooted": "/b/./c", "whole": "https://else.org/q", "query": "?page=2", "part": "#end"}
+    return table(spark, sf_dir, "pages").select("page_id", *[P.absolute(F.col("url"), F.lit(h)).alias(n) for n, h in links.items()])
 
 
-@query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE '年' || lang END) AS text_md5 FROM documents")
+@query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE '年' || text END) AS text_md5 FROM documents")
 def decoded_bytes(spark, sf_dir):
-    """English documents as UTF-8; the others' languages after a character whose GB18030 bytes are not UTF-8."""
-    raw = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(F.concat(F.unhex(F.lit("C4EA")), F.col("lang").cast("binary")))
+    """English documents as UTF-8; the others as GB18030, after a character whose bytes are not UTF-8."""
+
+    @F.pandas_udf("binary")
+    def encoded(texts):
+        return texts.map(lambda t: None if t is None else ("年" + t).encode("gb18030"))
+
+    raw = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(encoded(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", md5(P.decoded(raw)).alias("text_md5"))
 
 
@@ -632,3 +664,37 @@ def dictionary_spans(spark, sf_dir):
 def dictionary_marks(spark, sf_dir):
     words = benchmark_words(spark, sf_dir).select(F.col("term").alias("zh"), F.col("term").alias("vi"))
     return terms.marked_texts(table(spark, sf_dir, "documents"), words).select("doc_id", md5(F.col("text")).alias("marked_md5"))
+
+
+# Attempts and state
+@query("""
+WITH l AS (SELECT user_id, event_id, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 + 1 AS n, event_type IN ('error', 'click') AS again, event_type = 'purchase' AS stop FROM events),
+g AS (SELECT *, CASE WHEN again THEN least(power(2, n - 1), 30)::BIGINT * 3600 ELSE 0 END AS wait FROM l),
+e AS (SELECT *, ts + to_seconds(CASE WHEN again THEN wait + 3600 ELSE 1 END) AS until FROM g),
+b AS (SELECT *, coalesce(ts > max(until) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM e),
+s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM b)
+SELECT user_id, min(ts) AS start, count(*) AS attempts, sum(wait)::BIGINT AS waited, CASE WHEN arg_max(again, ts) THEN 'failed' WHEN arg_max(stop, ts) THEN 'stop' ELSE 'ok' END AS outcome FROM s GROUP BY user_id, session""")
+def call_attempts(spark, sf_dir):
+    """Events as attempts at calls, hours for seconds: errors and clicks are tried again, a purchase finds the account empty."""
+    code = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "click", 429).when(F.col("event_type") == "purchase", 402).otherwise(200)
+    number = F.get_json_object("props", "$.k").cast("long") % 6 + 1
+    log = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), number.alias("attempt"), code.alias("code"), F.lit("answer").alias("body"))
+    return validation.attempt_sessions(log, ["user_id"], unit=3600).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT doc_id AS pos, md5(CASE WHEN lang = 'en' THEN upper(text) ELSE text END) AS body_md5, CASE WHEN lang = 'en' THEN 'second' ELSE 'first' END AS title FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) OR lang = 'fr'""")
+def state_versions(spark, sf_dir):
+    """Results of all documents saved, English ones saved again, toxic ones deleted, French ones of these saved once more."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    rows = lambda df, title, text: df.select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.lit(title).alias("title"), F.array(text).alias("paragraphs"), F.sha2("text", 256).alias("source_hash"))
+    toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    S.results(spark, folder).upsert(rows(docs, "first", F.col("text")))
+    S.results(spark, folder).upsert(rows(docs.where("lang = 'en'"), "second", F.upper("text")))
+    S.results(spark, folder).delete(rows(toxic, "", F.lit("")))
+    held = S.results(spark, folder)
+    held.upsert(rows(toxic.where("lang = 'fr'"), "first", F.col("text")))
+    held.compact()
+    return S.results(spark, folder).load().select("pos", md5(F.col("paragraphs")[0]).alias("body_md5"), "title")
