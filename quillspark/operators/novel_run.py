@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, numbered, small
 from quillspark.operators import chapters as C
 from quillspark.operators import terms, validation
 from quillspark.sources import responses
@@ -124,9 +124,11 @@ def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash:
     rows = rows.withColumn("origin", origin)
     pick = lambda field: F.when(F.col("origin") == "stash", F.col(f"s.{field}")).when(F.col("origin") == "cache", F.col(f"c.{field}")).otherwise(F.col(f"reply.{field}"))
     title = F.coalesce(F.nullif(X.chapter_title(pick("title"), F.col("label")), F.lit("")), F.col("title"))
+    rows = cut(rows.select("novel_id", "pos", "title", F.col("paragraphs").alias("source"), "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict")))
+    # The first chapter without a result ends what is written; that is settled on keys alone.
     gap = F.sum(F.col("origin").isNull().cast("int")).over(Window.partitionBy("novel_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     place = F.when(gap == 0, "written").when(F.col("origin").isNotNull(), "kept").when(gap == 1, "failed").otherwise("waiting")
-    rows = cut(rows.select("novel_id", "pos", "title", F.col("paragraphs").alias("source"), "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict"), place.alias("place")))
+    rows = cut(rows.join(rows.select("novel_id", "pos", "origin").withColumn("place", place).drop("origin"), ["novel_id", "pos"]))
     written = rows.where("place = 'written'")
     text = X.chapter_text(F.col("title"), F.col("source"))
     proposed = written.where("origin = 'reply'").select("novel_id", "pos", text.alias("text"), F.explode("new_terms").alias("zh", "vi"))
@@ -152,7 +154,8 @@ def run_summary(summary: DataFrame) -> DataFrame:
 def book_pages(chapters: DataFrame) -> DataFrame:
     """(novel_id, file_name, title, content): a book's XHTML pages in order, without the title entry and copies of chapters."""
     rows = C.unique_chapters(chapters.where("NOT is_title_entry"))
-    place = F.row_number().over(Window.partitionBy("novel_id").orderBy("pos"))
+    places = numbered(rows.select("novel_id", "pos").distinct(), ["novel_id"], ["pos"], "_place").select(F.col("novel_id").alias("_novel"), F.col("pos").alias("_pos"), "_place")
+    rows, place = rows.join(small(places, 64), F.col("novel_id").eqNullSafe(F.col("_novel")) & F.col("pos").eqNullSafe(F.col("_pos"))), F.col("_place")
     escaped = lambda c: F.replace(F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&#x27;"))
     body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), escaped(p), F.lit("</p>"))), "\n")
     page = F.concat(F.lit('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>'), escaped(F.col("title")), F.lit("</title></head>\n<body><h1>"), escaped(F.col("title")), F.lit("</h1>\n"), body, F.lit("\n</body></html>\n"))

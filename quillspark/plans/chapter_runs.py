@@ -11,6 +11,7 @@ from quillspark.functions import text as X
 from quillspark.functions.tables import numbered, shared_folder
 from quillspark.operators import novel_run as N
 from quillspark.plans.queries import as_novels, lines_of, query, table
+from quillspark.sources import books
 from quillspark.streaming import chapters as stream
 from quillspark.streaming import evolving as E
 
@@ -120,17 +121,43 @@ def terms_blocks(spark, sf_dir):
     return out.select(F.col("novel_id").alias("custkey"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
-@query(rf"""WITH c AS (SELECT source, doc_id, {FULL.format("text")} AS lines FROM documents),
+#: A book's pages out of documents.
+BOOK = rf"""WITH c AS (SELECT source, doc_id, {FULL.format("text")} AS lines FROM documents),
 l AS (SELECT source, doc_id, coalesce(regexp_replace(lines[1], '^\s+|\s+$', '', 'g'), '') AS title, list_transform(lines[2:], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ps FROM c),
 f AS (SELECT source, title, ps, min(doc_id) AS doc_id FROM l GROUP BY ALL),
 e AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS t,
-  array_to_string(list_transform(ps, lambda p: '<p>' || replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</p>'), chr(10)) AS body FROM f)
-SELECT source, printf('chap_%03d.xhtml', k) AS file_name, md5('<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || t || '</title></head>' || chr(10) || '<body><h1>' || t || '</h1>' || chr(10) || body || chr(10) || '</body></html>' || chr(10)) AS page_md5 FROM e""")
+  array_to_string(list_transform(ps, lambda p: '<p>' || replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') || '</p>'), chr(10)) AS body FROM f),
+b AS (SELECT source, printf('chap_%03d.xhtml', k) AS file_name, title, '<html xmlns="http://www.w3.org/1999/xhtml"><head><title>' || t || '</title></head>' || chr(10) || '<body><h1>' || t || '</h1>' || chr(10) || body || chr(10) || '</body></html>' || chr(10) AS page FROM (SELECT e.*, f.title FROM e JOIN f USING (source, doc_id)))
+"""
+
+
+@query(BOOK + "SELECT source, file_name, md5(page) AS page_md5 FROM b")
 def book_pages(spark, sf_dir):
     rows = as_novels(spark, sf_dir).withColumn("is_title_entry", F.lit(False))
     return N.book_pages(rows).select(F.col("novel_id").alias("source"), "file_name", F.md5(F.col("content").cast("binary")).alias("page_md5"))
 
 
+@query(BOOK + "SELECT source, 'urn:' || source AS book_id, file_name, md5(title) AS title_md5, md5(page) AS page_md5 FROM b")
+def epub_books(spark, sf_dir):
+    """All documents as books, a container for each source, read back."""
+    pages = N.book_pages(as_novels(spark, sf_dir).withColumn("is_title_entry", F.lit(False)))
+    place = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    books.write_books(pages, profiles_of(spark, sf_dir), place)
+    out = books.read_books(spark, place)
+    return out.select(F.col("file").alias("source"), "book_id", "file_name", F.md5(F.col("chapter").cast("binary")).alias("title_md5"), F.md5(F.col("content").cast("binary")).alias("page_md5"))
+
+
+def profiles_of(spark, sf_dir):
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id")).distinct()
+    return sources.select("novel_id", F.concat(F.lit("urn:"), "novel_id").alias("book_id"), F.upper("novel_id").alias("title"), F.lit("").alias("author"))
+
+
+@query(BOOK + "SELECT source, 'urn:' || source AS book_id, upper(source) AS title, count(*) AS pages, sum(strlen(page))::BIGINT AS bytes FROM b GROUP BY source")
+def book_manifests(spark, sf_dir):
+    pages = N.book_pages(as_novels(spark, sf_dir).withColumn("is_title_entry", F.lit(False)))
+    return N.book_manifest(pages, profiles_of(spark, sf_dir)).select(F.col("novel_id").alias("source"), "book_id", "title", "pages", "bytes")
+
+
 @query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.[^.]*$', ''), '[^a-zA-Z0-9_.-]+', '_', 'g'), '^[_.]+|[_.]+$', '', 'g'), ''), 'novel') || '_' || left(sha256(url), 8) AS key FROM pages""")
 def cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.cache_key(F.col("url")).alias("key"))
