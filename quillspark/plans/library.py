@@ -698,3 +698,53 @@ def state_versions(spark, sf_dir):
     held.upsert(rows(toxic.where("lang = 'fr'"), "first", F.col("text")))
     held.compact()
     return S.results(spark, folder).load().select("pos", md5(F.col("paragraphs")[0]).alias("body_md5"), "title")
+
+
+# Saved files and catalogues
+@query("""SELECT page_id, url, md5(CASE WHEN contains(url, '?') THEN html ELSE '<!-- saved from url=(0)' || url || ' -->' || chr(10) || html || chr(10) END) AS html_md5 FROM pages""")
+def saved_page_files(spark, sf_dir):
+    """All pages saved as files, those whose URL has a query as MHTML, and read back."""
+    pages = table(spark, sf_dir, "pages")
+    wrapped = F.concat(
+        F.lit("From: <saved>\r\nSnapshot-Content-Location: "), "url", F.lit('\r\nMIME-Version: 1.0\r\nContent-Type: multipart/related; type="text/html"; boundary="b0"\r\n\r\n--b0\r\nContent-Type: text/html; charset="utf-8"\r\nContent-Transfer-Encoding: base64\r\n\r\n'),
+        F.base64(F.col("html").cast("binary")), F.lit("\r\n--b0--\r\n"),
+    )
+    plain = F.concat(F.lit("<!-- saved from url=(0)"), "url", F.lit(" -->\n"), "html")
+    place = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    pages.select("page_id", F.when(F.col("url").contains("?"), wrapped).otherwise(plain).alias("value")).write.partitionBy("page_id").text(place)
+    out = P.saved_pages(spark, place)
+    return out.select(F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "url", md5(F.col("html")).alias("html_md5"))
+
+
+#: Orders as links of a catalogue page for each customer: dear ones first, numbered by key unless their status is P.
+LINKS = """
+WITH l AS (SELECT o_custkey AS book, o_orderkey AS chapter, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END AS number, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders),
+e AS (SELECT book, count(number) = count(*) AS by_number, coalesce(arg_min_null(number, n) > arg_max_null(number, n), false) AS falling, arg_max(chapter, n) AS last FROM l GROUP BY book),
+c AS (SELECT book, chapter, last, row_number() OVER (PARTITION BY book ORDER BY CASE WHEN by_number THEN number WHEN falling THEN -n ELSE n END) - 1 AS ord FROM l JOIN e USING (book))
+"""
+
+
+def catalogue_pages(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    number = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit(' data-num="'), "o_orderkey", F.lit('"'))).otherwise("")
+    item = F.concat(F.lit("<li"), number, F.lit('><a href="/txt/'), "o_custkey", F.lit("/"), "o_orderkey", F.lit('">Chapter '), "o_orderkey", F.lit("</a>"))
+    items = F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey", item.alias("item"))))
+    pages = orders.groupBy(F.col("o_custkey").alias("page_id")).agg(items.alias("items"))
+    return pages.select("page_id", F.concat(F.lit("https://www.69shuba.com/book/"), "page_id", F.lit(".htm")).alias("url"), F.concat(F.lit('<div id="catalog"><ul>'), F.array_join(F.transform("items", lambda x: x["item"]), "\n"), F.lit("</ul></div>")).alias("html"))
+
+
+@query(LINKS + "SELECT book AS custkey, ord::INT AS ord, 'Chapter ' || chapter AS title FROM c")
+def catalogue_order(spark, sf_dir):
+    return P.catalogue(catalogue_pages(spark, sf_dir)).select(F.col("page_id").alias("custkey"), "ord", "title")
+
+
+@query(LINKS + "SELECT book AS custkey, 'listed' AS kind, max(ord) FILTER (chapter = last)::INT AS ord FROM c GROUP BY book UNION ALL SELECT DISTINCT book, kind, 0 FROM c, (SELECT unnest(['absent', 'catalogue']) AS kind)")
+def catalogue_starts(spark, sf_dir):
+    """Where to start for the URL of the last link of each catalogue, of a chapter that isn't listed, and of the catalogue."""
+    listed = P.catalogue(catalogue_pages(spark, sf_dir))
+    last = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("page_id")).agg(F.max(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey")).alias("m"))
+    base = F.concat(F.lit("https://69shuba.cx/txt/"), "page_id", F.lit("/"))
+    urls = {"listed": F.concat(base, "m.o_orderkey"), "absent": F.concat(base, F.lit("1000000000")), "catalogue": F.concat(F.lit("https://69shuba.cx/book/"), "page_id", F.lit(".htm"))}
+    starts = last.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), u.alias("start_url")) for k, u in urls.items()])).alias("s")).select("page_id", "s.kind", "s.start_url")
+    found = P.start_index(listed, starts)
+    return found.join(starts, ["page_id", "start_url"]).select(F.col("page_id").alias("custkey"), "kind", "ord")

@@ -10,10 +10,11 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.functions.tables import numbered
 from quillspark.sources.dictionaries import last_wins
 
 # Hosts, catalogue and chapter paths of the sites, and where each site keeps titles and text.
@@ -34,11 +35,13 @@ BOOK = "div.info"
 CRUMB, LEAD = "Đang xem mục từ:", "p.lead"
 ENTRY, PLACEHOLDERS = r"^tu-dien_han-viet_(\w+)_rong-mo-tam-hon\.html", ["none", "lgddsssc"]
 CREDIT = r"\s*\([^)]*Từ điển[^)]*\)\s*$"
+# Fixed values of catalogue pages: what names the author before a colon, and classes of elements that hold the name.
+CREDITS, AUTHORS, COLON = ["作者", "author"], {"book-author", "author"}, set(":：")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: What the parser gives for a page.
 FIELDS = {
     "title": "string", "book": "string", "paragraphs": "array<string>", "lines": "array<string>", "meta": "map<string,string>", "ld": "array<string>",
-    "links": "array<struct<href:string,text:string,rel:string>>", "found": "boolean", "lead": "string", "crumb": "string",
+    "links": "array<struct<href:string,text:string,rel:string,number:string>>", "found": "boolean", "lead": "string", "crumb": "string", "heading": "string", "author": "string", "credits": "array<string>",
 }
 
 
@@ -71,8 +74,11 @@ class _Tree(HTMLParser):
         self.open[-1][2].append(data)
 
 
-def _selector(text: str) -> list[tuple[str, str]]:
-    return re.findall(r"([.#]?)([\w-]+)", text)
+def _selector(text: str) -> tuple[str, str, list[str]]:
+    """Tag, id and classes of a compound selector."""
+    parts = re.findall(r"([.#]?)([\w-]+)", text)
+    pick = lambda kind: [v for k, v in parts if k == kind]
+    return "".join(pick("")), "".join(pick("#")), pick(".")
 
 
 # Parsed once; a plain table, so that it travels to the executors with the functions that read it.
@@ -81,9 +87,10 @@ _SELECTORS = {s: _selector(s) for rule in SITES.values() for s in rule["title"]
 
 def _fits(node: list, selector: str) -> bool:
     """One compound selector: a tag, #id and .class parts."""
-    parts = _SELECTORS[selector]
-    classes = node[1].get("class", "").split()
-    return all({"": node[0] == v, "#": node[1].get("id") == v, ".": v in classes}[k] for k, v in parts)
+    tag, name, classes = _SELECTORS[selector]
+    if tag and node[0] != tag or name and node[1].get("id") != name:
+        return False
+    return not classes or "class" in node[1] and all(c in node[1]["class"].split() for c in classes)
 
 
 def _all(node: list):
@@ -105,39 +112,76 @@ def _strings(node: list, skip: list[str] = ()) -> list[str]:
     return out
 
 
-def _first(tree: list, selectors: list[str]) -> list | None:
-    nodes = list(_all(tree))
-    return next((n for s in selectors for n in nodes if _fits(n, s)), None)
+def _first(nodes: list[list], selectors: list[str]) -> list | None:
+    """The first node that fits the first selector that any fits, in one walk: what is found is only bettered."""
+    best, rank = None, len(selectors)
+    for n in nodes:
+        for i in range(rank):
+            if _fits(n, selectors[i]):
+                best, rank = n, i
+                break
+        if not rank:
+            break
+    return best
+
+
+# Unwanted elements are named by one tag, id or class each.
+_UNWANTED = [{s.lstrip(kind) for s in UNWANTED if (s[0] if s[0] in "#." else "") == kind} for kind in ("", "#", ".")]
+
+
+def _unwanted(node: list) -> bool:
+    tags, names, classes = _UNWANTED
+    return node[0] in tags or node[1].get("id") in names or "class" in node[1] and not classes.isdisjoint(node[1]["class"].split())
+
+
+def _links(tree: list) -> list[dict]:
+    """Links in order, with the number that the list item around them bears."""
+    out, stack = [], [(c, None) for c in reversed(tree[2]) if isinstance(c, list)]
+    while stack:
+        n, number = stack.pop()
+        if n[0] == "a" and n[1].get("href"):
+            out.append({"href": n[1]["href"], "text": _joined(_strings(n)), "rel": n[1].get("rel", ""), "number": number})
+        number = n[1].get("data-num") if n[0] == "li" else number
+        stack += [(c, number) for c in reversed(n[2]) if isinstance(c, list)]
+    return out
 
 
 def _joined(strings: list[str], by: str = " ") -> str:
     return by.join(s for s in (x.strip() for x in strings) if s)
 
 
-def _page(html: str, titles: list[str], bodies: list[str]) -> dict:
+def _page(html: str, titles: list[str], bodies: list[str], wanted: list[str] | None = None) -> dict:
+    """The wanted fields of a page (all, if none are named), from one list of its elements."""
     tree = _Tree(html).root
-    title, body = _first(tree, titles), _first(tree, bodies)
-    head = next((n for n in _all(tree) if n[0] == "title"), None)
-    book = _first(tree, [BOOK])
-    book = next((n for n in _all(book) if n[0] == "a"), None) if book else None
-    paragraphs, lines = [], []
-    if body:
+    nodes = list(_all(tree))
+    title, body = _first(nodes, titles), _first(nodes, bodies)
+
+    def book() -> str:
+        info = _first(nodes, [BOOK])
+        named = next((n for n in _all(info) if n[0] == "a"), None) if info else None
+        head = None if named or title else next((n for n in nodes if n[0] == "title"), None)
+        return _joined(_strings(named or head)) if named or head else ""
+
+    def text() -> tuple[list[str] | None, list[str]]:
+        if not body:
+            return None, []
         clean = ["", {}, _without(body)]
-        nodes = [n for n in _all(clean) if n[0] == "p"]
-        if nodes and not (len(nodes) == 1 and any(n[0] == "br" for n in _all(nodes[0]))):
-            paragraphs = [_joined(_strings(n)) for n in nodes]
-        lines = _joined(_strings(clean), "\n").splitlines()
-    found = list(_all(tree))
-    return {
-        "title": _joined(_strings(title)) if title else "", "book": _joined(_strings(book)) if book else _joined(_strings(head)) if head and not title else "",
-        "paragraphs": paragraphs or None, "lines": lines,
-        "meta": {n[1].get("property") or n[1].get("name"): n[1]["content"].strip() for n in reversed(found) if n[0] == "meta" and n[1].get("content", "").strip() and (n[1].get("property") or n[1].get("name"))},
-        "ld": ["".join(x for x in n[2] if isinstance(x, str)) for n in found if n[0] == "script" and n[1].get("type") == "application/ld+json"],
-        "links": [{"href": n[1].get("href", ""), "text": _joined(_strings(n)), "rel": n[1].get("rel", "")} for n in found if n[0] == "a" and n[1].get("href")],
-        "found": body is not None,
-        "lead": next((_joined(_strings(n)) for n in found if _fits(n, LEAD)), None),
-        "crumb": next((x for x in _strings(tree) if CRUMB in x), None),
+        found = [n for n in _all(clean) if n[0] == "p"]
+        whole = found and not (len(found) == 1 and any(n[0] == "br" for n in _all(found[0])))
+        return ([_joined(_strings(n)) for n in found] or None) if whole else None, _joined(_strings(clean), "\n").splitlines()
+
+    held = text() if wanted is None or "lines" in wanted else (None, [])
+    fields = {
+        "title": lambda: _joined(_strings(title)) if title else "", "book": book, "paragraphs": lambda: held[0], "lines": lambda: held[1], "found": lambda: body is not None,
+        "meta": lambda: {n[1].get("property") or n[1].get("name"): n[1]["content"].strip() for n in reversed(nodes) if n[0] == "meta" and n[1].get("content", "").strip() and (n[1].get("property") or n[1].get("name"))},
+        "ld": lambda: ["".join(x for x in n[2] if isinstance(x, str)) for n in nodes if n[0] == "script" and n[1].get("type") == "application/ld+json"],
+        "links": lambda: _links(tree),
+        "lead": lambda: next((_joined(_strings(n)) for n in nodes if _fits(n, LEAD)), None), "crumb": lambda: next((x for x in _strings(tree) if CRUMB in x), None),
+        "heading": lambda: next((_joined(_strings(n)) for n in nodes if n[0] == "h1"), None),
+        "author": lambda: next((_joined(_strings(n)) for n in nodes if n[1].get("itemprop") == "author" or not AUTHORS.isdisjoint(n[1].get("class", "").split())), None),
+        "credits": lambda: [x for x in (y.strip() for t in _strings(tree) for y in t.splitlines()) if COLON & set(x[:40])],
     }
+    return {k: make() for k, make in fields.items() if wanted is None or k in wanted}
 
 
 def _without(node: list) -> list:
@@ -149,7 +193,7 @@ def _without(node: list) -> list:
         for c in at[2]:
             if isinstance(c, str):
                 kept.append(c)
-            elif not any(_fits(c, s) for s in UNWANTED):
+            elif not _unwanted(c):
                 kept.append([c[0], c[1], []])
                 stack.append((c, kept[-1][2]))
     return out
@@ -157,29 +201,34 @@ def _without(node: list) -> list:
 
 def site(url: Column) -> Column:
     """The site of a URL by its host, with or without www., m. and wx.; null for other hosts."""
-    bare, out = F.regexp_replace(X.host(url), r"^(www|m|wx)\.", ""), F.lit(None).cast("string")
-    for name, rule in SITES.items():
-        out = F.when(bare.isin(*rule["hosts"]), name).otherwise(out)
-    return out
+
+    def named(bare: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, rule in SITES.items():
+            out = F.when(bare.isin(*rule["hosts"]), name).otherwise(out)
+        return out
+
+    return X.let(F.regexp_replace(X.host(url), r"^(www|m|wx)\.", ""), named)
 
 
 def url_ids(url: Column) -> Column:
     """A struct of book and chapter id by the site's path patterns; null where a pattern does not fit."""
-    path, at = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), site(url)
-    pick = lambda part: F.coalesce(*[F.when(at == name, F.nullif(F.regexp_extract(path, rule[part], 1), F.lit(""))) for name, rule in SITES.items()])
-    return F.struct(pick("book").alias("book"), pick("chapter").alias("chapter"))
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    pick = lambda x, part: F.coalesce(*[F.when(x["site"] == name, F.nullif(F.regexp_extract(x["path"], rule[part], 1), F.lit(""))) for name, rule in SITES.items()])
+    return X.let(F.struct(site(url).alias("site"), path.alias("path")), lambda x: F.struct(pick(x, "book").alias("book"), pick(x, "chapter").alias("chapter")))
 
 
-def parse_markup(pages: DataFrame, html: str = "html", at: str = "site") -> DataFrame:
-    """pages with a struct column `page` of what the markup holds; null html is empty."""
+def parse_markup(pages: DataFrame, html: str = "html", at: str = "site", fields: list[str] | None = None) -> DataFrame:
+    """pages with a struct column `page` of what the markup holds, all of FIELDS or those named; null html is empty."""
+    kinds = {n: t for n, t in FIELDS.items() if fields is None or n in fields}
 
-    @F.pandas_udf(", ".join(f"{n} {t}" for n, t in FIELDS.items()))
+    @F.pandas_udf(", ".join(f"`{n}` {t}" for n, t in kinds.items()))
     def parse(htmls: pd.Series, sites: pd.Series) -> pd.DataFrame:
         rows = []
         for h, s in zip(htmls, sites, strict=True):
             rule = SITES.get(s, {})
-            rows.append(_page(h or "", rule.get("title", []) + TITLES, rule.get("body", []) + BODIES))
-        return pd.DataFrame(rows, columns=list(FIELDS))
+            rows.append(_page(h or "", rule.get("title", []) + TITLES, rule.get("body", []) + BODIES, list(kinds)))
+        return pd.DataFrame(rows, columns=list(kinds))
 
     return pages.withColumn("page", parse(F.col(html), F.col(at)))
 
@@ -189,7 +238,7 @@ def chapters_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url",
 
     Paragraphs are cleaned, advertisement lines dropped, and a first paragraph equal to the title left out.
     """
-    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site")))
+    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site")), fields=["title", "book", "paragraphs", "lines", "found"])
     title, book = X.clean_chapter_title(F.col("page.title")), X.clean_text(F.col("page.book"))
     title = F.when((book != "") & title.startswith(F.concat(book, F.lit(" "))), X.strip(F.substring(title, F.length(book) + 1, 1 << 30))).when(title == "", X.clean_chapter_title(F.col("page.book"))).otherwise(title)
     rows = rows.withColumn("title", title).withColumn("parts", F.filter(F.transform(F.coalesce("page.paragraphs", "page.lines"), X.clean_text), lambda p: (p != "") & ~X.is_ad(p)))
@@ -209,35 +258,80 @@ def join_chapter_pages(parts: DataFrame) -> DataFrame:
     return got.select("book", "chapter", F.when(whole, "ok").otherwise("retry").alias("status"), F.when(whole, F.flatten(F.transform("p", lambda x: x["paragraphs"]))).alias("paragraphs"))
 
 
+def is_catalogue(url: Column) -> Column:
+    """Whether a URL names a book of a known site and none of its chapters."""
+    ids = url_ids(url)
+    return ids["book"].isNotNull() & ids["chapter"].isNull()
+
+
 def catalogue(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, ord, url, title): links of a page to chapters of its book, first of each URL, titles not empty."""
-    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site")))
+    """(key, ord, url, title): links of a page to chapters of its book, first of each URL, titles not empty.
+
+    Where all list items bear a number, links follow by it; where only some do and the first has a greater one than
+    the last, the list is turned round; else the order is the page's.
+    """
+    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site")), fields=["links"])
     links = rows.select("key", "url", F.posexplode("page.links").alias("n", "l"))
     root = F.concat(F.try_parse_url(F.col("url"), F.lit("PROTOCOL")), F.lit("://"), F.try_parse_url(F.col("url"), F.lit("HOST")))
     full = F.when(F.col("l.href").rlike("^https?://"), F.col("l.href")).when(F.col("l.href").startswith("/"), F.concat(root, F.col("l.href"))).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.col("l.href")))
-    links = links.withColumn("full", X.url_key(full)).withColumn("title", X.clean_text(F.col("l.text"))).where("title != ''")
+    links = links.withColumns({"full": X.url_key(full), "title": X.clean_text(F.col("l.text")), "number": X.strip(F.col("l.number")).try_cast("long")}).where("title != ''")
     links = links.where(url_ids(F.col("full"))["chapter"].isNotNull() & url_ids(F.col("full"))["book"].eqNullSafe(url_ids(F.col("url"))["book"]))
-    first = links.groupBy("key", "full").agg(F.min(F.struct("n", "title")).alias("m")).select(F.col("key").alias(key), F.col("m.n").alias("n"), F.col("full").alias("url"), F.col("m.title").alias("title"))
-    from pyspark.sql import Window
+    ends = links.groupBy(F.col("key").alias("_key")).agg((F.count("number") == F.count("*")).alias("by_number"), (F.min_by("number", "n") > F.max_by("number", "n")).alias("falling"))
+    links = links.join(ends, F.col("key").eqNullSafe(F.col("_key")))
+    place = F.when(F.col("by_number"), F.struct("number", F.col("n").cast("long").alias("n"))).otherwise(F.struct(F.lit(0).cast("long").alias("number"), F.when(F.coalesce("falling", F.lit(False)), -F.col("n")).otherwise(F.col("n")).cast("long").alias("n")))
+    first = links.groupBy("key", "full").agg(F.min(F.struct(place.alias("place"), "title")).alias("m")).select(F.col("key").alias(key), F.col("m.place").alias("place"), F.col("full").alias("url"), F.col("m.title").alias("title"))
+    return numbered(first, [key], ["place"]).select(key, (F.col("number") - 1).cast("int").alias("ord"), "url", "title")
+
 
-    return first.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("n")) - 1).select(key, "ord", "url", "title")
+def start_index(listed: DataFrame, starts: DataFrame, key: str = "page_id") -> DataFrame:
+    """(key, start_url, ord): the place in catalogue() of the chapter that a URL names, 0 if it names none or it is not listed."""
+    wanted = starts.select(key, "start_url", url_ids(F.col("start_url")).alias("_ids"))
+    there = listed.select(F.col(key).alias("_key"), url_ids(F.col("url")).alias("_of"), "ord")
+    met = wanted.join(there, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_ids.book") == F.col("_of.book")) & (F.col("_ids.chapter") == F.col("_of.chapter")), "left")
+    return met.groupBy(key, "start_url").agg(F.coalesce(F.min("ord"), F.lit(0)).alias("ord"))
 
 
-def book_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, original_title, original_author, genre, publication_date): meta tags first, then JSON-LD books, then og:title."""
-    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site")))
+def book_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", catalog: Column | None = None) -> DataFrame:
+    """(key, original_title, original_author, genre, publication_date): meta tags first, then JSON-LD books.
+
+    On catalogue pages, by default those whose URL is one, a missing title is og:title or else the first heading, and a
+    missing author the text of the element for it or else a short line that names it. Dates that are no dates, as a
+    whole, are dropped. Pages that are challenges have nothing.
+    """
+    wide = is_catalogue(F.col(url)) if catalog is None else catalog
+    rows = parse_markup(pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), site(F.col(url)).alias("site"), F.coalesce(wide, F.lit(False)).alias("wide")), fields=["meta", "ld", "heading", "author", "credits"])
     tag = lambda *names: F.coalesce(*[F.try_element_at("page.meta", F.lit(n)) for n in names])
+    given = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
     kinds = "array<struct<`@type`:string,name:string,datePublished:string,author:string>>"
     items = F.flatten(F.transform("page.ld", lambda j: F.coalesce(F.from_json(F.when(X.strip(j).startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))), kinds), F.array().cast(kinds))))
-    book = F.try_element_at(F.filter(items, lambda x: x["@type"].isin("Book", "Novel")), F.lit(1))
-    person = book["author"]
-    author = F.coalesce(tag("og:novel:author", "book:author", "author", "novel:author"), F.get_json_object(person, "$.name"), F.get_json_object(person, "$[0].name"), F.when(~person.rlike(r"^\s*[\[{]"), person), F.lit(""))
-    when = F.coalesce(tag("book:release_date", "og:novel:publication_date"), book["datePublished"], F.lit(""))
-    date = F.when(when.rlike(r"^\d{4}-\d{2}-\d{2}") & F.substring(when, 1, 10).try_cast("date").isNotNull(), when).otherwise("")
-    title = F.coalesce(tag("og:novel:book_name", "book_name", "novel:book_name"), book["name"], tag("og:title"), F.nullif(F.col("page.title"), F.lit("")), F.lit(""))
+    told = F.filter(items, lambda x: x["@type"].isin("Book", "Novel"))
+    first = lambda of: F.try_element_at(F.filter(F.transform(told, of), lambda v: v.isNotNull() & (v != "")), F.lit(1))
+    person = lambda x: F.when(x["author"].rlike(r"^\s*\["), F.coalesce(F.get_json_object(x["author"], "$[0].name"), F.when(~F.get_json_object(x["author"], "$[0]").startswith("{"), F.get_json_object(x["author"], "$[0]")))).when(x["author"].rlike(r"^\s*\{"), F.get_json_object(x["author"], "$.name")).otherwise(x["author"])
+    head = lambda line: F.lower(F.regexp_replace(F.split(line, "[:：]", 2)[0], r"(?U)\s+", ""))
+    rest = lambda line: X.strip(F.split(line, "[:：]", 2)[1])
+    line = F.try_element_at(F.transform(F.filter("page.credits", lambda x: head(x).isin(*CREDITS) & F.length(rest(x)).between(1, 80)), rest), F.lit(1))
+    author = F.coalesce(given(tag("og:novel:author", "book:author", "author", "novel:author")), first(person), F.when(F.col("wide"), F.coalesce(given(F.col("page.author")), line)), F.lit(""))
+    author = X.let(author, lambda a: F.when(a.rlike("[:：]") & head(a).isin(*CREDITS), rest(a)).otherwise(X.strip(a)))
+    when = F.coalesce(given(tag("book:release_date", "og:novel:publication_date")), first(lambda x: x["datePublished"]), F.lit(""))
+    whole = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    date = F.when(when.rlike(whole) & F.left(when, F.lit(10)).try_cast("date").isNotNull() & F.regexp_replace(when, ",", ".").try_cast("timestamp").isNotNull(), when).otherwise("")
+    title = F.coalesce(given(tag("og:novel:book_name", "book_name", "novel:book_name")), first(lambda x: x["name"]), F.when(F.col("wide"), F.coalesce(given(tag("og:title")), F.col("page.heading"))), F.lit(""))
     empty = X.is_challenge(F.col("html"))
     plain = lambda c: F.when(empty, "").otherwise(X.strip(c))
-    return rows.select(F.col("key").alias(key), plain(title).alias("original_title"), plain(F.regexp_replace(author, r"(?i)^(?:作者|作\s*者|Author)\s*[:：]\s*", "")).alias("original_author"), plain(F.coalesce(tag("og:novel:category"), F.lit(""))).alias("genre"), plain(date).alias("publication_date"))
+    return rows.select(F.col("key").alias(key), plain(title).alias("original_title"), plain(author).alias("original_author"), plain(F.coalesce(tag("og:novel:category"), F.lit(""))).alias("genre"), plain(date).alias("publication_date"))
+
+
+def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, url, html) of the files of a folder, HTML or MHTML, of any encoding that decoded() knows.
+
+    Spark's own reader plans the files into partitions and leaves the contents unread where only paths are asked for.
+    The URL is the one that an MHTML file or a saved page's first comment names, else null. Empty files give no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    start = F.decode(F.substring("content", 1, 4096), "ISO-8859-1")
+    wrapped = start.rlike(r"(?is)^\s*(from|mime-version|snapshot-content-location|content-type):.*multipart/related")
+    named = F.coalesce(F.nullif(F.regexp_extract(start, r"(?im)^snapshot-content-location:\s*(\S+)", 1), F.lit("")), F.nullif(F.regexp_extract(start, r"saved from url=\(\d+\)(\S+)", 1), F.lit("")))
+    return files.select("path", named.alias("url"), F.when(wrapped, mhtml_part(F.when(wrapped, F.col("content")))).otherwise(decoded(F.when(~wrapped, F.col("content")))).alias("html"))
 
 
 def dictionary_entries(saved: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -246,7 +340,7 @@ def dictionary_entries(saved: DataFrame, key: str = "page_id", html: str = "html
     The word follows " - " in the name of the entry, which stands in the page's JSON-LD or else in its text; the meaning
     is the lead without the credit at its end. Pages without either, and null html, give no row.
     """
-    rows = parse_markup(saved.select(F.col(key).alias("key"), F.col(html).alias("html"), F.lit(None).cast("string").alias("site")))
+    rows = parse_markup(saved.select(F.col(key).alias("key"), F.col(html).alias("html"), F.lit(None).cast("string").alias("site")), fields=["ld", "crumb", "lead"])
     listed = F.filter(F.transform("page.ld", lambda j: F.regexp_extract(j, rf'"name"\s*:\s*"{CRUMB}\s*([^"]+)"', 1)), lambda x: x != "")
     shown = F.regexp_extract(F.coalesce("page.crumb", F.lit("")), rf'{CRUMB}\s*([^»"]+)', 1)
     name = X.strip(F.coalesce(F.try_element_at(listed, F.lit(1)), shown))
@@ -258,7 +352,7 @@ def dictionary_entries(saved: DataFrame, key: str = "page_id", html: str = "html
 
 def entry_slugs(saved: DataFrame, html: str = "html") -> DataFrame:
     """(slug): entries that saved lists of a dictionary link to, each once, placeholders left out."""
-    rows = parse_markup(saved.select(F.col(html).alias("html"), F.lit(None).cast("string").alias("site")))
+    rows = parse_markup(saved.select(F.col(html).alias("html"), F.lit(None).cast("string").alias("site")), fields=["links"])
     slug = rows.select(F.explode("page.links.href").alias("href")).select(F.regexp_extract("href", ENTRY, 1).alias("slug"))
     return slug.where((F.col("slug") != "") & ~F.col("slug").isin(*PLACEHOLDERS)).distinct()
 
@@ -286,15 +380,15 @@ def absolute(base: Column, href: Column) -> Column:
 
 
 def mhtml_part(value: Column) -> Column:
-    """The first HTML part of an MHTML file, or null."""
+    """The first HTML part of an MHTML file (bytes), or null."""
 
     @F.pandas_udf("string")
     def part(values: pd.Series) -> pd.Series:
-        from email import message_from_string, policy
+        from email import message_from_bytes, policy
 
         out = []
         for v in values:
-            message = message_from_string(v or "", policy=policy.default)
+            message = message_from_bytes(bytes(v or b""), policy=policy.default)
             out.append(next((m.get_content() for m in message.walk() if m.get_content_type() == "text/html"), None))
         return pd.Series(out)
 

@@ -220,3 +220,45 @@ def test_replies_with_long_paragraphs(spark):
     body = '{"title": "t", "paragraphs": ["' + long.replace('"', '\\"') + '", "short", "cut'
     out = spark.createDataFrame([(body,)], "b string").select(responses.reply(F.col("b")).alias("o")).first().o
     assert len(out.paragraphs) == 2 and len(out.paragraphs[0]) > 1_000_000 and out.paragraphs[1] == "short"
+
+
+def test_catalogue_orders_and_starts(spark):
+    item = lambda k, n=None: f"<li{'' if n is None else f' data-num={n}'}><span><a href='/txt/5/{k}'>t{k}</a></span></li>"
+    html = {
+        1: item(9, 3) + item(8, 2) + item(7, 1) + item(9, 0), 2: item(9, 3) + item(8) + item(7, 1), 3: item(9) + item(8, 2) + item(7, 1), 4: item(7, 1) + item(8) + item(9, 3), 5: "",
+    }
+    listed = pages.catalogue(spark.createDataFrame([(k, "https://69shuba.com/book/5.htm", f"<ul>{h}</ul>") for k, h in html.items()], "page_id long, url string, html string"))
+    got = {}
+    for r in listed.orderBy("page_id", "ord").collect():
+        got.setdefault(r.page_id, []).append(r.title)
+    assert got == {1: ["t9", "t7", "t8"], 2: ["t7", "t8", "t9"], 3: ["t9", "t8", "t7"], 4: ["t7", "t8", "t9"]}
+    starts = spark.createDataFrame([(2, "https://www.69shuba.com/txt/5/9"), (2, "https://www.69shuba.com/txt/6/9"), (5, "https://69shuba.com/txt/5/9")], "page_id long, start_url string")
+    assert sorted((r.page_id, r.ord) for r in pages.start_index(listed, starts).collect()) == [(2, 0), (2, 2), (5, 0)]
+
+
+def test_metadata_of_catalogues_and_chapters(spark):
+    ld = lambda x: f"<script type='application/ld+json'>{x}</script>"
+    chapter, book = "https://uukanshu.cc/book/1/2.html", "https://uukanshu.cc/book/1/"
+    html = [
+        (1, chapter, "<title>T</title><meta property='og:title' content='Chapter 5'><h1>Chapter 5</h1><p>作者：Nobody</p>"),
+        (2, book, "<title>T</title><h1>The Book</h1><p>作 者： A. Writer</p>"),
+        (3, book, "<meta property='og:title' content='OG'><h1>x</h1><i class='book-author'>作者:B</i>"),
+        (4, chapter, ld('[{"@type": "Novel", "name": "N", "author": ["A. Writer"], "datePublished": "2020-01-02T03:04:05Z"}]')),
+        (5, chapter, ld('{"@type": "Book", "name": "N", "author": [{"name": "C"}], "datePublished": "2020-01-02 and more"}')),
+        (6, book, "Just a moment... <h1>x</h1>"), (7, None, None), (8, book, "<p>Author: " + "x" * 81 + "</p><p>Time: 5</p>"),
+    ]
+    got = {r.page_id: tuple(r)[1:] for r in pages.book_metadata(spark.createDataFrame(html, "page_id long, url string, html string")).collect()}
+    assert got == {
+        1: ("", "", "", ""), 2: ("The Book", "A. Writer", "", ""), 3: ("OG", "B", "", ""), 4: ("N", "A. Writer", "", "2020-01-02T03:04:05Z"), 5: ("N", "C", "", ""),
+        6: ("", "", "", ""), 7: ("", "", "", ""), 8: ("", "", "", ""),
+    }
+
+
+def test_saved_files(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.html").write_bytes("<!-- saved from url=(0014)http://a/b -->\n<h1>é</h1>".encode())
+    (tmp_path / "deep" / "b.html").write_bytes("<h1>中文</h1>".encode("gb18030"))
+    (tmp_path / "c.mhtml").write_bytes(b"From: x\r\nSnapshot-Content-Location: http://c/d\r\nContent-Type: multipart/related; boundary=\"z\"\r\n\r\n--z\r\nContent-Type: text/css\r\n\r\np{}\r\n--z\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<h1>=C3=A9</h1>\r\n--z--\r\n")
+    (tmp_path / "empty.html").write_bytes(b"")
+    got = {r.path.rsplit("/", 1)[-1]: (r.url, (r.html or "").strip()) for r in pages.saved_pages(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.html": ("http://a/b", "<!-- saved from url=(0014)http://a/b -->\n<h1>é</h1>"), "b.html": (None, "<h1>中文</h1>"), "c.mhtml": ("http://c/d", "<h1>é</h1>")}
