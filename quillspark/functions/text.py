@@ -324,9 +324,14 @@ def uuid5_url(name: Column) -> Column:
     return F.concat(F.lit("urn:uuid:"), F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))
 
 
-def to_simplified(c: Column, pairs: dict[str, str]) -> Column:
-    """Characters replaced by a map; phrase-level exceptions are not known here."""
-    return F.translate(c, "".join(pairs), "".join(pairs.values()))
+def to_simplified(c: Column, pairs: dict[str, str], phrases: dict[str, str] | None = None) -> Column:
+    """Phrases replaced by their own map, leftmost and longest first, and all other characters by theirs."""
+    single = lambda x: F.translate(x, "".join(pairs), "".join(pairs.values()))
+    if not phrases:
+        return single(c)
+    pattern = F.lit("|".join(re.escape(p) for p in sorted(phrases, key=lambda p: (-len(p), p))))
+    table = F.create_map(*[F.lit(x) for pair in phrases.items() for x in pair])
+    return F.array_join(F.zip_with(F.transform(F.split(c, pattern, -1), single), F.transform(F.regexp_extract_all(c, pattern, F.lit(0)), lambda p: table[p]), lambda between, put: F.concat(between, F.coalesce(put, F.lit("")))), "")
 
 
 def peak_hour(ts: Column) -> Column:

@@ -73,6 +73,49 @@ def prepare(chapters: DataFrame, candidates: DataFrame, glossary: DataFrame, sta
     }
 
 
+# What a chapter is translated with
+def chapter_terms(chapters: DataFrame, glossary: DataFrame, common: DataFrame, most: int = terms.MAX_TERMS) -> DataFrame:
+    """(novel_id, pos, kind, ord, zh, vi): the terms of each novel's own glossary that occur in a chapter.
+
+    chapters(novel_id, pos, title, paragraphs), glossary(novel_id, ord, zh, vi); at most `most` of a chapter, longest
+    first. kind is ambiguous for those that are common words too, else forced.
+    """
+    texts = chapters.select(F.struct("novel_id", "pos").alias("at"), X.chapter_text(F.col("title"), F.col("paragraphs")).alias("text"))
+    found = terms.containment(texts, glossary.select(F.col("zh").alias("term")), "at", "text")
+    own = found.select("at", F.col("at.novel_id").alias("novel_id"), "term").join(glossary.select("novel_id", F.col("zh").alias("term"), "ord", "vi"), ["novel_id", "term"])
+    chosen = terms.split_known(terms.terms_of_chapter(own, "at", most), common.select(F.col("word").alias("term")), "term")
+    return chosen.select("novel_id", "at.pos", F.when(F.col("known"), "ambiguous").otherwise("forced").alias("kind"), "ord", F.col("term").alias("zh"), "vi")
+
+
+def chapter_idioms(chapters: DataFrame, glossary: DataFrame, memory: DataFrame, curated: DataFrame, detector: DataFrame, most: int = terms.MAX_IDIOMS) -> DataFrame:
+    """(novel_id, pos, kind, ord, zh, vi): the idioms of each chapter by first place, at most `most`.
+
+    Idioms are keys of the novel's memory (novel_id, key, vi, approved, source, uses), of the curated list (key, vi) and
+    of the detector (key, hint); terms of the novel's glossary are none. kind is known for those with a rendering to be
+    used again, and hint for the others, whose vi is a suggestion or empty.
+    """
+    texts = chapters.select(F.struct("novel_id", "pos").alias("at"), X.chapter_text(F.col("title"), F.col("paragraphs")).alias("text"))
+    keys = memory.select(F.col("key").alias("term")).unionByName(curated.select(F.col("key").alias("term"))).unionByName(detector.select(F.col("key").alias("term")))
+    found = terms.containment(texts, keys, "at", "text").select("at", F.col("at.novel_id").alias("novel_id"), "term", "first_pos")
+    remembered = memory.select("novel_id", F.col("key").alias("term"), F.col("vi").alias("m_vi"), "approved", "source", "uses", F.lit(True).alias("own"))
+    listed, hints = curated.select(F.col("key").alias("term"), F.col("vi").alias("c_vi"), F.lit(True).alias("listed")), detector.select(F.col("key").alias("term"), F.col("hint"), F.lit(True).alias("detected"))
+    rows = found.join(remembered, ["novel_id", "term"], "left").join(listed, "term", "left").join(hints, "term", "left").where("own OR listed OR detected")
+    rows = rows.join(glossary.select("novel_id", F.col("zh").alias("term")), ["novel_id", "term"], "left_anti")
+    rows = terms.first_hits(rows, "at", most)
+    used = F.when(F.coalesce("uses", F.lit(0)) > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    known = terms.known_rendering(F.coalesce("approved", F.lit(False)), F.col("m_vi"), used, F.col("c_vi"))
+    fresh = terms.fresh_hint(F.coalesce("source", F.lit("")), F.col("m_vi"), F.col("hint"))
+    return rows.select("novel_id", "at.pos", F.when(known != "", "known").otherwise("hint").alias("kind"), F.col("hit").cast("long").alias("ord"), F.col("term").alias("zh"), F.when(known != "", known).otherwise(fresh).alias("vi"))
+
+
+def unused_terms(chapters: DataFrame, written: DataFrame, found: DataFrame) -> DataFrame:
+    """(novel_id, pos, zh): forced terms of chapter_terms() that a written chapter does not render as often as they occur."""
+    listed = found.where("kind = 'forced'").groupBy("novel_id", "pos").agg(F.array_sort(F.collect_list(F.struct((-F.length("zh")).alias("size"), "zh", "vi"))).alias("t"))
+    met = chapters.select("novel_id", "pos", "title", "paragraphs").join(written.select("novel_id", "pos", F.col("paragraphs").alias("done")), ["novel_id", "pos"]).join(listed, ["novel_id", "pos"])
+    pairs = F.transform("t", lambda x: F.struct(x["zh"].alias("zh"), F.coalesce(x["vi"], F.lit("")).alias("vi")))
+    return met.select("novel_id", "pos", F.explode(terms.missing_by_paragraph(F.col("title"), F.col("paragraphs"), F.col("done"), pairs)).alias("zh"))
+
+
 # Translation
 def terms_block(found: DataFrame, headings: dict[str, str]) -> DataFrame:
     """(novel_id, pos, block): the terms of each chapter as text, kinds in the order of headings, lines in order.

@@ -55,6 +55,20 @@ def export_counts(profiles: DataFrame, raw: DataFrame, translated: DataFrame) ->
     return rows.withColumn("snapshot_complete", (F.col("source_chapters") > 0) & (F.col("exported_chapters") >= F.col("source_chapters")))
 
 
+#: The lines of a package's description.
+DESCRIPTION = {"head": "Bản dịch tiếng Việt", "scope": "Phạm vi: dữ liệu đã cào, chưa xác nhận đủ toàn truyện.", "partial": "Bản dịch đang cập nhật; có thể chưa đủ chương."}
+DESCRIBED = {"book_id": "ID", "exported_chapters": "Số chương đã xuất", "export_created_at": "Tạo bản xuất", "export_updated_at": "Cập nhật bản xuất"}
+NAMED = {"original_title": "Tên gốc", "original_author": "Tác giả gốc", "source_url": "Nguồn", "translation_model": "Model ở lần chạy gần nhất"}
+
+
+def description(profiles: DataFrame) -> Column:
+    """The text that a package bears, from the columns of a profile that are there; fields without a value have no line."""
+    line = lambda name, label: F.concat(F.lit(f"{label}: "), F.col(name).cast("string"))
+    told = [line(k, v) for k, v in DESCRIBED.items() if k in profiles.columns]
+    named = [F.when(F.coalesce(F.col(k).cast("string"), F.lit("")) != "", line(k, v)) for k, v in NAMED.items() if k in profiles.columns]
+    return F.concat_ws("\n", F.lit(DESCRIPTION["head"]), *told, F.lit(DESCRIPTION["scope"]), *named, F.when(~F.coalesce("snapshot_complete", F.lit(False)), DESCRIPTION["partial"]))
+
+
 def stale_packages(wanted: DataFrame, receipts: DataFrame) -> DataFrame:
     """rebuild: whether a package must be made anew: no receipt, an invalid package, or anything recorded differs.
 

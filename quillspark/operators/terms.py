@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, numbered
 from quillspark.operators import dictionary
 
 #: Bytes of terms that one trie may hold.
@@ -18,6 +18,8 @@ TRIE = 16 << 20
 #: Terms for a chapter, idiom hints for a chapter.
 MAX_TERMS, MAX_IDIOMS = 300, 60
 LITERAL = "nghĩa đen"
+#: Terms of a rendering that are listed in a row.
+LISTED = 1000
 #: The mark of an idiom in a meaning, and the heads of meanings that say nothing by themselves.
 MARKER, REFUSED = "(thành ngữ)", [LITERAL, "xem ", "biến thể"]
 
@@ -109,10 +111,26 @@ def merge_new(glossary: DataFrame, fresh: DataFrame) -> DataFrame:
     return new.withColumn("_n", F.row_number().over(Window.partitionBy("novel_id", "key").orderBy("ord"))).where("_n = 1").drop("_n")
 
 
-def duplicate_renderings(glossary: DataFrame, zh: str = "zh", vi: str = "vi", order: str = "ord") -> DataFrame:
-    """(vi, names, n): renderings that several terms share, their terms in order."""
-    shared = glossary.groupBy(F.col(vi).alias("vi")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(zh).alias("z")))).alias("all")).where("n > 1")
-    return shared.select("vi", F.array_join(F.transform("all", lambda x: x["z"].cast("string")), " / ").alias("names"), "n")
+def duplicate_renderings(glossary: DataFrame, zh: str = "zh", vi: str = "vi", order: str = "ord", size: int = LISTED) -> DataFrame:
+    """(vi, part, names, n): renderings that several terms share, their terms in order, `size` of them in a row."""
+    rows = glossary.select(F.col(vi).alias("vi"), F.col(order).alias("o"), F.col(zh).cast("string").alias("z"))
+    counts = rows.groupBy("vi").agg(F.count("*").alias("n")).where("n > 1 AND vi IS NOT NULL")
+    shared = numbered(rows.join(counts, "vi"), ["vi"], ["o", "z"]).withColumn("part", F.floor((F.col("number") - 1) / size))
+    listed = shared.groupBy("vi", "part", "n").agg(F.sort_array(F.collect_list(F.struct("number", "z"))).alias("all"))
+    return listed.select("vi", "part", F.array_join(F.transform("all", lambda x: x["z"]), " / ").alias("names"), "n")
+
+
+def lower_renderings(glossary: DataFrame, vi: str = "vi") -> DataFrame:
+    """Terms whose rendering has no capital: an ordinary word, it seems, that is forced to be a name."""
+    return glossary.where(F.col(vi) == F.lower(F.col(vi)))
+
+
+def examples(found: DataFrame, docs: DataFrame, doc: str = "doc_id", text: str = "text", margin: int = 18) -> DataFrame:
+    """(term, chapters, first_doc, example): in how many texts each term occurs, and its first place in the first of them."""
+    counts = found.groupBy("term").agg(F.count_distinct(doc).alias("chapters"), F.min(F.struct(F.col(doc).alias("doc"), "first_pos")).alias("m"))
+    met = counts.join(docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")), F.col("m.doc") == F.col("_doc"))
+    shown = X.snippet(F.col("_text"), F.col("m.first_pos").cast("int"), F.length("term"), margin)
+    return met.select("term", "chapters", F.col("m.doc").alias("first_doc"), shown.alias("example"))
 
 
 def uses(events: DataFrame, key: str, place: str) -> DataFrame:
@@ -187,6 +205,18 @@ def missing_terms(source: Column, target: Column, terms: Column) -> Column:
     return F.aggregate(terms, start, step, lambda s: s["bad"])
 
 
+def missing_by_paragraph(title: Column, source: Column, target: Column, terms: Column) -> Column:
+    """The terms (array of struct zh, vi; longest first) that a chapter's translation misses, in their order.
+
+    Paragraph by paragraph where both have as many, so that one paragraph's surplus does not hide another's lack; else
+    the whole chapter, its title included.
+    """
+    each = F.flatten(F.zip_with(source, target, lambda s, t: missing_terms(s, t, terms)))
+    whole = missing_terms(X.chapter_text(title, source), F.array_join(target, "\n"), terms)
+    flagged = F.when((F.size(source) == F.size(target)) & (F.size(source) > 0), each).otherwise(whole)
+    return X.let(flagged, lambda bad: F.transform(F.filter(terms, lambda t: F.array_contains(bad, t["zh"])), lambda t: t["zh"]))
+
+
 def apply_review(decisions: DataFrame, curated: DataFrame) -> DataFrame:
     """(key, vi, status, route, outcome): review decisions routed to the curated list or the memory.
 

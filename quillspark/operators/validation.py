@@ -74,3 +74,15 @@ def dictionary_quality(words: DataFrame, wanted: DataFrame, word: str = "word",
     sums = words.agg(F.count("*").alias("entries"), F.count_if(m == "").alias("empty"), F.count_if(F.length(m).between(1, 2)).alias("short"))
     cover = wanted.join(words.select(F.col(word).alias("_w")).distinct(), F.col(word) == F.col("_w"), "left").agg(F.count("*").alias("wanted"), F.count("_w").alias("found"))
     return sums.crossJoin(cover)
+
+
+#: Parts of a meaning that show a raw format, and how many lengths of words are listed.
+RAW_FORMATS, LENGTHS = ["[", "]", "/zhōng/", "/xué/", "(Tw)", "(Hk)"], 10
+
+
+def dictionary_lengths(words: DataFrame, word: str = "word", meaning: str = "meaning") -> DataFrame:
+    """(length, entries, suspicious): entries by the length of their word, the LENGTHS shortest, and how many meanings of each look raw."""
+    raw = F.lit(False)
+    for part in RAW_FORMATS:
+        raw = raw | F.coalesce(F.col(meaning), F.lit("")).contains(part)
+    return words.groupBy(F.length(word).cast("long").alias("length")).agg(F.count("*").alias("entries"), F.count_if(raw).alias("suspicious")).orderBy("length").limit(LENGTHS)

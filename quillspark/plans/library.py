@@ -17,7 +17,8 @@ from quillspark.functions.tables import numbered, shared_folder
 from quillspark.operators import chapters as C
 from quillspark.operators import crawl, heal, mining, profile, terms, usage, validation
 from quillspark.operators import state as S
-from quillspark.plans.queries import contained, query, table, turn_pairs
+from quillspark.operators import novel_run as N
+from quillspark.plans.queries import CONTAINED, contained, query, table, turn_pairs
 from quillspark.sources import dictionaries as D
 from quillspark.sources import pages as P
 from quillspark.sources import responses
@@ -748,3 +749,79 @@ def catalogue_starts(spark, sf_dir):
     starts = last.select("page_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), u.alias("start_url")) for k, u in urls.items()])).alias("s")).select("page_id", "s.kind", "s.start_url")
     found = P.start_index(listed, starts)
     return found.join(starts, ["page_id", "start_url"]).select(F.col("page_id").alias("custkey"), "kind", "ord")
+
+
+# Terms of chapters
+@query(f"""WITH f AS {CONTAINED}, m AS (SELECT term, count(DISTINCT doc_id) AS chapters, min(doc_id) AS first_doc, arg_min(first_pos, doc_id) AS p FROM f GROUP BY term)
+SELECT md5(term) AS term_md5, chapters, first_doc, md5({stripped("replace(substr(text, greatest(1, p - 18), p + length(term) + 18 - greatest(1, p - 18)), chr(10), ' ')")}) AS example_md5 FROM m JOIN documents ON doc_id = first_doc""")
+def passage_examples(spark, sf_dir):
+    out = terms.examples(contained(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return out.select(md5(F.col("term")).alias("term_md5"), "chapters", "first_doc", md5(F.col("example")).alias("example_md5"))
+
+
+@query("SELECT vi, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-zA-Z]{3,}')) AS vi FROM benchmark) WHERE vi = lower(vi) GROUP BY vi")
+def lower_renderings(spark, sf_dir):
+    listed = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{3,}"), F.lit(0))).alias("vi"))
+    return terms.lower_renderings(listed).groupBy("vi").agg(F.count("*").alias("n"))
+
+
+@query("SELECT length(regexp_extract(text, '[a-zA-Z]+')) AS length, count(*) AS entries, count(*) FILTER (contains(text, '[') OR contains(text, ']') OR contains(text, '(Tw)') OR contains(text, '(Hk)') OR contains(text, '/zhōng/') OR contains(text, '/xué/')) AS suspicious FROM documents GROUP BY 1 ORDER BY 1 LIMIT 10")
+def dictionary_lengths(spark, sf_dir):
+    """The first word of each document as an entry, its text as the meaning."""
+    words = table(spark, sf_dir, "documents").select(F.regexp_extract("text", "[a-zA-Z]+", 0).alias("word"), F.col("text").alias("meaning"))
+    return validation.dictionary_lengths(words)
+
+
+@query("SELECT doc_id, md5(translate(regexp_replace(text, 'the|qu', '', 'g'), 'aeß', 'αεs')) AS text_md5 FROM documents")
+def mapped_phrases(spark, sf_dir):
+    """Two phrases vanish; all other characters follow the map."""
+    return table(spark, sf_dir, "documents").select("doc_id", md5(X.to_simplified(F.col("text"), {"a": "α", "e": "ε", "ß": "s"}, {"the": "", "qu": ""})).alias("text_md5"))
+
+
+GLOSSARY = """
+w AS (SELECT DISTINCT item_id % 4 AS k, unnest(regexp_extract_all(text, '[a-zA-Z]{4,}')) AS zh FROM benchmark),
+g AS (SELECT source, zh, row_number() OVER (PARTITION BY source ORDER BY zh) AS ord FROM (SELECT DISTINCT source, length(source) % 2 AS k FROM documents) s JOIN (SELECT DISTINCT k % 2 AS k, zh FROM w) USING (k))"""
+
+
+def glossaries(spark, sf_dir):
+    """Words of the benchmark as the glossaries of the sources: by the parity of the item and of the source's name."""
+    words = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("k"), F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{4,}"), F.lit(0))).alias("zh")).distinct()
+    novels = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), (F.length("source") % 2).cast("long").alias("k")).distinct()
+    return numbered(novels.join(words, "k").select("novel_id", "zh"), ["novel_id"], ["zh"], "ord").withColumn("vi", F.upper("zh"))
+
+
+def text_chapters(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.lit("").alias("title"), F.split("text", "\n", -1).alias("paragraphs"))
+
+
+@query(f"""WITH {GLOSSARY},
+f AS (SELECT doc_id, zh, ord, row_number() OVER (PARTITION BY doc_id ORDER BY length(zh) DESC, ord) AS k FROM documents d JOIN g ON g.source = d.source AND contains(d.text, g.zh))
+SELECT doc_id, count(*) AS n, md5(string_agg(zh || CASE WHEN length(zh) = 4 THEN '?' ELSE '' END, ' ' ORDER BY ord)) AS terms_md5 FROM f WHERE k <= 300 GROUP BY doc_id""")
+def chapter_terms(spark, sf_dir):
+    """The terms of each document's own glossary; words of four letters stand for common words."""
+    glossary = glossaries(spark, sf_dir)
+    common = glossary.where(F.length("zh") == 4).select(F.col("zh").alias("word"))
+    found = N.chapter_terms(text_chapters(spark, sf_dir), glossary, common)
+    shown = F.concat("zh", F.when(F.col("kind") == "ambiguous", "?").otherwise(""))
+    out = found.groupBy(F.col("pos").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ord", shown.alias("t")))).alias("l"))
+    return out.select("doc_id", F.size("l").cast("long").alias("n"), md5(F.array_join(F.transform("l", lambda x: x["t"]), " ")).alias("terms_md5"))
+
+
+@query(f"""WITH {GLOSSARY},
+i AS (SELECT DISTINCT zh FROM w WHERE k IN (1, 3)),
+f AS (SELECT doc_id, d.source, zh, instr(text, zh) AS p FROM documents d JOIN i ON contains(text, zh) AND (length(zh) = 5 OR zh >= 'm' OR length(zh) % 2 = length(source) % 2) ANTI JOIN g ON g.source = d.source AND g.zh = i.zh),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p, zh) AS k FROM f)
+SELECT doc_id, count(*) AS n, md5(string_agg(CASE WHEN length(zh) = 5 THEN 'known:' || upper(zh) WHEN zh < 'm' THEN 'hint:gợi ý: ' || zh || '!' ELSE 'hint:nghĩa: ' || lower(zh) END, ' ' ORDER BY k)) AS idioms_md5 FROM h WHERE k <= 60 GROUP BY doc_id""")
+def chapter_idioms(spark, sf_dir):
+    """Words of odd benchmark items as idioms: curated ones have five letters, prepared ones begin before m, others are detected.
+
+    A source's memory holds the prepared words whose length has the parity of its name's.
+    """
+    words = table(spark, sf_dir, "benchmark").where("item_id % 2 = 1").select(F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{4,}"), F.lit(0))).alias("key")).distinct()
+    novels = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), (F.length("source") % 2).alias("k")).distinct()
+    curated = words.where("length(key) = 5").select("key", F.upper("key").alias("vi"))
+    memory = novels.join(words.where("length(key) <> 5 AND key < 'm'").withColumn("k", F.length("key") % 2), "k").select("novel_id", "key", F.concat("key", F.lit("!")).alias("vi"), F.lit(False).alias("approved"), F.lit("chuan_bi").alias("source"), F.lit(0).alias("uses"))
+    detector = words.where("length(key) <> 5 AND key >= 'm'").select("key", F.lower("key").alias("hint"))
+    found = N.chapter_idioms(text_chapters(spark, sf_dir), glossaries(spark, sf_dir), memory, curated, detector)
+    out = found.groupBy(F.col("pos").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("ord", F.concat("kind", F.lit(":"), "vi").alias("t")))).alias("l"))
+    return out.select("doc_id", F.size("l").cast("long").alias("n"), md5(F.array_join(F.transform("l", lambda x: x["t"]), " ")).alias("idioms_md5"))

@@ -360,7 +360,7 @@ def challenge_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", X.is_challenge(F.col("html"), ["track(", "just a moment..."]).alias("challenged"))
 
 
-@query("SELECT p_name AS vi, string_agg(p_partkey::VARCHAR, ' / ' ORDER BY p_partkey) AS names, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+@query("SELECT p_name AS vi, 0::BIGINT AS part, string_agg(p_partkey::VARCHAR, ' / ' ORDER BY p_partkey) AS names, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
 def glossary_duplicate_renderings(spark, sf_dir):
     return terms.duplicate_renderings(table(spark, sf_dir, "part"), "p_partkey", "p_name", "p_partkey")
 

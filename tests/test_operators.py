@@ -263,7 +263,7 @@ def test_glossary_tables(spark):
     glossary = spark.createDataFrame([("n", 0, "甲", "A", "甲"), ("n", 1, "乙", "A", "乙")], "novel_id string, ord int, zh string, vi string, key string")
     fresh = spark.createDataFrame([("n", 0, "甲", "B", "甲"), ("n", 1, "丙", "C", "丙"), ("n", 2, "丙", "D", "丙")], "novel_id string, ord int, zh string, vi string, key string")
     assert [(r.zh, r.vi) for r in terms.merge_new(glossary, fresh).collect()] == [("丙", "C")]
-    assert [tuple(r) for r in terms.duplicate_renderings(glossary).collect()] == [("A", "甲 / 乙", 2)]
+    assert [tuple(r) for r in terms.duplicate_renderings(glossary).collect()] == [("A", 0, "甲 / 乙", 2)]
     meta = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 50, 1)], "zh string, last_seen int, count int")
     assert [r.purged for r in terms.purge(meta, 102).orderBy("zh").collect()] == [True, False, False]
 
@@ -373,3 +373,44 @@ def test_cached_results(spark):
     for paragraphs, digest, hit in ((["x", "y"], good, True), (["x"], good, False), (["x", "甲"], good, False), (["x", "y"], F.lit("other"), False), (["x", "y"], F.lit(None).cast("string"), True)):
         cache = spark.createDataFrame([("n", 0, paragraphs)], "novel_id string, pos int, paragraphs array<string>").withColumn("source_hash", digest)
         assert heal.cached_result(chapter, cache).first().hit is hit
+
+
+def test_terms_are_checked_by_paragraph(spark):
+    rows = [
+        (["甲 came", "乙 and 甲"], ["Giáp came", "Ất and giáp"], []), (["甲 came", "left"], ["came", "Giáp Giáp left"], ["甲"]),  # a surplus elsewhere does not help
+        (["甲 came", "left"], ["Giáp came left"], []), (["甲甲 came"], ["a giáp", "b"], ["甲"]), ([], ["A"], []), (["上官嫣红见上官"], ["thượng quan yên hồng"], ["上官"]),
+    ]
+    pairs = F.array(*[F.struct(F.lit(z).alias("zh"), F.lit(v).alias("vi")) for z, v in (("上官嫣红", "Thượng Quan Yên Hồng"), ("上官", "Thượng Quan"), ("甲", "Giáp"), ("乙", "Ất"))])
+    df = spark.createDataFrame([(i, s, t) for i, (s, t, _) in enumerate(rows)], "i int, s array<string>, t array<string>")
+    got = [r.o for r in df.select("i", terms.missing_by_paragraph(F.lit("no term"), F.col("s"), F.col("t"), pairs).alias("o")).orderBy("i").collect()]
+    assert got == [want for _, _, want in rows]
+
+
+def test_context_of_chapters(spark):
+    from quillspark.operators import novel_run
+
+    rows = spark.createDataFrame([("n", 0, "甲 title", ["乙乙 and 一心一意", "丙 by 二三四五"]), ("m", 0, "x", ["甲乙丙一心一意"]), ("m", 1, "", [])], CHAPTER)
+    glossary = spark.createDataFrame([("n", 0, "乙乙", "B B"), ("n", 1, "甲", "A"), ("m", 0, "丙", "C"), ("m", 1, "一心一意", "D")], "novel_id string, ord int, zh string, vi string")
+    common = spark.createDataFrame([("甲",)], "word string")
+    found = novel_run.chapter_terms(rows, glossary, common)
+    assert sorted(tuple(r) for r in found.collect()) == [("m", 0, "forced", 0, "丙", "C"), ("m", 0, "forced", 1, "一心一意", "D"), ("n", 0, "ambiguous", 1, "甲", "A"), ("n", 0, "forced", 0, "乙乙", "B B")]
+    memory = spark.createDataFrame([("n", "二三四五", "old", True, "dich", 0), ("m", "乙", "seen", False, "dich", 2), ("n", "丙", "maybe", False, "chuan_bi", 0)], "novel_id string, key string, vi string, approved boolean, source string, uses int")
+    curated, detector = spark.createDataFrame([("二三四五", "listed")], "key string, vi string"), spark.createDataFrame([("一心一意", "one heart")], "key string, hint string")
+    idioms = novel_run.chapter_idioms(rows, glossary, memory, curated, detector)
+    assert sorted(tuple(r) for r in idioms.collect()) == [("m", 0, "known", 1, "乙", "seen"), ("n", 0, "hint", 1, "一心一意", "nghĩa: one heart"), ("n", 0, "hint", 2, "丙", "gợi ý: maybe"), ("n", 0, "known", 3, "二三四五", "old")]
+    written = spark.createDataFrame([("n", 0, "t", ["b b", "x"]), ("m", 0, "t", ["c"])], CHAPTER)
+    assert sorted(tuple(r) for r in novel_run.unused_terms(rows, written, found).collect()) == [("m", 0, "一心一意")]
+    block = novel_run.terms_block(found.unionByName(idioms), {"forced": "F:", "ambiguous": "A:", "known": "K:", "hint": "H:"})
+    assert {(r.novel_id, r.pos): r.block for r in block.collect()}["n", 0] == "F:\n乙乙 = B B\n\nA:\n甲 = A\n\nK:\n二三四五 = old\n\nH:\n一心一意 = nghĩa: one heart\n丙 = gợi ý: maybe\n"
+
+
+def test_duplicate_renderings_in_parts_and_descriptions(spark):
+    from quillspark.operators import profile
+
+    rows = spark.createDataFrame([(f"z{i:03d}", "Same", i) for i in range(25)] + [("a", "lower", 0), ("b", "Own", 0)], "zh string, vi string, ord int")
+    out = terms.duplicate_renderings(rows, size=10).orderBy("part").collect()
+    assert [(r.part, r.n, len(r.names.split(" / "))) for r in out] == [(0, 25, 10), (1, 25, 10), (2, 25, 5)] and out[2].names.startswith("z020 / z021")
+    assert [r.zh for r in terms.lower_renderings(rows).collect()] == ["a"]
+    book = spark.createDataFrame([("id1", 3, "2026", "2027", "T", "", True), ("id2", 1, "x", "y", None, "A", False)], "book_id string, exported_chapters int, export_created_at string, export_updated_at string, original_title string, original_author string, snapshot_complete boolean")
+    texts = [r.d.split("\n") for r in book.select(profile.description(book).alias("d")).collect()]
+    assert [len(t) for t in texts] == [7, 8] and texts[0][1:3] == ["ID: id1", "Số chương đã xuất: 3"] and texts[1][-2:] == ["Tác giả gốc: A", "Bản dịch đang cập nhật; có thể chưa đủ chương."]

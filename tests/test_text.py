@@ -77,6 +77,11 @@ def test_repair(spark):
     assert apply(spark, X.repair_lines, ["=== a  b ===\n\n xin  chào"]) == ["=== a  b ===\n\nXin chào"]
 
 
+def test_phrases_before_characters(spark):
+    pairs, phrases = {"發": "发", "髮": "发", "乾": "干"}, {"乾坤": "乾坤", "乾隆": "乾隆", "頭髮": "头发"}
+    assert apply(spark, lambda c: X.to_simplified(c, pairs, phrases), ["乾坤乾杯，頭髮發", "", None]) == ["乾坤干杯，头发发", "", None]
+
+
 def test_titles_of_chapters(spark):
     df = spark.createDataFrame([("Chương 3: Về nhà.", 3), ("Chapter 4", 4), ("第五章", 5), ("lời tựa", None)], "t string, n long")
     assert [r.o for r in df.select(X.chapter_title(F.col("t"), F.col("n")).alias("o")).collect()] == ["Chương 3: Về nhà", "Chương 4", "Chương 5", "lời tựa"]
