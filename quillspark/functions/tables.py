@@ -24,10 +24,16 @@ def shared_folder(spark) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: a short lineage that outlives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back: a short lineage that outlives lost executors.
+
+    The written step is deleted when the driver's process ends; until then results may read it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(table: DataFrame, width: int, most: int = BROADCAST) -> DataFrame:
