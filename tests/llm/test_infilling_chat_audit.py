@@ -170,3 +170,50 @@ def test_filter_audit_against_brute_force(spark, docs, empty):
     assert len(got) == len(set(got)) == len(want) and set(got) == want
     assert filter_audit.audit(empty, labels).count() == 0
     assert filter_audit.audit(rows, labels.where("false")).where("good_lost + toxic_lost > 0").count() == 0
+
+
+# Models of earlier operators against plain loops
+def test_flattened_trees_score_as_a_plain_walk():
+    from quillspark.llm import quality_rules
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 4)).round(1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=700) / 2) > 0).astype(float)
+    trees = quality_rules.fit(x, y, [1, 0, 0, -1], trees=15)
+
+    def walk(row):
+        total = trees.bias
+        for root in trees.roots.tolist():
+            at = root
+            while trees.left[at] >= 0:
+                at = int(trees.left[at] if row[trees.feature[at]] <= trees.cut[at] else trees.right[at])
+            total += trees.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(trees.score(x), [walk(row) for row in x], atol=1e-12)
+    for j, sign in ((0, 1), (3, -1)):
+        moved = x.copy()
+        moved[:, j] += 0.7
+        assert (sign * (trees.score(moved) - trees.score(x)) >= -1e-12).all()
+
+
+def test_network_forward_as_plain_loops():
+    from quillspark.llm import secrets
+
+    net = secrets.train(secrets.labelled_findings(300, 3), epochs=1)
+    w, rng = net.weights, np.random.default_rng(6)
+    codes = rng.integers(0, 130, (5, secrets.WIDTH))
+    got = net.forward(codes)["logit"]
+    taps = len(w["conv"]) // (w["embed"].shape[1] + 1)
+    for row, logit in zip(codes.tolist(), got.tolist(), strict=True):
+        points = [[*w["embed"][c].tolist(), float(secrets._PLACE[i])] for i, c in enumerate(row)]
+        maps = []
+        for f in range(w["conv"].shape[1]):
+            line = []
+            for i in range(secrets.WIDTH - taps + 1):
+                seen = [v for t in range(taps) for v in points[i + t]]
+                line.append(max(0.0, sum(a * float(b) for a, b in zip(seen, w["conv"][:, f], strict=True)) + float(w["conv_b"][f])))
+            maps.append(line)
+        pooled = [max(m) for m in maps] + [sum(m) / len(m) for m in maps]
+        hidden = [max(0.0, sum(p * float(v) for p, v in zip(pooled, w["dense"][:, k], strict=True)) + float(w["dense_b"][k])) for k in range(w["dense"].shape[1])]
+        assert abs(sum(h * float(v) for h, v in zip(hidden, w["out"][:, 0], strict=True)) + float(w["out_b"][0]) - logit) < 1e-3
