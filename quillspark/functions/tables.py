@@ -45,14 +45,19 @@ def small(table: DataFrame, width: int, most: int = BROADCAST) -> DataFrame:
 GROUP = 1 << 18
 
 
-def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number", most: int = GROUP) -> DataFrame:
+def groups_fit(df: DataFrame, group: list[str], most: int = GROUP) -> bool:
+    """Whether no group has over `most` rows: counted, each group at once in partial counts."""
+    return bool(most) and (df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= most
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: str = "number", most: int = GROUP, small_groups: bool | None = None) -> DataFrame:
     """df with the 1-based place of each row in its group.
 
-    The groups' sizes are counted first. If none has over `most` rows, each is sorted by itself. Else in two levels, so
-    that no group is sorted in one task: rows are dealt into ranges of group and order; each range numbers its own, and
-    counts by range give the offsets.
+    The groups' sizes are counted first, unless small_groups tells. If none has over `most` rows, each is sorted by
+    itself. Else in two levels, so that no group is sorted in one task: rows are dealt into ranges of group and order;
+    each range numbers its own, and counts by range give the offsets.
     """
-    if most and (df.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) <= most:
+    if groups_fit(df, group, most) if small_groups is None else small_groups:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.repartitionByRange(tasks, *group, *order).withColumn("_range", F.spark_partition_id()))
@@ -65,3 +70,34 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order))
     out = ranged.withColumn("_inside", inside).join(offsets, met)
     return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
+
+
+def running(df: DataFrame, group: list[str], order: list[str | Column], columns: dict[str, tuple[str, Column]], before: bool = False, most: int = GROUP, small_groups: bool | None = None) -> DataFrame:
+    """df with running values of each group in order: name -> (how, what), how being sum, last or max; nulls don't count.
+
+    The value is that of all rows so far, the row's own included, or with `before` that of the rows before it (null at
+    the start). Groups are sorted by themselves if none has over `most` rows. Else rows are dealt into ranges of group
+    and order, each range runs by itself from what the ranges before it amount to, and no group is sorted in one task.
+    """
+    make = {"sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True), "max": F.max}
+    until = -1 if before else 0
+    if groups_fit(df, group, most) if small_groups is None else small_groups:
+        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, until)
+        return df.select("*", *[make[how](what).over(window).alias(name) for name, (how, what) in columns.items()])
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(tasks, *group, *order).select("*", *[what.alias(f"_v{i}") for i, (_, what) in enumerate(columns.values())], F.spark_partition_id().alias("_range")))
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
+    names = [(name, how, f"_v{i}") for i, (name, (how, _)) in enumerate(columns.items())]
+    ends = ranged.select("*", F.row_number().over(inside).alias("_place")).groupBy(*group, "_range").agg(*[(F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_place"))) if how == "last" else make[how](v)).alias(v) for _, how, v in names])
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_range").alias("_r"), *[make[how](v).over(earlier).alias(f"{v}_before") for _, how, v in names])
+    met = F.col("_range") == F.col("_r")
+    for i, g in enumerate(group):
+        met = met & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    rows = ranged.select("*", *[make[how](v).over(inside.rowsBetween(Window.unboundedPreceding, until)).alias(f"{v}_here") for _, how, v in names]).join(ends, met)
+
+    def joined(how: str, v: str) -> Column:
+        here, old = F.col(f"{v}_here"), F.col(f"{v}_before")
+        return F.coalesce(here + old, here, old) if how == "sum" else F.coalesce(here, old) if how == "last" else F.greatest(here, old)
+
+    return rows.select(*df.columns, *[joined(how, v).alias(name) for name, how, v in names])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import numbered, small
+from quillspark.functions.tables import numbered, running, small
 
 #: Fixed value: the line that ends a chapter.
 RULE = "=" * 40
@@ -76,28 +76,32 @@ def unique_chapters(chapters: DataFrame) -> DataFrame:
 
 def gaps(df: DataFrame, group: list[str], place: str) -> DataFrame:
     """Rows whose place is not one more than the place before it in their group (the first must be 1)."""
-    order = Window.partitionBy(*group).orderBy(place)
-    return df.withColumn("expected", F.coalesce(F.lag(place).over(order), F.lit(0)) + 1).where(F.col(place) != F.col("expected"))
+    rows = running(df, group, [place], {"_before": ("last", F.col(place))}, before=True)
+    return rows.withColumn("expected", F.coalesce("_before", F.lit(0)) + 1).where(F.col(place) != F.col("expected")).drop("_before")
 
 
 def contiguous_prefix(df: DataFrame, group: list[str], place: str, present: Column) -> DataFrame:
     """Rows before the first row of the group that is not present."""
-    order = Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_missing", F.sum((~present).cast("int")).over(order)).where("_missing = 0").drop("_missing")
+    return running(df, group, [place], {"_missing": ("sum", (~present).cast("int"))}).where("_missing = 0").drop("_missing")
 
 
-def carried_number(df: DataFrame, group: list[str], place: str, number: Column) -> Column:
-    """The last number so far in the group, 0 before the first."""
-    order = Window.partitionBy(*group).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(number, ignorenulls=True).over(order), F.lit(0).cast("long"))
+def carried_number(df: DataFrame, group: list[str], place: str, number: Column, name: str = "carried") -> DataFrame:
+    """df with the last number so far in the group, 0 before the first."""
+    return running(df, group, [place], {"_carried": ("last", number.cast("long"))}).withColumn(name, F.coalesce("_carried", F.lit(0).cast("long"))).drop("_carried")
 
 
 def labels(chapters: DataFrame) -> DataFrame:
-    """A label for each chapter: its own number if at least half of the titles have one, else its ordinal."""
-    number, whole = X.chapter_number(F.col("title")), Window.partitionBy("novel_id")
-    numbered = chapters.withColumn("_number", number)
-    most = F.count("_number").over(whole) * 2 >= F.count("*").over(whole)
-    return numbered.withColumn("label", F.when(most, F.col("_number")).otherwise(F.row_number().over(whole.orderBy("pos")).cast("long"))).drop("_number")
+    """A label for each chapter: its own number if at least half of the titles have one, else its ordinal.
+
+    Novels are counted and their places numbered without the chapters' texts; rows of one place have one ordinal.
+    """
+    number = X.chapter_number(F.col("title"))
+    keys = chapters.select(F.col("novel_id").alias("_novel"), F.col("pos").alias("_pos"), number.alias("_number"))
+    most = keys.groupBy("_novel").agg((F.count("_number") * 2 >= F.count("*")).alias("_most"))
+    places = numbered(keys.select("_novel", "_pos").distinct(), ["_novel"], ["_pos"], "_ordinal")
+    table = places.join(most.select(F.col("_novel").alias("_of"), "_most"), F.col("_novel").eqNullSafe(F.col("_of"))).drop("_of")
+    met = chapters.join(table, F.col("novel_id").eqNullSafe(F.col("_novel")) & F.col("pos").eqNullSafe(F.col("_pos")))
+    return met.select(*[F.col(c) for c in chapters.columns], F.when(F.col("_most"), number).otherwise(F.col("_ordinal").cast("long")).alias("label"))
 
 
 def batches(df: DataFrame, group: list[str], order: list[str], size: int) -> DataFrame:

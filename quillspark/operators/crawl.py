@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, groups_fit, numbered, running
 
 #: Chapters looked back over for overlaps, and missing pages in a row that end a crawl.
 OVERLAP, TOLERANCE = 20, 3
@@ -56,8 +56,8 @@ def forward_asof(left: DataFrame, right: DataFrame, group: list[str], at: str, p
     that a group of any size is passed once and no pair is formed.
     """
     both = left.select("*", F.col(at).alias("_at"), F.lit(0).alias("_side")).unionByName(right.select(*group, F.col(place).alias("_at"), F.lit(1).alias("_side")), allowMissingColumns=True)
-    so_far = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("next_place", F.last(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(so_far)).where("_side = 0").drop("_at", "_side")
+    out = running(both, group, [F.desc("_at"), F.desc("_side")], {"next_place": ("last", F.when(F.col("_side") == 1, F.col("_at")))})
+    return out.where("_side = 0").drop("_at", "_side")
 
 
 def already_saved(title: Column, last_title: Column) -> Column:
@@ -69,11 +69,12 @@ def already_saved(title: Column, last_title: Column) -> Column:
 
 def stop_runs(log: DataFrame, group: list[str], order: str, status: str, tolerance: int = TOLERANCE) -> DataFrame:
     """run and stopped: the length of the run of equal not-ok states so far, and whether one has been too long."""
-    w = Window.partitionBy(*group).orderBy(order)
-    changed = (F.col(status) != F.lag(status).over(w)).cast("int")
-    rows = log.withColumn("_part", F.sum(F.coalesce(changed, F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("run", F.when(F.col(status) == "ok", 0).otherwise(F.row_number().over(Window.partitionBy(*group, "_part").orderBy(order))))
-    return rows.withColumn("stopped", F.max((F.col("run") > tolerance).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) > 0).drop("_part")
+    small_groups = groups_fit(log, group)
+    rows = running(numbered(log, group, [order], "_n", small_groups=small_groups), group, [order], {"_was": ("last", F.col(status))}, before=True, small_groups=small_groups)
+    rows = running(rows, group, [order], {"_start": ("max", F.when(~F.col(status).eqNullSafe(F.col("_was")), F.col("_n")))}, small_groups=small_groups)
+    rows = rows.withColumn("run", F.when(F.col(status) == "ok", 0).otherwise(F.col("_n") - F.col("_start") + 1))
+    rows = running(rows, group, [order], {"_over": ("max", (F.col("run") > tolerance).cast("int"))}, small_groups=small_groups)
+    return rows.withColumn("stopped", F.col("_over") > 0).drop("_n", "_was", "_start", "_over")
 
 
 def locate_page(pages: DataFrame, wanted: DataFrame, most: int = PROBES) -> DataFrame:

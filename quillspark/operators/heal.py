@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut, small
+from quillspark.functions.tables import cut, groups_fit, numbered, running, small
 
 #: Likeness of near copies, and how far paragraph counts of pairs may differ.
 RATIO, PARAGRAPHS = 0.97, 3
@@ -123,13 +123,14 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     done = rows.where("done IS NOT NULL").groupBy("novel_id", "keeper").agg(F.min_by("done", "pos").alias("done")).withColumnRenamed("keeper", "pos")
     kept = cut(kept.join(done, ["novel_id", "pos"], "left"))
     # Places are settled on keys alone; titles, paragraphs and translations are joined to them.
-    whole, order = Window.partitionBy("novel_id"), Window.partitionBy("novel_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    keys = kept.select("novel_id", "pos", "fits", "number", F.col("done").isNull().cast("int").alias("open"))
+    keys = cut(kept.select("novel_id", "pos", "fits", "number", F.col("done").isNull().cast("int").alias("open")))
+    small_groups = groups_fit(keys, ["novel_id"])
     sortable = keys.groupBy("novel_id").agg((F.min("fits") & (F.count("number") == F.count_distinct("number")) & (F.count("number") > 0) & (F.count("number") * 2 >= F.count("*"))).alias("sortable"))
-    keys = keys.join(sortable, "novel_id").withColumn("place", F.when(F.col("sortable"), F.coalesce(F.last("number", ignorenulls=True).over(order), F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
-    ranked = Window.partitionBy("novel_id").orderBy("place", "pos")
-    keys = keys.withColumn("new_pos", F.row_number().over(ranked) - 1).withColumn("old_rank", F.row_number().over(whole.orderBy("pos")) - 1)
-    keys = keys.withColumn("gap", F.sum("open").over(ranked.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = running(keys, ["novel_id"], ["pos"], {"carried": ("last", F.col("number"))}, small_groups=small_groups)
+    keys = numbered(keys, ["novel_id"], ["pos"], "old_rank", small_groups=small_groups).join(sortable, "novel_id")
+    keys = keys.withColumn("place", F.when(F.col("sortable"), F.coalesce("carried", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
+    keys = numbered(keys, ["novel_id"], ["place", "pos"], "new_pos", small_groups=small_groups)
+    keys = running(keys, ["novel_id"], ["place", "pos"], {"gap": ("sum", F.col("open"))}, small_groups=small_groups).withColumns({"new_pos": F.col("new_pos") - 1, "old_rank": F.col("old_rank") - 1})
     kept = cut(kept.select("novel_id", "pos", "hash", "title", "paragraphs", "done").join(keys.select("novel_id", "pos", "new_pos", "old_rank", "gap"), ["novel_id", "pos"]))
     stash = kept.where("gap > 0 AND done IS NOT NULL").select("novel_id", "hash", "done.title", "done.paragraphs")
     counts = kept.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut, numbered, small
+from quillspark.functions.tables import cut, numbered, running, small
 from quillspark.operators import chapters as C
 from quillspark.operators import terms, validation
 from quillspark.sources import responses
@@ -169,9 +169,10 @@ def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash:
     title = F.coalesce(F.nullif(X.chapter_title(pick("title"), F.col("label")), F.lit("")), F.col("title"))
     rows = cut(rows.select("novel_id", "pos", "title", F.col("paragraphs").alias("source"), "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict")))
     # The first chapter without a result ends what is written; that is settled on keys alone.
-    gap = F.sum(F.col("origin").isNull().cast("int")).over(Window.partitionBy("novel_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    keys = running(rows.select("novel_id", "pos", "origin"), ["novel_id"], ["pos"], {"gap": ("sum", F.col("origin").isNull().cast("int"))})
+    gap = F.col("gap")
     place = F.when(gap == 0, "written").when(F.col("origin").isNotNull(), "kept").when(gap == 1, "failed").otherwise("waiting")
-    rows = cut(rows.join(rows.select("novel_id", "pos", "origin").withColumn("place", place).drop("origin"), ["novel_id", "pos"]))
+    rows = cut(rows.join(keys.select("novel_id", "pos", place.alias("place")), ["novel_id", "pos"]))
     written = rows.where("place = 'written'")
     text = X.chapter_text(F.col("title"), F.col("source"))
     proposed = written.where("origin = 'reply'").select("novel_id", "pos", text.alias("text"), F.explode("new_terms").alias("zh", "vi"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import numbered
+from quillspark.functions.tables import numbered, running
 
 # USD for a source character, USD for a million tokens, factors of the reasoning setting.
 RATES = {"low": 3.9e-6, "average": 4.4e-6, "high": 5.7e-6}
@@ -60,7 +60,7 @@ def estimate(chapters: DataFrame, translated: DataFrame, effort: str = "medium",
 
 def running_cost(events: DataFrame, group: list[str], order: list[str], cost: str = "cost") -> DataFrame:
     """spend: the cost so far within a group, in order."""
-    return events.withColumn("spend", F.sum(cost).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return running(events, group, order, {"spend": ("sum", F.col(cost))})
 
 
 def at_peak(events: DataFrame, holidays: DataFrame, ts: str = "ts") -> DataFrame:
@@ -88,9 +88,9 @@ def catalogue_sample(catalog: DataFrame, picks: int = 3) -> DataFrame:
 
 def fresh(events: DataFrame, group: list[str], ts: str, ok: Column, good: int = 300, bad: int = 60) -> DataFrame:
     """hit: whether a lookup is answered by the one before it, within 300 s of a good and 60 s of a bad answer."""
-    order = Window.partitionBy(*group).orderBy(ts, "event_id")
-    age = F.unix_timestamp(ts) - F.lag(F.unix_timestamp(ts)).over(order)
-    return events.withColumn("hit", F.coalesce(age <= F.when(F.lag(ok).over(order), good).otherwise(bad), F.lit(False)))
+    rows = running(events, group, [ts, "event_id"], {"_last": ("last", F.struct(F.unix_timestamp(ts).alias("at"), ok.alias("ok")))}, before=True)
+    age = F.unix_timestamp(ts) - F.col("_last.at")
+    return rows.withColumn("hit", F.coalesce(age <= F.when(F.col("_last.ok"), good).otherwise(bad), F.lit(False))).drop("_last")
 
 
 def usage_from_log(line: Column) -> Column:

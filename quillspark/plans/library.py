@@ -95,7 +95,7 @@ def chapter_labels(spark, sf_dir):
 @query(f"SELECT doc_id, coalesce(last_value(number IGNORE NULLS) OVER (PARTITION BY source ORDER BY doc_id), 0) AS carried FROM {NUMBERED}")
 def carried_numbers(spark, sf_dir):
     rows = numbered_titles(spark, sf_dir)
-    return rows.select("doc_id", C.carried_number(rows, ["source"], "doc_id", X.chapter_number(F.col("title"))).alias("carried"))
+    return C.carried_number(rows, ["source"], "doc_id", X.chapter_number(F.col("title"))).select("doc_id", "carried")
 
 
 @query(f"SELECT doc_id, coalesce(number > 480 AND number <= 500, false) AS saved FROM {NUMBERED}")

@@ -182,6 +182,24 @@ def test_numbered_in_groups_of_any_size(spark):
     assert tables.numbered(spark.createDataFrame([], "g string, k long"), ["g"], ["k"]).count() == 0
 
 
+def test_running_values_in_groups_of_any_size(spark):
+    rng = random.Random(14)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), k, rng.choice([None, None, rng.randint(-9, 9)])) for k in rng.sample(range(10**6), 3000)]
+    df = spark.createDataFrame(rows, "g string, k long, v long")
+    columns = {"s": ("sum", F.col("v")), "l": ("last", F.col("v")), "m": ("max", F.col("v"))}
+    for most in (tables.GROUP, 0):
+        for before in (False, True):
+            for sign, order in ((1, "k"), (-1, F.desc("k"))):
+                got = {(r.g, r.k): (r.s, r.l, r.m) for r in tables.running(df, ["g"], [order], columns, before=before, most=most).collect()}
+                for g in ("a", "b", None):
+                    seen = []
+                    for k, v in sorted(((k, v) for x, k, v in rows if x == g), key=lambda r: sign * r[0]):
+                        seen += [] if before or v is None else [v]
+                        assert got[g, k] == ((sum(seen), seen[-1], max(seen)) if seen else (None, None, None))
+                        seen += [v] if before and v is not None else []
+    assert tables.running(df.where("false"), ["g"], ["k"], columns).count() == 0
+
+
 def test_containment_both_ways(spark):
     rng = random.Random(5)
     docs = [(i, "".join(rng.choice("abcé𝄞") for _ in range(rng.randint(0, 60)))) for i in range(40)] + [(98, "ab" * 200_000 + "é"), (99, None)]
@@ -360,6 +378,8 @@ def test_stop_runs(spark):
     log = [(1, i, s) for i, s in enumerate(["ok", "missing", "ok", "missing", "missing", "missing", "missing", "ok"])]
     out = crawl.stop_runs(spark.createDataFrame(log, "b int, seq int, status string"), ["b"], "seq", "status").orderBy("seq").collect()
     assert [(r.run, r.stopped) for r in out] == [(0, False), (1, False), (0, False), (1, False), (2, False), (3, False), (4, True), (0, True)]
+    large = crawl.forward_asof(spark.createDataFrame([("g", 1), ("g", 5), ("h", 2)], "g string, at long"), spark.createDataFrame([("g", 4)], "g string, at long"), ["g"], "at", "at")
+    assert sorted((r.g, r.at, r.next_place) for r in large.collect()) == [("g", 1, 4), ("g", 5, None), ("h", 2, None)]
 
 
 def test_labels_follow_the_majority(spark):
