@@ -150,12 +150,14 @@ def clean_chapter_title(c: Column) -> Column:
 
 
 def is_ad(line: Column) -> Column:
-    compact = F.lower(F.regexp_replace(line, r"(?U)\s+", ""))
-    call = F.regexp_replace(compact, ";$", "")
-    out = (call.startswith(AD_CALL) & (F.instr(call, ")") == F.length(call))) | compact.isin(*AD_LINES)
-    for part in AD_PARTS:
-        out = out | compact.contains(part)
-    return out
+    def marked(compact: Column) -> Column:
+        out = compact.isin(*AD_LINES)
+        for part in AD_PARTS:
+            out = out | compact.contains(part)
+        call = F.regexp_replace(compact, ";$", "")
+        return F.when(compact.startswith(AD_CALL), F.instr(call, ")") == F.length(call)).otherwise(False) | out
+
+    return let(F.lower(F.regexp_replace(line, r"(?U)\s+", "")), marked)
 
 
 def is_challenge(html: Column, marks: list[str] | None = None) -> Column:

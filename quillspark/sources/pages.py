@@ -242,8 +242,9 @@ def chapters_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url",
     title, book = X.clean_chapter_title(F.col("page.title")), X.clean_text(F.col("page.book"))
     title = F.when((book != "") & title.startswith(F.concat(book, F.lit(" "))), X.strip(F.substring(title, F.length(book) + 1, 1 << 30))).when(title == "", X.clean_chapter_title(F.col("page.book"))).otherwise(title)
     rows = rows.withColumn("title", title).withColumn("parts", F.filter(F.transform(F.coalesce("page.paragraphs", "page.lines"), X.clean_text), lambda p: (p != "") & ~X.is_ad(p)))
+    rows = rows.select("key", "site", "html", "page", "title", "parts", F.aggregate("parts", F.lit(0), lambda s, p: s + F.length(p)).alias("size"))
     parts = F.when(F.try_element_at("parts", F.lit(1)) == F.col("title"), F.slice("parts", 2, F.greatest(F.size("parts"), F.lit(1)))).otherwise(F.col("parts"))
-    size = F.aggregate("parts", F.lit(0), lambda s, p: s + F.length(p))
+    size = F.col("size")
     status = F.when(X.is_challenge(F.col("html")), "challenge").when(~F.col("page.found"), "no_content").when(size < 20, "too_short").otherwise("ok")
     return rows.withColumn("parts", parts).select(F.col("key").alias(key), "site", status.alias("status"), "title", F.when(status == "ok", F.col("parts")).alias("paragraphs"))
 
