@@ -684,7 +684,7 @@ def call_attempts(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id AS pos, md5(CASE WHEN lang = 'en' THEN upper(text) ELSE text END) AS body_md5, CASE WHEN lang = 'en' THEN 'second' ELSE 'first' END AS title FROM documents
+SELECT doc_id AS pos, md5(CASE WHEN lang = 'en' THEN text || ' again' ELSE text END) AS body_md5, CASE WHEN lang = 'en' THEN 'second' ELSE 'first' END AS title FROM documents
 WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) OR lang = 'fr'""")
 def state_versions(spark, sf_dir):
     """Results of all documents saved, English ones saved again, toxic ones deleted, French ones of these saved once more."""
@@ -693,7 +693,7 @@ def state_versions(spark, sf_dir):
     rows = lambda df, title, text: df.select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.lit(title).alias("title"), F.array(text).alias("paragraphs"), F.sha2("text", 256).alias("source_hash"))
     toxic = docs.join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
     S.results(spark, folder).upsert(rows(docs, "first", F.col("text")))
-    S.results(spark, folder).upsert(rows(docs.where("lang = 'en'"), "second", F.upper("text")))
+    S.results(spark, folder).upsert(rows(docs.where("lang = 'en'"), "second", F.concat("text", F.lit(" again"))))
     S.results(spark, folder).delete(rows(toxic, "", F.lit("")))
     held = S.results(spark, folder)
     held.upsert(rows(toxic.where("lang = 'fr'"), "first", F.col("text")))
