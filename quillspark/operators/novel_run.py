@@ -152,12 +152,13 @@ def attempted(chapters: DataFrame, replies: DataFrame, script: str = X.CJK) -> D
 def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash: DataFrame, glossary: DataFrame, script: str = X.CJK) -> dict[str, DataFrame]:
     """written, kept, failed, new_terms and summary of one run over all novels.
 
-    chapters(novel_id, pos, title, paragraphs); a chapter's result is its stashed one (hash, title, paragraphs), else
+    chapters(novel_id, pos, title, paragraphs), with a column label if they are not to be labelled here; a chapter's
+    result is its stashed one (hash, title, paragraphs), else
     one of the cache that still fits (novel_id, pos, title, paragraphs, source_hash), else the first reply that passes.
     Chapters are written in order up to the first without a result (failed); later results are kept for the next run.
     Only written chapters give new terms to the glossary (novel_id, ord, zh, vi), and none replaces one of it.
     """
-    rows = C.labels(chapters).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
+    rows = (chapters if "label" in chapters.columns else C.labels(chapters)).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
     stashed = stash.groupBy("hash").agg(F.first(F.struct("title", "paragraphs")).alias("s"))
     saved = cache.select("novel_id", "pos", F.struct("title", "paragraphs").alias("c"), "source_hash")
     rows = rows.join(stashed, "hash", "left").join(saved, ["novel_id", "pos"], "left").join(attempted(chapters, replies, script), ["novel_id", "pos"], "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.tables import numbered, shared_folder
+from quillspark.operators import jobs
 from quillspark.operators import novel_run as N
 from quillspark.plans.queries import as_novels, lines_of, query, table
 from quillspark.sources import books
@@ -188,6 +189,50 @@ def balance_texts(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), N.usd(F.col("c_acctbal")).alias("balance"))
 
 
+# Whole jobs
+JOB = rf"""WITH l AS (SELECT source, doc_id, {FULL.format("text")} AS lines FROM documents WHERE regexp_matches(text, '\S')),
+h AS (SELECT source, list_transform(lines, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS lines, min(doc_id) AS doc_id, count(*) AS copies, bool_or(doc_id % 16 <> 15) AS done FROM l GROUP BY ALL),
+g AS (SELECT *, sum((NOT done)::INT) OVER (PARTITION BY source ORDER BY doc_id) AS gap, len(lines) AS n FROM h),
+o AS (SELECT *, lines IN (SELECT lines FROM g WHERE gap > 0 AND done) OR n % 3 <> 0 OR n % 2 = 0 AND n % 7 <> 0 AS made, n % 3 = 0 AND n % 2 = 0 AND n % 7 = 0 AS stop FROM g WHERE gap > 0),
+p AS (SELECT *, sum((NOT made)::INT) OVER (PARTITION BY source ORDER BY doc_id) AS gap2 FROM o),
+w AS (SELECT DISTINCT item_id % 2 AS k, unnest(regexp_extract_all(text, '[a-zA-Z]{{9,}}')) AS zh FROM benchmark),
+t AS (SELECT source, doc_id, zh, row_number() OVER (PARTITION BY source, doc_id ORDER BY length(zh) DESC, zh) AS place FROM p JOIN w ON k = length(source) % 2 AND contains(array_to_string(lines, chr(10)), zh) WHERE gap2 = 0 AND length(zh) = 9),
+a AS (SELECT source, count(*) AS total, sum(copies - 1)::BIGINT AS duplicates, count(*) FILTER (gap = 0) AS before FROM g GROUP BY source),
+b AS (SELECT source, count(*) FILTER (gap2 = 0) AS written, count(*) FILTER (gap2 > 0 AND made) AS kept, count(*) FILTER (gap2 = 1 AND NOT made) AS failed, count(*) FILTER (gap2 > 1 AND NOT made) AS waiting, bool_or(gap2 = 1 AND NOT made AND stop) AS stop FROM p GROUP BY source),
+u AS (SELECT source, count(*) AS unused FROM t WHERE place <= 300 GROUP BY source),
+s AS (SELECT DISTINCT source FROM documents)
+SELECT s.source, CASE WHEN total IS NULL THEN 'error' WHEN coalesce(failed, 0) = 0 THEN 'done' WHEN stop THEN 'stopped_balance' ELSE 'stopped' END AS status, coalesce(total, 0) AS total, coalesce(duplicates, 0) AS duplicates, coalesce(before, 0) AS before,
+  coalesce(written, 0) AS written, coalesce(kept, 0) AS kept, coalesce(failed, 0) AS failed, coalesce(waiting, 0) AS waiting, coalesce(unused, 0) AS unused, coalesce((before + coalesce(written, 0) <> total)::BIGINT, 0) AS warnings, coalesce(before + coalesce(written, 0), 0) AS pages
+FROM s LEFT JOIN a USING (source) LEFT JOIN b USING (source) LEFT JOIN u USING (source)"""
+
+
+@query(JOB)
+def novel_jobs(spark, sf_dir):
+    """All documents as the chapters of their sources, one in sixteen not translated yet, carried on to books.
+
+    A translated line is the letters of its digest. The first reply fails for each third number of lines; each second
+    number has another reply, which for each seventh finds the account empty.
+    """
+    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.lit("a title").alias("title"), lines_of(F.col("text")).alias("paragraphs")).where(F.size("paragraphs") > 0)
+    done = F.transform("paragraphs", lambda p: F.regexp_replace(F.sha2(p, 256), "[0-9]", ""))
+    translated = chapters.where("pos % 16 <> 15").withColumns({"title": F.lit("t"), "paragraphs": done})
+    n = F.size("paragraphs")
+    body = F.to_json(F.struct(F.lit("t").alias("title"), done.alias("paragraphs")))
+    first = F.struct(F.lit(1).alias("attempt"), F.when(n % 3 == 0, 500).otherwise(200).alias("code"))
+    second = F.when(n % 2 == 0, F.struct(F.lit(2).alias("attempt"), F.when(n % 7 == 0, 402).otherwise(200).alias("code")))
+    answered = chapters.select(X.content_hash(F.col("title"), F.col("paragraphs")).alias("hash"), body.alias("body"), F.array_compact(F.array(first, second)).alias("tries"))
+    replies = answered.select("hash", "body", F.inline("tries"))
+    words = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 2).alias("k"), F.explode(F.regexp_extract_all("text", F.lit("[a-zA-Z]{9,}"), F.lit(0))).alias("zh")).where(F.length("zh") == 9).distinct()
+    novels = profiles_of(spark, sf_dir)
+    terms = numbered(novels.join(words, (F.length("novel_id") % 2).cast("long") == F.col("k")).select("novel_id", "zh"), ["novel_id"], ["zh"], "ord")
+    glossary = terms.select("novel_id", F.struct(F.lit(-1).cast("long").alias("pos"), "zh").alias("ord"), "zh", F.concat(F.lit("="), "zh").alias("vi"))
+    cache = spark.createDataFrame([], "novel_id string, pos int, title string, paragraphs array<string>, source_hash string")
+    stash = spark.createDataFrame([], "novel_id string, hash string, title string, paragraphs array<string>")
+    common = spark.createDataFrame([], "word string")
+    out = jobs.run_novels(chapters, translated, replies, cache, stash, glossary, common, novels, "0-9")["summary"]
+    return out.drop("moved").withColumnRenamed("novel_id", "source")
+
+
 # Streams
 @query(r"""
 WITH d AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, text, lang, regexp_extract(text, '[a-z]{6,12}') AS zh FROM documents WHERE regexp_matches(text, '\S')),

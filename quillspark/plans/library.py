@@ -324,11 +324,38 @@ def idiom_variants(spark, sf_dir):
     return D.variants(rows)
 
 
-@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN p_size % 3 = 0 WHEN 2 THEN p_size % 3 = 0 ELSE false END AS idiom FROM part")
+#: Parts as a dictionary: four figures of the key are four characters, of which the first two and the last two figures' are forms of one.
+HAN = "一壹二貳三四五六七八"
+IDIOMS = f"""d AS (SELECT p_partkey, translate(lpad((p_partkey % 10000)::VARCHAR, 4, '0'), '0123456789', '{HAN}') || CASE p_size % 11 WHEN 0 THEN '四四四四四' ELSE '' END AS word, p_size % 3 = 0 AS listed,
+  CASE p_size % 5 WHEN 0 THEN '(Thành ngữ) ' || p_type WHEN 1 THEN p_type || ' (ca dao)' WHEN 2 THEN ' ab ' WHEN 3 THEN 'thành ngữ ' || p_type ELSE p_type END AS meaning FROM part),
+i AS (SELECT *, length(word) = 4 AND (contains(lower(meaning), '(thành ngữ)') OR contains(meaning, '(ca dao)') OR listed AND length(trim(meaning)) >= 3) AS idiom FROM d)"""
+
+
+def idiom_parts(spark, sf_dir):
+    size, kind = F.col("p_size"), F.col("p_size") % 5
+    word = F.translate(F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0"), "0123456789", HAN)
+    meaning = F.when(kind == 0, F.concat(F.lit("(Thành ngữ) "), "p_type")).when(kind == 1, F.concat("p_type", F.lit(" (ca dao)"))).when(kind == 2, " ab ").when(kind == 3, F.concat(F.lit("thành ngữ "), "p_type")).otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(word, F.when(size % 11 == 0, "四四四四四").otherwise("")).alias("word"), (size % 3 == 0).alias("listed"), meaning.alias("meaning"))
+
+
+@query(f"WITH {IDIOMS} SELECT p_partkey, idiom FROM i")
 def idiom_words(spark, sf_dir):
-    kind, listed = F.col("p_size") % 4, F.col("p_size") % 3 == 0
-    word = F.when(kind < 2, "一心一意").when(kind == 2, "一心一意一心一意一").otherwise("一心1意一心一意一")
-    return table(spark, sf_dir, "part").select("p_partkey", D.is_idiom(word, F.when(kind == 0, F.concat(F.lit("Thành ngữ "), F.col("p_type"))).otherwise(F.col("p_type")), listed).alias("idiom"))
+    return idiom_parts(spark, sf_dir).select("p_partkey", D.is_idiom(F.col("word"), F.col("meaning"), F.col("listed")).alias("idiom"))
+
+
+@query(f"""WITH {IDIOMS},
+g AS (SELECT word, min(p_partkey) AS n, arg_max(meaning, p_partkey) AS vi, bool_or(listed) AS listed FROM d GROUP BY word),
+f AS (SELECT n, vi, word, translate(word, '壹貳', '一二') AS simp, translate(word, '一二', '壹貳') AS trad FROM g
+  WHERE length(word) = 4 AND (contains(lower(vi), '(thành ngữ)') OR contains(vi, '(ca dao)') OR listed AND length(trim(vi)) >= 3)),
+c AS (SELECT trad AS canonical, min(n) AS n, arg_min(vi, n) AS vi, arg_min(simp, n) AS simp FROM f GROUP BY trad),
+k AS (SELECT simp AS key, canonical, n, vi FROM c UNION SELECT canonical, canonical, n, vi FROM c)
+SELECT key, arg_max(vi, n) AS vi, bool_or(key = canonical) AS canonical FROM k GROUP BY key""")
+def idiom_dictionary(spark, sf_dir):
+    parts = idiom_parts(spark, sf_dir)
+    forms = parts.select("word", F.translate("word", "壹貳", "一二").alias("simp"), F.translate("word", "一二", "壹貳").alias("trad"))
+    out = D.idioms_built(parts.withColumnRenamed("p_partkey", "n"), parts.where("listed"), forms)
+    named = out["canonical"].select(F.col("canonical").alias("key"), F.lit(True).alias("canonical"))
+    return out["keys"].join(named, "key", "left").select("key", "vi", F.coalesce("canonical", F.lit(False)).alias("canonical"))
 
 
 # Replies and usage
@@ -533,6 +560,12 @@ def book_profiles(spark, sf_dir):
     return made.select(F.split("path", "/")[2].cast("long").alias("p_partkey"), F.col("display_title").alias("title"), F.col("display_title_origin").alias("origin"), "author")
 
 
+@query("""SELECT p_partkey, sha256('{"display_title":"' || p_name || '","author":"' || p_brand || '","genre":"","publication_date":"' || p_size || '","book_id":"' || p_partkey || '"}') AS stamp FROM part""")
+def profile_stamps(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("display_title"), F.col("p_brand").alias("author"), F.lit(None).cast("string").alias("genre"), F.col("p_size").alias("publication_date"), F.col("p_partkey").alias("book_id"))
+    return rows.select("p_partkey", profile.fingerprint().alias("stamp"))
+
+
 @query("""SELECT c_custkey AS custkey, coalesce(n, 0) AS source_chapters, coalesce(m, 0) AS exported_chapters, coalesce(n, 0) > 0 AND coalesce(m, 0) >= n AS snapshot_complete
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey""")
 def export_counts(spark, sf_dir):
@@ -542,6 +575,18 @@ def export_counts(spark, sf_dir):
 
 
 # Pages, scripts, parts of names
+#: Hosts that pages are taken to stand at, by their number, and the sites that these are; other pages stay where they are.
+MOVED = {0: ("www.uukanshu.cc", "uukanshu"), 1: ("wx.bgq99.cc", "bgq99"), 2: ("69shuba.cx", "69shuba"), 3: ("M.SHUBAOW.NET", "shubaow"), 4: ("not-biquge.tw", None)}
+
+
+@query("SELECT page_id, CASE page_id % 7 " + " ".join(f"WHEN {k} THEN '{name}'" for k, (_, name) in MOVED.items() if name) + r""" END AS site, CASE WHEN page_id % 7 IN (0, 2) THEN page_id::VARCHAR END AS book FROM pages""")
+def site_routes(spark, sf_dir):
+    """Pages moved to known hosts, and the site and book that their URLs then name."""
+    host = F.element_at(F.create_map(*[F.lit(x) for k, (h, _) in MOVED.items() for x in (k, h)]), (F.col("page_id") % 7).cast("int"))
+    moved = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.concat(F.lit("https://"), host, F.lit("/book/"), "page_id", F.lit("/")), "url").alias("url"))
+    return moved.select("page_id", P.site(F.col("url")).alias("site"), F.when(F.col("page_id") % 7 != 1, F.when(F.col("page_id") % 7 != 3, P.url_ids(F.col("url"))["book"])).alias("book"))
+
+
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS bare, regexp_extract(url, '^[^?#]+') AS path, regexp_extract(url, '^[a-z]+://[^/?#]+') AS root FROM pages),
 d AS (SELECT *, CASE WHEN path = root THEN root || '/' ELSE regexp_replace(path, '[^/]*$', '') END AS folder FROM p)
 SELECT page_id, folder || 'x.html' AS next, root || '/b/c' AS rooted, 'https://else.org/q' AS whole, path || '?page=2' AS query, bare || '#end' AS part FROM d""")

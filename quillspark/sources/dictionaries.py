@@ -100,10 +100,40 @@ def variants(idioms: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.min_by(F.struct("vi", "canonical"), "canonical").alias("m")).select("key", "m.*")
 
 
+#: Marks of an idiom in a word's meaning, the least meaning of a listed word, lengths of long idioms.
+MARKS, LONG_MARKS = ["thành ngữ", "tục ngữ", "ca dao", "câu đối", "ngạn ngữ", "cổ ngữ"], ["thành ngữ", "tục ngữ", "câu đối", "ngạn ngữ"]
+LEAST_MEANING, LONG = 3, (8, 12)
+
+
 def is_idiom(word: Column, meaning: Column, listed: Column) -> Column:
-    """Four Han characters that a marker or a list names an idiom, or 8 to 12 without ASCII letters or digits."""
-    four = word.rlike(r"^[\x{4e00}-\x{9fff}]{4}$") & (F.lower(meaning).rlike("thành ngữ|nghĩa bóng|tục ngữ") | listed)
-    return F.coalesce(four | (F.length(word).between(8, 12) & ~word.rlike("[A-Za-z0-9]") & listed), F.lit(False))
+    """Whether a dictionary's word is an idiom, by its meaning and by whether a phrase list has it.
+
+    Four Han characters whose meaning bears a mark in brackets, or that are listed with a meaning of three characters;
+    or 8 to 12 that are listed, bear a mark, and have no ASCII letter or digit in their meaning. All marks hold ASCII
+    letters, so by that last rule no long word passes. Nulls are no idioms.
+    """
+    han = lambda low, high: word.rlike(f"^[\\x{{4e00}}-\\x{{9fff}}]{{{low},{high}}}$")
+    marked = lambda marks: F.lower(meaning).rlike(f"\\(({'|'.join(marks)})\\)")
+    four = han(4, 4) & (marked(MARKS) | (listed & (F.length(X.strip(meaning)) >= LEAST_MEANING)))
+    return F.coalesce(four, F.lit(False)) | F.coalesce(han(*LONG) & listed & marked(LONG_MARKS) & ~meaning.rlike("[0-9a-zA-Z]"), F.lit(False))
+
+
+def idioms_built(glossary: DataFrame, phrases: DataFrame, forms: DataFrame) -> dict[str, DataFrame]:
+    """canonical (canonical, vi, simp, trad) and keys (key, vi): the idioms of a glossary under both their forms.
+
+    glossary(n, word, meaning) in the order of n, of a repeated word the first place and the last meaning; phrases(word)
+    are the listed ones; forms(word, simp, trad), words without a row have one form. The canonical form is the
+    traditional one, its first idiom counts. A key is either form; where idioms share one, the later counts.
+    """
+    words = glossary.groupBy("word").agg(F.min("n").alias("n"), F.max_by("meaning", "n").alias("vi"))
+    listed = phrases.select("word").distinct().withColumn("listed", F.lit(True))
+    both = forms.groupBy("word").agg(F.min(F.struct("simp", "trad")).alias("f")).select("word", "f.simp", "f.trad")
+    rows = words.join(listed, "word", "left").where(is_idiom(F.col("word"), F.col("vi"), F.coalesce("listed", F.lit(False)))).join(both, "word", "left")
+    rows = rows.select("n", "vi", F.coalesce("simp", "word").alias("simp"), F.coalesce("trad", "word").alias("trad"), "word")
+    rows = rows.withColumn("canonical", F.when(F.col("trad") != F.col("simp"), F.col("trad")).otherwise(F.col("word")))
+    first = rows.groupBy("canonical").agg(F.min_by(F.struct("n", "vi", "simp", "trad"), "n").alias("m")).select("canonical", "m.*")
+    keys = first.select("n", "vi", F.explode(F.array_distinct(F.array("simp", "trad"))).alias("key")).groupBy("key").agg(F.max_by("vi", "n").alias("vi"))
+    return {"canonical": first.drop("n"), "keys": keys}
 
 
 def priority_union(tables: list[DataFrame], fallback: DataFrame | None = None, key: str = "word") -> DataFrame:

@@ -434,3 +434,31 @@ def test_duplicate_renderings_in_parts_and_descriptions(spark):
     book = spark.createDataFrame([("id1", 3, "2026", "2027", "T", "", True), ("id2", 1, "x", "y", None, "A", False)], "book_id string, exported_chapters int, export_created_at string, export_updated_at string, original_title string, original_author string, snapshot_complete boolean")
     texts = [r.d.split("\n") for r in book.select(profile.description(book).alias("d")).collect()]
     assert [len(t) for t in texts] == [7, 8] and texts[0][1:3] == ["ID: id1", "Số chương đã xuất: 3"] and texts[1][-2:] == ["Tác giả gốc: A", "Bản dịch đang cập nhật; có thể chưa đủ chương."]
+
+
+def test_jobs_over_novels(spark):
+    from quillspark.operators import jobs
+
+    book = lambda name, rows: [(name, i, t, list(p)) for i, (t, p) in enumerate(rows)]
+    raw = [*book("a", [("一", ("甲乙", "丙")), ("二", ("丁",)), ("一", ("甲乙", "丙")), ("三", ("戊",)), ("四", ("己",))]), *book("b", [("一", ("甲",))]), *book("c", [("一", ("庚",))])]
+    done = [("a", 0, "one", ["Giap At", "Binh"]), ("a", 3, "three", ["Mau"]), ("b", 0, "one", ["Giap"])]
+    chapters, earlier = spark.createDataFrame(raw, CHAPTER), spark.createDataFrame(done, CHAPTER)
+    hashes = {(r.novel_id, r.pos): r.h for r in chapters.select("novel_id", "pos", X.content_hash(F.col("title"), F.col("paragraphs")).alias("h")).collect()}
+    said = [(hashes["a", 1], 1, 500, ""), (hashes["a", 1], 2, 200, '{"title":"Hai","paragraphs":["Sai"],"new_terms":{"丁":"Dinh"}}'), (hashes["c", 0], 1, 402, "")]
+    replies = spark.createDataFrame(said + said[1:2], "hash string, attempt int, code int, body string")
+    empty = lambda schema: spark.createDataFrame([], schema)
+    glossary = spark.createDataFrame([("a", (-1, "丁"), "丁", "Dinh")], "novel_id string, ord struct<pos:long,zh:string>, zh string, vi string")
+    profiles = spark.createDataFrame([(n, f"urn:{n}", n, "") for n in "abcd"], "novel_id string, book_id string, title string, author string")
+    stash = spark.createDataFrame([("a", "of another text", "t", ["x"])], "novel_id string, hash string, title string, paragraphs array<string>")
+    args = [replies, empty(f"{CHAPTER}, source_hash string"), stash, glossary, empty("word string"), profiles]
+    out = jobs.run_novels(chapters, earlier, *args)
+    got = {r.novel_id: (r.status, r.total, r.duplicates, r.before, r.written, r.failed, r.waiting, r.unused, r.warnings, r.pages) for r in out["summary"].collect()}
+    assert got == {"a": ("stopped", 4, 1, 1, 2, 1, 0, 1, 1, 3), "b": ("done", 1, 0, 1, 0, 0, 0, 0, 0, 1), "c": ("stopped_balance", 1, 0, 0, 0, 1, 0, 0, 1, 0), "d": ("error", 0, 0, 0, 0, 0, 0, 0, 0, 0)}
+    assert [(r.novel_id, r.zh) for r in out["unused"].collect()] == [("a", "丁")]
+    assert [r.hash for r in out["stash"].collect()] == ["of another text"]
+    whole = {(r.novel_id, r.pos): list(r.paragraphs) for r in out["translated"].collect()}
+    assert whole == {("a", 0): ["Giap At", "Binh"], ("a", 1): ["Sai"], ("a", 2): ["Mau"], ("b", 0): ["Giap"]}
+    again = jobs.run_novels(out["raw"], out["translated"], *args)["summary"]
+    assert {r.novel_id: (r.before, r.written, r.duplicates) for r in again.collect()}["a"] == (3, 0, 0)
+    nothing = jobs.run_novels(empty(CHAPTER), empty(CHAPTER), *args)
+    assert {r.status for r in nothing["summary"].collect()} == {"error"}

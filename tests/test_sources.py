@@ -262,3 +262,15 @@ def test_saved_files(spark, tmp_path):
     (tmp_path / "empty.html").write_bytes(b"")
     got = {r.path.rsplit("/", 1)[-1]: (r.url, (r.html or "").strip()) for r in pages.saved_pages(spark, f"file://{tmp_path}").collect()}
     assert got == {"a.html": ("http://a/b", "<!-- saved from url=(0014)http://a/b -->\n<h1>é</h1>"), "b.html": (None, "<h1>中文</h1>"), "c.mhtml": ("http://c/d", "<h1>é</h1>")}
+
+
+def test_idioms_built(spark):
+    rows = [(1, "一二三四", "(Tục ngữ) x"), (2, "壹二三四", "(ca dao) y"), (3, "四四四四", "abc"), (4, "五五五五", "ab"), (5, "六六六六", "thành ngữ x"), (6, "一二三四五六七八", "(thành ngữ) z"), (7, "三三a三", "(thành ngữ)"), (8, "四四四四", "later"), (9, None, "x"), (10, "七七七七", None)]
+    glossary = spark.createDataFrame(rows, "n long, word string, meaning string")
+    phrases = spark.createDataFrame([("四四四四",), ("四四四四",), ("五五五五",), ("一二三四五六七八",), ("七七七七",)], "word string")
+    forms = spark.createDataFrame([("一二三四", "一二三四", "壹二三四"), ("壹二三四", "一二三四", "壹二三四")], "word string, simp string, trad string")
+    out = dictionaries.idioms_built(glossary, phrases, forms)
+    assert {tuple(r) for r in out["canonical"].collect()} == {("壹二三四", "(Tục ngữ) x", "一二三四", "壹二三四"), ("四四四四", "later", "四四四四", "四四四四")}
+    assert {tuple(r) for r in out["keys"].collect()} == {("壹二三四", "(Tục ngữ) x"), ("一二三四", "(Tục ngữ) x"), ("四四四四", "later")}
+    none = dictionaries.idioms_built(glossary.limit(0), phrases.limit(0), forms.limit(0))
+    assert none["keys"].count() == 0
