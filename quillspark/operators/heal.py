@@ -109,21 +109,25 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     numbers are not repeated and at least half have one; others follow the numbered chapter before them. Translations
     up to the first gap stay in place, later ones go to the stash by content hash.
     """
-    pairs = raw.alias("r").join(translated.select("novel_id", "pos", F.struct("title", "paragraphs").alias("done")), ["novel_id", "pos"], "left")
-    extra = translated.join(raw.select("novel_id", "pos"), ["novel_id", "pos"], "left_anti").select("novel_id", F.lit(False).alias("fits"))
-    checks = pairs.select("novel_id", F.coalesce(paired(F.size("paragraphs"), F.size("done.paragraphs")), F.lit(True)).alias("fits")).unionByName(extra)
+    # All is settled on keys; titles, paragraphs and translations are read again for what stays, and bodies before that
+    # only for chapters that share a numbered title with others of their novel.
+    theirs = translated.select("novel_id", "pos", F.size("paragraphs").alias("done_size"), F.lit(True).alias("there"))
+    ours = raw.select("novel_id", "pos", F.size("paragraphs").alias("size"), X.content_hash(F.col("title"), F.col("paragraphs")).alias("hash"), X.chapter_number(F.col("title")).alias("number"), F.sha2("title", 256).alias("named"))
+    rows = cut(ours.join(theirs, ["novel_id", "pos"], "left"))
+    extra = theirs.join(rows.select("novel_id", "pos"), ["novel_id", "pos"], "left_anti").select("novel_id", F.lit(False).alias("fits"))
+    checks = rows.select("novel_id", F.coalesce(paired(F.col("size"), F.col("done_size")), F.lit(True)).alias("fits")).unionByName(extra)
     fits = checks.groupBy("novel_id").agg(F.min("fits").alias("fits"))
-    rows = pairs.join(fits, "novel_id").withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs"))).withColumn("number", X.chapter_number(F.col("title")))
     exact = rows.groupBy("novel_id", "hash").agg(F.min("pos").alias("keeper"))
-    rows = cut(rows.join(exact, ["novel_id", "hash"]))
-    heads = rows.where("pos = keeper AND number IS NOT NULL").select("novel_id", "title", "pos", F.array_join("paragraphs", "\n").alias("body"), F.size("paragraphs").alias("size"))
-    near = near_keepers(heads, ["novel_id", "title"], "pos", "body", count="size").select("novel_id", F.col("key").alias("keeper"), F.col("keeper").alias("older"))
+    rows = cut(rows.join(fits, "novel_id").join(exact, ["novel_id", "hash"]))
+    heads = rows.where("pos = keeper AND number IS NOT NULL").select("novel_id", "named", "pos")
+    shared = heads.groupBy("novel_id", "named").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    heads = cut(heads.join(shared, ["novel_id", "named"], "left_semi"))
+    bodies = raw.join(small(heads, 128), ["novel_id", "pos"]).select("novel_id", "named", "pos", F.array_join("paragraphs", "\n").alias("body"), F.size("paragraphs").alias("size"))
+    near = near_keepers(bodies, ["novel_id", "named"], "pos", "body", count="size").select("novel_id", F.col("key").alias("keeper"), F.col("keeper").alias("older"))
     rows = rows.join(near, ["novel_id", "keeper"], "left").withColumn("keeper", F.when(F.col("fits"), F.coalesce("older", "keeper")).otherwise(F.col("pos"))).drop("older")
-    kept = rows.where("pos = keeper").drop("done", "keeper")
-    done = rows.where("done IS NOT NULL").groupBy("novel_id", "keeper").agg(F.min_by("done", "pos").alias("done")).withColumnRenamed("keeper", "pos")
-    kept = cut(kept.join(done, ["novel_id", "pos"], "left"))
-    # Places are settled on keys alone; titles, paragraphs and translations are joined to them.
-    keys = cut(kept.select("novel_id", "pos", "fits", "number", F.col("done").isNull().cast("int").alias("open")))
+    done = rows.where("there").groupBy("novel_id", "keeper").agg(F.min("pos").alias("done_pos")).withColumnRenamed("keeper", "pos")
+    kept = rows.where("pos = keeper").select("novel_id", "pos", "fits", "number", "hash").join(done, ["novel_id", "pos"], "left")
+    keys = cut(kept.withColumn("open", F.col("done_pos").isNull().cast("int")))
     small_groups = groups_fit(keys, ["novel_id"])
     sortable = keys.groupBy("novel_id").agg((F.min("fits") & (F.count("number") == F.count_distinct("number")) & (F.count("number") > 0) & (F.count("number") * 2 >= F.count("*"))).alias("sortable"))
     keys = running(keys, ["novel_id"], ["pos"], {"carried": ("last", F.col("number"))}, small_groups=small_groups)
@@ -131,15 +135,16 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     keys = keys.withColumn("place", F.when(F.col("sortable"), F.coalesce("carried", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     keys = numbered(keys, ["novel_id"], ["place", "pos"], "new_pos", small_groups=small_groups)
     keys = running(keys, ["novel_id"], ["place", "pos"], {"gap": ("sum", F.col("open"))}, small_groups=small_groups).withColumns({"new_pos": F.col("new_pos") - 1, "old_rank": F.col("old_rank") - 1})
-    kept = cut(kept.select("novel_id", "pos", "hash", "title", "paragraphs", "done").join(keys.select("novel_id", "pos", "new_pos", "old_rank", "gap"), ["novel_id", "pos"]))
-    stash = kept.where("gap > 0 AND done IS NOT NULL").select("novel_id", "hash", "done.title", "done.paragraphs")
-    counts = kept.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))
+    keys = cut(keys.select("novel_id", "pos", "hash", "done_pos", F.col("new_pos").cast("int").alias("new_pos"), "old_rank", "gap"))
+    stays = small(keys.select("novel_id", "pos", "new_pos"), 64)
+    placed = translated.join(small(keys.where("done_pos IS NOT NULL").select("novel_id", F.col("done_pos").alias("pos"), "new_pos", "hash", "gap"), 128), ["novel_id", "pos"])
+    counts = keys.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done_pos").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))
     before = raw.groupBy("novel_id").agg(F.count("*").alias("before"))
     summary = counts.join(before, "novel_id").select("novel_id", ((F.col("before") > F.col("total")) | (F.col("moved") > 0)).alias("fixed"), "total", "translated", "stashed", F.greatest(F.lit(0), F.col("total") - F.col("translated") - F.col("stashed")).alias("todo"), (F.col("before") - F.col("total")).alias("duplicates"), "moved")
     return {
-        "raw": kept.select("novel_id", F.col("new_pos").cast("int").alias("pos"), "title", "paragraphs"),
-        "translated": kept.where("gap = 0").select("novel_id", F.col("new_pos").cast("int").alias("pos"), "done.title", "done.paragraphs"),
-        "stash": stash, "summary": summary,
+        "raw": raw.join(stays, ["novel_id", "pos"]).select("novel_id", F.col("new_pos").alias("pos"), "title", "paragraphs"),
+        "translated": placed.where("gap = 0").select("novel_id", F.col("new_pos").alias("pos"), "title", "paragraphs"),
+        "stash": placed.where("gap > 0").select("novel_id", "hash", "title", "paragraphs"), "summary": summary,
     }
 
 
