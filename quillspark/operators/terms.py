@@ -111,9 +111,15 @@ def merge_new(glossary: DataFrame, fresh: DataFrame) -> DataFrame:
     return new.withColumn("_n", F.row_number().over(Window.partitionBy("novel_id", "key").orderBy("ord"))).where("_n = 1").drop("_n")
 
 
-def duplicate_renderings(glossary: DataFrame, zh: str = "zh", vi: str = "vi", order: str = "ord", size: int = LISTED) -> DataFrame:
-    """(vi, part, names, n): renderings that several terms share, their terms in order, `size` of them in a row."""
+def duplicate_renderings(glossary: DataFrame, zh: str = "zh", vi: str = "vi", order: str = "ord", size: int | None = LISTED) -> DataFrame:
+    """(vi, part, names, n): renderings that several terms share, their terms in order, `size` of them in a row.
+
+    With no size all terms of a rendering are in one row, of part 0, however many they are.
+    """
     rows = glossary.select(F.col(vi).alias("vi"), F.col(order).alias("o"), F.col(zh).cast("string").alias("z"))
+    if size is None:
+        listed = rows.where("vi IS NOT NULL").groupBy("vi").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("o", "z"))).alias("all")).where("n > 1")
+        return listed.select("vi", F.lit(0).cast("long").alias("part"), F.array_join(F.transform("all", lambda x: x["z"]), " / ").alias("names"), "n")
     counts = rows.groupBy("vi").agg(F.count("*").alias("n")).where("n > 1 AND vi IS NOT NULL")
     shared = numbered(rows.join(counts, "vi"), ["vi"], ["o", "z"]).withColumn("part", F.floor((F.col("number") - 1) / size))
     listed = shared.groupBy("vi", "part", "n").agg(F.sort_array(F.collect_list(F.struct("number", "z"))).alias("all"))
