@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import numbered, shared_folder
+from quillspark.functions.tables import cut, numbered, shared_folder
 from quillspark.operators import jobs
 from quillspark.operators import novel_run as N
 from quillspark.plans.queries import as_novels, lines_of, query, table
@@ -251,7 +251,7 @@ def streaming_glossary(spark, sf_dir):
     done = F.transform("paragraphs", F.upper)
     body = F.to_json(F.struct(F.upper("title").alias("title"), done.alias("paragraphs"), named.alias("new_terms")))
     replies = said.select("novel_id", "pos", F.lit(1).alias("attempt"), body.alias("body"))
-    events = E.chapter_events(said).unionByName(E.reply_events(replies, "a-z"))
+    events = cut(E.chapter_events(said).unionByName(E.reply_events(replies, "a-z")))
     place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     first = F.pmod(F.xxhash64("novel_id", "pos", "attempt"), F.lit(2)) == 0
     for part in (first, ~first):

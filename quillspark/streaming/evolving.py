@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,11 @@ from quillspark.sources import responses
 
 #: Chapters between two purges of the terms' metadata, and chapters that a term used once may lie idle.
 PURGE, IDLE = 20, 100
+#: Characters of a batch's rows of a novel that wait in memory at most; first characters by which terms are found, as numbers of so many bits.
+HELD, BEGIN, SEEN = 32 << 20, 6, 22
 EVENTS = "novel_id string, pos long, attempt long, body string"
 WRITTEN = "novel_id string, pos long, attempt long, title string, paragraphs string, used string, added string, purged long"
+COLUMNS = [c.split()[0] for c in WRITTEN.split(", ")]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -28,8 +32,83 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _beginnings(text: str, size: int) -> np.ndarray:
+    """A number of SEEN bits for the `size` characters from each place of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    count = max(len(points) - size + 1, 0)
+    number = np.zeros(count, np.uint32)
+    for i in range(size):
+        number *= np.uint32(0x01000193)
+        number ^= points[i : i + count]
+    number *= np.uint32(0x9E3779B1)
+    return number >> np.uint32(32 - SEEN)
+
+
+class _Terms:
+    """A novel's terms in memory while its chapters are written: found by their beginnings, their uses counted, changes noted."""
+
+    def __init__(self, terms: list[tuple[str, str, int]], meta: dict[str, tuple[int, int]]) -> None:
+        self.known: dict[str, tuple[str, int]] = {}
+        self.begins: dict[int, dict[str, list[str]]] = {}
+        self.seen: dict[int, np.ndarray] = {}
+        for zh, vi, ord in sorted(terms, key=lambda t: (t[2], t[0], t[1])):
+            self.put(zh, vi, ord)
+        self.meta = meta
+        # Terms used once, the longest idle first: last_seen only grows, so new ones go to the end.
+        self.once = dict.fromkeys(sorted((zh for zh, (_, count) in meta.items() if count == 1), key=lambda zh: meta[zh][0]))
+        self.added: list[str] = []
+        self.changed: set[str] = set()
+
+    def put(self, zh: str, vi: str, ord: int) -> None:
+        self.known[zh] = (vi, ord)
+        begin = zh[:BEGIN]
+        size = len(begin)
+        if size not in self.seen:
+            self.begins[size], self.seen[size] = {}, np.zeros(1 << SEEN, bool)
+        if begin not in self.begins[size]:
+            self.begins[size][begin] = []
+            self.seen[size][_beginnings(begin, size)] = True
+        self.begins[size][begin].append(zh)
+
+    def used(self, text: str) -> dict[str, str]:
+        """The terms that occur in a text, in their order: compared only at places where some term's first characters may stand."""
+        met = set()
+        for size, begins in self.begins.items():
+            for i in np.flatnonzero(self.seen[size][_beginnings(text, size)]).tolist():
+                for zh in begins.get(text[i : i + size], ()):
+                    if text.startswith(zh, i):
+                        met.add(zh)
+        return {zh: self.known[zh][0] for zh in sorted(met, key=lambda zh: self.known[zh][1])}
+
+    def add(self, zh: str, vi: str, at: int) -> None:
+        self.put(zh, vi, len(self.known))
+        self.added.append(zh)
+        self.use(zh, at, 1)
+
+    def use(self, zh: str, at: int, count: int | None = None) -> None:
+        count = count or self.meta.get(zh, (0, 0))[1] + 1
+        self.meta[zh] = (at, count)
+        self.changed.add(zh)
+        self.once.pop(zh, None)
+        if count == 1:
+            self.once[zh] = None
+
+    def purge(self, at: int) -> int:
+        """Drop the counts of terms used once and idle for over IDLE chapters; how many."""
+        gone = 0
+        while self.once and at - self.meta[zh := next(iter(self.once))][0] > IDLE:
+            del self.once[zh], self.meta[zh]
+            self.changed.add(zh)
+            gone += 1
+        return gone
+
+
 class _Novel(StatefulProcessor):
-    """One novel: what is written next, the chapters and replies that wait, the terms so far and their uses."""
+    """One novel: what is written next, the chapters and replies that wait, the terms so far and their uses.
+
+    Each access to state is a call to the JVM. So a batch's rows wait in memory, up to HELD characters, and go to state
+    only if they can't be written; terms and uses are read once and their changes put back once.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "pos long")
@@ -38,52 +117,89 @@ class _Novel(StatefulProcessor):
         self.meta = handle.getMapState("meta", "zh string", "last_seen long, count long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        at = self.next.get()[0] if self.next.exists() else 0
+        self.at = self.next.get()[0] if self.next.exists() else 0
+        self.there = {pos * (ATTEMPTS + 1) + attempt for pos, attempt in self.waiting.keys()}
+        self.fresh: dict[int, str] = {}
+        self.known: _Terms | None = None
+        size = 0
         for frame in rows:
             for pos, attempt, body in zip(frame["pos"].tolist(), frame["attempt"].tolist(), frame["body"].tolist(), strict=True):
-                if pos >= at and not self.waiting.containsKey((pos, attempt)):
-                    self.waiting.updateValue((pos, attempt), (body,))
-        out, known = [], None
-        while self.waiting.containsKey((at, 0)):
-            chapter = json.loads(self.waiting.getValue((at, 0))[0])
+                place = pos * (ATTEMPTS + 1) + attempt
+                if pos >= self.at and 0 <= attempt <= ATTEMPTS and place not in self.there and place not in self.fresh:
+                    self.fresh[place] = body
+                    size += len(body)
+                    if size > HELD:
+                        yield from self.ready(key[0])
+                        self.stored()
+                        size = 0
+        yield from self.ready(key[0])
+        self.stored()
+        self.next.update((self.at,))
+        if self.known is not None:
+            for zh in self.known.added:
+                self.terms.updateValue((zh,), self.known.known[zh])
+            for zh in self.known.changed:
+                if zh in self.known.meta:
+                    self.meta.updateValue((zh,), self.known.meta[zh])
+                elif self.meta.containsKey((zh,)):
+                    self.meta.removeKey((zh,))
+        self.there, self.fresh, self.known = set(), {}, None
+
+    def stored(self) -> None:
+        """Put what still waits in memory into state."""
+        for place, body in self.fresh.items():
+            self.waiting.updateValue(divmod(place, ATTEMPTS + 1), (body,))
+            self.there.add(place)
+        self.fresh = {}
+
+    def body(self, at: int, attempt: int) -> str | None:
+        place = at * (ATTEMPTS + 1) + attempt
+        return self.waiting.getValue((at, attempt))[0] if place in self.there else self.fresh.get(place)
+
+    def ready(self, novel: str) -> Iterator[pd.DataFrame]:
+        """Write the chapters whose turn it is, some at a time."""
+        out, size = [], 0
+        while (body := self.body(self.at, 0)) is not None:
+            at, chapter = self.at, json.loads(body)
             attempt, reply = self.passing(at, chapter)
             if reply is None:
                 break
-            if known is None:
-                known = {zh: vi for _, zh, vi in sorted((x[1], k[0], x[0]) for k, x in self.terms.iterator())}
-            out.append(self.written(key[0], at, attempt, chapter, reply, known))
-            for n in range(ATTEMPTS + 1):
-                if self.waiting.containsKey((at, n)):
-                    self.waiting.removeKey((at, n))
-            at += 1
-        self.next.update((at,))
-        yield pd.DataFrame(out, columns=["novel_id", "pos", "attempt", "title", "paragraphs", "used", "added", "purged"])
+            if self.known is None:
+                self.known = _Terms([(k[0], v[0], v[1]) for k, v in self.terms.iterator()], {k[0]: (v[0], v[1]) for k, v in self.meta.iterator()})
+            out.append(self.written(novel, at, attempt, chapter, reply, self.known))
+            size += sum(map(len, out[-1][4:7]))
+            for place in range(at * (ATTEMPTS + 1), (at + 1) * (ATTEMPTS + 1)):
+                self.fresh.pop(place, None)
+                if place in self.there:
+                    self.there.remove(place)
+                    self.waiting.removeKey(divmod(place, ATTEMPTS + 1))
+            self.at += 1
+            if size > HELD // 4:
+                yield pd.DataFrame(out, columns=COLUMNS)
+                out, size = [], 0
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def passing(self, at: int, chapter: dict) -> tuple[int, dict | None]:
         """The first reply that has as many paragraphs as the chapter."""
         for attempt in range(1, ATTEMPTS + 1):
-            if self.waiting.containsKey((at, attempt)):
-                reply = json.loads(self.waiting.getValue((at, attempt))[0])
+            body = self.body(at, attempt)
+            if body is not None:
+                reply = json.loads(body)
                 if len(reply.get("paragraphs") or []) == len(chapter.get("paragraphs") or []):
                     return attempt, reply
         return 0, None
 
-    def written(self, novel: str, at: int, attempt: int, chapter: dict, reply: dict, known: dict[str, str]) -> tuple:
+    def written(self, novel: str, at: int, attempt: int, chapter: dict, reply: dict, terms: _Terms) -> tuple:
         text = "\n".join([chapter.get("title") or "", *(chapter.get("paragraphs") or [])])
-        used = {zh: vi for zh, vi in known.items() if zh in text}
-        added = {zh: vi for zh, vi in (reply.get("new_terms") or {}).items() if zh not in known and zh in text}
+        used = terms.used(text)
+        added = {zh: vi for zh, vi in (reply.get("new_terms") or {}).items() if zh not in terms.known and zh in text}
         for zh, vi in added.items():
-            self.terms.updateValue((zh,), (vi, len(known)))
-            known[zh] = vi
-            self.meta.updateValue((zh,), (at + 1, 1))
+            terms.add(zh, vi, at + 1)
         for zh in used:
-            seen = self.meta.getValue((zh,))[1] if self.meta.containsKey((zh,)) else 0
-            self.meta.updateValue((zh,), (at + 1, seen + 1))
-        idle = [k for k, (last, count) in self.meta.iterator() if count == 1 and at + 1 - last > IDLE] if (at + 1) % PURGE == 0 else []
-        for k in idle:
-            self.meta.removeKey(k)
+            terms.use(zh, at + 1)
+        idle = terms.purge(at + 1) if (at + 1) % PURGE == 0 else 0
         show = lambda x: json.dumps(x, ensure_ascii=False)
-        return novel, at, attempt, reply.get("title"), show(reply.get("paragraphs") or []), show(used), show(added), len(idle)
+        return novel, at, attempt, reply.get("title"), show(reply.get("paragraphs") or []), show(used), show(added), idle
 
     def close(self) -> None:
         pass

@@ -143,6 +143,80 @@ def test_dictionary_pages_and_inspection(spark):
     assert [tuple(r) for r in dictionaries.inspected({"a": lines, "b": lines.where("false")}).collect()] == [("a", 2, ["b", "c"]), ("b", 0, [])]
 
 
+def test_streamed_terms_without_calls_for_each_use():
+    import random
+
+    from quillspark.streaming import evolving
+
+    rng = random.Random(3)
+    word = lambda least, most: "".join(rng.choice("ab年𠀀") for _ in range(rng.randint(least, most)))
+    for _ in range(200):
+        names = list({word(1, 9) for _ in range(20)})
+        found, text = evolving._Terms([(zh, f"={zh}", i) for i, zh in enumerate(names)], {}), word(0, 60)
+        assert list(found.used(text).items()) == [(zh, f"={zh}") for zh in names if zh in text]
+    kept, plain = evolving._Terms([], {"x": (1, 1), "y": (3, 2)}), {"x": (1, 1), "y": (3, 2)}
+    for at in range(4, 900):
+        for zh in {rng.choice("abcdefgxy") + str(at // 300 * rng.randint(0, 3)) for _ in range(rng.randint(0, 1) if at % 300 < 150 else 0)}:
+            kept.use(zh, at)
+            plain[zh] = (at, plain.get(zh, (0, 0))[1] + 1)
+        if at % evolving.PURGE == 0:
+            idle = [zh for zh, (last, count) in plain.items() if count == 1 and at - last > evolving.IDLE]
+            assert kept.purge(at) == len(idle)
+            plain = {zh: m for zh, m in plain.items() if zh not in idle}
+            assert kept.meta == plain
+
+
+def test_streamed_rows_beyond_memory_wait_in_state(monkeypatch):
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quillspark.streaming import evolving
+
+    class Map(dict):
+        calls = 0
+        keys = lambda self: list(dict.keys(self))
+        iterator = lambda self: iter(list(self.items()))
+        containsKey = dict.__contains__
+
+        def getValue(self, k):
+            Map.calls += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            Map.calls += 1
+            self[k] = v
+
+        removeKey = dict.__delitem__
+
+    place = SimpleNamespace(at=None)
+    value = SimpleNamespace(exists=lambda: place.at is not None, get=lambda: place.at, update=lambda v: setattr(place, "at", v))
+    names = {k: Map() for k in ("waiting", "terms", "meta")}
+    texts = [f"alpha beta gamma{i % 7} delta{i}" for i in range(300)]
+    rows = [(i, 0, json.dumps({"title": "", "paragraphs": [t]})) for i, t in enumerate(texts)]
+    rows += [(i, 1, json.dumps({"title": "", "paragraphs": ["X"], "new_terms": {f"gamma{i % 7}": "G"}})) for i in range(300)]
+
+    def run(held, parts):
+        monkeypatch.setattr(evolving, "HELD", held)
+        place.at = None
+        for m in names.values():
+            m.clear()
+        novel, out = evolving._Novel(), []
+        novel.init(SimpleNamespace(getValueState=lambda *a: value, getMapState=lambda n, *a: names[n]))
+        for part in parts:
+            frame = pd.DataFrame(part, columns=["pos", "attempt", "body"])
+            out += [r for f in novel.handleInputRows(("n",), iter([frame]), None) for r in f.itertuples(index=False, name=None)]
+        assert not names["waiting"]
+        return out
+
+    Map.calls = 0
+    whole = run(1 << 20, [rows])
+    assert len(whole) == 300 and Map.calls < 50
+    assert [r[1] for r in whole] == list(range(300)) and json.loads(whole[8][5]) == {"gamma1": "G"}
+    assert run(500, [rows]) == run(500, [rows[::2], rows[1::2], rows[:9]]) == run(1 << 20, [rows[::-1][:200], rows]) == whole
+
+
 def test_stateful_stream_across_runs(spark, tmp_path):
     import json
     import shutil
