@@ -700,6 +700,24 @@ def test_quality_rules_held_out(spark):
     assert kept[y == 1].mean() > 0.97 and (~kept[y == 0]).mean() > 0.8
 
 
+def test_quality_rules_learn_from_all_labelled_rows(spark, monkeypatch):
+    for name, value in (("TREES", 3), ("NOTED", 2), ("BLOCK", 5000)):
+        monkeypatch.setattr(quality_rules, name, value, raising=False)
+    n = 20_600
+    words = F.transform(F.sequence(F.lit(1), F.lit(25) + F.col("id") % 7), lambda i: F.concat(F.lit("w"), i * (F.col("id") % 11), F.when(F.col("id") % 5 == 0, "#").otherwise("")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).repartition(6)
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.hash("id") % 10 + F.col("id") % 5 > 3).cast("int").alias("quality"))
+    model = quality_rules.train(docs, labels)
+    rows = docs.join(labels, "doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit("side")), F.lit(4)) != 0).collect()
+    x = np.array([quality_rules.statistics(r.text)[1] for r in rows])
+    y = np.array([r.quality for r in rows], float)
+    kept = ~quality_rules.base_failed(np.array([quality_rules.statistics(r.text)[0] for r in rows]))
+    plain = quality_rules.fit(x[kept], y[kept], list(quality_rules.FEATURES.values()), trees=3)
+    assert model.bias == plain.bias
+    for name in ("feature", "cut", "left", "right", "value", "roots"):
+        assert np.array_equal(getattr(model, name), getattr(plain, name)), name
+
+
 def test_quality_rules_with_text_keys(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("concat('k', doc_id) AS doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").selectExpr("concat('k', doc_id) AS doc_id", "quality")
