@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import numbered
+from quillspark.functions.tables import cut, numbered
 from quillspark.sources.dictionaries import last_wins
 
 # Hosts, catalogue and chapter paths of the sites, and where each site keeps titles and text.
@@ -277,11 +277,12 @@ def catalogue(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     full = F.when(F.col("l.href").rlike("^https?://"), F.col("l.href")).when(F.col("l.href").startswith("/"), F.concat(root, F.col("l.href"))).otherwise(F.concat(F.regexp_replace("url", "[^/]*$", ""), F.col("l.href")))
     links = links.withColumns({"full": X.url_key(full), "title": X.clean_text(F.col("l.text")), "number": X.strip(F.col("l.number")).try_cast("long")}).where("title != ''")
     links = links.where(url_ids(F.col("full"))["chapter"].isNotNull() & url_ids(F.col("full"))["book"].eqNullSafe(url_ids(F.col("url"))["book"]))
+    links = cut(links.select("key", "n", "full", "title", "number"))  # read twice below: the pages are parsed once
     ends = links.groupBy(F.col("key").alias("_key")).agg((F.count("number") == F.count("*")).alias("by_number"), (F.min_by("number", "n") > F.max_by("number", "n")).alias("falling"))
     links = links.join(ends, F.col("key").eqNullSafe(F.col("_key")))
     place = F.when(F.col("by_number"), F.struct("number", F.col("n").cast("long").alias("n"))).otherwise(F.struct(F.lit(0).cast("long").alias("number"), F.when(F.coalesce("falling", F.lit(False)), -F.col("n")).otherwise(F.col("n")).cast("long").alias("n")))
     first = links.groupBy("key", "full").agg(F.min(F.struct(place.alias("place"), "title")).alias("m")).select(F.col("key").alias(key), F.col("m.place").alias("place"), F.col("full").alias("url"), F.col("m.title").alias("title"))
-    return numbered(first, [key], ["place"]).select(key, (F.col("number") - 1).cast("int").alias("ord"), "url", "title")
+    return numbered(cut(first), [key], ["place"]).select(key, (F.col("number") - 1).cast("int").alias("ord"), "url", "title")
 
 
 def start_index(listed: DataFrame, starts: DataFrame, key: str = "page_id") -> DataFrame:

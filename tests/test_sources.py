@@ -143,6 +143,21 @@ def test_dictionary_pages_and_inspection(spark):
     assert [tuple(r) for r in dictionaries.inspected({"a": lines, "b": lines.where("false")}).collect()] == [("a", 2, ["b", "c"]), ("b", 0, [])]
 
 
+def test_catalogue_parses_each_page_once(spark, tmp_path):
+    from quillspark.sources import pages as P
+
+    @F.udf("string")
+    def noted(url):
+        with open(f"{tmp_path}/seen", "a") as f:
+            f.write(f"{url}\n")
+        return '<div id="catalog"><ul><li data-num="2"><a href="/txt/7/2">b</a><li data-num="1"><a href="/txt/7/1">a</a></ul></div>'
+
+    rows = spark.range(3).select(F.col("id").alias("page_id"), F.lit("https://www.69shuba.com/book/7.htm").alias("url")).withColumn("html", noted("url"))
+    out = sorted(tuple(r) for r in P.catalogue(rows).select("page_id", "ord", "title").collect())
+    assert out == [(i, n, t) for i in range(3) for n, t in ((0, "a"), (1, "b"))]
+    assert len(open(f"{tmp_path}/seen").readlines()) == 3
+
+
 def test_streamed_terms_without_calls_for_each_use():
     import random
 
