@@ -81,7 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     Of at most `most` rows, those with the least key hashes, DRAWN blocks each reach the driver for the dictionaries,
     drawn by hash from the whole text. With no labelled rows, or one label only, every score is the share of good rows (0.5 of none).
     """
-    sample = labelled(docs, labels, key, text, most).select("y", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), "doc_id")
+    sample = labelled(docs, labels, key, text, most=most).select("y", "text", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("half"), "doc_id")
     first = sample.where("half = 0").select(F.col("y").alias("doc_id"), "text")
     shown = map_texts(first, lambda ys, texts: {"y": ys, "blocks": [blocks(t) for t in texts]}, "y int, blocks array<binary>").collect()
     shown = sorted((r["y"], [bytes(b) for b in r["blocks"]]) for r in shown if r["blocks"])

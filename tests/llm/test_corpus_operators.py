@@ -352,6 +352,18 @@ def test_compression_classifier_held_out(spark):
     assert auc > 0.9 and np.mean((score >= 0.5) == y) > max(y.mean(), 0.9) and ((0 <= score) & (score <= 1)).all()
 
 
+def test_compression_sample(spark):
+    """Training takes at most the wanted number of labelled keys, those with the least hashes, each with its least label."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(80).selectExpr("id % 40 AS doc_id", "CAST(id >= 40 OR id % 2 = 1 AS int) AS quality")
+    every = {r.doc_id: r.y for r in quality_rules.labelled(docs, labels, "doc_id", "text").collect()}
+    assert every == {i: i % 2 for i in range(40)}
+    least = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", F.lit("sample"))).limit(7).collect()]
+    assert {r.doc_id: r.y for r in quality_rules.labelled(docs, labels, "doc_id", "text", most=7).collect()} == {i: i % 2 for i in least}
+    model = compression.train(docs, labels, most=20)
+    assert model.good and model.bad and len(model.scores(["text 1", ""])) == 2
+
+
 def test_compression_differences(spark):
     """The differences by one compressor call for each block, and blocks drawn from the whole of long texts."""
     import zstandard
