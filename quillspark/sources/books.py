@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import sqlite3
+import tempfile
 import uuid
+import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from html import escape
 
@@ -22,6 +26,9 @@ CONTAINER = '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:na
 WHEN = (1980, 1, 1, 0, 0, 0)
 #: Characters of a page that are given to the container at once.
 PART = 1 << 20
+#: Pages that are read at once.
+READ_PAGES = 64
+NS = {"o": "http://www.idpf.org/2007/opf", "d": "http://purl.org/dc/elements/1.1/", "n": "http://www.daisy.org/z3986/2005/ncx/"}
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -29,35 +36,54 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Container:
-    """A container that is being written: the mark of its type first and stored, pages as they come, the lists last."""
+    """A container that is being written: the mark of its type first and stored, pages as they come, the lists last.
+
+    Names and titles of the pages wait in a file of the task for the lists, which are written entry by entry.
+    """
 
     def __init__(self, sink, row: dict) -> None:
-        self.zip, self.row, self.pages = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), row, []
-        self._put("mimetype", MIMETYPE, zipfile.ZIP_STORED)
-        self._put("META-INF/container.xml", CONTAINER)
+        self.zip, self.row = zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED), {k: row[k] for k in ("file", "book_id", "title", "author", "language")}
+        self.listed, self.size = tempfile.TemporaryFile("w+", encoding="ascii"), 0
+        self._put("mimetype", [MIMETYPE], zipfile.ZIP_STORED)
+        self._put("META-INF/container.xml", [CONTAINER])
 
-    def _put(self, name: str, text: str, kind: int = zipfile.ZIP_DEFLATED) -> None:
+    def _put(self, name: str, texts: Iterable[str], kind: int = zipfile.ZIP_DEFLATED, large: bool = False) -> None:
         info = zipfile.ZipInfo(name, WHEN)
         info.compress_type = kind
-        with self.zip.open(info, "w", force_zip64=len(text) > 1 << 28) as entry:
-            for at in range(0, max(len(text), 1), PART):
-                entry.write(text[at : at + PART].encode())
+        with self.zip.open(info, "w", force_zip64=large) as entry:
+            for text in texts:
+                for at in range(0, len(text), PART):
+                    entry.write(text[at : at + PART].encode())
 
     def page(self, row: dict) -> None:
-        self._put(f"EPUB/{row['file_name']}", row["content"] or "")
-        self.pages.append((row["file_name"], row["chapter"] or ""))
+        content = row["content"] or ""
+        self._put(f"EPUB/{row['file_name']}", [content], large=len(content) > 1 << 28)
+        self.size += self.listed.write(json.dumps((row["file_name"], row["chapter"] or "")) + "\n")
+
+    def _pages(self) -> Iterator[tuple[int, str, str]]:
+        """Number, name and title of each page, escaped."""
+        self.listed.seek(0)
+        for i, line in enumerate(self.listed, 1):
+            name, title = json.loads(line)
+            yield i, escape(name), escape(title)
+
+    def _list(self, name: str, *parts: str | Iterable[str]) -> None:
+        # A page's entry has well under 64 times the bytes of its line.
+        self._put(name, (x for part in parts for x in ([part] if isinstance(part, str) else part)), large=self.size > 1 << 24)
 
     def close(self) -> None:
         named = {k: escape(self.row[k] or "") for k in ("book_id", "title", "author", "language")}
-        links = "".join(f'<li><a href="{escape(f)}">{escape(t)}</a></li>' for f, t in self.pages)
-        points = "".join(f'<navPoint id="p{i}" playOrder="{i}"><navLabel><text>{escape(t)}</text></navLabel><content src="{escape(f)}"/></navPoint>' for i, (f, t) in enumerate(self.pages, 1))
-        items = "".join(f'<item id="c{i}" href="{escape(f)}" media-type="application/xhtml+xml"/>' for i, (f, _) in enumerate(self.pages, 1))
-        spine = "".join(f'<itemref idref="c{i}"/>' for i in range(1, len(self.pages) + 1))
-        self._put("EPUB/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{named["title"]}</title></head><body><nav epub:type="toc"><ol>{links}</ol></nav></body></html>\n')
-        self._put("EPUB/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{named["book_id"]}"/></head><docTitle><text>{named["title"]}</text></docTitle><navMap>{points}</navMap></ncx>\n')
+        links = (f'<li><a href="{f}">{t}</a></li>' for _, f, t in self._pages())
+        points = (f'<navPoint id="p{i}" playOrder="{i}"><navLabel><text>{t}</text></navLabel><content src="{f}"/></navPoint>' for i, f, t in self._pages())
+        items = (f'<item id="c{i}" href="{f}" media-type="application/xhtml+xml"/>' for i, f, _ in self._pages())
+        spine = (f'<itemref idref="c{i}"/>' for i, _, _ in self._pages())
+        self._list("EPUB/nav.xhtml", f'<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{named["title"]}</title></head><body><nav epub:type="toc"><ol>', links, "</ol></nav></body></html>\n")
+        self._list("EPUB/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{named["book_id"]}"/></head><docTitle><text>{named["title"]}</text></docTitle><navMap>', points, "</navMap></ncx>\n")
         meta = f'<dc:identifier id="id">{named["book_id"]}</dc:identifier><dc:title>{named["title"]}</dc:title><dc:creator>{named["author"]}</dc:creator><dc:language>{named["language"]}</dc:language>'
-        self._put("EPUB/content.opf", f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine toc="ncx"><itemref idref="nav"/>{spine}</spine></package>\n')
+        head = f'<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>'
+        self._list("EPUB/content.opf", head, items, '</manifest><spine toc="ncx"><itemref idref="nav"/>', spine, "</spine></package>\n")
         self.zip.close()
+        self.listed.close()
 
 
 @dataclass
@@ -130,21 +156,65 @@ class EpubReader(DataSourceReader):
         found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
         return [_File(x.path) for x in sorted(found, key=lambda x: x.path) if x.path.endswith(".epub")] or [_File("")]
 
-    def read(self, partition: _File):
-        import xml.etree.ElementTree as ET
-
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
         files, _ = _opened(self.path)
+        kinds = pa.schema([(k, pa.int64() if k == "place" else pa.string()) for k in (x.split()[0] for x in READ.split(", "))])
+        file = partition.path.rsplit("/", 1)[-1].removesuffix(".epub")
         with files.open_input_file(partition.path) as source, zipfile.ZipFile(source) as held:
-            package = ET.fromstring(held.read("EPUB/content.opf"))
-            ns = {"o": "http://www.idpf.org/2007/opf", "d": "http://purl.org/dc/elements/1.1/", "n": "http://www.daisy.org/z3986/2005/ncx/"}
-            named = [package.findtext(f"o:metadata/d:{k}", "", ns) for k in ("identifier", "title", "creator")]
-            hrefs = {i.get("id"): i.get("href") for i in package.findall("o:manifest/o:item", ns)}
-            titles = {p.find("n:content", ns).get("src"): p.findtext("n:navLabel/n:text", "", ns) for p in ET.fromstring(held.read("EPUB/toc.ncx")).iter(f"{{{ns['n']}}}navPoint")}
-            pages = [hrefs[i.get("idref")] for i in package.findall("o:spine/o:itemref", ns) if i.get("idref") != "nav"]
-            for place, name in enumerate(pages, 1):
-                yield (partition.path.rsplit("/", 1)[-1].removesuffix(".epub"), place, name, titles.get(name, ""), held.read(f"EPUB/{name}").decode(), *named)
+            listed, named = _lists(held)
+            pages = listed.execute("SELECT spine.idref, href, coalesce(title, '') FROM spine LEFT JOIN item ON id = idref LEFT JOIN point ON src = href WHERE idref <> 'nav' ORDER BY spine.n")
+            place = 0
+            while some := pages.fetchmany(READ_PAGES):
+                rows = []
+                for idref, name, title in some:
+                    if name is None:
+                        raise ValueError(f"{partition.path} lists no item {idref}")
+                    place += 1
+                    rows.append((file, place, name, title, held.read(f"EPUB/{name}").decode(), *named))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds, strict=True)], schema=kinds)
+            listed.close()
+
+
+def _lists(held: zipfile.ZipFile) -> tuple[sqlite3.Connection, list[str]]:
+    """What a container lists, in a file of the task: item(id, href), spine(n, idref), point(src, title, n); and the book's id, title and creator.
+
+    Of several points at a page the last one counts.
+    """
+    listed = sqlite3.connect("")  # a file of its own that goes when it is closed
+    listed.executescript("CREATE TABLE item (id TEXT PRIMARY KEY, href TEXT); CREATE TABLE spine (n INTEGER PRIMARY KEY, idref TEXT); CREATE TABLE point (src TEXT PRIMARY KEY, title TEXT, n INTEGER)")
+    put = "INSERT INTO point VALUES (?, ?, ?) ON CONFLICT (src) DO UPDATE SET title = excluded.title, n = excluded.n WHERE excluded.n > point.n"
+    tags = {k: f"{{{NS[k[0]]}}}{k[1:]}" for k in ("ometadata", "oitem", "oitemref", "nnavPoint", "didentifier", "dtitle", "dcreator")}
+    named: dict[str, str] = {}
+    for n, above, x in _elements(held, "EPUB/content.opf", {tags["oitem"], tags["oitemref"]}):
+        if x.tag == tags["oitem"]:
+            listed.execute("INSERT OR REPLACE INTO item VALUES (?, ?)", (x.get("id"), x.get("href")))
+        elif x.tag == tags["oitemref"]:
+            listed.execute("INSERT INTO spine VALUES (?, ?)", (n, x.get("idref")))
+        elif above is not None and above.tag == tags["ometadata"]:
+            named.setdefault(x.tag, x.text or "")
+    for n, _, x in _elements(held, "EPUB/toc.ncx", {tags["nnavPoint"]}):
+        if x.tag == tags["nnavPoint"] and x.find("n:content", NS) is not None:
+            listed.execute(put, (x.find("n:content", NS).get("src"), x.findtext("n:navLabel/n:text", "", NS), n))
+    return listed, [named.get(tags[f"d{k}"], "") for k in ("identifier", "title", "creator")]
+
+
+def _elements(held: zipfile.ZipFile, name: str, dropped: set[str]) -> Iterator[tuple[int, ET.Element | None, ET.Element]]:
+    """(number, parent, element) at each element's end, numbered by their starts; those of the dropped tags are then let go."""
+    open_: list[tuple[int, ET.Element]] = []
+    with held.open(name) as source:
+        n = 0
+        for event, x in ET.iterparse(source, ("start", "end")):
+            if event == "start":
+                n += 1
+                open_.append((n, x))
+                continue
+            number, _ = open_.pop()
+            above = open_[-1][1] if open_ else None
+            yield number, above, x
+            if x.tag in dropped and above is not None:
+                above.remove(x)
 
 
 class EpubDataSource(DataSource):

@@ -1,5 +1,7 @@
+import tracemalloc
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,3 +41,32 @@ def test_aborted_books_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="ZeroDivisionError"):
         books.write_books(pages.withColumn("content", bad("content")), spark.createDataFrame([], "novel_id string, book_id string, title string, author string"), f"file://{tmp_path}/out")
     assert not (tmp_path / "out").exists() or list((tmp_path / "out").iterdir()) == []
+
+
+def test_lists_of_a_book_are_not_held(tmp_path):
+    """A book whose titles come to 40 MB is written and read in a part of that; of points at one page the last counts."""
+    names = [x.split()[0] for x in books.WRITTEN.split(", ")]
+    title = lambda i: f"{i} <&> " + "t" * 20_000
+
+    def batches():
+        for at in range(0, 2000, 50):
+            rows = [("a", "urn:a", "T", "", "vi", i, f"chap_{i:04d}.xhtml", title(i), f"page {i}") for i in range(at, at + 50)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+
+    tracemalloc.start()
+    writer = books.EpubWriter(f"file://{tmp_path}/out")
+    writer.commit([writer.write(batches())])
+    reader, n = books.EpubReader(f"file://{tmp_path}/out"), 0
+    for batch in reader.read(reader.partitions()[0]):
+        for r in batch.to_pylist():
+            assert (r["place"], r["file_name"], r["chapter"], r["content"], r["book_id"]) == (n + 1, f"chap_{n:04d}.xhtml", title(n), f"page {n}", "urn:a")
+            n += 1
+    assert n == 2000 and tracemalloc.get_traced_memory()[1] < 20 << 20
+    tracemalloc.stop()
+    with zipfile.ZipFile(tmp_path / "x.epub", "w") as made:
+        made.writestr("EPUB/content.opf", '<package xmlns="http://www.idpf.org/2007/opf"><metadata/><manifest><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        point = '<navPoint><navLabel><text>{}</text></navLabel><content src="a.xhtml"/>{}</navPoint>'
+        made.writestr("EPUB/toc.ncx", f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{point.format("part", point.format("chapter", ""))}</navMap></ncx>')
+        made.writestr("EPUB/a.xhtml", "text")
+    reader = books.EpubReader(f"file://{tmp_path}")
+    assert [r for b in reader.read(reader.partitions()[0]) for r in b.to_pylist()] == [{"file": "x", "place": 1, "file_name": "a.xhtml", "chapter": "chapter", "content": "text", "book_id": "", "title": "", "author": ""}]
