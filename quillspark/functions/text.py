@@ -192,21 +192,26 @@ def snippet(text: Column, at: Column, size: Column, margin: int) -> Column:
     return strip(F.replace(F.substring(text, start, at + size + margin - start), F.lit("\n"), F.lit(" ")))
 
 
+#: Characters that share an upper case with another one of a different lower case, or whose lower case depends on others; all Greek among them.
+ODD_CASE = r"\x{b5}\x{130}\x{131}\x{17f}\x{345}\x{370}-\x{3ff}\x{13a0}-\x{13ff}\x{1c80}-\x{1c8f}\x{1e9b}\x{1e9e}\x{1f00}-\x{1fff}\x{2126}\x{212a}\x{212b}\x{ab30}-\x{abbf}\x{10000}-\x{10ffff}"
+
+
 def collapse_repeats(c: Column) -> Column:
     """A word that follows itself twice or more, in any case, stays once.
 
-    The text is cut into words and what lies between them. A word repeats if only blanks part it from an equal one, and
-    it goes, with those blanks, if the word before it or the one after it repeats too; so each is decided between its
-    neighbours, however long the run.
+    A pattern finds the runs of texts in which two characters are one in any case exactly if their lower case is the
+    same. Others, with characters of ODD_CASE, are cut into words and what lies between them. A word repeats if only
+    blanks part it from an equal one, and it goes, with those blanks, if the word before it or the one after it repeats
+    too; so each is decided between its neighbours, however long the run.
     """
-    tokens = F.regexp_extract_all(c, F.lit(r"(?U)\w++|\W++"), F.lit(0))
 
     def decided(a: Column) -> Column:
         repeats = lambda i: F.coalesce((F.translate(F.get(a, i - 1), " \t", "") == "") & (F.lower(F.get(a, i)) == F.lower(F.get(a, i - 2))) & F.get(a, i).rlike(r"(?U)^\w"), F.lit(False))
         gone = lambda i: repeats(i) & (repeats(i - 2) | repeats(i + 2))
         return F.array_join(F.transform(a, lambda x, i: F.when(gone(i) | gone(i + 1), "").otherwise(x)), "")
 
-    return let(tokens, decided)
+    slow = let(F.regexp_extract_all(c, F.lit(r"(?U)\w++|\W++"), F.lit(0)), decided)
+    return F.when(c.rlike(f"[{ODD_CASE}]"), slow).otherwise(F.regexp_replace(c, r"(?iuU)(?<!\w)(\w++)(?:[ \t]++\1(?!\w)){2,}+", "$1"))
 
 
 def curl_quotes(c: Column) -> Column:
@@ -250,26 +255,37 @@ def _settled_marks(c: Column) -> Column:
     return F.regexp_replace(t, "|".join(around), "")
 
 
-def _token(x: Column, two: Column, one: Column, following: Column) -> Column:
-    """What becomes of a token between its neighbours: a run of blanks, a mark, a quote or other characters.
+#: What (?U)\s takes for white space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
+def _among(c: Column, characters: str) -> Column:
+    """Whether a character is one of these; null if it is null."""
+    return c.isin(*characters)
+
+
+def _token(x: Column, one: Column, following: Column) -> Column:
+    """What becomes of a token, a mark, a quote or all that stands between two of them, between its neighbours.
 
-    two and one are the tokens before it, null at the start; following is null at the end.
+    one is the token before it, null at the start; following is null at the end. No blanks are at the ends of the text.
     """
-    capital = F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30))
-    last, blank = F.coalesce(F.when(strip(one) == "", two).otherwise(one), F.lit("")), one.isNotNull() & (strip(one) == "")
-    quoted = last.isin(*OPEN)
-    headed = (blank & last.isin(".", "!", "?")) | quoted
-    after_comma = following.isNull() | following.rlike(rf"(?U)^[\s\"'\)\]0-9{CLOSE}]")
-    return (
-        F.when(strip(x) == "", F.when(following.isin(*CLOSE) | quoted, "").otherwise(x))
-        .when(x.isin(",", ";", ":") & following.isNull(), ".")
+    head, ahead, behind = F.left(x, F.lit(1)), F.left(following, F.lit(1)), F.right(one, F.lit(1))
+    after_comma = _among(ahead, BLANKS + "\"')]0123456789" + CLOSE)
+    mark = (
+        F.when(x.isin(",", ";", ":") & following.isNull(), ".")
         .when((x == ",") & ~after_comma, ", ")
-        .when(x.isin(".", "!", "?") & following.rlike(f"^[{UPPER}]"), F.concat(x, F.lit(" ")))
-        .when((x == "“") & one.rlike(r"(?U)[\w:]$"), " “")
-        .when((x == "”") & following.rlike(r"(?U)^\w"), "” ")
-        .when(one.isNull() | (headed & x.rlike(f"^[{LOWER}]")), capital)
+        .when(x.isin(".", "!", "?") & ahead.rlike(f"^[{UPPER}]"), F.concat(x, F.lit(" ")))
+        .when((x == "“") & behind.rlike(r"(?U)[\w:]$"), " “")
+        .when((x == "”") & ahead.rlike(r"(?U)^\w"), "” ")
         .otherwise(x)
     )
+    opened, closed, led = F.coalesce(_among(one, OPEN), F.lit(False)), F.coalesce(_among(following, CLOSE), F.lit(False)), _among(head, BLANKS)
+    begun = F.when(opened & led, F.regexp_replace(x, r"(?U)^\s+", "")).otherwise(x)
+    kept = F.when(closed & _among(F.right(x, F.lit(1)), BLANKS), F.regexp_replace(begun, r"(?U)\s+$", "")).otherwise(begun)
+    word = F.regexp_extract(kept, r"(?U)^\s*", 0)
+    capital = F.concat(word, F.upper(F.substring(kept, F.length(word) + 1, F.lit(1))), F.substring(kept, F.length(word) + 2, F.lit(1 << 30)))
+    headed = one.isNull() | ((opened | (led & one.isin(".", "!", "?"))) & kept.rlike(rf"(?U)^\s*[{LOWER}]"))
+    return F.when(_among(x, ",;:.!?" + "".join(dict.fromkeys(OPEN + CLOSE))), mark).otherwise(F.when(headed, capital).otherwise(kept))
 
 
 def repair(c: Column) -> Column:
@@ -282,8 +298,9 @@ def repair(c: Column) -> Column:
     for step in (curl_quotes, opening_quote, stray_quote):
         t = let(t, step)
     t = strip(_settled_marks(t))
-    tokens = F.regexp_extract_all(t, F.lit(rf"(?U)\s+|[,;:.!?{OPEN}{CLOSE}]|[^\s,;:.!?{OPEN}{CLOSE}]+"), F.lit(0))
-    return strip(let(tokens, lambda a: F.array_join(F.transform(a, lambda x, i: _token(x, F.get(a, i - 2), F.get(a, i - 1), F.get(a, i + 1))), "")))
+    marks = f",;:.!?{OPEN}{CLOSE}"
+    tokens = F.regexp_extract_all(t, F.lit(rf"[{marks}]|[^{marks}]+"), F.lit(0))
+    return strip(let(tokens, lambda a: F.array_join(F.transform(a, lambda x, i: _token(x, F.get(a, i - 1), F.get(a, i + 1))), "")))
 
 
 def repair_lines(c: Column) -> Column:

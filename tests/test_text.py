@@ -77,6 +77,15 @@ def test_repair(spark):
     assert apply(spark, X.repair_lines, ["=== a  b ===\n\n xin  chào"]) == ["=== a  b ===\n\nXin chào"]
 
 
+def test_repair_between_marks(spark):
+    """Blanks, capitals and quotes around marks, and runs of words with and without characters of odd case."""
+    cases = {
+        "a.  b c!d": "A. B c!d", "“  ": "“", "a “  b c ” d.  “e": "A “B c” d. “E", "a . : “x": "“A. :” x", "x: “y”z": "X: “Y” z",
+        "Σ σ σ x": "Σ x", "an An aN an b": "An b", "ı i ı i": "I i ı i", "a\u00a0.\u00a0b": "A.\u00a0B", "b b, b b": "B b, b b",
+    }
+    assert apply(spark, X.repair, list(cases)) == list(cases.values())
+
+
 def test_phrases_before_characters(spark):
     pairs, phrases = {"發": "发", "髮": "发", "乾": "干"}, {"乾坤": "乾坤", "乾隆": "乾隆", "頭髮": "头发"}
     assert apply(spark, lambda c: X.to_simplified(c, pairs, phrases), ["乾坤乾杯，頭髮發", "", None]) == ["乾坤干杯，头发发", "", None]
