@@ -598,11 +598,7 @@ def absolute_links(spark, sf_dir):
 @query("SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text ELSE '年' || text END) AS text_md5 FROM documents")
 def decoded_bytes(spark, sf_dir):
     """English documents as UTF-8; the others as GB18030, after a character whose bytes are not UTF-8."""
-
-    @F.pandas_udf("binary")
-    def encoded(texts):
-        return texts.map(lambda t: None if t is None else ("年" + t).encode("gb18030"))
-
+    encoded = P.rowwise(lambda t: None if t is None else ("年" + t).encode("gb18030"), "binary")
     raw = F.when(F.col("lang") == "en", F.col("text").cast("binary")).otherwise(encoded(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", md5(P.decoded(raw)).alias("text_md5"))
 

@@ -7,11 +7,15 @@ fields mean is decided by DataFrame expressions afterwards.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quillspark.functions import text as X
 from quillspark.functions.tables import cut, numbered
@@ -38,6 +42,8 @@ CREDIT = r"\s*\([^)]*Từ điển[^)]*\)\s*$"
 # Fixed values of catalogue pages: what names the author before a colon, and classes of elements that hold the name.
 CREDITS, AUTHORS, COLON = ["作者", "author"], {"book-author", "author"}, set(":：")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Rows whose values a Python worker holds as objects at once.
+ROWS = 64
 #: What the parser gives for a page.
 FIELDS = {
     "title": "string", "book": "string", "paragraphs": "array<string>", "lines": "array<string>", "meta": "map<string,string>", "ld": "array<string>",
@@ -199,6 +205,23 @@ def _without(node: list) -> list:
     return out
 
 
+def rowwise(function: Callable, kind: str) -> Callable[..., Column]:
+    """function over the values of Arrow columns, row by row; no more than ROWS rows are Python objects at once."""
+    arrow = to_arrow_type(DataType.fromDDL(kind))
+
+    def one(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            for at in range(0, len(column), ROWS):
+                yield pa.array([function(v) for v in column.slice(at, ROWS).to_pylist()], arrow)
+
+    def many(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for held in columns:
+            for at in range(0, len(held[0]), ROWS):
+                yield pa.array([function(*v) for v in zip(*(c.slice(at, ROWS).to_pylist() for c in held), strict=True)], arrow)
+
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else many, kind, ArrowUDFType.SCALAR_ITER)(*columns)
+
+
 def site(url: Column) -> Column:
     """The site of a URL by its host, with or without www., m. and wx.; null for other hosts."""
 
@@ -222,15 +245,12 @@ def parse_markup(pages: DataFrame, html: str = "html", at: str = "site", fields:
     """pages with a struct column `page` of what the markup holds, all of FIELDS or those named; null html is empty."""
     kinds = {n: t for n, t in FIELDS.items() if fields is None or n in fields}
 
-    @F.pandas_udf(", ".join(f"`{n}` {t}" for n, t in kinds.items()))
-    def parse(htmls: pd.Series, sites: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, s in zip(htmls, sites, strict=True):
-            rule = SITES.get(s, {})
-            rows.append(_page(h or "", rule.get("title", []) + TITLES, rule.get("body", []) + BODIES, list(kinds)))
-        return pd.DataFrame(rows, columns=list(kinds))
+    def parse(markup: str | None, name: str | None) -> dict:
+        rule = SITES.get(name, {})
+        page = _page(markup or "", rule.get("title", []) + TITLES, rule.get("body", []) + BODIES, list(kinds))
+        return page | {"meta": list(page["meta"].items())} if "meta" in page else page
 
-    return pages.withColumn("page", parse(F.col(html), F.col(at)))
+    return pages.withColumn("page", rowwise(parse, "struct<" + ",".join(f"`{n}`:{t}" for n, t in kinds.items()) + ">")(F.col(html), F.col(at)))
 
 
 def chapters_of_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -362,36 +382,30 @@ def entry_slugs(saved: DataFrame, html: str = "html") -> DataFrame:
 def decoded(content: Column) -> Column:
     """Bytes as UTF-8 if they are, else as GB18030 with replacement characters."""
 
-    @F.pandas_udf("string")
-    def other(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: None if b is None else bytes(b).decode("gb18030", "replace"))
-
+    other = rowwise(lambda b: None if b is None else b.decode("gb18030", "replace"), "string")
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "utf-8")).otherwise(other(content))
 
 
 def absolute(base: Column, href: Column) -> Column:
     """A link resolved against its page."""
 
-    @F.pandas_udf("string")
-    def resolve(bases: pd.Series, hrefs: pd.Series) -> pd.Series:
+    def resolve(at: str | None, link: str | None) -> str | None:
         from urllib.parse import urljoin
 
-        return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(bases, hrefs, strict=True)])
+        return None if link is None else urljoin(at or "", link)
 
-    return resolve(base, href)
+    return rowwise(resolve, "string")(base, href)
 
 
 def mhtml_part(value: Column) -> Column:
     """The first HTML part of an MHTML file (bytes), or null."""
 
-    @F.pandas_udf("string")
-    def part(values: pd.Series) -> pd.Series:
+    def part(held: bytes | None) -> str | None:
         from email import message_from_bytes, policy
 
-        out = []
-        for v in values:
-            message = message_from_bytes(bytes(v or b""), policy=policy.default)
-            out.append(next((m.get_content() for m in message.walk() if m.get_content_type() == "text/html"), None))
-        return pd.Series(out)
+        if not held:
+            return None
+        message = message_from_bytes(held, policy=policy.default)
+        return next((m.get_content() for m in message.walk() if m.get_content_type() == "text/html"), None)
 
-    return part(value)
+    return rowwise(part, "string")(value)

@@ -363,3 +363,27 @@ def test_idioms_built(spark):
     assert {tuple(r) for r in out["keys"].collect()} == {("壹二三四", "(Tục ngữ) x"), ("一二三四", "(Tục ngữ) x"), ("四四四四", "later")}
     none = dictionaries.idioms_built(glossary.limit(0), phrases.limit(0), forms.limit(0))
     assert none["keys"].count() == 0
+
+
+def test_rowwise(spark):
+    """A function over values gives every row in its place, nulls and structs with maps too, in pieces of ROWS rows."""
+    rows = spark.range(0, 1000, 1, 1).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"))
+    out = rows.select("id", pages.rowwise(lambda a, b: f"{a} {b}", "string")("id", "s").alias("two"), pages.rowwise(lambda a: {"m": [("k", a)], "n": None}, "struct<m:map<string,string>,n:bigint>")("s").alias("x")).collect()
+    assert [(r.id, r.two, r.x.m["k"], r.x.n) for r in out] == [(i, f"{i} {i if i % 3 else None}", str(i) if i % 3 else None, None) for i in range(1000)]
+
+
+def test_blocks_of_a_dictionary_search_are_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quillspark.operators import dictionary
+
+    trie, column = dictionary.Trie(["term", "a longer term"]), pa.array(["some text with a longer term in it. " * 100] * 2000)
+    tracemalloc.start()
+    found = 0
+    for _, offsets, data in dictionary.blocks(column):
+        text, byte, _ = dictionary.found_in(trie, offsets, data)
+        found += len(dictionary.characters(data, offsets, text, byte))
+    assert found == 400_000 and tracemalloc.get_traced_memory()[1] < 24 << 20
+    tracemalloc.stop()
