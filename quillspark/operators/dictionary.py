@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 #: Places that are walked at once, bytes of text that a block holds at about, and a byte that no UTF-8 text has.
-PLACES, BLOCK, GAP = 1 << 20, 4 << 20, 0xFF
+PLACES, BLOCK, GAP = 1 << 17, 1 << 18, 0xFF
 #: Entries that the table of a level may have at most to be looked up directly, not searched.
 DENSE = 1 << 22
 #: The mark around a rendering.
