@@ -753,9 +753,9 @@ def saved_page_files(spark, sf_dir):
     )
     plain = F.concat(F.lit("<!-- saved from url=(0)"), "url", F.lit(" -->\n"), "html")
     place = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
-    pages.select("page_id", F.when(F.col("url").contains("?"), wrapped).otherwise(plain).alias("value")).write.partitionBy("page_id").text(place)
+    P.save_pages(pages.select("page_id", F.when(F.col("url").contains("?"), wrapped).otherwise(plain).alias("value")), place)
     out = P.saved_pages(spark, place)
-    return out.select(F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "url", md5(F.col("html")).alias("html_md5"))
+    return out.select(F.regexp_extract("path", "-page_id=([0-9]+)[.]html$", 1).cast("long").alias("page_id"), "url", md5(F.col("html")).alias("html_md5"))
 
 
 #: Orders as links of a catalogue page for each customer: dear ones first, numbered by key unless their status is P.

@@ -343,6 +343,36 @@ def book_metadata(pages: DataFrame, key: str = "page_id", url: str = "url", html
     return rows.select(F.col("key").alias(key), plain(title).alias("original_title"), plain(author).alias("original_author"), plain(F.coalesce(tag("og:novel:category"), F.lit(""))).alias("genre"), plain(date).alias("publication_date"))
 
 
+def save_pages(pages: DataFrame, folder: str, key: str = "page_id", value: str = "value") -> int:
+    """The number of files written: a file "<row>-<key name>=<key>.html" for each row in a folder of its task, its value and a line break.
+
+    Files are written under another name and then moved, so that a task run again writes over what it left. There is one
+    folder for each task, not one for each page, and nothing that the driver would have to move page by page.
+    """
+    home = folder.rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        files, place = fs.FileSystem.from_uri(home) if "://" in home or home.startswith("file:") else (fs.LocalFileSystem(), home)
+        place, n = f"{place}/part-{TaskContext.get().partitionId():05d}", 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                if not n:
+                    files.create_dir(place, recursive=True)
+                for row in batch.slice(at, ROWS).to_pylist():
+                    name = f"{n}-{key}={row['key']}.html"
+                    waiting = f"{place}/_{TaskContext.get().taskAttemptId()}-{name}"
+                    with files.open_output_stream(waiting) as sink:
+                        sink.write(((row["value"] or "") + "\n").encode())
+                    files.move(waiting, f"{place}/{name}")
+                    n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return pages.select(F.col(key).alias("key"), F.col(value).alias("value")).mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, url, html) of the files of a folder, HTML or MHTML, of any encoding that decoded() knows.
 

@@ -387,3 +387,12 @@ def test_blocks_of_a_dictionary_search_are_small():
         found += len(dictionary.characters(data, offsets, text, byte))
     assert found == 400_000 and tracemalloc.get_traced_memory()[1] < 24 << 20
     tracemalloc.stop()
+
+
+def test_pages_saved_in_few_folders(spark, tmp_path):
+    """A file for each row, keys and contents repeated or null, in a folder for each task."""
+    rows = spark.createDataFrame([(i // 2 if i else None, f"page {i} é" if i % 7 else None) for i in range(200)], "page_id long, value string").coalesce(2)
+    assert pages.save_pages(rows, f"file://{tmp_path}/saved") == 200
+    assert len(list((tmp_path / "saved").iterdir())) <= 2
+    held = sorted((p.name.split("=")[1], p.read_text()) for p in (tmp_path / "saved").glob("*/*.html"))
+    assert held == sorted((f"{r.page_id}.html", (r.value or "") + "\n") for r in rows.collect())
