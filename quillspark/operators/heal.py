@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.functions import text as X
 from quillspark.functions.tables import cut, groups_fit, numbered, running, small
@@ -18,6 +21,8 @@ RATIO, PARAGRAPHS = 0.97, 3
 HEADS = 64
 #: Bytes that a text's character counts take at about.
 COUNTS = 4096
+#: Texts of a tile of near_pairs(), bins of characters that are compared first, and entries of counts compared at once.
+TILE, BINS, ENTRIES = 1024, 32, 1 << 22
 
 
 def character_counts(text: Column) -> Column:
@@ -31,24 +36,105 @@ def likeness(one: Column, two: Column, sizes: Column) -> Column:
     return 2 * F.aggregate(F.map_entries(one), F.lit(0).cast("long"), lambda s, x: s + F.least(x["value"], F.coalesce(F.try_element_at(two, x["key"]), F.lit(0).cast("long")))) / sizes
 
 
+@F.arrow_udf(T.BinaryType())
+def packed_counts(text: pa.Array) -> pa.Array:
+    """The characters of each text in order, then how often each occurs, all as 32-bit numbers."""
+
+    def packed(t: str) -> bytes:
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        if len(codes) and codes.max() < 1 << 16:
+            counts = np.bincount(codes)
+            kinds = np.flatnonzero(counts)
+            counts = counts[kinds]
+        else:
+            kinds, counts = np.unique(codes, return_counts=True)
+        return np.r_[kinds, counts].astype(np.uint32).tobytes()
+
+    return pa.array([packed(t.as_py() or "") for t in text], pa.binary())
+
+
+def _alike(counts: list[bytes], block: np.ndarray, n: np.ndarray, one: np.ndarray, two: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of `one` and of `two` of equal block that are alike, and their ratios; of one tile, pairs count once.
+
+    Rows are sorted by block and length n, so a row meets a run of `two`. Counts in BINS bins share at least what whole
+    counts share, so no pair is lost by them; whole counts decide.
+    """
+    packed = [np.frombuffer(c, np.uint32).reshape(2, -1) for c in counts]
+    sizes = np.array([p.shape[1] for p in packed])
+    kinds, many = np.concatenate(packed, axis=1).astype(np.int64)
+    starts, rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    bins = np.bincount(rows * BINS + kinds % BINS, many, BINS * len(sizes)).astype(np.int32).reshape(-1, BINS).T
+    theirs, sizes_two = np.ascontiguousarray(bins[:, two]), n[two]
+    places, far = block[two] << 40 | sizes_two, 2 / ratio - 1
+    low = np.searchsorted(places, block[one] << 40 | np.maximum(0, np.floor(n[one] / far).astype(np.int64) - 1))
+    high = np.searchsorted(places, block[one] << 40 | np.ceil(n[one] * far).astype(np.int64) + 1, "right")
+    if one is two:
+        low = np.maximum(low, np.arange(len(one)) + 1)
+    at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x, lo, hi in zip(one.tolist(), low.tolist(), high.tolist(), strict=True):
+        if lo < hi:
+            most = np.minimum(theirs[:, lo:hi], bins[:, x : x + 1]).sum(axis=0, dtype=np.int64)
+            near = two[lo:hi][2 * most / (n[x] + sizes_two[lo:hi]) >= ratio]
+            at.append(np.full(len(near), x))
+            to.append(near)
+    at, to = np.concatenate(at), np.concatenate(to)
+    marks, shared = rows << 32 | kinds, np.zeros(len(at), np.int64)
+    ends = np.cumsum(sizes[at])
+    for part in np.split(np.arange(len(at)), np.searchsorted(ends, np.arange(ENTRIES, ends[-1], ENTRIES), "right") if len(ends) else []):
+        own = sizes[at[part]]
+        pair = np.repeat(np.arange(len(part)), own)
+        here = np.arange(len(pair)) + np.repeat(starts[at[part]] - np.cumsum(own) + own, own)
+        mark = to[part][pair] << 32 | kinds[here]
+        spot = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
+        shared[part] = np.bincount(pair, np.where(marks[spot] == mark, np.minimum(many[here], many[spot]), 0), len(part)).astype(np.int64)
+    ratios = 2 * shared / (n[at] + n[to])
+    sure = ratios >= ratio
+    return at[sure], to[sure], ratios[sure]
+
+
 def near_pairs(df: DataFrame, block: list[str], key: str, text: str, ratio: float = RATIO) -> DataFrame:
     """(key_a, key_b, ratio) for distinct texts of a block that share at least `ratio` of their characters.
 
-    The ratio is twice the shared characters, counted with repeats, by both lengths. Lengths bound it, so a text
-    only meets texts of neighbouring length classes of its block, each class `1/ratio` wide; copies meet once. All
-    pairs are listed: for large blocks see near_keepers().
+    The ratio is twice the shared characters, counted with repeats, by both lengths. Copies meet once; null blocks and
+    keys take no part. All pairs are listed: for large blocks see near_keepers().
+
+    Texts are sorted by block and length and dealt into tiles of TILE rows. Lengths bound the ratio, so a tile meets
+    itself and those that begin within the reach of its last text; no task holds more than two tiles.
     """
     rows = df.select(*block, F.col(key).alias("_k"), F.col(text).alias("_t")).where(F.length("_t") > 0)
-    rows = rows.groupBy(*block, "_t").agg(F.min("_k").alias("_k"))
-    width = 1 / (2 / ratio - 1)
-    rows = rows.withColumn("_n", F.length("_t")).withColumn("_size", F.floor(F.log(F.col("_n").cast("double")) / -F.log(F.lit(width))))
-    rows = rows.withColumn("_hist", character_counts(F.col("_t"))).drop("_t")
-    side = lambda name: F.struct(F.col("_k").alias("k"), F.col("_n").alias("n"), F.col("_hist").alias("hist"), F.col("_size").alias("cls")).alias(name)
-    one = rows.select(*block, F.explode(F.array("_size", F.col("_size") + 1)).alias("_cls"), side("_one"))
-    two = rows.select(*block, F.col("_size").alias("_cls"), side("_two"))
-    met = one.join(two, [*block, "_cls"]).where((F.col("_one.cls") < F.col("_two.cls")) | (F.col("_one.k") < F.col("_two.k")))
-    met = met.withColumn("ratio", likeness(F.col("_one.hist"), F.col("_two.hist"), F.col("_one.n") + F.col("_two.n"))).where(F.col("ratio") >= ratio)
-    return met.select(*block, F.least("_one.k", "_two.k").alias("key_a"), F.greatest("_one.k", "_two.k").alias("key_b"), "ratio")
+    for c in (*block, "_k"):
+        rows = rows.where(F.col(c).isNotNull())
+    # Blocks of one row are left out by a hash: a block that shares one with another only stays in longer.
+    rows = rows.withColumn("_h", F.xxhash64(*block))
+    crowded = cut(rows.groupBy("_h").agg(F.count("*").alias("_m")).where("_m > 1").select("_h"))
+    rows = rows.join(small(crowded, 16), "_h", "left_semi").select(*block, "_k", F.length("_t").cast("long").alias("_n"), F.sha2("_t", 256).alias("_d"), packed_counts("_t").alias("_counts"))
+    texts = rows.groupBy(*block, "_d").agg(F.min("_k").alias("_k"), F.first("_n").alias("_n"), F.first("_counts").alias("_counts"))
+    texts = cut(texts.drop("_d").withColumn("_b", F.sha2(F.to_json(F.struct(*block)), 256)))
+    order, tasks = ["_b", "_n", "_k"], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = texts.repartitionByRange(max(1, min(tasks, texts.count() // (4 * TILE))), *order).withColumn("_range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    tiled = cut(ranged.withColumn("_tile", F.struct("_range", F.floor((place - 1) / TILE).alias("_place"))).drop("_range"))
+    ends = tiled.groupBy("_tile").agg(F.min(F.struct("_b", "_n")).alias("_first"), F.max(F.struct("_b", "_n")).alias("_last"))
+    ends = cut(ends)
+    one, two = ends.select(F.col("_tile").alias("_one"), F.col("_last._b").alias("_b"), F.col("_last._n").alias("_n1")), ends.select(F.col("_tile").alias("_two"), F.col("_first._b").alias("_b"), F.col("_first._n").alias("_n2"))
+    met = one.join(two, "_b").where((F.col("_one") < F.col("_two")) & (2 * F.col("_n1") + 1 >= ratio * (F.col("_n1") + F.col("_n2")))).select("_one", "_two")
+    met = cut(met.unionByName(ends.select(F.col("_tile").alias("_one"), F.col("_tile").alias("_two"))))
+    sides = met.select("_one", "_two", F.posexplode(F.array_distinct(F.array("_one", "_two"))).alias("_side", "_tile"))
+    kind = texts.schema["_k"].dataType
+    schema = T.StructType([*[texts.schema[c] for c in block], T.StructField("_x", kind), T.StructField("_y", kind), T.StructField("ratio", T.DoubleType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        codes = table.column("_b").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        n = table.column("_n").to_numpy()
+        by = np.lexsort((n, codes))
+        table, side = table.take(by), table.column("_side").to_numpy()[by]
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        at, to, ratios = _alike([c.as_py() for c in table.column("_counts")], codes[by], n[by], first, second if len(second) else first, ratio)
+        return pa.Table.from_arrays([*[table.column(c).take(at) for c in block], table.column("_k").take(at), table.column("_k").take(to), pa.array(ratios)], names=schema.names)
+
+    cells = tiled.join(small(sides, 64), "_tile").select("_one", "_two", "_side", *block, "_b", "_n", "_k", "_counts")
+    found = cells.groupBy("_one", "_two").applyInArrow(run, schema).where("_x <> _y")
+    return found.select(*block, F.least("_x", "_y").alias("key_a"), F.greatest("_x", "_y").alias("key_b"), "ratio")
 
 
 def near_keepers(df: DataFrame, block: list[str], key: str, text: str, ratio: float = RATIO, count: str | None = None) -> DataFrame:
