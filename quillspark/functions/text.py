@@ -36,6 +36,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def filled(c: Column) -> Column:
+    """Whether anything is left of a text once it is stripped; null of null."""
+    return c.rlike(r"(?U)\S")
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -174,7 +179,7 @@ def http_status_class(code: Column) -> Column:
 
 def api_outcome(code: Column, body: Column) -> Column:
     """ok, retry or stop of one call of the model API: no credit stops all, an empty body and other errors are retried."""
-    return F.when(code == 402, "stop").when((code == 200) & (F.length(strip(F.coalesce(body, F.lit("")))) > 0), "ok").otherwise("retry")
+    return F.when(code == 402, "stop").when((code == 200) & (filled(F.coalesce(body, F.lit("")))), "ok").otherwise("retry")
 
 
 def has_script(c: Column, script: str = CJK) -> Column:

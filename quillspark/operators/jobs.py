@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut
+from quillspark.functions.tables import cut, small
 from quillspark.operators import chapters as C
 from quillspark.operators import novel_run as N
 from quillspark.operators import validation
@@ -31,17 +31,19 @@ def run_novels(raw: DataFrame, translated: DataFrame, replies: DataFrame, cache:
     healed = heal(raw, translated)
     done = cut(healed["translated"])
     before = done.groupBy("novel_id").agg(F.count("*").alias("before"))
-    chapters = C.labels(healed["raw"]).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
-    todo = cut(chapters.join(before, "novel_id", "left").where(F.col("pos") >= F.coalesce("before", F.lit(0))).drop("before"))
+    # Texts of all chapters are met with their healed places once; later steps read what was written then.
+    chapters = cut(C.labels(healed["raw"]).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs"))))
+    before = small(cut(before), 64)
+    todo = chapters.join(before, "novel_id", "left").where(F.col("pos") >= F.coalesce("before", F.lit(0))).drop("before")
     left = cut(healed["stash"].unionByName(stash.select("novel_id", "hash", "title", "paragraphs")))
     asked = todo.select("novel_id", "pos", "hash").join(replies.distinct(), "hash").drop("hash")
-    run = N.translate(todo.drop("hash"), asked, cache, left, glossary, script)
+    run = N.translate(todo, asked, cache, left, glossary, script)
     written = cut(run["written"])
     fresh = todo.join(written.select("novel_id", "pos"), ["novel_id", "pos"], "left_semi")
     unused = cut(N.unused_terms(fresh, written, N.chapter_terms(fresh, glossary, common)))
     whole = done.unionByName(written.drop("origin"))
-    warnings = cut(validation.report(healed["raw"], whole, script))
-    pages = cut(N.book_pages(whole.withColumn("is_title_entry", F.lit(False))))
+    warnings = cut(validation.report(chapters, whole, script))
+    pages = N.book_pages(whole.withColumn("is_title_entry", F.lit(False)))
     manifest = cut(N.book_manifest(pages, profiles))
     count = lambda df, name: df.groupBy("novel_id").agg(F.count("*").alias(name))
     summary = profiles.select("novel_id").distinct().join(healed["summary"].select("novel_id", "total", "duplicates", "moved"), "novel_id", "left").join(before, "novel_id", "left")
@@ -51,7 +53,7 @@ def run_novels(raw: DataFrame, translated: DataFrame, replies: DataFrame, cache:
     numbers = ["total", "duplicates", "moved", "before", "written", "kept", "failed", "waiting", "unused", "warnings", "pages"]
     used = left.join(written.where("origin = 'stash'").join(todo, ["novel_id", "pos"]).select("hash").distinct(), "hash", "left_semi").select("hash")
     return {
-        "raw": healed["raw"], "translated": whole, "cache": run["kept"], "stash": take_stashed(left, used)[1], "new_terms": run["new_terms"],
+        "raw": chapters.select("novel_id", "pos", "title", "paragraphs"), "translated": whole, "cache": run["kept"], "stash": take_stashed(left, used)[1], "new_terms": run["new_terms"],
         "unused": unused, "warnings": warnings, "pages": pages, "manifest": manifest,
         "summary": summary.select("novel_id", status.alias("status"), *[F.coalesce(F.col(n), F.lit(0)).cast("long").alias(n) for n in numbers]),
     }

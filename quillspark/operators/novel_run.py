@@ -135,12 +135,12 @@ def attempted(chapters: DataFrame, replies: DataFrame, script: str = X.CJK) -> D
     replies(novel_id, pos, attempt, code, body). verdict is ok, stop where the account ran out, else why the last
     attempt was refused: retry (no answer), reply (no paragraphs found), paragraphs or script.
     """
-    asked = chapters.select("novel_id", "pos", F.col("paragraphs").alias("source"))
+    asked = chapters.select("novel_id", "pos", F.size("paragraphs").alias("size"))
     rows = replies.where(F.col("attempt") <= ATTEMPTS).join(asked, ["novel_id", "pos"])
     rows = rows.withColumn("outcome", X.api_outcome(F.col("code"), F.col("body"))).withColumn("r", F.when(F.col("outcome") == "ok", responses.reply(F.col("body"))))
-    full = F.filter("r.paragraphs", lambda p: p.isNotNull() & (X.strip(p) != ""))
+    full = F.filter("r.paragraphs", lambda p: p.isNotNull() & X.filled(p))
     rows = rows.withColumn("done", F.transform(full, lambda p: F.replace(X.repair(p), F.lit("​"), F.lit(""))))
-    verdict = F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("r").isNull(), "reply").otherwise(validation.gate(F.col("source"), F.col("done"), script))
+    verdict = F.when(F.col("outcome") != "ok", F.col("outcome")).when(F.col("r").isNull(), "reply").otherwise(validation.sized_gate(F.col("size"), F.col("done"), script))
     rows = rows.withColumn("verdict", verdict).withColumn("made", F.struct(F.col("r.title").alias("title"), F.col("done").alias("paragraphs"), F.col("r.new_terms").alias("new_terms"), F.col("r.idioms").alias("idioms")))
     passed = F.col("verdict") == "ok"
     return rows.groupBy("novel_id", "pos").agg(
@@ -152,13 +152,14 @@ def attempted(chapters: DataFrame, replies: DataFrame, script: str = X.CJK) -> D
 def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash: DataFrame, glossary: DataFrame, script: str = X.CJK) -> dict[str, DataFrame]:
     """written, kept, failed, new_terms and summary of one run over all novels.
 
-    chapters(novel_id, pos, title, paragraphs), with a column label if they are not to be labelled here; a chapter's
+    chapters(novel_id, pos, title, paragraphs), with columns label and hash if they are not to be made here; a chapter's
     result is its stashed one (hash, title, paragraphs), else
     one of the cache that still fits (novel_id, pos, title, paragraphs, source_hash), else the first reply that passes.
     Chapters are written in order up to the first without a result (failed); later results are kept for the next run.
     Only written chapters give new terms to the glossary (novel_id, ord, zh, vi), and none replaces one of it.
     """
-    rows = (chapters if "label" in chapters.columns else C.labels(chapters)).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
+    rows = chapters if "label" in chapters.columns else C.labels(chapters)
+    rows = rows if "hash" in rows.columns else rows.withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
     stashed = stash.groupBy("hash").agg(F.first(F.struct("title", "paragraphs")).alias("s"))
     saved = cache.select("novel_id", "pos", F.struct("title", "paragraphs").alias("c"), "source_hash")
     rows = rows.join(stashed, "hash", "left").join(saved, ["novel_id", "pos"], "left").join(attempted(chapters, replies, script), ["novel_id", "pos"], "left")
@@ -170,15 +171,16 @@ def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash:
     title = F.coalesce(F.nullif(X.chapter_title(pick("title"), F.col("label")), F.lit("")), F.col("title"))
     rows = cut(rows.select("novel_id", "pos", "title", F.col("paragraphs").alias("source"), "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict")))
     # The first chapter without a result ends what is written; that is settled on keys alone.
-    keys = running(rows.select("novel_id", "pos", "origin"), ["novel_id"], ["pos"], {"gap": ("sum", F.col("origin").isNull().cast("int"))})
+    keys = running(rows.select("novel_id", "pos", "origin", "verdict"), ["novel_id"], ["pos"], {"gap": ("sum", F.col("origin").isNull().cast("int"))})
     gap = F.col("gap")
     place = F.when(gap == 0, "written").when(F.col("origin").isNotNull(), "kept").when(gap == 1, "failed").otherwise("waiting")
-    rows = cut(rows.join(keys.select("novel_id", "pos", place.alias("place")), ["novel_id", "pos"]))
+    keys = cut(keys.select("novel_id", "pos", "verdict", place.alias("place")))
+    rows = rows.join(small(keys.select("novel_id", "pos", "place"), 64), ["novel_id", "pos"])
     written = rows.where("place = 'written'")
     text = X.chapter_text(F.col("title"), F.col("source"))
     proposed = written.where("origin = 'reply'").select("novel_id", "pos", text.alias("text"), F.explode("new_terms").alias("zh", "vi"))
     proposed = proposed.where(terms.admitted_term(F.col("zh"), F.col("vi"), F.col("text"), script)).select("novel_id", F.struct("pos", "zh").alias("ord"), "zh", "vi", F.col("zh").alias("key"))
-    counts = rows.groupBy("novel_id").agg(*[F.count_if(F.col("place") == p).alias(p) for p in ("written", "kept", "failed", "waiting")], F.max((F.col("place") == "failed") & (F.col("verdict") == "stop")).alias("stop"))
+    counts = keys.groupBy("novel_id").agg(*[F.count_if(F.col("place") == p).alias(p) for p in ("written", "kept", "failed", "waiting")], F.max((F.col("place") == "failed") & (F.col("verdict") == "stop")).alias("stop"))
     status = F.when(F.col("failed") == 0, "done").when(F.col("stop"), "stopped_balance").otherwise("stopped")
     return {
         "written": written.select("novel_id", "pos", "origin", F.col("done_title").alias("title"), F.col("done").alias("paragraphs")),

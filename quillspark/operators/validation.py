@@ -10,8 +10,12 @@ from quillspark.functions import text as X
 
 def gate(source: Column, target: Column, script: str = X.CJK) -> Column:
     """Why a translated chapter is refused (paragraphs, script), or ok."""
-    left = F.regexp_count(F.array_join(target, "\n"), F.lit(f"[{script}]+"))
-    return F.when(F.size(source) != F.size(target), "paragraphs").when(left > 0, "script").otherwise("ok")
+    return sized_gate(F.size(source), target, script)
+
+
+def sized_gate(size: Column, target: Column, script: str = X.CJK) -> Column:
+    """gate() of a chapter that has `size` paragraphs."""
+    return F.when(size != F.size(target), "paragraphs").when(X.has_script(F.array_join(target, "\n"), script), "script").otherwise("ok")
 
 
 def report(raw: DataFrame, translated: DataFrame, script: str = X.CJK) -> DataFrame:
@@ -20,7 +24,7 @@ def report(raw: DataFrame, translated: DataFrame, script: str = X.CJK) -> DataFr
     Inputs are (novel_id, pos, title, paragraphs) without title entries, pos from 0. An empty chapter has no other
     warnings; blank paragraphs do not count. chapter is null for totals.
     """
-    full = F.filter("paragraphs", lambda p: X.strip(F.coalesce(p, F.lit(""))) != "")
+    full = F.filter("paragraphs", lambda p: X.filled(F.coalesce(p, F.lit(""))))
     ours = translated.select("novel_id", "pos", full.alias("t"))
     theirs = raw.select("novel_id", "pos", F.size(full).alias("r"))
     both = ours.join(theirs, ["novel_id", "pos"], "left").withColumn("n", F.size("t"))

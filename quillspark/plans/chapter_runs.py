@@ -213,11 +213,13 @@ def novel_jobs(spark, sf_dir):
     A translated line is the letters of its digest. The first reply fails for each third number of lines; each second
     number has another reply, which for each seventh finds the account empty.
     """
-    chapters = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), F.lit("a title").alias("title"), lines_of(F.col("text")).alias("paragraphs")).where(F.size("paragraphs") > 0)
-    done = F.transform("paragraphs", lambda p: F.regexp_replace(F.sha2(p, 256), "[0-9]", ""))
-    translated = chapters.where("pos % 16 <> 15").withColumns({"title": F.lit("t"), "paragraphs": done})
+    texts = table(spark, sf_dir, "documents").where(X.filled(F.col("text"))).select(F.col("source").alias("novel_id"), F.col("doc_id").alias("pos"), lines_of(F.col("text")).alias("paragraphs"))
+    # Lines are cut and translated once; the job reads them many times.
+    rows = cut(texts.withColumn("done", F.transform("paragraphs", lambda p: F.regexp_replace(F.sha2(p, 256), "[0-9]", ""))))
+    chapters = rows.select("novel_id", "pos", F.lit("a title").alias("title"), "paragraphs", "done")
+    translated = rows.where("pos % 16 <> 15").select("novel_id", "pos", F.lit("t").alias("title"), F.col("done").alias("paragraphs"))
     n = F.size("paragraphs")
-    body = F.to_json(F.struct(F.lit("t").alias("title"), done.alias("paragraphs")))
+    body = F.to_json(F.struct(F.lit("t").alias("title"), F.col("done").alias("paragraphs")))
     first = F.struct(F.lit(1).alias("attempt"), F.when(n % 3 == 0, 500).otherwise(200).alias("code"))
     second = F.when(n % 2 == 0, F.struct(F.lit(2).alias("attempt"), F.when(n % 7 == 0, 402).otherwise(200).alias("code")))
     answered = chapters.select(X.content_hash(F.col("title"), F.col("paragraphs")).alias("hash"), body.alias("body"), F.array_compact(F.array(first, second)).alias("tries"))
@@ -229,7 +231,7 @@ def novel_jobs(spark, sf_dir):
     cache = spark.createDataFrame([], "novel_id string, pos int, title string, paragraphs array<string>, source_hash string")
     stash = spark.createDataFrame([], "novel_id string, hash string, title string, paragraphs array<string>")
     common = spark.createDataFrame([], "word string")
-    out = jobs.run_novels(chapters, translated, replies, cache, stash, glossary, common, novels, "0-9")["summary"]
+    out = jobs.run_novels(chapters.drop("done"), translated, replies, cache, stash, glossary, common, novels, "0-9")["summary"]
     return out.drop("moved").withColumnRenamed("novel_id", "source")
 
 

@@ -118,3 +118,9 @@ def test_status_classes(spark):
     assert [r.o for r in codes.select(X.http_status_class(F.col("c")).alias("o")).collect()] == ["ok", "ok", "missing", "missing", "missing", "retry", "retry", "retry"]
     calls = spark.createDataFrame([(200, "x"), (200, " "), (402, None), (429, None), (400, "e")], "c int, b string")
     assert [r.o for r in calls.select(X.api_outcome(F.col("c"), F.col("b")).alias("o")).collect()] == ["ok", "retry", "stop", "retry", "retry"]
+
+
+def test_filled_is_what_stripping_leaves(spark):
+    ends = [chr(i) for i in (*range(0x3100), 0xFEFF, 0x1F600) if not 0xD800 <= i < 0xE000]
+    rows = spark.createDataFrame([(t,) for c in ends for t in (c, c * 2, f" {c}\n", f"{c}x")] + [("",), (None,)], "t string")
+    assert rows.where(~X.filled(F.col("t")).eqNullSafe(X.strip(F.col("t")) != "")).count() == 0
