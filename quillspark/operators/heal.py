@@ -188,12 +188,13 @@ def paired(raw: Column, translated: Column) -> Column:
 
 
 def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
-    """raw, translated, stash and summary of all novels, from (novel_id, pos, title, paragraphs) without title entries.
+    """raw, translated, stash, places and summary of all novels, from (novel_id, pos, title, paragraphs) without title entries.
 
     A novel whose translation does not fit its raw chapters is left alone. Chapters equal in title and paragraphs, or
     of one numbered title and nearly alike a chapter that is kept, are one; a translation of any copy is kept. Chapters are sorted by number if
     numbers are not repeated and at least half have one; others follow the numbered chapter before them. Translations
-    up to the first gap stay in place, later ones go to the stash by content hash.
+    up to the first gap stay in place, later ones go to the stash by content hash. places has the old and new place of
+    each chapter that stays, its number and its hash.
     """
     # All is settled on keys; titles, paragraphs and translations are read again for what stays, and bodies before that
     # only for chapters that share a numbered title with others of their novel.
@@ -221,7 +222,7 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
     keys = keys.withColumn("place", F.when(F.col("sortable"), F.coalesce("carried", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long")))
     keys = numbered(keys, ["novel_id"], ["place", "pos"], "new_pos", small_groups=small_groups)
     keys = running(keys, ["novel_id"], ["place", "pos"], {"gap": ("sum", F.col("open"))}, small_groups=small_groups).withColumns({"new_pos": F.col("new_pos") - 1, "old_rank": F.col("old_rank") - 1})
-    keys = cut(keys.select("novel_id", "pos", "hash", "done_pos", F.col("new_pos").cast("int").alias("new_pos"), "old_rank", "gap"))
+    keys = cut(keys.select("novel_id", "pos", "hash", "done_pos", F.col("new_pos").cast("int").alias("new_pos"), "old_rank", "gap", "number"))
     stays = small(keys.select("novel_id", "pos", "new_pos"), 64)
     placed = translated.join(small(keys.where("done_pos IS NOT NULL").select("novel_id", F.col("done_pos").alias("pos"), "new_pos", "hash", "gap"), 128), ["novel_id", "pos"])
     counts = keys.groupBy("novel_id").agg(F.count("*").alias("total"), F.sum((F.col("gap") == 0).cast("int")).alias("translated"), F.sum(((F.col("gap") > 0) & F.col("done_pos").isNotNull()).cast("int")).alias("stashed"), F.sum((F.col("new_pos") != F.col("old_rank")).cast("int")).alias("moved"))
@@ -231,6 +232,7 @@ def heal(raw: DataFrame, translated: DataFrame) -> dict[str, DataFrame]:
         "raw": raw.join(stays, ["novel_id", "pos"]).select("novel_id", F.col("new_pos").alias("pos"), "title", "paragraphs"),
         "translated": placed.where("gap = 0").select("novel_id", F.col("new_pos").alias("pos"), "title", "paragraphs"),
         "stash": placed.where("gap > 0").select("novel_id", "hash", "title", "paragraphs"), "summary": summary,
+        "places": keys.select("novel_id", "pos", "new_pos", "number", "hash"),
     }
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
 from quillspark.functions.tables import cut, small
-from quillspark.operators import chapters as C
 from quillspark.operators import novel_run as N
 from quillspark.operators import validation
 from quillspark.operators.heal import heal, take_stashed
@@ -32,7 +31,10 @@ def run_novels(raw: DataFrame, translated: DataFrame, replies: DataFrame, cache:
     done = cut(healed["translated"])
     before = done.groupBy("novel_id").agg(F.count("*").alias("before"))
     # Texts of all chapters are met with their healed places once; later steps read what was written then.
-    chapters = cut(C.labels(healed["raw"]).withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs"))))
+    places = healed["places"]
+    most = places.groupBy("novel_id").agg((F.count("number") * 2 >= F.count("*")).alias("most"))
+    places = places.join(most, "novel_id").select("novel_id", "pos", "new_pos", F.when(F.col("most"), F.col("number")).otherwise((F.col("new_pos") + 1).cast("long")).alias("label"), "hash")
+    chapters = cut(raw.join(small(places, 128), ["novel_id", "pos"]).select("novel_id", F.col("new_pos").alias("pos"), "title", "paragraphs", "label", "hash"))
     before = small(cut(before), 64)
     todo = chapters.join(before, "novel_id", "left").where(F.col("pos") >= F.coalesce("before", F.lit(0))).drop("before")
     left = cut(healed["stash"].unionByName(stash.select("novel_id", "hash", "title", "paragraphs")))

@@ -160,16 +160,18 @@ def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash:
     """
     rows = chapters if "label" in chapters.columns else C.labels(chapters)
     rows = rows if "hash" in rows.columns else rows.withColumn("hash", X.content_hash(F.col("title"), F.col("paragraphs")))
+    # Results meet the chapters' sizes and titles; their texts are read again only for those that propose terms.
+    rows = rows.select("novel_id", "pos", "title", F.size("paragraphs").alias("size"), "label", "hash")
     stashed = stash.groupBy("hash").agg(F.first(F.struct("title", "paragraphs")).alias("s"))
     saved = cache.select("novel_id", "pos", F.struct("title", "paragraphs").alias("c"), "source_hash")
     rows = rows.join(stashed, "hash", "left").join(saved, ["novel_id", "pos"], "left").join(attempted(chapters, replies, script), ["novel_id", "pos"], "left")
     own = F.col("source_hash").isNull() | (F.col("source_hash") == F.col("hash"))
-    fits = F.coalesce(own & (F.size("c.paragraphs") == F.size("paragraphs")) & ~X.has_script(F.array_join("c.paragraphs", "\n"), script), F.lit(False))
+    fits = F.coalesce(own & (F.size("c.paragraphs") == F.col("size")) & ~X.has_script(F.array_join("c.paragraphs", "\n"), script), F.lit(False))
     origin = F.when(F.col("s").isNotNull(), "stash").when(fits, "cache").when(F.col("reply").isNotNull(), "reply")
     rows = rows.withColumn("origin", origin)
     pick = lambda field: F.when(F.col("origin") == "stash", F.col(f"s.{field}")).when(F.col("origin") == "cache", F.col(f"c.{field}")).otherwise(F.col(f"reply.{field}"))
     title = F.coalesce(F.nullif(X.chapter_title(pick("title"), F.col("label")), F.lit("")), F.col("title"))
-    rows = cut(rows.select("novel_id", "pos", "title", F.col("paragraphs").alias("source"), "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict")))
+    rows = cut(rows.select("novel_id", "pos", "title", "hash", "origin", title.alias("done_title"), pick("paragraphs").alias("done"), "reply.new_terms", "reply.idioms", F.coalesce("verdict", F.lit("retry")).alias("verdict")))
     # The first chapter without a result ends what is written; that is settled on keys alone.
     keys = running(rows.select("novel_id", "pos", "origin", "verdict"), ["novel_id"], ["pos"], {"gap": ("sum", F.col("origin").isNull().cast("int"))})
     gap = F.col("gap")
@@ -177,8 +179,9 @@ def translate(chapters: DataFrame, replies: DataFrame, cache: DataFrame, stash:
     keys = cut(keys.select("novel_id", "pos", "verdict", place.alias("place")))
     rows = rows.join(small(keys.select("novel_id", "pos", "place"), 64), ["novel_id", "pos"])
     written = rows.where("place = 'written'")
-    text = X.chapter_text(F.col("title"), F.col("source"))
-    proposed = written.where("origin = 'reply'").select("novel_id", "pos", text.alias("text"), F.explode("new_terms").alias("zh", "vi"))
+    text = X.chapter_text(F.col("title"), F.col("paragraphs"))
+    proposed = written.where("origin = 'reply' AND size(new_terms) > 0").select("novel_id", "pos", "title", "new_terms")
+    proposed = proposed.join(chapters.select("novel_id", "pos", "paragraphs"), ["novel_id", "pos"]).select("novel_id", "pos", text.alias("text"), F.explode("new_terms").alias("zh", "vi"))
     proposed = proposed.where(terms.admitted_term(F.col("zh"), F.col("vi"), F.col("text"), script)).select("novel_id", F.struct("pos", "zh").alias("ord"), "zh", "vi", F.col("zh").alias("key"))
     counts = keys.groupBy("novel_id").agg(*[F.count_if(F.col("place") == p).alias(p) for p in ("written", "kept", "failed", "waiting")], F.max((F.col("place") == "failed") & (F.col("verdict") == "stop")).alias("stop"))
     status = F.when(F.col("failed") == 0, "done").when(F.col("stop"), "stopped_balance").otherwise("stopped")
