@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -36,6 +37,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark, *paths: str) -> None:
+    """Delete written steps that nothing will read again, and let go of the shuffle files of jobs that are done.
+
+    Spark deletes the files of shuffles that nothing refers to when the driver collects its garbage.
+    """
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(table: DataFrame, width: int, most: int = BROADCAST) -> DataFrame:
     """A table to be broadcast if its rows, counted, take `most` bytes at `width` each; else as it is, to be shuffled."""
     return F.broadcast(table) if table.count() * width <= most else table
@@ -72,6 +85,28 @@ def numbered(df: DataFrame, group: list[str], order: list[str | Column], name: s
     return out.select(*df.columns, (F.col("_offset") + F.col("_inside")).alias(name))
 
 
+def numbered_wide(df: DataFrame, group: str, order: str, name: str = "number", rows: int = 8192) -> DataFrame:
+    """df, whose rows are wide, with the 1-based place of each row in its group; each row moves once.
+
+    Keys alone are numbered first: each rows-th of a group starts a range, and ranges are counted. Then rows go to
+    their ranges, which are sorted each by itself, and come out in order there.
+    """
+    keys = cut(df.select(F.col(group).alias("_g"), F.col(order).alias("_o")))
+    starts = numbered(keys, ["_g"], ["_o"], "_n").where(f"_n % {rows} = 0").groupBy("_g").agg(F.sort_array(F.collect_set("_o")).alias("_starts"))
+    starts = small(cut(starts.withColumnRenamed("_g", "_s")), 8 * rows)
+
+    def ranged(df: DataFrame, key: str, value: str) -> DataFrame:
+        found = F.when(F.col("_starts").isNull(), 0).otherwise(F.size(F.filter("_starts", lambda x: x <= F.col(value))))
+        return df.join(starts, F.col(key).eqNullSafe(F.col("_s")), "left").select(*df.columns, found.alias("_range"))
+
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged(keys, "_g", "_o").groupBy("_g", "_range").agg(F.count("*").alias("_n")).withColumn("_offset", F.sum("_n").over(before))
+    offsets = small(cut(counts.where("_range > 0").select("_g", F.col("_range").alias("_r"), "_offset")), 64)
+    inside = ranged(df, group, order).withColumn("_inside", F.row_number().over(Window.partitionBy(group, "_range").orderBy(order)))
+    out = inside.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")), "left")
+    return out.select(*df.columns, (F.coalesce(F.col("_offset"), F.lit(0)) + F.col("_inside")).alias(name))
+
+
 def running(df: DataFrame, group: list[str], order: list[str | Column], columns: dict[str, tuple[str, Column]], before: bool = False, most: int = GROUP, small_groups: bool | None = None) -> DataFrame:
     """df with running values of each group in order: name -> (how, what), how being sum, last or max; nulls don't count.
 

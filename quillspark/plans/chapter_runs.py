@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.tables import cut, numbered, shared_folder
+from quillspark.functions.tables import cut, dropped, numbered, numbered_wide, shared_folder
 from quillspark.operators import jobs
 from quillspark.operators import novel_run as N
 from quillspark.plans.queries import as_novels, lines_of, query, table
@@ -247,18 +247,27 @@ def streaming_glossary(spark, sf_dir):
 
     A chapter's reply is its text in capitals, and proposes the text's first word of 6 to 12 small letters as a term.
     """
-    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("novel_id"), "doc_id", "lang", lines_of(F.col("text")).alias("paragraphs"), F.regexp_extract("text", "[a-z]{6,12}", 0).alias("zh")).where(F.size("paragraphs") > 0)
-    said = numbered(docs, ["novel_id"], ["doc_id"]).select("novel_id", (F.col("number") - 1).alias("pos"), F.lit("").alias("title"), "paragraphs", "lang", "zh")
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(place)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    docs = table(spark, sf_dir, "documents").where(X.filled(F.col("text"))).select(F.col("source").alias("novel_id"), "doc_id", "lang", "text")
+    numbered_wide(docs, "novel_id", "doc_id").write.options(**E.ZSTD).parquet(f"{place}/numbered")
+    dropped(spark)
+    rows = spark.read.parquet(f"{place}/numbered")
+    said = rows.select("novel_id", (F.col("number") - 1).alias("pos"), F.lit("").alias("title"), lines_of(F.col("text")).alias("paragraphs"), "lang", F.regexp_extract("text", "[a-z]{6,12}", 0).alias("zh"))
     named = F.when(F.col("zh") != "", F.create_map("zh", F.concat(F.upper("zh"), F.lit(" "), F.upper("lang"))))
     done = F.transform("paragraphs", F.upper)
     body = F.to_json(F.struct(F.upper("title").alias("title"), done.alias("paragraphs"), named.alias("new_terms")))
     replies = said.select("novel_id", "pos", F.lit(1).alias("attempt"), body.alias("body"))
-    events = cut(E.chapter_events(said).unionByName(E.reply_events(replies, "a-z")))
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = E.chapter_events(said).unionByName(E.reply_events(replies, "a-z"))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(rows.select("novel_id").distinct().count(), 1))
     first = F.pmod(F.xxhash64("novel_id", "pos", "attempt"), F.lit(2)) == 0
-    for part in (first, ~first):
-        events.where(part).write.mode("append").parquet(f"{place}/in")
-        out = E.run(spark, f"{place}/in", f"{place}/out", f"{place}/state")
+    for part, read in ((first, []), (~first, ["numbered"])):
+        events.where(part).write.mode("append").options(**E.ZSTD).parquet(f"{place}/in")
+        dropped(spark, *[f"{place}/{step}" for step in read])
+        out = E.run(spark, f"{place}/in", f"{place}/out", f"{place}/state", tasks=tasks)
+        # What the stream has committed it doesn't read again.
+        dropped(spark, f"{place}/in")
     used = F.from_json("used", "map<string,string>")
     lines = F.transform(F.map_entries(used), lambda x: F.concat(x["key"], F.lit(" = "), x["value"]))
     return out.select("novel_id", "pos", F.size(used).cast("long").alias("n_used"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("used_md5"), F.coalesce(F.try_element_at(F.map_keys(F.from_json("added", "map<string,string>")), F.lit(1)), F.lit("")).alias("added"))

@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +20,18 @@ from quillspark.sources import responses
 
 #: Chapters between two purges of the terms' metadata, and chapters that a term used once may lie idle.
 PURGE, IDLE = 20, 100
-#: Characters of a batch's rows of a novel that wait in memory at most; first characters by which terms are found, as numbers of so many bits.
+#: Bytes of a batch's packs of a novel that wait in memory at most; first characters by which terms are found, as numbers of so many bits.
 HELD, BEGIN, SEEN = 32 << 20, 6, 22
+#: Chapters in a row whose events are packed together, and how hard packs are compressed.
+BLOCK, LEVEL = 256, 9
+#: How Parquet files of a stream are written.
+ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "6"}
 EVENTS = "novel_id string, pos long, attempt long, body string"
+PACKS = "novel_id string, block long, pack binary"
 WRITTEN = "novel_id string, pos long, attempt long, title string, paragraphs string, used string, added string, purged long"
 COLUMNS = [c.split()[0] for c in WRITTEN.split(", ")]
+#: How often executors look for stores whose run has ended, to take them off their disks.
+UNLOAD = "10s"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -32,6 +40,40 @@ def rocks(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def _pack(events: list[tuple[int, str]]) -> bytes:
+    """Events (place, body) as one compressed value: its size before, their number, places, lengths and bodies."""
+    bodies = [body.encode("utf-8", "surrogatepass") for _, body in events]
+    raw = np.array([len(events), *(place for place, _ in events), *map(len, bodies)], np.int64).tobytes() + b"".join(bodies)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
+
+
+def _unpack(pack: bytes) -> Iterator[tuple[int, str]]:
+    raw = pa.Codec("zstd").decompress(pack[8:], int.from_bytes(pack[:8], "little"), asbytes=True)
+    count = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, np.int64, 2 * count + 1)
+    ends = (head.nbytes + np.cumsum(head[count + 1 :])).tolist()
+    for place, start, end in zip(head[1 : count + 1].tolist(), [head.nbytes, *ends], ends, strict=False):
+        yield place, raw[start:end].decode("utf-8", "surrogatepass")
+
+
+def _packed(rows: Iterator[tuple[str | None, int, int, str]]) -> Iterator[tuple[str | None, int, bytes]]:
+    """Packs (novel_id, block, pack) of rows of EVENTS; rows that no chapter can use are left out."""
+    groups: dict[tuple[str | None, int], list[tuple[int, str]]] = {}
+    for novel, pos, attempt, body in rows:
+        if pos >= 0 and 0 <= attempt <= ATTEMPTS:
+            groups.setdefault((novel, pos // BLOCK), []).append((pos * (ATTEMPTS + 1) + attempt, body))
+    for (novel, block), events in groups.items():
+        yield novel, block, _pack(events)
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in EVENTS.split(", ")]
+    kinds = pa.schema([("novel_id", pa.string()), ("block", pa.int64()), ("pack", pa.binary())])
+    for batch in batches:
+        found = list(_packed(zip(*(batch.column(c).to_pylist() for c in names), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in found], kind.type) for i, kind in enumerate(kinds)], schema=kinds)
+
+
 def _beginnings(text: str, size: int) -> np.ndarray:
     """A number of SEEN bits for the `size` characters from each place of a text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -106,28 +148,36 @@ class _Terms:
 class _Novel(StatefulProcessor):
     """One novel: what is written next, the chapters and replies that wait, the terms so far and their uses.
 
-    Each access to state is a call to the JVM. So a batch's rows wait in memory, up to HELD characters, and go to state
-    only if they can't be written; terms and uses are read once and their changes put back once.
+    Each access to state is a call to the JVM. So what waits does so in packs, each the events of some of BLOCK chapters
+    in a row, which are opened when it is their turn: up to HELD bytes in memory, the others in state. Terms and uses
+    are read once and their changes put back once.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "pos long")
-        self.waiting = handle.getMapState("waiting", "pos long, attempt long", "body string")
+        self.waiting = handle.getMapState("waiting", "block long, number long", "pack binary")
         self.terms = handle.getMapState("terms", "zh string", "vi string, ord long")
         self.meta = handle.getMapState("meta", "zh string", "last_seen long, count long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
+        """Rows are packs, or events, which are packed here."""
         self.at = self.next.get()[0] if self.next.exists() else 0
-        self.there = {pos * (ATTEMPTS + 1) + attempt for pos, attempt in self.waiting.keys()}
-        self.fresh: dict[int, str] = {}
+        self.there: dict[int, list[int]] = {}
+        for block, number in sorted(self.waiting.keys()):
+            self.there.setdefault(block, []).append(number)
+        self.fresh: dict[int, list[bytes]] = {}
         self.known: _Terms | None = None
         size = 0
         for frame in rows:
-            for pos, attempt, body in zip(frame["pos"].tolist(), frame["attempt"].tolist(), frame["body"].tolist(), strict=True):
-                place = pos * (ATTEMPTS + 1) + attempt
-                if pos >= self.at and 0 <= attempt <= ATTEMPTS and place not in self.there and place not in self.fresh:
-                    self.fresh[place] = body
-                    size += len(body)
+            if "pack" in frame:
+                packs = zip(frame["block"].tolist(), frame["pack"].tolist(), strict=True)
+            else:
+                events = zip(frame["pos"].tolist(), frame["attempt"].tolist(), frame["body"].tolist(), strict=True)
+                packs = ((block, pack) for _, block, pack in _packed((key[0], *event) for event in events))
+            for block, pack in packs:
+                if (block + 1) * BLOCK > self.at:
+                    self.fresh.setdefault(block, []).append(pack)
+                    size += len(pack)
                     if size > HELD:
                         yield from self.ready(key[0])
                         self.stored()
@@ -143,46 +193,60 @@ class _Novel(StatefulProcessor):
                     self.meta.updateValue((zh,), self.known.meta[zh])
                 elif self.meta.containsKey((zh,)):
                     self.meta.removeKey((zh,))
-        self.there, self.fresh, self.known = set(), {}, None
+        self.there, self.fresh, self.known = {}, {}, None
 
     def stored(self) -> None:
         """Put what still waits in memory into state."""
-        for place, body in self.fresh.items():
-            self.waiting.updateValue(divmod(place, ATTEMPTS + 1), (body,))
-            self.there.add(place)
+        for block, packs in self.fresh.items():
+            numbers = self.there.setdefault(block, [])
+            for pack in packs:
+                numbers.append(numbers[-1] + 1 if numbers else 0)
+                self.waiting.updateValue((block, numbers[-1]), (pack,))
         self.fresh = {}
 
-    def body(self, at: int, attempt: int) -> str | None:
-        place = at * (ATTEMPTS + 1) + attempt
-        return self.waiting.getValue((at, attempt))[0] if place in self.there else self.fresh.get(place)
+    def opened(self, block: int) -> dict[int, str]:
+        """The events of a block that aren't written yet, by place; of copies the first that came."""
+        events: dict[int, str] = {}
+        for packs in ((self.waiting.getValue((block, n))[0] for n in self.there.get(block, ())), self.fresh.get(block, ())):
+            for pack in packs:
+                for place, body in _unpack(bytes(pack)):
+                    if place >= self.at * (ATTEMPTS + 1):
+                        events.setdefault(place, body)
+        return events
 
     def ready(self, novel: str) -> Iterator[pd.DataFrame]:
         """Write the chapters whose turn it is, some at a time."""
-        out, size = [], 0
-        while (body := self.body(self.at, 0)) is not None:
-            at, chapter = self.at, json.loads(body)
-            attempt, reply = self.passing(at, chapter)
-            if reply is None:
-                break
-            if self.known is None:
-                self.known = _Terms([(k[0], v[0], v[1]) for k, v in self.terms.iterator()], {k[0]: (v[0], v[1]) for k, v in self.meta.iterator()})
-            out.append(self.written(novel, at, attempt, chapter, reply, self.known))
-            size += sum(map(len, out[-1][4:7]))
-            for place in range(at * (ATTEMPTS + 1), (at + 1) * (ATTEMPTS + 1)):
-                self.fresh.pop(place, None)
-                if place in self.there:
-                    self.there.remove(place)
-                    self.waiting.removeKey(divmod(place, ATTEMPTS + 1))
-            self.at += 1
-            if size > HELD // 4:
-                yield pd.DataFrame(out, columns=COLUMNS)
-                out, size = [], 0
+        out, size, going = [], 0, True
+        while going:
+            block = self.at // BLOCK
+            events = self.opened(block)
+            while (going := (body := events.get(self.at * (ATTEMPTS + 1))) is not None):
+                at, chapter = self.at, json.loads(body)
+                attempt, reply = self.passing(at, chapter, events)
+                if not (going := reply is not None):
+                    break
+                if self.known is None:
+                    self.known = _Terms([(k[0], v[0], v[1]) for k, v in self.terms.iterator()], {k[0]: (v[0], v[1]) for k, v in self.meta.iterator()})
+                out.append(self.written(novel, at, attempt, chapter, reply, self.known))
+                size += sum(map(len, out[-1][4:7]))
+                for place in range(at * (ATTEMPTS + 1), (at + 1) * (ATTEMPTS + 1)):
+                    events.pop(place, None)
+                self.at += 1
+                if size > HELD // 4:
+                    yield pd.DataFrame(out, columns=COLUMNS)
+                    out, size = [], 0
+                if self.at // BLOCK > block:
+                    break
+            if not events:
+                self.fresh.pop(block, None)
+                for number in self.there.pop(block, ()):
+                    self.waiting.removeKey((block, number))
         yield pd.DataFrame(out, columns=COLUMNS)
 
-    def passing(self, at: int, chapter: dict) -> tuple[int, dict | None]:
+    def passing(self, at: int, chapter: dict, events: dict[int, str]) -> tuple[int, dict | None]:
         """The first reply that has as many paragraphs as the chapter."""
         for attempt in range(1, ATTEMPTS + 1):
-            body = self.body(at, attempt)
+            body = events.get(at * (ATTEMPTS + 1) + attempt)
             if body is not None:
                 reply = json.loads(body)
                 if len(reply.get("paragraphs") or []) == len(chapter.get("paragraphs") or []):
@@ -215,12 +279,14 @@ def reply_events(replies: DataFrame, script: str = X.CJK) -> DataFrame:
 
     Their terms are admitted here, but for their place in the chapter's text.
     """
-    rows = replies.where(F.col("attempt").between(1, ATTEMPTS)).withColumn("r", responses.reply(F.col("body"))).where("r IS NOT NULL")
+    keys = [F.col("novel_id").cast("string").alias("novel_id"), F.col("pos").cast("long").alias("pos"), F.col("attempt").cast("long").alias("attempt")]
+    # What a filter needs is exploded: moved below, a filter would parse each reply again.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    rows = replies.where(F.col("attempt").between(1, ATTEMPTS)).select(*keys, once(responses.reply(F.col("body")), "r")).where("r IS NOT NULL")
     fit = F.map_filter(F.col("r.new_terms"), lambda zh, vi: T.admitted_term(zh, vi, zh, script))
     full = F.filter("r.paragraphs", lambda p: p.isNotNull() & (X.strip(p) != ""))
-    body = F.to_json(F.struct(F.col("r.title").alias("title"), full.alias("paragraphs"), fit.alias("new_terms")))
-    rows = rows.where(~X.has_script(F.array_join(full, "\n"), script))
-    return rows.select(F.col("novel_id").cast("string").alias("novel_id"), F.col("pos").cast("long").alias("pos"), F.col("attempt").cast("long").alias("attempt"), body.alias("body"))
+    rows = rows.select("novel_id", "pos", "attempt", "r", once(full, "full")).where(~X.has_script(F.array_join("full", "\n"), script))
+    return rows.select("novel_id", "pos", "attempt", F.to_json(F.struct(F.col("r.title").alias("title"), F.col("full").alias("paragraphs"), fit.alias("new_terms"))).alias("body"))
 
 
 def translated(events: DataFrame) -> DataFrame:
@@ -230,18 +296,31 @@ def translated(events: DataFrame) -> DataFrame:
     replies wait in state, whatever order and batch they come in. `used` are the terms of earlier chapters that occur
     in it, `added` those that its reply brings and no earlier one had; a term is never replaced. Uses are counted, and
     every PURGE chapters the counts of terms used once and idle for over IDLE chapters go, the terms themselves never.
-    Copies of an event and events of written chapters are left out. What a batch costs depends on its own rows and the
+    Copies of an event and events of written chapters are left out. Events are packed where they are read, so that they
+    are shuffled and wait compressed. What a batch costs depends on its own rows and the
     state of their novels, not on what is written.
     """
-    return events.groupBy("novel_id").transformWithStateInPandas(statefulProcessor=_Novel(), outputStructType=WRITTEN, outputMode="Append", timeMode="None")
+    return events.select(*[c.split()[0] for c in EVENTS.split(", ")]).mapInArrow(_packs, PACKS).groupBy("novel_id").transformWithStateInPandas(statefulProcessor=_Novel(), outputStructType=WRITTEN, outputMode="Append", timeMode="None")
 
 
-def run(spark: SparkSession, folder: str, target: str, checkpoint: str, files: int = 1000) -> DataFrame:
+def run(spark: SparkSession, folder: str, target: str, checkpoint: str, files: int = 1000, tasks: int | None = None) -> DataFrame:
     """Stream the events of a folder (Parquet, EVENTS) that are new since the checkpoint, and read all that is written.
 
-    The file sink commits each batch once; a run that was stopped goes on from its checkpoint.
+    The file sink commits each batch once; a run that was stopped goes on from its checkpoint. Events that a run has
+    committed are not read again and may be deleted. The first run deals novels into `tasks` tasks for good, or into as
+    many as shuffles have: each has a store of its own, with at least 4 MB on disk, and a Python process.
     """
     rocks(spark)
+    settings = {"spark.sql.streaming.stateStore.maintenanceInterval": UNLOAD} | ({"spark.sql.shuffle.partitions": str(tasks)} if tasks else {})
+    before = {k: spark.conf.get(k) for k in settings}
     stream = translated(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files).parquet(folder))
-    stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", target).options(**ZSTD).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        query = writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    query.awaitTermination()
     return spark.read.schema(WRITTEN).parquet(target)

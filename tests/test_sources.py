@@ -232,6 +232,81 @@ def test_streamed_rows_beyond_memory_wait_in_state(monkeypatch):
     assert run(500, [rows]) == run(500, [rows[::2], rows[1::2], rows[:9]]) == run(1 << 20, [rows[::-1][:200], rows]) == whole
 
 
+def test_streamed_events_wait_in_packs():
+    """Half of a novel's events take a few compressed entries of state, and all are written when the others come."""
+    import json
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from quillspark.streaming import evolving
+
+    class Map(dict):
+        keys = lambda self: list(dict.keys(self))
+        iterator = lambda self: iter(list(self.items()))
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__
+
+    events = [(5, "é𠀀\n"), (3, ""), (5, "copy")]
+    assert list(evolving._unpack(evolving._pack(events))) == events
+    place = SimpleNamespace(at=None)
+    value = SimpleNamespace(exists=lambda: place.at is not None, get=lambda: place.at, update=lambda v: setattr(place, "at", v))
+    names = {k: Map() for k in ("waiting", "terms", "meta")}
+    lines = lambda i, word: [f"{word} number {i} of {i % 9} and {i % 7} in all of these lines" for _ in range(9)]
+    rows = [(i, 0, json.dumps({"title": "", "paragraphs": lines(i, "line")})) for i in range(300)]
+    rows += [(i, 1, json.dumps({"title": "", "paragraphs": lines(i, "LINE"), "new_terms": {f"number {i}": "N"}})) for i in range(300)]
+    rows += [(-1, 0, "left out"), (5, 9, "left out"), (7, 0, "a copy that comes later")]
+    got = []
+    for part in (rows[1::2], rows[::2]):
+        novel = evolving._Novel()
+        novel.init(SimpleNamespace(getValueState=lambda *a: value, getMapState=lambda n, *a: names[n]))
+        frame = pd.DataFrame(part, columns=["pos", "attempt", "body"])
+        got += [r for f in novel.handleInputRows(("n",), iter([frame[:100], frame[100:]]), None) for r in f.itertuples(index=False, name=None)]
+        if not got:
+            assert len(names["waiting"]) <= 2 * (300 // evolving.BLOCK + 1)
+            assert sum(len(v[0]) for v in names["waiting"].values()) < sum(len(r[2]) for r in part) / 4
+    assert [r[1] for r in got] == list(range(300)) and place.at == (300,) and not names["waiting"]
+    assert all(json.loads(r[6]) == {f"number {r[1]}": "N"} for r in got)
+
+
+def test_streamed_texts_are_held_once_on_disk(spark):
+    """Events that are committed and the numbered texts are gone, what is written is zstd, and replies are parsed once."""
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from quillspark.plans import chapter_runs
+    from quillspark.streaming import evolving
+
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    old, settings = set(base.glob("stream-*")), {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.maintenanceInterval")}
+    assert chapter_runs.streaming_glossary(spark, "/root/testdata/sf0.001").count() > 0
+    assert {k: spark.conf.get(k) for k in settings} == settings
+    (place,) = set(base.glob("stream-*")) - old
+    assert {p.name for p in place.iterdir()} == {"out", "state"}
+    assert {pq.ParquetFile(p).metadata.row_group(0).column(0).compression for p in place.glob("out/*.parquet") if pq.ParquetFile(p).metadata.num_row_groups} == {"ZSTD"}
+    replies = spark.createDataFrame([("n", 0, 1, '{"paragraphs": ["X"]}')], "novel_id string, pos long, attempt long, body string")
+    out = evolving.reply_events(replies.where("length(body) > 0"), "a-z")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1 and out.count() == 1
+
+
+def test_wide_rows_are_numbered(spark):
+    import random
+
+    from quillspark.functions.tables import numbered_wide
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(40)]), f"t{i}") for i in range(400)] + [("c", 1, "alone")]
+    df = spark.createDataFrame(rows, "g string, k long, t string").repartition(3)
+    for size in (4, 1000):
+        got = {}
+        for r in numbered_wide(df, "g", "k", rows=size).collect():
+            got.setdefault(r.g, []).append((r.number, r.k, r.t))
+        assert sorted((g or "", t) for g, x in got.items() for _, _, t in x) == sorted((g or "", t) for g, _, t in rows)
+        for x in got.values():
+            keys = [k for _, k, _ in sorted(x)]
+            assert [n for n, _, _ in sorted(x)] == list(range(1, len(x) + 1)) and keys == sorted(keys, key=lambda k: -1 if k is None else k)
+
+
 def test_stateful_stream_across_runs(spark, tmp_path):
     import json
     import shutil
